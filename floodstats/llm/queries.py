@@ -6,14 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, packing, quality, simhash, transport
+from . import deleted, langid, mixing, packing, quality, secrets, simhash, spans, syncmers, transport
 from .common import table
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_spans(table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deleted.lm_scores(table(spark, sf_dir, "documents"))
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.drawn(table(spark, sf_dir, "documents"))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.dedup_spans(table(spark, sf_dir, "documents"))
+
+
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_predictions(table(spark, sf_dir, "documents"))
 
@@ -30,5 +50,19 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_best_fit_packing, op7_language_id, op8_transport_streams, op9_quality_classifier, op10_simhash_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_secret_scans,
+        op2_best_fit_packing,
+        op3_lm_scoring,
+        op4_source_mixing,
+        op5_substring_dedup,
+        op6_document_fingerprints,
+        op7_language_id,
+        op8_transport_streams,
+        op9_quality_classifier,
+        op10_simhash_near_dedup,
+    )
+}
 ORACLES: dict[str, str] = {}
