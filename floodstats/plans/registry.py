@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -13,14 +15,22 @@ ORACLES: dict[str, str] = {}
 MODULES = ("series", "skill", "circular", "climate", "ensemble", "spatial", "network", "resample", "relational")
 
 
-def query(oracle: str | None = None, name: str | None = None):
-    """Registers f(spark, sf_dir) under its name."""
+def query(oracle: str | None = None, name: str | None = None, dates: tuple[str, ...] = (), times: tuple[str, ...] = ()):
+    """Registers f(spark, sf_dir) under its name. dates and times: columns that both sides give as text, since engines'
+    clients differ in how they hand them over."""
 
     def register(f: Callable[[SparkSession, str], DataFrame]):
         key = name or f.__name__
-        QUERIES[key] = f
+        shown = {c: "yyyy-MM-dd" for c in dates} | {c: "yyyy-MM-dd HH:mm:ss.SSSSSS" for c in times}
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = f(spark, sf_dir)
+            return df.withColumns({c: F.date_format(c, form) for c, form in shown.items()}) if shown else df
+
+        QUERIES[key] = functools.wraps(f)(run)
         if oracle:
-            ORACLES[key] = oracle
+            text = [f"strftime({c}, '%Y-%m-%d') AS {c}" for c in dates] + [f"strftime({c}, '%Y-%m-%d %H:%M:%S.%f') AS {c}" for c in times]
+            ORACLES[key] = f"SELECT * REPLACE ({', '.join(text)}) FROM ({oracle})" if text else oracle
         return f
 
     return register
