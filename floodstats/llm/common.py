@@ -61,6 +61,14 @@ def with_columns(df: DataFrame, **types: str) -> DataFrame:
     return df.select(*[(df[f"`{c}`"].cast(t) if c in have else F.lit(None).cast(t)).alias(c) for c, t in types.items()])
 
 
+def free_prefix(df: DataFrame) -> str:
+    """A prefix for own columns that none of df's names begins with, in any case."""
+    p = "_own_"
+    while any(c.lower().startswith(p) for c in df.columns):
+        p += "_"
+    return p
+
+
 def crc_mod(col: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null ids count as the text ''."""
     return F.pmod(F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")), F.lit(n))

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, with_columns
+from .common import checkpointed, free_prefix, with_columns
 
 DIMS = ("source", "lang", "topic")
 MAX_CELLS, ROUNDS = 100_000, 40
@@ -117,12 +117,12 @@ def drawn(docs: DataFrame, keep: float = 0.5, power: float = 0.5, seed: int = 7,
 
 def mix(docs: DataFrame, keep: float = 0.9, power: float = 0.9, seed: int = 7) -> DataFrame:
     """The drawn rows of docs, with its columns; documents are not joined with themselves but meet their cell's weight alone."""
-    text, columns = F.coalesce(F.col("text").cast("string"), F.lit("")), [F.col(f"`{c}`") for c in docs.columns]
+    p, text, columns = free_prefix(docs), F.coalesce(F.col("text").cast("string"), F.lit("")), [F.col(f"`{c}`") for c in docs.columns]
     w, few = weights(checkpointed(measured(docs).groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens"))), keep, power)
-    w = w.select(*[F.col(d).alias(f"_{d}") for d in DIMS], F.col("probability").alias("_p"))
-    w = F.broadcast(w) if few else w
-    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    keyed = docs.withColumns({"_s": name("source"), "_l": name("lang"), "_t": topic(text)})
-    out = keyed.join(w, (F.col("_s") == F.col("_source")) & (F.col("_l") == F.col("_lang")) & (F.col("_t") == F.col("_topic")))
+    w = w.select(*[F.col(d).alias(f"{p}{d}") for d in DIMS], F.col("probability").alias(f"{p}p"))
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("")
+    own = {f"{p}s": name("source"), f"{p}l": name("lang"), f"{p}t": topic(text)}
+    on = [F.col(a) == F.col(f"{p}{d}") for a, d in zip(own, DIMS)]
+    out = docs.withColumns(own).join(F.broadcast(w) if few else w, on)
     u = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    return out.where(u < F.col("_p")).select(*columns)
+    return out.where(u < F.col(f"{p}p")).select(*columns)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from .common import crc_mod, rows_of, with_columns
+from .common import crc_mod, free_prefix, rows_of, with_columns
 
 MAX_ROWS, THRESHOLD = 20_000, 0.3
 _classes: np.ndarray | None = None
@@ -170,16 +170,16 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Trees
     return grow(x, got["y"].to_numpy(float))
 
 
-def score(docs: DataFrame, model: Trees, *keep: str) -> DataFrame:
-    """keep columns and quality_score of every row."""
-    kept = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("_text"))
+def score(docs: DataFrame, model: Trees, *keep: str, out: str = "quality_score") -> DataFrame:
+    """keep columns and out, the score of every row."""
+    kept = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias(f"{free_prefix(docs)}text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows_of(batches):
             x = np.array([statistics(t or "") for t in b.column(b.num_columns - 1).to_pylist()]).reshape(-1, WIDTH)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(model.scores(x), pa.float64())], names=[*keep, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(model.scores(x), pa.float64())], names=[*keep, out])
 
-    return kept.mapInArrow(run, StructType([*kept.schema.fields[:-1], StructField("quality_score", DoubleType())]))
+    return kept.mapInArrow(run, StructType([*kept.schema.fields[:-1], StructField(out, DoubleType())]))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -190,4 +190,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents that score THRESHOLD or more, with the columns of docs."""
-    return score(docs, train(docs, labels), *docs.columns).where(F.col("quality_score") >= THRESHOLD).drop("quality_score")
+    out = f"{free_prefix(docs)}score"
+    return score(docs, train(docs, labels), *docs.columns, out=out).where(F.col(out) >= THRESHOLD).drop(out)

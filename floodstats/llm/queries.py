@@ -65,4 +65,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_simhash_near_dedup,
     )
 }
-ORACLES: dict[str, str] = {}
+
+
+def _spans_sql(name: str, kind: int, pattern: str, group: int, where: str) -> str:
+    """CTE of one kind's matches: starts from the lengths of what stands between them."""
+    p = pattern.replace("'", "''")
+    return f"""{name}0 AS (SELECT n, x, regexp_extract_all(x, '{p}', 0) AS m, regexp_extract_all(x, '{p}', {group}) AS v, string_split_regex(x, '{p}') AS b FROM t),
+{name}1 AS (SELECT n, m, v, b, unnest(range(1, len(m) + 1)) AS i FROM {name}0),
+{name}2 AS (SELECT n, {kind} AS k, m[i] AS w, v[i] AS v, list_sum(list_transform(b[1:i], lambda s: length(s))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda s: length(s))), 0) AS a FROM {name}1),
+{name} AS (SELECT n, k, v, CAST(a AS BIGINT) AS a, CAST(a + length(w) AS BIGINT) AS z FROM {name}2 WHERE {where})"""
+
+
+_NAME = "['assign', 'access', 'hex', 'live'][k + 1] || ':' || a || ':' || z"
+_OP1 = f"""WITH t AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS x, coalesce(source, '') AS o, coalesce(lang, '') AS r FROM documents),
+{_spans_sql("sa", 0, secrets.ASSIGN, 2, "length(v) >= 8")},
+{_spans_sql("sk", 1, secrets.ACCESS, 0, "true")},
+{_spans_sql("sh", 2, secrets.HEX, 0, "true")},
+{_spans_sql("sc", 3, secrets.CANDIDATE, 0, "regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')")},
+base AS (SELECT * FROM sa UNION ALL SELECT * FROM sk UNION ALL SELECT * FROM sh),
+every AS (SELECT * FROM base UNION ALL SELECT * FROM sc WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.n = sc.n AND base.a < sc.z AND sc.a < base.z)),
+own AS (SELECT v, count(DISTINCT o) <= {secrets.MAX_OWNERS} AS live FROM every JOIN t USING (n) GROUP BY 1),
+told AS (SELECT every.*, live FROM every JOIN own USING (v)),
+per AS (SELECT n, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, string_agg({_NAME}, ',' ORDER BY a, k) FILTER (k < 3) AS base,
+string_agg({_NAME}, ',' ORDER BY a, k) FILTER (k < 3 OR live) AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied FROM told GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+FROM t LEFT JOIN per USING (n)"""
+
+#: The other operators hash, train, tokenise or iterate in ways that SQL lacks; the tests hold them against brute force.
+ORACLES: dict[str, str] = {"op1_secret_scans": _OP1}

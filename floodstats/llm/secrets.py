@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash, with_columns
+from .common import free_prefix, stash, with_columns
 
 # Fixed values of the contract: the patterns of the base kinds, in order.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -109,23 +109,23 @@ def secret_spans(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with base and live spans replaced, and n_chars set anew where something was. Only rows with findings are joined."""
-    text = F.coalesce("text", F.lit(""))
-    marked = docs.withColumn("_hit", text.rlike(ASSIGN) | text.rlike(CANDIDATE) | text.rlike(ACCESS) | text.rlike(HEX))
-    clean, hit = marked.where(~F.col("_hit")).drop("_hit"), marked.where("_hit").drop("_hit")
-    s = scan(_of_documents(docs)).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.array_sort(F.concat("base", "added")).alias("_spans"))
-    s = s.where(F.size("_spans") > 0).dropDuplicates(["_id", "_hash"])
-    both = hit.withColumn("_text_hash", F.xxhash64(text)).join(s, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
+    p, text = free_prefix(docs), F.coalesce("text", F.lit(""))
+    hit, at, out = f"{p}hit", f"{p}at", f"{p}out"
+    marked = docs.withColumn(hit, text.rlike(ASSIGN) | text.rlike(CANDIDATE) | text.rlike(ACCESS) | text.rlike(HEX))
+    clean, found = marked.where(~F.col(hit)).drop(hit), marked.where(hit).drop(hit)
+    s = scan(_of_documents(docs)).select(F.col("doc_id").alias(f"{p}id"), F.col("text_hash").alias(f"{p}hash"), F.array_sort(F.concat("base", "added")).alias(f"{p}spans"))
+    s = s.where(F.size(f"{p}spans") > 0).dropDuplicates([f"{p}id", f"{p}hash"])
+    both = found.withColumn(f"{p}text_hash", F.xxhash64(text)).join(s, F.col("doc_id").eqNullSafe(F.col(f"{p}id")) & (F.col(f"{p}text_hash") == F.col(f"{p}hash")), "left")
 
     def step(acc: Column, m: Column) -> Column:
-        ahead = F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.greatest(m["start"] - acc["at"], F.lit(0))), F.lit(REPLACEMENT))
-        more = F.struct(m["end"].alias("at"), ahead.alias("out"))
-        longer = F.struct(F.greatest(m["end"], acc["at"]).alias("at"), acc["out"].alias("out"))
-        return F.when(m["start"] >= acc["at"], more).otherwise(longer)
-
-    done = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.expr("substring(text, 1)").substr(acc["at"] + 1, F.length("text"))))
-    both = both.withColumn("_done", F.when(F.col("_spans").isNotNull(), done))
-    new = {"text": F.coalesce("_done", "text")}
+        ahead = F.concat(acc[out], F.substring("text", acc[at] + 1, F.greatest(m["start"] - acc[at], F.lit(0))), F.lit(REPLACEMENT))
+        longer = F.struct(F.greatest(m["end"], acc[at]).alias(at), acc[out].alias(out))
+        return F.when(m["start"] >= acc[at], F.struct(m["end"].alias(at), ahead.alias(out))).otherwise(longer)
+
+    done = F.aggregate(f"{p}spans", F.struct(F.lit(0).alias(at), F.lit("").alias(out)), step, lambda acc: F.concat(acc[out], F.col("text").substr(acc[at] + 1, F.length("text"))))
+    both = both.withColumn(f"{p}done", F.when(F.col(f"{p}spans").isNotNull(), done))
+    new = {"text": F.coalesce(f"{p}done", "text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("_done").isNotNull(), F.length("_done").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        new["n_chars"] = F.when(F.col(f"{p}done").isNotNull(), F.length(f"{p}done").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     kept = [new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns]
     return clean.unionByName(both.select(*kept))

@@ -15,7 +15,6 @@ take the component of their fingerprint, null if no row with an id has it. Repea
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -25,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, checkpointed, components, rows_of, stash, utf8, with_columns
+from .common import ASCII_LOWER, checkpointed, components, free_prefix, rows_of, stash, utf8, with_columns
 
 CELL = 16384
 #: Candidates that a fingerprint may be expected to meet under one key by chance; more blocks are used beyond.
@@ -185,7 +184,7 @@ def simhash_components(df: DataFrame) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def dedup_near(df: DataFrame, bits: int = 53) -> DataFrame:
+def dedup_near(df: DataFrame, bits: int = 49) -> DataFrame:
     """Keeps of each group of near copies the row with the smallest id (of repeated rows of that id, all).
 
     Fingerprints of eight words over the sets of words; `bits` of 512 correspond to 0.8 of shared five-word shingles. Pairs are
@@ -193,10 +192,7 @@ def dedup_near(df: DataFrame, bits: int = 53) -> DataFrame:
     Rows with a null id are kept.
     """
     found = near_components(stash(fingerprints(df, "words")), width=8, word_bits=3, bits=bits)
-    drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct()
-    return df.join(drop, df["doc_id"] == drop["_drop"], "left_anti")
+    other = f"{free_prefix(df)}id"
+    drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias(other)).distinct()
+    return df.join(drop, F.col("doc_id") == F.col(other), "left_anti")
 
-
-def expected_keys(n: int, word_bits: int = 4) -> int:
-    b = blocks_for(n, word_bits)
-    return math.comb(b, b - word_bits)

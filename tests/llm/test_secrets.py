@@ -1,0 +1,59 @@
+import hashlib
+import re
+
+import duckdb
+from conftest import SF  # noqa: F401
+from floodstats.llm import queries, secrets
+
+ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
+
+
+def base(text):
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(found))
+
+
+def test_base_spans(docs, texts, odd):
+    for r in secrets.secret_spans(docs).collect():
+        assert r.base_sha256 == hashlib.sha256(base(texts[r.doc_id]).encode()).hexdigest()
+    by_text = {r.text or "": r.doc_id for r in odd.collect()}
+    got = secrets.secret_spans(odd).collect()
+    assert len(got) == 16
+    own = {r.doc_id: r for r in got if r.doc_id is not None}
+    for text, i in by_text.items():
+        if i is not None and i not in (4,):
+            assert own[i].base_sha256 == hashlib.sha256(base(text).encode()).hexdigest(), i
+    assert (own[8].n_assign, own[8].n_access, own[8].n_hex) == (2, 1, 1)
+    assert own[4].spans == own[3].spans == ""
+
+
+def test_ownership_tells_live_from_copied(odd):
+    own = {r.doc_id: r for r in secrets.secret_spans(odd).collect()}
+    assert own[9].spans == "live:0:26" and own[9].n_live == 1
+    assert own[10].spans == own[11].spans == own[12].spans == "" and own[12].n_copied == 1  # three owners have it
+
+
+def test_redact(odd, nothing):
+    got = secrets.redact(odd)
+    assert got.columns == odd.columns
+    rows = got.collect()
+    assert len(rows) == 16
+    by = {r.doc_id: r for r in rows}
+    assert by[8].text == '<secret>" and <secret> password: short <secret>\' token: token: abcdefghij' and by[8].n_chars == len(by[8].text)
+    assert by[9].text.startswith("<secret> was here") and by[10].text == "EXAMPLE0123456789abcd" and by[3].text is None
+    assert secrets.redact(nothing).count() == 0 and secrets.secret_spans(nothing).count() == 0
+
+
+def test_native_plan(docs):
+    plan = secrets.secret_spans(docs)._jdf.queryExecution().toString()
+    assert not re.search("Python|Arrow|Pandas|CartesianProduct|BroadcastNestedLoop", plan)
+
+
+def test_sql(spark, docs):
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    want = c.execute(queries.ORACLES["op1_secret_scans"]).df().sort_values("doc_id").reset_index(drop=True)
+    got = queries.op1_secret_scans(spark, SF).toPandas().sort_values("doc_id").reset_index(drop=True)
+    assert got[want.columns].astype(str).equals(want.astype(str))
