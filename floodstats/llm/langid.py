@@ -76,12 +76,13 @@ class LanguageModel:
         return self.names[k], float(p[k]), bool(p[k] < self.reject_below)
 
 
-def fit(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 0.5, seed: int = 1) -> LanguageModel:
+def fit(texts: list[str], langs: list[str], epochs: int = 4, least_steps: int = 8000, rate: float = 0.5, seed: int = 1) -> LanguageModel:
     names = sorted(set(langs))
     rng = np.random.default_rng(seed)
     data = [(at, c / c.sum(), names.index(y)) for (at, c), y in ((np.unique(subwords(t), return_counts=True), y) for t, y in zip(texts, langs)) if len(at)]
     emb, w, b = rng.normal(0, 0.1, (BUCKETS, DIM)), np.zeros((DIM, len(names))), np.zeros(len(names))
     learn = [d for i, d in enumerate(data) if i % 10] or data
+    epochs = max(epochs, -(-least_steps // max(1, len(learn))))
     steps, done = epochs * len(learn), 0
     for _ in range(epochs):
         for i in rng.permutation(len(learn)):
@@ -107,7 +108,7 @@ def fit(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 0.5,
             e = np.exp((z - z.max(1, keepdims=True)) / t)
             return e / e.sum(1, keepdims=True)
 
-        grid = np.geomspace(0.05, 20, 60)
+        grid = np.geomspace(0.25, 20, 60)
         model.temperature = float(grid[np.argmin([-np.log(softmax(t)[np.arange(len(y)), y] + 1e-12).mean() for t in grid])])
         p = softmax(model.temperature)
         score, good = p.max(1), p.argmax(1) == y
