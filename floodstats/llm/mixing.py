@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, free_prefix, with_columns
+from .common import checkpointed, free_prefix, stash, with_columns
 
 DIMS = ("source", "lang", "topic")
 MAX_CELLS, ROUNDS = 100_000, 40
@@ -107,7 +107,7 @@ def weights(cells: DataFrame, keep: float, power: float, max_cells: int = MAX_CE
 
 def drawn(docs: DataFrame, keep: float = 0.5, power: float = 0.5, seed: int = 7, max_cells: int = MAX_CELLS) -> DataFrame:
     """(doc_id, source, lang, topic, n_tokens, weight, probability, sampled) of every row."""
-    own = measured(docs)
+    own = stash(measured(docs))
     cells = own.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens"))
     w, few = weights(checkpointed(cells), keep, power, max_cells)
     out = own.join(F.broadcast(w) if few else w, list(DIMS))
