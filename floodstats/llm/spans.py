@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_of, with_columns
+from .common import rows_of, stash, with_columns
 
 RUN, WORDS, CUT = 3, 25, 12
 _BREAK = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
@@ -93,7 +93,7 @@ def dedup_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, text, n_sentences, n_removed, n_chars_removed) of every row."""
     own = with_columns(docs, doc_id="long", text="string")
     keyed = own.withColumn("key", _key(F.col("doc_id"), F.col("text")))
-    found = spans(keyed)
+    found = stash(spans(keyed))
     first = found.groupBy("h").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     again = found.join(first, "h").where("key > first").groupBy("key").agg(F.collect_list("h").alias("again"))
     both = keyed.join(again, "key", "left").select("doc_id", "text", "again")
