@@ -1,7 +1,7 @@
 """Substring deduplication by sliding sentence spans.
 
-Sentences end at a stop followed by white space, or at a line's end; longer ones are cut every CUT words. From each sentence
-on, the shortest run of at least RUN sentences and WORDS words is hashed, lower-cased and with single spaces. A run
+Sentences end at a stop followed by white space, or at a line's end; longer ones are cut every CUT words. The shortest run of at
+least RUN sentences and WORDS words from each sentence on, and that up to each, is hashed, lower-cased and with single spaces. A run
 that any earlier place holds too (in a document of a smaller id, or earlier in its own) is a repetition, and the sentences
 it covers are removed. A document sends each different hash once, as 16 bytes; the count and the smallest id of a hash are
 aggregated before the shuffle, and the join back is one that adaptive execution can split.
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -44,18 +45,24 @@ def sentences(text: str, cut: int = CUT) -> list[tuple[int, list[str]]]:
 
 
 def runs(units: list[tuple[int, list[str]]], run: int = RUN, words: int = WORDS) -> list[tuple[int, int, int]]:
-    """(hash, first sentence, one past the last) of the run from each sentence that has one."""
-    h = [xxhash.xxh64_intdigest(" ".join(w).lower().encode("utf-8", "surrogatepass"), 11).to_bytes(8, "little") for _, w in units]
-    total = np.cumsum([0, *(len(w) for _, w in units)]).tolist()
-    out, end = [], 0
-    for i in range(len(units)):
+    """(hash, first sentence, one past the last) of the shortest run from each sentence on, and of that up to each sentence,
+    in order of place and each once; so a passage is covered from its first sentence to its last."""
+    h = [xxhash.xxh64_digest(" ".join(w).lower().encode("utf-8", "surrogatepass"), 11) for _, w in units]
+    total = [0, *accumulate(len(w) for _, w in units)]
+    n, places, end, start = len(units), set(), 0, 0
+    for i in range(n):
         end = max(end, i + run)
-        while end <= len(units) and total[end] - total[i] < words:
+        while end <= n and total[end] - total[i] < words:
             end += 1
-        if end > len(units):
+        if end > n:
             break
-        out.append((xxhash.xxh64_intdigest(b"".join(h[i:end]), 13) - 2**63, i, end))
-    return out
+        places.add((i, end))
+    for j in range(run, n + 1):
+        while start + 1 <= j - run and total[j] - total[start + 1] >= words:
+            start += 1
+        if total[j] - total[start] >= words:
+            places.add((start, j))
+    return [(xxhash.xxh64_intdigest(b"".join(h[i:j]), 13) - 2**63, i, j) for i, j in sorted(places)]
 
 
 def without(text: str, repeated: set[int], run: int = RUN, words: int = WORDS) -> tuple[str, int, int]:
