@@ -11,32 +11,35 @@ from .registry import query
 from .series import am_cte, peak_cte
 
 KEY = ["k"]
-S, O = F.col("sim"), F.col("obs")
 LAGS = list(range(-10, 11))
 
 
+def so():
+    return F.col("sim"), F.col("obs")
+
+
 def agg(spark, sf, **columns):
     return rounded(pairs(spark, sf).groupBy("k").agg(*[c.alias(n) for n, c in columns.items()]))
 
 
 @query(f"WITH {PAIRS} SELECT k, round(sum(sim - obs) / count(obs), 4) AS bias, round(sum(sim - obs) / sum(obs), 6) AS pbias FROM p GROUP BY 1")
 def skill_bias_pbias(spark, sf):
-    return rounded(agg(spark, sf, bias=K.bias(S, O), pbias=K.percent_bias(S, O)), 4, "bias")
+    return rounded(agg(spark, sf, bias=K.bias(*so()), pbias=K.percent_bias(*so())), 4, "bias")
 
 
 @query(f"WITH {PAIRS}, m AS (SELECT k, avg(obs) AS mo FROM p GROUP BY 1) SELECT k, round(1 - sum((obs - sim) * (obs - sim)) / sum((obs - mo) * (obs - mo)), 6) AS nse FROM p JOIN m USING (k) GROUP BY 1")
 def skill_nse(spark, sf):
-    return agg(spark, sf, nse=K.nash_sutcliffe(S, O))
+    return agg(spark, sf, nse=K.nash_sutcliffe(*so()))
 
 
 @query(f"WITH {PAIRS}, l AS (SELECT k, ln(sim + 1e-6) AS s, ln(obs + 1e-6) AS o FROM p), m AS (SELECT k, avg(o) AS mo FROM l GROUP BY 1) SELECT k, round(1 - sum((o - s) * (o - s)) / sum((o - mo) * (o - mo)), 6) AS log_nse FROM l JOIN m USING (k) GROUP BY 1")
 def skill_lognse(spark, sf):
-    return agg(spark, sf, log_nse=K.log_nash_sutcliffe(S, O))
+    return agg(spark, sf, log_nse=K.log_nash_sutcliffe(*so()))
 
 
 @query(f"WITH {PAIRS} SELECT k, round(corr(sim, obs), 6) AS r, round(corr(sim, obs) * corr(sim, obs), 6) AS rsquared FROM p GROUP BY 1")
 def skill_pearson_r2(spark, sf):
-    return agg(spark, sf, r=K.pearson(S, O), rsquared=F.pow(K.pearson(S, O), F.lit(2.0)))
+    return agg(spark, sf, r=K.pearson(*so()), rsquared=F.pow(K.pearson(*so()), F.lit(2.0)))
 
 
 @query(f"WITH {PAIRS}, m AS (SELECT k, avg(sim) AS ms, avg(obs) AS mo, stddev_pop(sim) AS ss, stddev_pop(obs) AS so FROM p GROUP BY 1) SELECT k, round(avg((sim - ms) * (obs - mo)) / any_value(ss) / any_value(so), 6) AS r FROM p JOIN m USING (k) GROUP BY 1")
@@ -65,7 +68,7 @@ def spearman_p(spark, sf):
 
 @query(f"WITH {PAIRS} SELECT k, round(sum((obs - sim) * (obs - sim)), -3) AS sse, round(sqrt(sum((obs - sim) * (obs - sim))), 3) AS root_sse, round(avg((obs - sim) * (obs - sim)), 0) AS mse, round(sqrt(avg((obs - sim) * (obs - sim))), 4) AS rmse FROM p GROUP BY 1")
 def skill_sse_rmse(spark, sf):
-    e, m = K.sse(S, O), K.mse(S, O)
+    e, m = K.sse(*so()), K.mse(*so())
     return pairs(spark, sf).groupBy("k").agg(F.round(e, -3).alias("sse"), F.round(F.sqrt(e), 3).alias("root_sse"), F.round(m, 0).alias("mse"), F.round(F.sqrt(m), 4).alias("rmse"))
 
 
@@ -74,7 +77,7 @@ KGE = "kg AS (SELECT k, corr(sim, obs) AS cc, stddev_pop(sim) / stddev_pop(obs)
 
 @query(f"WITH {PAIRS}, {KGE} SELECT k, round(1 - sqrt(pow(cc - 1, 2) + pow(a - 1, 2) + pow(b - 1, 2)), 6) AS kge, round(cc, 6) AS kge_pearson_coef, round(a, 6) AS kge_rel_var, round(b, 6) AS kge_bias FROM kg")
 def skill_kge(spark, sf):
-    return agg(spark, sf, **K.kling_gupta(S, O))
+    return agg(spark, sf, **K.kling_gupta(*so()))
 
 
 PRE = """ov AS (SELECT k, greatest(min(CASE WHEN sim IS NOT NULL THEN t END), min(CASE WHEN obs IS NOT NULL THEN t END)) AS a, least(max(CASE WHEN sim IS NOT NULL THEN t END), max(CASE WHEN obs IS NOT NULL THEN t END)) AS b FROM p GROUP BY 1),
