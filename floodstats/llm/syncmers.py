@@ -1,6 +1,6 @@
 """Document fingerprints by closed syncmers, by DataFrame functions alone.
 
-Symbols are words; in texts with scripts that have no spaces, their characters. A run of K symbols is an anchor if the
+Symbols are words; in texts with scripts that have no spaces, their characters; in texts under SHORT code points, all characters. A run of K symbols is an anchor if the
 smallest hash of its runs of S symbols is the first or the last. The choice depends on nothing but the run itself, so texts
 that share a passage share its anchors wherever it stands. The fingerprint is the hashes of the distinct anchors in
 order of place, eight hexadecimal digits each. Texts too short for an anchor have the hash of all symbols.
@@ -21,6 +21,8 @@ from .common import with_columns
 from .secrets import let
 
 K, S = 6, 2
+#: A text of few words would have hardly an anchor. The choice depends on the length alone, which most edits keep.
+SHORT = 256
 UNSPACED = r"฀-໿က-႟ក-៿⺀-鿿豈-﫿\x{20000}-\x{3FFFF}"
 #: Rows of a bucket, and the most buckets; their bounds are in the plan.
 PER_BUCKET, MOST_BUCKETS = 2000, 65536
@@ -28,7 +30,7 @@ PER_BUCKET, MOST_BUCKETS = 2000, 65536
 
 def symbols(text: Column) -> Column:
     chars = F.regexp_extract_all(text, F.lit(rf"[{UNSPACED}]|[^\s{UNSPACED}]+"), F.lit(0))
-    return F.when(text.rlike(f"[{UNSPACED}]"), chars).otherwise(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    return F.when(F.length(text) < SHORT, F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))).when(text.rlike(f"[{UNSPACED}]"), chars).otherwise(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
 
 
 def anchors(text: Column, k: int = K, s: int = S) -> Column:
