@@ -36,12 +36,13 @@ def anomalies(df: DataFrame, keys: list[str], t: str = "t", x: str = "x") -> Dat
 
 
 def to_grid(anchors: DataFrame, grid: DataFrame, keys: list[str], t: str = "t", x: str = "x") -> DataFrame:
-    """grid (keys, t) with the row before and after of anchors (keys, t, x): _t0, _x0, _t1, _x1. One sort by time, no range join."""
-    w = Window.partitionBy(*keys).orderBy(t, "_g")
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    """grid (keys, t) with the row before and after of anchors (keys, t, x): _t0, _x0, _t1, _x1. One shuffle and two sorts by time,
+    no range join; frames run from the start only, as others are filled anew for each row."""
+    w = Window.partitionBy(*keys)
+    back, ahead = (w.orderBy(*o).rowsBetween(Window.unboundedPreceding, 0) for o in ((t, "_g"), (F.desc(t), F.desc("_g"))))
     both = anchors.where(F.col(x).isNotNull()).select(*keys, t, F.col(x).alias("_x"), F.lit(0).alias("_g")).unionByName(grid.select(*keys, t, F.lit(None).cast("double").alias("_x"), F.lit(1).alias("_g")))
     here = F.when(F.col("_g") == 0, F.struct(F.col(t).alias("t"), F.col("_x").alias("x")))
-    both = both.withColumns({"_a": F.last(here, True).over(back), "_b": F.first(here, True).over(ahead)})
+    both = both.withColumns({"_a": F.last(here, True).over(back), "_b": F.last(here, True).over(ahead)})
     return both.where("_g = 1").select(*keys, t, F.col("_a.t").alias("_t0"), F.col("_a.x").alias("_x0"), F.col("_b.t").alias("_t1"), F.col("_b.x").alias("_x1"))
 
 

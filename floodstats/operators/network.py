@@ -77,14 +77,18 @@ def accumulate(edges: DataFrame, state: DataFrame, rounds: int | None = None) ->
 
 
 def basins(edges: DataFrame, rounds: int | None = None) -> DataFrame:
-    """(id, basin): the pit that each node drains to."""
+    """(id, basin): the pit that each node drains to, or the node outside the table. Raises on a cycle."""
     f = _cut(edges.select("id", F.coalesce("next_id", "id").alias("basin")))
     for _ in range(_rounds(edges, rounds)):
         on = f.select(F.col("id").alias("basin"), F.col("basin").alias("_then"))
-        g = _cut(f.join(on, "basin").select("id", F.col("_then").alias("basin"), (F.col("_then") != F.col("basin")).alias("_moved")))
+        then = F.coalesce("_then", "basin")
+        g = _cut(f.join(on, "basin", "left").select("id", then.alias("basin"), (then != F.col("basin")).alias("_moved")))
         f = g.select("id", "basin")
         if g.where("_moved").isEmpty():
-            return f
+            inner = edges.where("next_id is not null").select(F.col("id").alias("basin"))
+            if f.join(inner, "basin", "left_semi").isEmpty():  # a cycle whose length is a power of two comes to rest too
+                return f
+            break
     raise ValueError("the network has a cycle")
 
 
