@@ -2,11 +2,12 @@
 
 Subwords are runs of one to four letters of the lower-cased text, word boundaries included, hashed into BUCKETS. Embeddings
 and softmax are trained together by stochastic gradient descent in numpy on at most MAX_ROWS documents (a documented bound,
-chosen by a hash of the id), each by its whole text. For prediction the embedding and the linear layer are multiplied
+chosen by a hash of the id), each by its whole text; what comes to the driver are the counts of their buckets, not the texts. For prediction the embedding and the linear layer are multiplied
 out, and a document's logits are the mean over all subwords of the whole text. A temperature fitted on a tenth that is not
 trained on calibrates the scores, and the same tenth gives the score below which a prediction is rejected.
 
-Nulls: text that is null or has no letter is `und` with score 0, and rejected. A null lang is not learned from. Rows with a
+Nulls: text that is null or has no letter is `und` with score 0, and rejected. A null lang is not learned from, and of several rows with one id
+the least lang and text is. Rows with a
 null id are predicted, and held out or not by the text ''. Without anything to learn from, all is `und`.
 """
 
@@ -76,10 +77,16 @@ class LanguageModel:
         return self.names[k], float(p[k]), bool(p[k] < self.reject_below)
 
 
-def fit(texts: list[str], langs: list[str], epochs: int = 4, least_steps: int = 8000, rate: float = 0.5, seed: int = 1) -> LanguageModel:
+def shares(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of a text's subwords and how often each occurs."""
+    return np.unique(subwords(text), return_counts=True)
+
+
+def fit(examples: list[tuple[np.ndarray, np.ndarray]], langs: list[str], epochs: int = 4, least_steps: int = 8000, rate: float = 0.5, seed: int = 1) -> LanguageModel:
+    """examples: shares() of each text."""
     names = sorted(set(langs))
     rng = np.random.default_rng(seed)
-    data = [(at, c / c.sum(), names.index(y)) for (at, c), y in ((np.unique(subwords(t), return_counts=True), y) for t, y in zip(texts, langs)) if len(at)]
+    data = [(at, c / c.sum(), names.index(y)) for (at, c), y in zip(examples, langs) if len(at)]
     emb, w, b = rng.normal(0, 0.1, (BUCKETS, DIM)), np.zeros((DIM, len(names))), np.zeros(len(names))
     learn = [d for i, d in enumerate(data) if i % 10] or data
     epochs = max(epochs, -(-least_steps // max(1, len(learn))))
@@ -123,8 +130,16 @@ def train(docs: DataFrame, max_rows: int = MAX_ROWS) -> LanguageModel:
     """Learns from documents with a lang whose crc32(doc_id) mod 4 is not 2."""
     own = with_columns(docs, doc_id="long", text="string", lang="string").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod(F.col("doc_id"), 4) != 2))
     ids = own.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    got = own.join(F.broadcast(ids), "doc_id").orderBy("doc_id", "lang", F.xxhash64("text")).limit(2 * max_rows).select("text", "lang").toPandas()  # at most 2 max_rows
-    return fit(got["text"].tolist(), got["lang"].tolist())
+    rows = own.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("r")).select("doc_id", "r.*")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows_of(batches):
+            own = [shares(t) for t in b.column(2).to_pylist()]
+            kind = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.astype(np.int32) for x, _ in own], kind), pa.array([c.astype(np.int32) for _, c in own], kind)], names=["doc_id", "lang", "at", "n"])
+
+    got = rows.mapInArrow(run, "doc_id long, lang string, at array<int>, n array<int>").toPandas().sort_values("doc_id")  # at most max_rows, of BUCKETS numbers each
+    return fit([(np.asarray(a, np.int64), np.asarray(n)) for a, n in zip(got["at"], got["n"])], got["lang"].tolist())
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:

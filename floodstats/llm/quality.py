@@ -5,7 +5,7 @@ documented bound, chosen by a hash of the id), flattened into arrays, and walked
 
 Nulls: a null text is empty; an empty text has the statistics 0 and gets a score like any other. Rows with a null id are
 scored and held out or not by the text ''. Labels that are null are not learned from; of several labels of a document the
-mean counts, 0.5 as 1. Without labels, or with one class, every score is the prior (0.5 without any).
+mean counts, 0.5 as 1, and of several texts with one id the least is learned from. Without labels, or with one class, every score is the prior (0.5 without any).
 """
 
 from __future__ import annotations
@@ -164,8 +164,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Trees
     """Learns from labelled documents whose crc32(doc_id) mod 5 is not 0."""
     own = with_columns(labels, doc_id="long", quality="int").where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), 5) != 0))
     own = own.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = with_columns(docs, doc_id="long", text="string").join(F.broadcast(own), "doc_id").select("y", "text")  # at most max_rows
-    got = _stats_frame(rows, "y").toPandas()
+    rows = with_columns(docs, doc_id="long", text="string").join(F.broadcast(own), "doc_id")  # at most max_rows
+    rows = rows.groupBy("doc_id").agg(F.first("y").alias("y"), F.min("text").alias("text"))
+    got = _stats_frame(rows, "doc_id", "y").toPandas().sort_values("doc_id")
     x = np.array(got["x"].tolist(), float).reshape(-1, WIDTH)
     return grow(x, got["y"].to_numpy(float))
 

@@ -72,13 +72,17 @@ def fingerprints(df: DataFrame, k: int = K, s: int = S) -> DataFrame:
     return own.select("doc_id", printed(F.col("anchors")).alias("fingerprint"), "anchors")
 
 
+def _longs(values: list[int]) -> Column:
+    """An array that is one literal of the plan, however long."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
 def _bucket(key: Column, bounds: list[int]) -> Column:
     """Index of the last bound that is at most key, looked up in two steps."""
     step = max(1, round(len(bounds) ** 0.5))
-    parts = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    firsts = F.array(*[F.lit(p[0]).cast("long") for p in parts])
-    own = F.array(*[F.array(*[F.lit(b).cast("long") for b in p]) for p in parts])
-    return let(F.greatest(F.size(F.filter(firsts, lambda b: b <= key)), F.lit(1)), lambda i: (i - 1) * step + F.size(F.filter(F.element_at(own, i), lambda b: b <= key)) - 1)
+    firsts, own = _longs(bounds[::step]), _longs(bounds)
+    part = lambda i: F.slice(own, (i - 1) * step + 1, F.lit(step))
+    return let(F.greatest(F.size(F.filter(firsts, lambda b: b <= key)), F.lit(1)), lambda i: (i - 1) * step + F.size(F.filter(part(i), lambda b: b <= key)) - 1)
 
 
 def with_next(df: DataFrame, columns: list[str], id_col: str = "doc_id", per_bucket: int = PER_BUCKET) -> DataFrame:
@@ -92,7 +96,7 @@ def with_next(df: DataFrame, columns: list[str], id_col: str = "doc_id", per_buc
     cuts = ids.agg(F.percentile_approx("key", [i / many for i in range(1, many)], 20 * many)).first()[0] if many > 1 else []
     bounds = sorted({least, *cuts})
     keyed = df.withColumn("_key", key).withColumn("_own", _bucket(F.col("_key"), bounds).cast("int"))
-    is_first = F.array_contains(F.array(*[F.lit(b).cast("long") for b in bounds]), F.col("_key")) if len(bounds) <= 64 else F.col("_key") == _at(F.col("_own"), bounds)
+    is_first = F.col("_key") == F.get(_longs(bounds), F.col("_own"))
     before = F.when(F.col("_own") > 0, F.col("_own") - 1).otherwise(F.lit(len(bounds) - 1))
     places = F.when(is_first, F.array(F.struct(F.col("_own").alias("b"), F.lit(0).alias("g")), F.struct(before.alias("b"), F.lit(1).alias("g")))).otherwise(F.array(F.struct(F.col("_own").alias("b"), F.lit(0).alias("g"))))
     dealt = keyed.select(*df.columns, "_key", F.explode(places).alias("_p")).select(*df.columns, "_key", F.col("_p.b").alias("_b"), F.col("_p.g").alias("_g"))
@@ -101,12 +105,6 @@ def with_next(df: DataFrame, columns: list[str], id_col: str = "doc_id", per_buc
     return seen.where("_g = 0").drop("_g")
 
 
-def _at(index: Column, bounds: list[int]) -> Column:
-    step = max(1, round(len(bounds) ** 0.5))
-    own = F.array(*[F.array(*[F.lit(b).cast("long") for b in bounds[i : i + step]]) for i in range(0, len(bounds), step)])
-    return F.get(F.get(own, F.floor(index / step).cast("int")), index % step)
-
-
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """The contract's columns."""
     own = with_columns(docs, doc_id="long", text="string").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
