@@ -55,8 +55,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows of an Arrow batch hold texts here, and both sides keep whole batches: 10,000 by default, 1,000 at most from now on."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= 1000:
+        spark.conf.set(key, "1000")
+
+
 def with_columns(df: DataFrame, **types: str) -> DataFrame:
     """The named columns alone, cast; one that df lacks is null. Extra columns of any name never reach the operators."""
+    small_batches(df.sparkSession)
     have = set(df.columns)
     return df.select(*[(df[f"`{c}`"].cast(t) if c in have else F.lit(None).cast(t)).alias(c) for c, t in types.items()])
 

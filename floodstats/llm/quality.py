@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from .common import crc_mod, free_prefix, rows_of, with_columns
+from .common import crc_mod, free_prefix, rows_of, small_batches, with_columns
 
 MAX_ROWS, THRESHOLD = 20_000, 0.3
 _classes: np.ndarray | None = None
@@ -173,6 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Trees
 
 def score(docs: DataFrame, model: Trees, *keep: str, out: str = "quality_score") -> DataFrame:
     """keep columns and out, the score of every row."""
+    small_batches(docs.sparkSession)
     kept = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias(f"{free_prefix(docs)}text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
