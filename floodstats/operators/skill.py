@@ -119,7 +119,8 @@ def spearman(df: DataFrame, keys: list[str], sim: str = "sim", obs: str = "obs")
 
 
 def t_statistic(r: Column, n: Column) -> Column:
-    return r * F.sqrt(F.try_divide(n - 2, 1 - r * r))
+    """Infinite for a perfect correlation, null for fewer than three pairs."""
+    return F.when(n > 2, F.when(F.abs(r) >= 1, F.signum(r) * F.lit(float("inf"))).otherwise(r * F.sqrt(F.try_divide(n - 2, 1 - r * r))))
 
 
 def spearman_test(df: DataFrame, keys: list[str], sim: str = "sim", obs: str = "obs") -> DataFrame:
