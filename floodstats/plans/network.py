@@ -88,7 +88,9 @@ def _decode(name: str, codes: dict, pits: tuple, sql_pits: str):
 
     step = " ".join(f"WHEN {c} THEN {r * 50 + d}" for c, (r, d) in codes.items())
     query(
-        f"WITH g AS (SELECT (p_partkey // 40 + 1) * 50 + p_partkey % 40 + 1 AS id, ({listed})[CAST(p_partkey * 7 % {len(listed)} AS INT) + 1] AS code FROM part) SELECT id, CASE WHEN code NOT IN {sql_pits} THEN id + CASE code {step} END END AS next_id FROM g", name=name
+        f"WITH g AS (SELECT (p_partkey // 40 + 1) * 50 + p_partkey % 40 + 1 AS id, ({listed})[CAST(p_partkey * 7 % {len(listed)} AS INT) + 1] AS code FROM part) SELECT id, CASE WHEN code NOT IN {sql_pits} THEN id + CASE code {step} END END AS next_id FROM g",
+        name=name,
+        whole=("next_id",),
     )(run)
 
 
@@ -97,7 +99,7 @@ _decode("ldd_decode", N.LDD, N.LDD_PITS, "(5)")
 _decode("d8plus_decode", N.D8, N.D8_PLUS_PITS, "(0, -1)")
 
 
-@query("SELECT (p_partkey // 40) * 40 + p_partkey % 40 AS id, CASE WHEN p_partkey % 11 <> 0 THEN (p_partkey // 40) * 40 + p_partkey % 40 - 1 END AS next_id FROM part WHERE p_partkey % 40 <> 0")
+@query("SELECT (p_partkey // 40) * 40 + p_partkey % 40 AS id, CASE WHEN p_partkey % 11 <> 0 THEN (p_partkey // 40) * 40 + p_partkey % 40 - 1 END AS next_id FROM part WHERE p_partkey % 40 <> 0", whole=("next_id",))
 def nextxy_decode(spark, sf):
     k = F.col("p_partkey")
     g = table(spark, sf, "part").where(k % 40 != 0).select(F.floor(k / 40).cast("int").alias("row"), (k % 40).cast("int").alias("col"), F.when(k % 11 != 0, k % 40).otherwise(-9).cast("int").alias("nextx"), F.when(k % 11 != 0, F.floor(k / 40) + 1).otherwise(-9).cast("int").alias("nexty"))

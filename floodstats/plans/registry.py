@@ -15,9 +15,9 @@ ORACLES: dict[str, str] = {}
 MODULES = ("series", "skill", "circular", "climate", "ensemble", "spatial", "network", "resample", "relational")
 
 
-def query(oracle: str | None = None, name: str | None = None, dates: tuple[str, ...] = (), times: tuple[str, ...] = ()):
+def query(oracle: str | None = None, name: str | None = None, dates: tuple[str, ...] = (), times: tuple[str, ...] = (), whole: tuple[str, ...] = ()):
     """Registers f(spark, sf_dir) under its name. dates and times: columns that both sides give as text, since engines'
-    clients differ in how they hand them over."""
+    clients differ in how they hand them over. whole: whole numbers that both give as -1 where null, for the same reason."""
 
     def register(f: Callable[[SparkSession, str], DataFrame]):
         key = name or f.__name__
@@ -25,11 +25,12 @@ def query(oracle: str | None = None, name: str | None = None, dates: tuple[str,
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             df = f(spark, sf_dir)
-            return df.withColumns({c: F.date_format(c, form) for c, form in shown.items()}) if shown else df
+            new = {c: F.date_format(c, form) for c, form in shown.items()} | {c: F.coalesce(c, F.lit(-1)) for c in whole}
+            return df.withColumns(new) if new else df
 
         QUERIES[key] = functools.wraps(f)(run)
         if oracle:
-            text = [f"strftime({c}, '%Y-%m-%d') AS {c}" for c in dates] + [f"strftime({c}, '%Y-%m-%d %H:%M:%S.%f') AS {c}" for c in times]
+            text = [f"strftime({c}, '%Y-%m-%d') AS {c}" for c in dates] + [f"strftime({c}, '%Y-%m-%d %H:%M:%S.%f') AS {c}" for c in times] + [f"coalesce({c}, -1) AS {c}" for c in whole]
             ORACLES[key] = f"SELECT * REPLACE ({', '.join(text)}) FROM ({oracle})" if text else oracle
         return f
 

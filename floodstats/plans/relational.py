@@ -10,7 +10,7 @@ from .data import rounded, table
 from .registry import query
 
 
-@query("SELECT coalesce(a.k, b.k) AS k, n, m FROM (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) a FULL JOIN (SELECT o_custkey AS k, max(o_totalprice) AS m FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) b ON a.k = b.k")
+@query("SELECT coalesce(a.k, b.k) AS k, n, m FROM (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) a FULL JOIN (SELECT o_custkey AS k, max(o_totalprice) AS m FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) b ON a.k = b.k", whole=("n",))
 def outer_merge(spark, sf):
     o = table(spark, sf, "orders").withColumnRenamed("o_custkey", "k")
     return R.merge([o.where("o_orderstatus = 'P'").groupBy("k").agg(F.count("*").alias("n")), o.where("o_orderstatus = 'F'").groupBy("k").agg(F.max("o_totalprice").alias("m"))], ["k"])
@@ -29,7 +29,7 @@ def exact_align(spark, sf):
     return R.align_exact(n.drop("n_regionkey"), r, ["k"])
 
 
-@query("SELECT c_custkey AS k, n FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_totalprice > 400000 GROUP BY 1) ON o_custkey = c_custkey")
+@query("SELECT c_custkey AS k, n FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_totalprice > 400000 GROUP BY 1) ON o_custkey = c_custkey", whole=("n",))
 def reindex_like(spark, sf):
     n = table(spark, sf, "orders").where("o_totalprice > 400000").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n"))
     return R.reindex(n, table(spark, sf, "customer").select(F.col("c_custkey").alias("k")), ["k"])

@@ -24,13 +24,13 @@ b AS (SELECT l.id, l.lon, l.lat, r.id AS near_id, {sphere_sql("l", "r")} AS d, r
 SELECT id, round(lon, 4) AS lon, round(lat, 4) AS lat, CASE WHEN d <= 600000 THEN near_id END AS near_id, CASE WHEN d <= 600000 THEN round(d, 1) END AS near_dist FROM b WHERE i = 1"""
 
 
-@query(near_sql("round(pow(l.lon - r.lon, 2) + pow(l.lat - r.lat, 2), 9)"))
+@query(near_sql("round(pow(l.lon - r.lon, 2) + pow(l.lat - r.lat, 2), 9)"), whole=("near_id",))
 def sjoin_nn(spark, sf):
     out = S.nearest_points(places(spark, sf, "customer", "c_custkey", 5), places(spark, sf, "supplier", "s_suppkey", 0), 600000)
     return rounded(rounded(out, 1, "near_dist"), 4, "lon", "lat")
 
 
-@query(near_sql(sphere_sql("l", "r")))
+@query(near_sql(sphere_sql("l", "r")), whole=("near_id",))
 def sjoin_nn_sphere(spark, sf):
     out = S.nearest_points(places(spark, sf, "customer", "c_custkey", 5), places(spark, sf, "supplier", "s_suppkey", 0), 600000, metric="sphere")
     return rounded(rounded(out, 1, "near_dist"), 4, "lon", "lat")
@@ -41,7 +41,7 @@ def nearest_cell_extract(spark, sf):
     return S.grid_at_points(cells(spark, sf).select("row", "col", "value"), places(spark, sf, "customer", "c_custkey", 3), -180, -75, 9, 3).select("id", "value")
 
 
-@query(f"WITH {CELLS}, p AS (SELECT * FROM {places_sql('customer', 'c_custkey', 3)}) SELECT id, value, zone FROM (SELECT id, CAST(floor((lat + 75.05e0) / 3) AS INT) AS row, CAST(floor((lon + 180.05e0) / 9) AS INT) AS col FROM p) q LEFT JOIN c ON c.row = q.row AND c.col = q.col")
+@query(f"WITH {CELLS}, p AS (SELECT * FROM {places_sql('customer', 'c_custkey', 3)}) SELECT id, value, zone FROM (SELECT id, CAST(floor((lat + 75.05e0) / 3) AS INT) AS row, CAST(floor((lon + 180.05e0) / 9) AS INT) AS col FROM p) q LEFT JOIN c ON c.row = q.row AND c.col = q.col", whole=("zone",))
 def raster_sample(spark, sf):
     return S.raster_lookup(places(spark, sf, "customer", "c_custkey", 3), cells(spark, sf).select("row", "col", "value", "zone"), -180.05, -75.05, 9, 3).select("id", "value", "zone")
 
