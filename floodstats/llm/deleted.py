@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, rows_of, stash, utf8, with_columns
 
-CHUNK_BYTES, PART_TOKENS = 8 << 20, 2_000_000
+CHUNK_BYTES, PART_TOKENS = 6 << 20, 1_000_000
 BUCKETS = 24
 #: Steps of an octave in which the weights' fit distinguishes probabilities.
 FINE = 4
