@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .ship import ship
+
 
 def beta_regularized(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     """I_x(a, b) by its continued fraction (Lentz), for all elements at once."""
@@ -50,12 +52,15 @@ def _quantile(p: pd.Series) -> pd.Series:
 # Made when called: a worker that imports this module has no session to make them with.
 def t_two_sided(t: Column | str, df: Column | str) -> Column:
     """P(|T| >= |t|) of Student's t; null where t is or there are no degrees of freedom."""
+    ship()
     return F.pandas_udf(_t, "double")(t, df)
 
 
 def normal_cdf(x: Column | str) -> Column:
+    ship()
     return F.pandas_udf(_cdf, "double")(x)
 
 
 def normal_quantile(p: Column | str) -> Column:
+    ship()
     return F.pandas_udf(_quantile, "double")(p)

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ship import ship
+
 
 @dataclass
 class Grid:
@@ -54,6 +56,7 @@ def read_grid(spark: SparkSession, path: str, grid: Grid, keep_missing: bool = F
     """(file, band, row, col, value) of flat binary files of one shape. A file is one task's; large ones should be many files."""
     size = np.dtype(grid.dtype).itemsize * grid.rows * grid.cols
 
+    ship(spark)
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for r in f.itertuples():

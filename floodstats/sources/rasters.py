@@ -13,6 +13,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.ship import ship
+
 CELLS = "file string, band int, row int, col int, lon double, lat double, value double"
 
 # TIFF's field types, tags and sample formats.
@@ -120,6 +122,7 @@ def _cells(path: str, bands: np.ndarray, place: tuple[float, float, float, float
 def read_geotiff(spark: SparkSession, path: str) -> DataFrame:
     """Cells with data of all files of a path. A file is one task's, so mosaics should be tiles."""
 
+    ship(spark)
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for r in f.itertuples():
@@ -129,6 +132,7 @@ def read_geotiff(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_pcraster(spark: SparkSession, path: str) -> DataFrame:
+    ship(spark)
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for r in f.itertuples():
@@ -173,6 +177,7 @@ def read_zarr(spark: SparkSession, path: str, variable: str, coords: dict[str, s
     squeeze, dtype, fill = (meta.get("compressor") or {}).get("id"), np.dtype(meta["dtype"]), meta.get("fill_value")
     size, scale, offset = math.prod(chunk), attributes.get("scale_factor", 1.0), attributes.get("add_offset", 0.0)
 
+    ship(spark)
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for r in f.itertuples():
@@ -255,6 +260,7 @@ def read_netcdf(spark: SparkSession, path: str, variable: str, coords: list[str]
     """(file, coords..., value) of a variable of classic netCDF files, a task for each file: the values of its coordinate
     variables in the order of its dimensions; scaled, without fill values."""
 
+    ship(spark)
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for r in f.itertuples():
