@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ship import ship
+
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -36,6 +38,7 @@ def stash(df: DataFrame) -> DataFrame:
     An executor's loss after this costs no more than reading the table again.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -51,12 +54,14 @@ def release(*frames: DataFrame) -> None:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
+    ship(df.sparkSession)
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
 def small_batches(spark: SparkSession) -> None:
     """Rows of an Arrow batch hold texts here, and both sides keep whole batches: 10,000 by default, 1,000 at most from now on."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= 1000:
         spark.conf.set(key, "1000")
