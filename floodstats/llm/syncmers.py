@@ -3,7 +3,8 @@
 Symbols are words; in texts with scripts that have no spaces, their characters; in texts under SHORT code points, all characters. A run of K symbols is an anchor if the
 smallest hash of its runs of S symbols is the first or the last. The choice depends on nothing but the run itself, so texts
 that share a passage share its anchors wherever it stands. The fingerprint is the hashes of the distinct anchors in
-order of place, eight hexadecimal digits each. Texts too short for an anchor have the hash of all symbols.
+order of place, eight hexadecimal digits each. Texts too short for an anchor have the hashes of their symbols,
+and of all of them together.
 
 The document after each is found without a global sort: ids are cut at quantiles into buckets, the first rows of
 each bucket also go to the one before, and a window over each bucket looks one row ahead.
@@ -51,7 +52,7 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
         return F.array_distinct(F.transform(F.filter(at, edge), run))
 
     none = F.expr("cast(array() as array<int>)")
-    whole = lambda h: F.when(F.size(h) == 0, none).otherwise(F.array(fold(F.xxhash64(h))))
+    whole = lambda h: F.when(F.size(h) == 0, none).otherwise(F.array_distinct(F.concat(F.transform(h, fold), F.array(fold(F.xxhash64(h))))))
     found = lambda h: F.when(F.size(h) < k, none).otherwise(let(inner(h), chosen))
     return let(F.transform(symbols(text), lambda w: F.xxhash64(w)), lambda h: let(found(h), lambda a: F.when(F.size(a) > 0, a).otherwise(whole(h))))
 
