@@ -37,3 +37,26 @@ def densify(df: DataFrame, keys: list[str], t: str, fill: dict | None = None, st
 def from_year_day(text: Column) -> Column:
     """'YYYYDDD' to a date."""
     return F.date_add(F.make_date(F.substring(text, 1, 4).cast("int"), F.lit(1), F.lit(1)), F.substring(text, 5, 3).cast("int") - 1)
+
+
+def month_of_day(doy: Column, in_year: Column) -> Column:
+    """Month of a day of the year."""
+    return F.month(F.date_add(F.make_date(in_year.cast("int"), F.lit(1), F.lit(1)), doy.cast("int") - 1)).cast("long")
+
+
+def cf_time(offset: Column, units: str, calendar: str = "standard") -> Column:
+    """A timestamp from an offset and units such as 'hours since 1980-01-01'. noleap: every year has 365 days; the origin must
+    then be a first of January."""
+    unit, _, origin = units.partition(" since ")
+    micros = {"day": 86_400_000_000, "hour": 3_600_000_000, "minute": 60_000_000, "second": 1_000_000}[unit.strip().lower().rstrip("s")]
+    start = F.lit(origin.strip()).cast("timestamp")
+    if calendar in ("standard", "gregorian", "proleptic_gregorian"):
+        return F.timestamp_micros(F.unix_micros(start) + F.round(offset * micros).cast("long"))
+    if calendar not in ("noleap", "365_day"):
+        raise ValueError(f"no such calendar: {calendar}")
+    total = F.round(offset * micros).cast("long")
+    day = F.floor(total / 86_400_000_000)
+    y, doy = F.year(start) + F.floor(day / 365), F.pmod(day, F.lit(365)).cast("int")
+    in_common = F.date_add(F.lit("2001-01-01").cast("date"), doy)  # a year without a leap day gives month and day
+    date = F.make_timestamp(y.cast("int"), F.month(in_common), F.dayofmonth(in_common), F.lit(0), F.lit(0), F.lit(0))
+    return F.timestamp_micros(F.unix_micros(date) + F.pmod(total, F.lit(86_400_000_000)))

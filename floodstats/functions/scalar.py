@@ -78,3 +78,21 @@ def cell_index(x: Column, y: Column, x0: float, y0: float, dx: float, dy: float)
 
 def cell_centre(row: Column, col: Column, x0: float, y0: float, dx: float, dy: float) -> tuple[Column, Column]:
     return F.lit(x0) + (col + 0.5) * dx, F.lit(y0) + (row + 0.5) * dy
+
+
+def utm(lon: Column, lat: Column, zone: Column) -> tuple[Column, Column]:
+    """(easting, northing) in metres on the WGS84 ellipsoid by Krüger's series; southern northings count from ten million."""
+    a, f = 6378137.0, 1 / 298.257223563
+    n = f / (2 - f)
+    radius = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    e = 2 * math.sqrt(n) / (1 + n)
+    s = F.sin(F.radians(lat))
+    t = F.sinh(F.atanh(s) - e * F.atanh(e * s))
+    d = F.radians(lon - (zone * 6 - 183))
+    xi, eta = F.atan2(t, F.cos(d)), F.atanh(F.sin(d) / F.sqrt(1 + t * t))
+    east, north = eta, xi
+    for j, c in enumerate(alpha, 1):
+        east = east + c * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+        north = north + c * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+    return 500_000 + 0.9996 * radius * east, 0.9996 * radius * north + F.when(lat < 0, 10_000_000).otherwise(0)

@@ -288,3 +288,14 @@ def read_geojson(spark: SparkSession, path: str, properties: str) -> DataFrame:
     lines = whole.where("c.features is null").select(F.explode(F.split("value", "\n")).alias("v")).where("trim(v) <> ''").select(F.from_json("v", feature).alias("f"))
     every = whole.where("c.features is not null").select(F.explode("c.features").alias("f")).unionByName(lines)
     return every.where("f.geometry.type = 'Point'").select("f.properties.*", F.get("f.geometry.coordinates", F.lit(0)).alias("lon"), F.get("f.geometry.coordinates", F.lit(1)).alias("lat"))
+
+
+def control_to_geotiff(control: str, out: str) -> None:
+    """A GrADS descriptor's binary file, on a local disk, as a GeoTIFF."""
+    from pathlib import Path
+
+    from .grids import read_control
+
+    g = read_control(control)
+    v = np.frombuffer(Path(g.file).read_bytes(), g.dtype, g.bands * g.rows * g.cols).reshape(g.bands, g.rows, g.cols)
+    Path(out).write_bytes(encode_geotiff((v[:, ::-1] if g.flipped else v).astype(v.dtype.newbyteorder("=")), g.west, g.north, g.dx, g.dy, g.missing))
