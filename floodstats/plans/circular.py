@@ -90,14 +90,14 @@ def flood_day(spark, sf):
     return C.flood_days(daily(spark, sf), KEY, min_dist=30)
 
 
-@query(f"WITH {DAILY}, {FD}, {TIMING} SELECT k, round(CASE WHEN dm < 1 THEN 365 ELSE dm END, 4) AS doy_mean, round(1 - len, 6) AS doy_var, round({RAYLEIGH}, 6) AS doy_uniform_p FROM fs")
+@query(f"WITH {DAILY}, {FD}, {TIMING} SELECT k, round(CASE WHEN dm < 1 THEN 365 ELSE dm END, 6) AS doy_mean, round(1 - len, 6) AS doy_var, round({RAYLEIGH}, 6) AS doy_uniform_p FROM fs")
 def mean_flood_day(spark, sf):
-    return rounded(rounded(C.mean_flood_day(C.flood_days(daily(spark, sf), KEY, min_dist=30), KEY)), 4, "doy_mean")
+    return rounded(C.mean_flood_day(C.flood_days(daily(spark, sf), KEY, min_dist=30), KEY))
 
 
-@query(f"WITH {DAILY}, {FD}, {TIMING} SELECT k, year, annual_max, doy, round(CASE WHEN dm < 1 THEN 365 ELSE dm END, 4) AS doy_mean, round(1 - len, 6) AS doy_var, round({RAYLEIGH}, 6) AS doy_uniform_p FROM fs JOIN fd USING (k)")
+@query(f"WITH {DAILY}, {FD}, {TIMING} SELECT k, year, annual_max, doy, round(CASE WHEN dm < 1 THEN 365 ELSE dm END, 6) AS doy_mean, round(1 - len, 6) AS doy_var, round({RAYLEIGH}, 6) AS doy_uniform_p FROM fs JOIN fd USING (k)")
 def mean_flood_day_stats(spark, sf):
-    return rounded(rounded(C.flood_day_stats(daily(spark, sf), KEY, min_dist=30)), 4, "doy_mean")
+    return rounded(C.flood_day_stats(daily(spark, sf), KEY, min_dist=30))
 
 
 BOTH = f"""{flood_sql("p", "sim", 30, "fs")}, {flood_sql("p", "obs", 30, "fo")},
@@ -113,10 +113,10 @@ def _both(spark, sf):
     return side("sim", "ts").join(side("obs", "tn"), ["k", "year"], "full")
 
 
-@query(f"WITH {PAIRS}, {BOTH} SELECT k, round({DIFF}, 4) AS diff FROM bm")
+@query(f"WITH {PAIRS}, {BOTH} SELECT k, round({DIFF}, 6) AS diff FROM bm")
 def mean_flood_day_diff(spark, sf):
     d = C.angle_diff(C.mean(F.col("tn")), C.mean(F.col("ts"))) * 365 / (2 * C.PI)
-    return rounded(_both(spark, sf).groupBy("k").agg(d.alias("diff")), 4)
+    return rounded(_both(spark, sf).groupBy("k").agg(d.alias("diff")))
 
 
 @query(f"WITH {PAIRS}, {BOTH}, {CORR} SELECT k, round(r, 6) AS r FROM cr")
@@ -127,7 +127,7 @@ def corr_flood_day(spark, sf):
 @query(
     f"""WITH {PAIRS}, {BOTH}, {CORR}, rr AS (SELECT k, rank() OVER (PARTITION BY k ORDER BY s) + (count(*) OVER (PARTITION BY k, s) - 1) / 2e0 AS a, rank() OVER (PARTITION BY k ORDER BY o) + (count(*) OVER (PARTITION BY k, o) - 1) / 2e0 AS b FROM bo WHERE s IS NOT NULL AND o IS NOT NULL),
 rc AS (SELECT k, corr(a, b) AS am_rank_corr FROM rr GROUP BY 1), z AS (SELECT *, (so * so + co * co) * n AS z FROM bm)
-SELECT z.k, round(bias, 6) AS am_bias, round({DIFF}, 4) AS am_doy_diff, round({RAYLEIGH}, 6) AS doy_uniform_p, round(1 - sqrt(so * so + co * co), 6) AS doy_var, round(am_rank_corr, 6) AS am_rank_corr, round(cr.r, 6) AS am_doy_corr FROM z JOIN rc USING (k) JOIN cr USING (k)"""
+SELECT z.k, round(bias, 6) AS am_bias, round({DIFF}, 6) AS am_doy_diff, round({RAYLEIGH}, 6) AS doy_uniform_p, round(1 - sqrt(so * so + co * co), 6) AS doy_var, round(am_rank_corr, 6) AS am_rank_corr, round(cr.r, 6) AS am_doy_corr FROM z JOIN rc USING (k) JOIN cr USING (k)"""
 )
 def skill_annual_max_bundle(spark, sf):
-    return rounded(rounded(K.annual_max_metrics(pairs(spark, sf), KEY)), 4, "am_doy_diff")
+    return rounded(K.annual_max_metrics(pairs(spark, sf), KEY))

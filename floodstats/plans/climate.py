@@ -38,9 +38,9 @@ def seasonal_mean(spark, sf):
     return rounded(C.seasonal(daily(spark, sf), KEY), 4)
 
 
-@query(f"WITH {DAILY}, c AS (SELECT k, month(t) AS m, avg(x) AS clim FROM d GROUP BY 1, 2) SELECT d.k, t, x, round(clim, 3) AS clim, round(x - clim, 3) AS anomaly FROM d JOIN c ON c.k = d.k AND c.m = month(d.t)", dates=("t",))
+@query(f"WITH {DAILY}, c AS (SELECT k, month(t) AS m, avg(x) AS clim FROM d GROUP BY 1, 2) SELECT d.k, t, x, round(clim, 5) AS clim, round(x - clim, 5) AS anomaly FROM d JOIN c ON c.k = d.k AND c.m = month(d.t)", dates=("t",))
 def anomaly_decompose(spark, sf):
-    return rounded(C.anomalies(daily(spark, sf), KEY), 3, "clim", "anomaly")
+    return rounded(C.anomalies(daily(spark, sf), KEY), 5, "clim", "anomaly")
 
 
 ANCHORS = "mc AS (SELECT k, month(t) AS m, avg(x) AS x FROM d GROUP BY 1, 2), an AS (SELECT k, make_date(1999, CAST(m AS INT), 15) + INTERVAL 0 HOUR AS t, x FROM mc)"
