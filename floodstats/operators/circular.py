@@ -37,9 +37,8 @@ def variance(a: Column) -> Column:
 def rayleigh(a: Column) -> Column:
     """p of uniformity; the second-order term only for fewer than 50 angles."""
     n, r = F.count(a).cast("double"), length(a)
-    z = n * r * r
-    more = 1 + (2 * z - z * z) / (4 * n) - (24 * z - 132 * z * z + 76 * z * z * z - 9 * z * z * z * z) / (288 * n * n)
-    return F.when(n > 0, F.exp(-z) * F.when(n < 50, more).otherwise(1.0))
+    terms = lambda v: F.exp(-v["z"]) * F.when(v["n"] < 50, 1 + v["z"] * (2 - v["z"]) / (4 * v["n"]) - v["z"] * (24 - v["z"] * (132 - v["z"] * (76 - 9 * v["z"]))) / (288 * v["n"] * v["n"])).otherwise(1.0)
+    return F.when(n > 0, F.transform(F.array(F.struct(n.alias("n"), (n * r * r).alias("z"))), terms)[0])
 
 
 def correlation(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
@@ -81,8 +80,10 @@ def flood_days(df: DataFrame, keys: list[str], t: str = "t", x: str = "x", min_d
 
 def mean_flood_day(days: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, doy_mean, doy_var, doy_uniform_p) of flood_days()."""
-    a = doy_to_angle(F.col("doy"), F.col("year"))
-    return days.groupBy(*keys).agg(angle_to_doy(mean(a)).alias("doy_mean"), variance(a).alias("doy_var"), rayleigh(a).alias("doy_uniform_p"))
+    a = F.col("_angle")
+    angles = days.select(*keys, doy_to_angle(F.col("doy"), F.col("year")).alias("_angle"))
+    m = angles.groupBy(*keys).agg(mean(a).alias("_mean"), variance(a).alias("doy_var"), rayleigh(a).alias("doy_uniform_p"))
+    return m.select(*keys, angle_to_doy(F.col("_mean")).alias("doy_mean"), "doy_var", "doy_uniform_p")
 
 
 def flood_day_stats(df: DataFrame, keys: list[str], t: str = "t", x: str = "x", min_dist: int = 1) -> DataFrame:

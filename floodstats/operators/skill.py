@@ -170,14 +170,31 @@ def metrics(df: DataFrame, keys: list[str], lags: list[int], t: str = "t", sim:
 
 
 def annual_max_metrics(df: DataFrame, keys: list[str], t: str = "t", sim: str = "sim", obs: str = "obs", min_dist: int = 30) -> DataFrame:
-    """Scores of annual maxima and their days: am_bias, am_rank_corr, am_doy_diff, am_doy_corr, doy_uniform_p, doy_var."""
+    """Scores of annual maxima and their days: am_bias, am_rank_corr, am_doy_diff, am_doy_corr, doy_uniform_p, doy_var.
+
+    Both series go through the peaks as one table of twice the rows; all else is windows and one aggregate over its years.
+    """
     from . import circular as C
-    from .series import annual_max_mask  # noqa: F401
-
-    side = lambda c, n: C.flood_days(df.select(*keys, t, F.col(c).alias("x")), keys, t, min_dist=min_dist).select(*keys, "year", F.col("annual_max").alias(f"am_{n}"), C.doy_to_angle(F.col("doy"), F.col("year")).alias(f"a_{n}"))
-    both = side(sim, "s").join(side(obs, "o"), [*keys, "year"], "full")
-    s, o = F.col("a_s"), F.col("a_o")
-    diff = C.angle_diff(C.mean(o), C.mean(s)) * 365 / (2 * C.PI)
-    scores = both.groupBy(*keys).agg(percent_bias(F.col("am_s"), F.col("am_o")).alias("am_bias"), diff.alias("am_doy_diff"), C.rayleigh(o).alias("doy_uniform_p"), C.variance(o).alias("doy_var"))
-    ranks = spearman(both.where("am_s is not null and am_o is not null"), keys, "am_s", "am_o").select(*keys, F.col("r").alias("am_rank_corr"))
-    return scores.join(ranks, keys, "left").join(C.correlation(both, keys, "a_o", "a_s").withColumnRenamed("r", "am_doy_corr"), keys, "left")
+
+    side = F.array(*[F.struct(F.lit(n).alias("_side"), F.col(c).alias("x")) for n, c in (("s", sim), ("o", obs))])
+    days = C.flood_days(df.select(*keys, t, F.inline(side)), [*keys, "_side"], t, min_dist=min_dist)
+    angle = C.doy_to_angle(F.col("doy"), F.col("year"))
+    days = days.select(*keys, "_side", "year", F.col("annual_max").alias("_m"), angle.alias("_a"))
+    pick = lambda n, c: F.max(F.when(F.col("_side") == n, F.col(c))).alias(f"{c}{n}")
+    both = days.groupBy(*keys, "year").agg(pick("s", "_m"), pick("o", "_m"), pick("s", "_a"), pick("o", "_a")).withColumn("_ok", F.col("_ms").isNotNull() & F.col("_mo").isNotNull())
+    w, ok = Window.partitionBy(*keys, "_ok"), F.col("_ok")
+    off = lambda c: F.sin(F.col(c) - F.atan2(F.sum(F.sin(c)).over(w), F.sum(F.cos(c)).over(w)))
+    both = both.withColumns({"_ds": off("_as"), "_do": off("_ao")})
+    for c, out in (("_ms", "_rs"), ("_mo", "_ro")):
+        both = rank(both, [*keys, "_ok"], c, out=out)
+    s, o = F.col("_as"), F.col("_ao")
+    got = both.groupBy(*keys).agg(
+        percent_bias(F.col("_ms"), F.col("_mo")).alias("am_bias"),
+        C.mean(s).alias("_mean_s"),
+        C.mean(o).alias("_mean_o"),
+        C.rayleigh(o).alias("doy_uniform_p"),
+        C.variance(o).alias("doy_var"),
+        F.corr(F.when(ok, F.col("_rs")), F.when(ok, F.col("_ro"))).alias("am_rank_corr"),
+        F.try_divide(F.sum(F.when(ok, F.col("_ds") * F.col("_do"))), F.sqrt(F.sum(F.when(ok, F.col("_ds") * F.col("_ds"))) * F.sum(F.when(ok, F.col("_do") * F.col("_do"))))).alias("am_doy_corr"),
+    )
+    return got.withColumn("am_doy_diff", C.angle_diff(F.col("_mean_o"), F.col("_mean_s")) * 365 / (2 * C.PI)).drop("_mean_s", "_mean_o")
