@@ -35,7 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
 def stash(df: DataFrame) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back, which cuts the lineage.
 
-    An executor's loss after this costs no more than reading the table again.
+    An executor's loss after this costs no more than reading the table again. What is returned may be read at any later time, so
+    the table stays; it lies in the application's own folder there, to be deleted when the application has ended.
     """
     spark = df.sparkSession
     ship(spark)
@@ -44,15 +45,6 @@ def stash(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(*frames: DataFrame) -> None:
-    """Deletes tables that stash() wrote, once nothing lazy reads them any more."""
-    for df in frames:
-        for name in df.inputFiles()[:1]:
-            jvm = df.sparkSession.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(name).getParent()
-            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     ship(df.sparkSession)
     shared_dir(df.sparkSession)
