@@ -62,16 +62,17 @@ def mux(payload: bytes) -> bytes:
     for k, at in enumerate(range(0, len(payload), UNIT)):
         data, t = payload[at : at + UNIT], k * TICKS % 2**33
         pes = np.frombuffer(b"\0\0\1" + bytes([STREAM_ID]) + (len(data) + 8).to_bytes(2, "big") + b"\x80\x80\5" + _pts(t) + data, np.uint8)
-        rest = len(pes) - 176
-        n = 1 + -(-max(0, rest) // 184)
+        rest = max(0, len(pes) - 176)
+        stuffing = max(0, 176 - len(pes))
+        n = 1 + -(-rest // 184)
         p = np.full((n, PACKET), 255, np.uint8)
         p[:, 0], p[:, 1], p[:, 2] = 0x47, ES_PID >> 8, ES_PID & 255
         p[:, 3] = 0x10 | (counter + np.arange(n)) & 15
         counter += n
         p[0, 1] |= 0x40
         p[0, 3] |= 0x20
-        p[0, 4:12] = np.frombuffer(b"\7\x50" + _pcr(t), np.uint8)
-        p[0, 12:] = pes[:176]
+        p[0, 4:12] = np.frombuffer(bytes([7 + stuffing, 0x50]) + _pcr(t), np.uint8)
+        p[0, 12 + stuffing :] = pes[:176]
         whole, tail = divmod(rest, 184)
         p[1 : 1 + whole, 4:] = pes[176 : 176 + 184 * whole].reshape(-1, 184)
         if tail:
