@@ -78,15 +78,16 @@ class LanguageModel:
 
 
 def shares(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of a text's subwords and how often each occurs."""
-    return np.unique(subwords(text), return_counts=True)
+    """Distinct buckets of a text's subwords and the share of each, in two and four bytes."""
+    at, n = np.unique(subwords(text), return_counts=True)
+    return at.astype("<u2"), (n / max(1, n.sum())).astype("<f4")
 
 
 def fit(examples: list[tuple[np.ndarray, np.ndarray]], langs: list[str], epochs: int = 4, least_steps: int = 8000, rate: float = 0.5, seed: int = 1) -> LanguageModel:
     """examples: shares() of each text."""
     names = sorted(set(langs))
     rng = np.random.default_rng(seed)
-    data = [(at, c / c.sum(), names.index(y)) for (at, c), y in zip(examples, langs) if len(at)]
+    data = [(at, share, names.index(y)) for (at, share), y in zip(examples, langs) if len(at)]
     emb, w, b = rng.normal(0, 0.1, (BUCKETS, DIM)), np.zeros((DIM, len(names))), np.zeros(len(names))
     learn = [d for i, d in enumerate(data) if i % 10] or data
     epochs = max(epochs, -(-least_steps // max(1, len(learn))))
@@ -135,11 +136,11 @@ def train(docs: DataFrame, max_rows: int = MAX_ROWS) -> LanguageModel:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows_of(batches):
             own = [shares(t) for t in b.column(2).to_pylist()]
-            kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.astype(np.int32) for x, _ in own], kind), pa.array([c.astype(np.int32) for _, c in own], kind)], names=["doc_id", "lang", "at", "n"])
+            packed = [pa.array([x[i].tobytes() for x in own], pa.binary()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *packed], names=["doc_id", "lang", "at", "share"])
 
-    got = rows.mapInArrow(run, "doc_id long, lang string, at array<int>, n array<int>").toPandas().sort_values("doc_id")  # at most max_rows, of BUCKETS numbers each
-    return fit([(np.asarray(a, np.int64), np.asarray(n)) for a, n in zip(got["at"], got["n"])], got["lang"].tolist())
+    got = rows.mapInArrow(run, "doc_id long, lang string, at binary, share binary").toPandas().sort_values("doc_id")  # at most max_rows, of BUCKETS numbers each
+    return fit([(np.frombuffer(a, "<u2"), np.frombuffer(s, "<f4")) for a, s in zip(got["at"], got["share"])], got["lang"].tolist())
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
