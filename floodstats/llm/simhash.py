@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, checkpointed, components, free_prefix, rows_of, stash, utf8, with_columns
+from .shingles import LEAST, jaccard_components
 
 CELL = 16384
 #: Candidates that a fingerprint may be expected to meet under one key by chance; more blocks are used beyond.
@@ -184,15 +185,13 @@ def simhash_components(df: DataFrame) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def dedup_near(df: DataFrame, bits: int = 49) -> DataFrame:
+def dedup_near(df: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
     """Keeps of each group of near copies the row with the smallest id (of repeated rows of that id, all).
 
-    Fingerprints of eight words over the sets of words; `bits` of 512 correspond to 0.8 of shared five-word shingles. Pairs are
-    candidates if one of the eight differs in at most 3 bits, which 97 of 100 pairs at 0.8 do, and more of closer ones.
-    Rows with a null id are kept.
+    Near copies share `least` (a fraction, 4/5) or more of the distinct five-word shingles of both; groups are what such links
+    connect, and all links are found and verified (see `shingles`). Rows with a null id are kept.
     """
-    found = near_components(stash(fingerprints(df, "words")), width=8, word_bits=3, bits=bits)
+    found = jaccard_components(df, least)
     other = f"{free_prefix(df)}id"
     drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias(other)).distinct()
     return df.join(drop, F.col("doc_id") == F.col(other), "left_anti")
-
