@@ -1,5 +1,6 @@
 import numpy as np
-from floodstats.llm import shingles
+import pytest
+from floodstats.llm import shingles, simhash
 
 WORDS = np.array([f"w{i}" for i in range(5000)])
 
@@ -50,3 +51,29 @@ def test_links_against_brute_force(spark, texts):
         rows += [" ".join([*hot[:i % 60], f"c{i}", *hot[i % 60 + 1 :]]), " ".join(hot + say(30))]
     rows = dict(enumerate([*rows, "", " ", "A b c", "a B c"]))
     assert got(spark, rows) == brute(rows)
+
+
+def linked(spark, edit, n, trials=20):
+    r = np.random.default_rng(n)
+    rows = {}
+    for i in range(trials):
+        base = r.choice(WORDS, n).tolist()
+        rows |= {2 * i: " ".join(base), 2 * i + 1: " ".join(edit(base, r))}
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    return trials * 2 - simhash.dedup_near(df).count()
+
+
+SHAPES = {
+    "appended": (100, lambda w, r: w + r.choice(WORDS, 20).tolist()),
+    "appended to a long text": (1000, lambda w, r: w + r.choice(WORDS, 200).tolist()),
+    "appended to a short text": (20, lambda w, r: [*w, "one", "two", "three", "four"]),
+    "inserted": (200, lambda w, r: w[:90] + r.choice(WORDS, 30).tolist() + w[90:]),
+    "put before": (300, lambda w, r: r.choice(WORDS, 45).tolist() + w),
+    "truncated": (300, lambda w, r: w[:250]),
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_contiguous_edits_are_found(spark, shape):
+    n, edit = SHAPES[shape]
+    assert linked(spark, edit, n) == 20
