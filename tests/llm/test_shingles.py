@@ -77,3 +77,11 @@ SHAPES = {
 def test_contiguous_edits_are_found(spark, shape):
     n, edit = SHAPES[shape]
     assert linked(spark, edit, n) == 20
+
+
+def test_equal_words_in_another_order_are_not_copies(spark):
+    r = np.random.default_rng(8)
+    base = r.choice(WORDS, 300)
+    rows = [" ".join(base), " ".join(r.permutation(base)), *(" ".join(r.choice(WORDS[:200], 2000)) for _ in range(10))]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert simhash.dedup_near(df).count() == len(rows)
