@@ -1,9 +1,12 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Documents fall into cells of source, language and topic. The cells' token masses are raked until their sums by source, by
-language and by topic meet the targets; the raked mass by the cell's tokens is the weight of its tokens. Probabilities are
-the weights, scaled so that the expected tokens of the sample are the wanted share, and 1 at most; each document is
-drawn by a hash of its id, so a repeated run draws the same.
+language and by topic meet the targets; the raked mass by the cell's tokens is the weight of its tokens. The wanted share
+times the weight is a document's expected number of copies: its whole part is taken, and one more by a hash of the id, so a
+repeated run draws the same. The sums of this sample meet the targets, also where a name needs more tokens than it has.
+
+Besides, `probability` and `sampled` give a sample that repeats nothing: the weights scaled to the same tokens and 1 at most. Where
+that clips, its sums fall short of the targets, as no sample without repetition has them at that size.
 
 Only the table of cells is iterated on. Up to MAX_CELLS cells that is done in numpy and the weights are broadcast (their
 number is checked); beyond, the same steps are DataFrame aggregates and joins, and the weights are joined.
@@ -14,6 +17,8 @@ probability 1 where all of their cell is empty. Null ids are drawn as one id; re
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +27,7 @@ from .common import checkpointed, free_prefix, stash, with_columns
 
 DIMS = ("source", "lang", "topic")
 MAX_CELLS, ROUNDS = 100_000, 40
+Targets = dict[str, dict[str, float]] | None
 #: First rule that holds names the topic.
 TOPICS = (("legal", "(?i)licen[sc]e|all rights reserved|copyright"), ("contact", "[A-Za-z0-9._]+@[A-Za-z0-9.-]+"), ("tabular", r" \| "))
 
@@ -61,13 +67,20 @@ def _scale(mass: np.ndarray, ratio: np.ndarray, want: float) -> float:
     return high
 
 
-def weights(cells: DataFrame, keep: float, power: float, max_cells: int = MAX_CELLS, rounds: int = ROUNDS) -> tuple[DataFrame, bool]:
-    """cells (source, lang, topic, tokens) -> (source, lang, topic, weight, probability), and whether they are few.
+def _shares(targets: Targets, d: str) -> dict[str, float] | None:
+    """The shares given for d; a name without one gets none."""
+    if (own := (targets or {}).get(d)) is not None and min(own.values(), default=0) < 0:
+        raise ValueError(f"negative share of {d}")
+    return own
+
 
-    Targets: each dimension's shares to `power`, under 1 to flatten what dominates.
+def weights(cells: DataFrame, keep: float, power: float, max_cells: int = MAX_CELLS, rounds: int = ROUNDS, targets: Targets = None) -> tuple[DataFrame, bool]:
+    """cells (source, lang, topic, tokens) -> (source, lang, topic, weight, probability, expected), and whether they are few.
+
+    Targets: for each dimension shares by name, or where it has none its own shares to `power`, under 1 to flatten what dominates.
     """
-    spark = cells.sparkSession
-    schema = "source string, lang string, topic string, weight double, probability double"
+    spark, given = cells.sparkSession, targets
+    schema = "source string, lang string, topic string, weight double, probability double, expected double"
     if (n := cells.count()) <= max_cells:
         got = cells.toPandas().sort_values(list(DIMS)) if n else None
         if got is None:
@@ -75,19 +88,29 @@ def weights(cells: DataFrame, keep: float, power: float, max_cells: int = MAX_CE
         mass = got["tokens"].to_numpy(float)
         keys, targets = [], []
         for d in DIMS:
-            k = np.unique(got[d].to_numpy(object), return_inverse=True)[1]
-            t = np.bincount(k, mass) ** power
+            names, k = np.unique(got[d].to_numpy(object), return_inverse=True)
+            t, own = np.bincount(k, mass) ** power, _shares(given, d)
+            if own is not None:
+                t = np.where(np.bincount(k, mass) > 0, [float(own.get(x, 0)) for x in names], 0.0)
+                if mass.any() and not t.any():
+                    raise ValueError(f"no {d} with a share has tokens")
             keys.append(k)
             targets.append(t / max(t.sum(), 1e-300) * mass.sum())
         ratio = np.divide(rake(mass, keys, targets, rounds), mass, out=np.ones_like(mass), where=mass > 0)
         s = _scale(mass, ratio, keep * mass.sum())
         got["weight"], got["probability"] = ratio, np.where(mass > 0, np.minimum(1, s * ratio), 1.0)
-        return spark.createDataFrame(got[[*DIMS, "weight", "probability"]], schema), True
+        got["expected"] = np.where(mass > 0, keep * ratio, 1.0)
+        return spark.createDataFrame(got[[*DIMS, "weight", "probability", "expected"]], schema), True
     total = cells.agg(F.sum("tokens")).first()[0]
     w = cells.withColumn("w", F.col("tokens").cast("double"))
     aims = {}
     for d in DIMS:
-        t = cells.groupBy(d).agg(F.pow(F.sum("tokens").cast("double"), power).alias("t"))
+        t, own = F.pow(F.sum("tokens").cast("double"), power), _shares(given, d)
+        if own is not None:
+            t = F.when(F.sum("tokens") > 0, F.coalesce(F.element_at(F.from_json(F.lit(json.dumps(own)), "map<string,double>"), F.col(d)), F.lit(0.0))).otherwise(0.0)
+        t = cells.groupBy(d).agg(t.alias("t"))
+        if own is not None and total and not t.agg(F.sum("t")).first()[0]:
+            raise ValueError(f"no {d} with a share has tokens")
         aims[d] = checkpointed(t.select(d, (F.col("t") * total / t.agg(F.sum("t")).first()[0]).alias("t")))
     for _ in range(rounds):
         for d in DIMS:
@@ -102,27 +125,35 @@ def weights(cells: DataFrame, keep: float, power: float, max_cells: int = MAX_CE
         i = min(64, max(1, int(np.searchsorted(np.array(sums, float), keep * total))))
         low, high = grid[i - 1], grid[i]
     p = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.lit(float(high)) * F.col("weight"))).otherwise(1.0)
-    return w.select(*DIMS, "weight", p.alias("probability")), False
+    expected = F.when(F.col("tokens") > 0, F.lit(float(keep)) * F.col("weight")).otherwise(1.0)
+    return w.select(*DIMS, "weight", p.alias("probability"), expected.alias("expected")), False
+
+
+def _copies(expected: Column, u: Column) -> Column:
+    return (F.floor(expected) + (u < expected - F.floor(expected)).cast("long")).cast("long")
 
 
-def drawn(docs: DataFrame, keep: float = 0.5, power: float = 0.5, seed: int = 7, max_cells: int = MAX_CELLS) -> DataFrame:
-    """(doc_id, source, lang, topic, n_tokens, weight, probability, sampled) of every row."""
+def drawn(docs: DataFrame, keep: float = 0.5, power: float = 0.5, seed: int = 7, max_cells: int = MAX_CELLS, targets: Targets = None) -> DataFrame:
+    """(doc_id, source, lang, topic, n_tokens, weight, probability, sampled, expected, copies) of every row."""
     own = stash(measured(docs))
     cells = own.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens"))
-    w, few = weights(checkpointed(cells), keep, power, max_cells)
+    w, few = weights(checkpointed(cells), keep, power, max_cells, targets=targets)
     out = own.join(F.broadcast(w) if few else w, list(DIMS))
     u = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    return out.select("doc_id", *DIMS, "n_tokens", "weight", "probability", (u < F.col("probability")).alias("sampled"))
+    return out.select("doc_id", *DIMS, "n_tokens", "weight", "probability", (u < F.col("probability")).alias("sampled"), "expected", _copies(F.col("expected"), u).alias("copies"))
 
 
-def mix(docs: DataFrame, keep: float = 0.9, power: float = 0.9, seed: int = 7) -> DataFrame:
-    """The drawn rows of docs, with its columns; documents are not joined with themselves but meet their cell's weight alone."""
+def mix(docs: DataFrame, keep: float = 0.9, power: float = 0.9, seed: int = 7, repeats: bool = False, targets: Targets = None) -> DataFrame:
+    """The drawn rows of docs, with its columns; with `repeats` as often as they have copies. Documents are not joined with themselves but meet their cell's weight alone."""
     p, text, columns = free_prefix(docs), F.coalesce(F.col("text").cast("string"), F.lit("")), [F.col(f"`{c}`") for c in docs.columns]
-    w, few = weights(checkpointed(measured(docs).groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens"))), keep, power)
-    w = w.select(*[F.col(d).alias(f"{p}{d}") for d in DIMS], F.col("probability").alias(f"{p}p"))
+    w, few = weights(checkpointed(measured(docs).groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens"))), keep, power, targets=targets)
+    w = w.select(*[F.col(d).alias(f"{p}{d}") for d in DIMS], F.col("expected" if repeats else "probability").alias(f"{p}p"))
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("")
     own = {f"{p}s": name("source"), f"{p}l": name("lang"), f"{p}t": topic(text)}
     on = [F.col(a) == F.col(f"{p}{d}") for a, d in zip(own, DIMS)]
     out = docs.withColumns(own).join(F.broadcast(w) if few else w, on)
     u = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    if repeats:
+        each = F.explode(F.expr(f"array_repeat(0, cast(`{p}n` as int))")).alias(f"{p}k")
+        return out.withColumn(f"{p}n", _copies(F.col(f"{p}p"), u)).select(*columns, each).drop(f"{p}k")
     return out.where(u < F.col(f"{p}p")).select(*columns)
