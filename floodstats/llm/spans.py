@@ -1,6 +1,7 @@
 """Substring deduplication by sliding sentence spans.
 
-Sentences end at a stop followed by white space, or at a line's end; longer ones are cut every CUT words. The shortest run of at
+Sentences end at a stop followed by white space, at a stop of scripts without spaces, or at a line's end. Those over CUT words are cut
+at places that their content sets (`_cuts`). In scripts without spaces each code point counts as a word. The shortest run of at
 least RUN sentences and WORDS words from each sentence on, and that up to each, is hashed, lower-cased and with single spaces. A run
 that any earlier place holds too (in a document of a smaller id, or earlier in its own) is a repetition, and the sentences
 it covers are removed. A document sends each different hash once, as 16 bytes; the count and the smallest id of a hash are
@@ -25,9 +26,28 @@ from pyspark.sql import functions as F
 
 from .common import rows_of, stash, with_columns
 
-RUN, WORDS, CUT = 3, 25, 12
-_BREAK = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
-_WORD = re.compile(r"\S+")
+RUN, WORDS, CUT, REACH = 3, 25, 12, 4
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_BREAK = re.compile(r"(?<=[.!?\u061f\u06d4\u0964\u0965\u0589\u1362])\s+|(?<=[\u3002\uff01\uff1f\uff0e\uff61\u104b\u17d4])\s*|\s*\n\s*")
+_WORD = re.compile(f"[{_UNSPACED}]|[^\\s{_UNSPACED}]+")
+
+
+def _cuts(words: list[str]) -> list[int]:
+    """Places to cut at: where the hash of a word and the next is the least within REACH words (the first of equal ones). They
+    depend on nothing farther away, so a passage has the same ones wherever it stands. What repeats itself has none; there
+    more than 3 CUT words are cut every CUT."""
+    h = [xxhash.xxh64_intdigest(f"{a} {b}".lower().encode("utf-8", "surrogatepass"), 17) >> 1 for a, b in zip(words, [*words[1:], ""])]
+    v = np.array(h, np.int64)
+    far = np.full(REACH, np.iinfo(np.int64).max)
+    before = np.lib.stride_tricks.sliding_window_view(np.r_[far, v[:-1]], REACH).min(1)
+    after = np.lib.stride_tricks.sliding_window_view(np.r_[v[1:], far], REACH).min(1)
+    out = [0]
+    for c in [*np.flatnonzero((v < before) & (v <= after)).tolist(), len(words)]:
+        if c - out[-1] > 3 * CUT:
+            out += range(out[-1] + CUT, c, CUT)
+        if 0 < c < len(words) and c != out[-1]:
+            out.append(c)
+    return out
 
 
 def sentences(text: str, cut: int = CUT) -> list[tuple[int, list[str]]]:
@@ -35,9 +55,10 @@ def sentences(text: str, cut: int = CUT) -> list[tuple[int, list[str]]]:
     out, at = [], 0
     for m in [*_BREAK.finditer(text), None]:
         piece = text[at : m.start() if m else len(text)]
-        words = piece.split()
+        words = _WORD.findall(piece)
         if len(words) > cut:
-            out += [(at + w.start(), words[i : i + cut]) for i, w in enumerate(_WORD.finditer(piece)) if i % cut == 0 for i in (i,)]
+            places, starts = _cuts(words), [w.start() for w in _WORD.finditer(piece)]
+            out += [(at + starts[i], words[i:j]) for i, j in zip(places, [*places[1:], len(words)])]
         elif words:
             out.append((at, words))
         at = m.end() if m else at
