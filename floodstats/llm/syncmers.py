@@ -1,10 +1,10 @@
 """Document fingerprints by closed syncmers, by DataFrame functions alone.
 
-Symbols are words; in texts with scripts that have no spaces, their characters; in texts under SHORT code points, all characters. A run of K symbols is an anchor if the
+Symbols are words, and each character of scripts that have no spaces, in texts of any length (white space alone: its characters). A run of K symbols is an anchor if the
 smallest hash of its runs of S symbols is the first or the last. The choice depends on nothing but the run itself, so texts
 that share a passage share its anchors wherever it stands. The fingerprint is the hashes of the distinct anchors in
-order of place, eight hexadecimal digits each. Texts too short for an anchor have the hashes of their symbols,
-and of all of them together.
+order of place, eight hexadecimal digits each. Texts of under FEW symbols also have the hashes of their symbols, and of all
+of them together: from 9 symbols on a text has an anchor, so near texts on either side of FEW share anchors.
 
 The document after each is found without a global sort: ids are cut at quantiles into buckets, the first rows of
 each bucket also go to the one before, and a window over each bucket looks one row ahead.
@@ -22,8 +22,8 @@ from .common import with_columns
 from .secrets import let
 
 K, S = 6, 2
-#: A text of few words would have hardly an anchor. The choice depends on the length alone, which most edits keep.
-SHORT = 256
+#: Symbols under which a text has hardly an anchor.
+FEW = 16
 UNSPACED = r"฀-໿က-႟ក-៿⺀-鿿豈-﫿\x{20000}-\x{3FFFF}"
 #: Rows of a bucket, and the most buckets; their bounds are in the plan.
 PER_BUCKET, MOST_BUCKETS = 2000, 65536
@@ -31,7 +31,8 @@ PER_BUCKET, MOST_BUCKETS = 2000, 65536
 
 def symbols(text: Column) -> Column:
     chars = F.regexp_extract_all(text, F.lit(rf"[{UNSPACED}]|[^\s{UNSPACED}]+"), F.lit(0))
-    return F.when(F.length(text) < SHORT, F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))).when(text.rlike(f"[{UNSPACED}]"), chars).otherwise(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    words = F.when(text.rlike(f"[{UNSPACED}]"), chars).otherwise(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    return F.when(text.rlike(r"\S"), words).otherwise(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)))
 
 
 def anchors(text: Column, k: int = K, s: int = S) -> Column:
@@ -54,7 +55,7 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
     none = F.expr("cast(array() as array<int>)")
     whole = lambda h: F.when(F.size(h) == 0, none).otherwise(F.array_distinct(F.concat(F.transform(h, fold), F.array(fold(F.xxhash64(h))))))
     found = lambda h: F.when(F.size(h) < k, none).otherwise(let(inner(h), chosen))
-    return let(F.transform(symbols(text), lambda w: F.xxhash64(w)), lambda h: let(found(h), lambda a: F.when(F.size(a) > 0, a).otherwise(whole(h))))
+    return let(F.transform(symbols(text), lambda w: F.xxhash64(w)), lambda h: let(found(h), lambda a: F.when(F.size(h) >= FEW, a).otherwise(F.array_distinct(F.concat(a, whole(h))))))
 
 
 def likeness(a: Column, b: Column) -> Column:
