@@ -63,8 +63,9 @@ def nearest_time(anchors: DataFrame, grid: DataFrame, keys: list[str], t: str =
 
 
 def nearest_time_union(anchors: DataFrame, instants: DataFrame, keys: list[str], t: str = "t", x: str = "x") -> DataFrame:
-    """nearest_time for a grid that all series share: instants (t)."""
-    return nearest_time(anchors, anchors.select(*keys).distinct().crossJoin(F.broadcast(instants)), keys, t, x)
+    """nearest_time for a grid that all series share: instants (t). The result has a row for every series and instant; whether the
+    smaller side is broadcast is left to Spark, by its size."""
+    return nearest_time(anchors, anchors.select(*keys).distinct().crossJoin(instants), keys, t, x)
 
 
 def expected_annual(df: DataFrame, keys: list[str], period: str = "T", x: str = "x") -> DataFrame:

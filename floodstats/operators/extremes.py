@@ -76,23 +76,23 @@ def plotting_positions(df: DataFrame, keys: list[str], x: str = "x", order: list
     return df.withColumn("period", F.when(F.col(x).isNotNull(), 1 / (1 - rank / (n + 1)) / freq))
 
 
-def _between(anchors: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
-    """Segments from each anchor to the next, by a."""
-    w = Window.partitionBy(*keys).orderBy(a, b)
-    return anchors.select(*keys, F.col(a).alias("a0"), F.col(b).alias("b0"), F.lead(a).over(w).alias("a1"), F.lead(b).over(w).alias("b1"), F.row_number().over(w).alias("_i"), F.count("*").over(Window.partitionBy(*keys)).alias("_n"))
-
-
 def interpolate(targets: DataFrame, anchors: DataFrame, keys: list[str], at: str, a: str, b: str, clamp: bool, out: str) -> DataFrame:
     """targets with out: b interpolated at the column at; outside the anchors the end value (clamp) or null.
-    The join is on the keys, and the segment is a range within them. Anchors must differ in a."""
-    s = _between(anchors, keys, a, b)
-    v = F.col(at)
-    inside = (v >= F.col("a0")) & ((v < F.col("a1")) | (F.col("a1").isNull() & (v == F.col("a0"))))
-    low, high = (F.col("_i") == 1) & (v < F.col("a0")), (F.col("_i") == F.col("_n")) & (v > F.col("a0"))
-    y = F.when(low | high | (v == F.col("a0")), F.col("b0")).otherwise(F.col("b0") + (v - F.col("a0")) * (F.col("b1") - F.col("b0")) / (F.col("a1") - F.col("a0")))
-    meets = inside | low | high if clamp else inside
-    got = targets.join(s, keys).where(meets).select(*targets.columns, y.alias(out)).dropDuplicates(targets.columns)
-    return targets.join(got, targets.columns, "left")
+
+    Targets and anchors of a series are sorted together once and each target takes the anchor before and after it, so no target
+    meets more than two anchors. All rows of targets stay, whatever nulls or repeats they hold. Anchors must differ in a.
+    """
+    w = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))])
+    own = lambda df: [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    row = F.struct(*[F.col(f"`{c}`") for c in targets.columns])
+    marks = anchors.where(F.col(a).isNotNull()).select(*own(anchors), F.col(a).cast("double").alias("_at"), F.lit(0).alias("_g"), F.struct(F.col(a).cast("double").alias("a"), F.col(b).alias("b")).alias("_p"))
+    both = marks.unionByName(targets.select(*own(targets), F.col(at).cast("double").alias("_at"), F.lit(1).alias("_g"), row.alias("_r")), allowMissingColumns=True)
+    before, after = (F.last("_p", True).over(w.orderBy(*o).rowsBetween(Window.unboundedPreceding, 0)) for o in (("_at", "_g"), (F.desc("_at"), F.desc("_g"))))
+    both = both.withColumns({"_b": before, "_c": after}).where("_g = 1")
+    v, p, q = F.col("_at"), F.col("_b"), F.col("_c")
+    end = lambda c: c if clamp else F.lit(None)
+    y = F.when(v.isNull(), None).when(p["a"] == v, p["b"]).when(p.isNull(), end(q["b"])).when(q.isNull(), end(p["b"])).otherwise(p["b"] + (v - p["a"]) * (q["b"] - p["b"]) / (q["a"] - p["a"]))
+    return both.select("_r.*", y.alias(out))
 
 
 def periods_of_values(targets: DataFrame, peaks: DataFrame, keys: list[str], at: str, x: str = "x", out: str = "period") -> DataFrame:
@@ -134,6 +134,35 @@ def order_statistic(df: DataFrame, keys: list[str], x: str, alphas: list[float],
 STATISTICS = {"mean": lambda x: F.avg(x), "median": lambda x: F.percentile(x, 0.5), "std": lambda x: F.stddev_pop(x), "min": F.min, "max": F.max, "sum": lambda x: F.sum(x)}
 
 
+def _left_out(statistic: str, v: Column) -> Column:
+    """v: a series' sorted values as an array -> the statistic without each of them, in closed form."""
+    n, at = F.size(v), F.sequence(F.lit(0), F.size(v) - 1)
+    total = F.aggregate(v, F.lit(0.0), lambda s, e: s + e)
+    if statistic == "sum":
+        return F.transform(v, lambda e: total - e)
+    if statistic == "mean":
+        return F.transform(v, lambda e: (total - e) / (n - 1))
+    if statistic == "std":
+        off = F.transform(v, lambda e: e - total / n)
+        squares = F.aggregate(off, F.lit(0.0), lambda s, e: s + e * e)
+        return F.transform(off, lambda e: F.sqrt(F.greatest(F.lit(0.0), (squares - e * e) / (n - 1) - (e / (n - 1)) * (e / (n - 1)))))
+    rest = lambda i, k: F.get(v, F.when(k < i, k).otherwise(k + 1).cast("int"))  # noqa: E731  the k-th of those left without i
+    if statistic == "min":
+        return F.transform(at, lambda i: rest(i, F.lit(0)))
+    if statistic == "max":
+        return F.transform(at, lambda i: rest(i, n - 2))
+    return F.transform(at, lambda i: (rest(i, F.floor((n - 2) / 2)) + rest(i, F.ceil((n - 2) / 2))) / 2)
+
+
+def _acceleration(df: DataFrame, keys: list[str], x: str, statistic: str) -> DataFrame:
+    """(keys, _a) from the leave-one-out jackknife; null for one value or where all leave the same."""
+    s = df.where(F.col(x).isNotNull()).groupBy(*keys).agg(F.sort_array(F.collect_list(F.col(x).cast("double"))).alias("_v"))
+    s = s.where(F.size("_v") > 1).select(*keys, _left_out(statistic, F.col("_v")).alias("_j"))
+    s = s.withColumn("_m", F.aggregate("_j", F.lit(0.0), lambda t, e: t + e) / F.size("_j"))
+    power = lambda k: F.aggregate("_j", F.lit(0.0), lambda t, e: t + F.pow(F.col("_m") - e, F.lit(float(k))))
+    return s.select(*keys, F.try_divide(power(3), 6 * F.pow(power(2), F.lit(1.5))).alias("_a"))
+
+
 def confidence_interval(df: DataFrame, keys: list[str], x: str = "x", statistic: str = "mean", alpha: float = 0.05, samples: int = 10_000, method: str = "bca", seed: int = 42) -> DataFrame:
     """(keys, alpha, bound): bootstrap interval at alpha / 2 and 1 - alpha / 2, by order statistics or bias-corrected and
     accelerated (true leave-one-out jackknife)."""
@@ -144,13 +173,9 @@ def confidence_interval(df: DataFrame, keys: list[str], x: str = "x", statistic:
     from ..functions.special import normal_cdf, normal_quantile
 
     whole = df.groupBy(*keys).agg(f(x).alias("_w"))
-    v = df.where(F.col(x).isNotNull()).withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(x)))
-    n = v.groupBy(*keys).agg(F.max("_i").alias("_n"))
-    left = v.join(n, keys).withColumn("_o", F.explode(F.sequence(F.lit(1), F.col("_n")))).where("_i <> _o").groupBy(*keys, "_o").agg(f(x).alias("_j"))
-    mean = left.withColumn("_d", F.avg("_j").over(Window.partitionBy(*keys)) - F.col("_j"))
-    accel = mean.groupBy(*keys).agg(F.try_divide(F.sum(F.pow("_d", F.lit(3.0))), 6 * F.pow(F.sum(F.pow("_d", F.lit(2.0))), F.lit(1.5))).alias("_a"))
+    accel = _acceleration(df, keys, x, statistic)
     z0 = boot.join(whole, keys).groupBy(*keys).agg(normal_share().alias("_share")).withColumn("_z0", normal_quantile("_share"))
-    side = values(z0.join(accel, keys), "alpha", [alpha / 2, 1 - alpha / 2])
+    side = values(z0.join(accel, keys, "left"), "alpha", [alpha / 2, 1 - alpha / 2])
     z = F.col("_z0") + normal_quantile("alpha")
     side = side.withColumn("_at", normal_cdf(F.col("_z0") + z / (1 - F.coalesce("_a", F.lit(0.0)) * z)))
     ranked = boot.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("_s")) - 1)

@@ -5,11 +5,11 @@ Sums and labels along paths use pointer doubling: log2(depth) joins, each cut fr
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shared import shared_dir
+
 # The direction codes and their steps (row, column).
 LDD = {7: (-1, -1), 8: (-1, 0), 9: (-1, 1), 4: (0, -1), 6: (0, 1), 1: (1, -1), 2: (1, 0), 3: (1, 1)}
 D8 = {32: (-1, -1), 64: (-1, 0), 128: (-1, 1), 16: (0, -1), 1: (0, 1), 8: (1, -1), 4: (1, 0), 2: (1, 1)}
@@ -17,9 +17,7 @@ LDD_PITS, D8_PITS, D8_PLUS_PITS = (5,), (0,), (0, -1)
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="floodstats-"))
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
@@ -99,45 +97,43 @@ def catchments(edges: DataFrame, outlets: DataFrame, rounds: int | None = None)
     return basins(own, rounds).join(outlets.select(F.col("id").alias("basin")).distinct(), "basin").select("id", F.col("basin").alias("outlet"))
 
 
+def _jumps(edges: DataFrame, steps: int) -> list[DataFrame]:
+    """(id, jump) of 1, 2, 4, ... steps, as far as `steps` needs them and some node has one; each is a join of the one before with itself."""
+    out, jump = [], _cut(edges.where("jump is not null").select("id", "jump"))
+    while not jump.isEmpty():
+        out.append(jump)
+        if 2 ** len(out) > steps:
+            break
+        jump = _cut(jump.join(jump.select(F.col("id").alias("jump"), F.col("jump").alias("_then")), "jump").select("id", F.col("_then").alias("jump")))
+    return out
+
+
+def _walk(edges: DataFrame, starts: DataFrame, steps: int) -> DataFrame:
+    """(start, step, id) along edges (id, jump). Powers of two from the greatest down: each round, every row of a path so far sends
+    one more row 2^k steps on, so a path of n nodes takes log2(n) joins whose rows sum up to n."""
+    at = starts.select(F.col("id").alias("start"), F.lit(0).cast("long").alias("step"), "id")
+    jumps = _jumps(edges, max(steps, 0)) if steps > 0 else []
+    for k in range(len(jumps) - 1, -1, -1):
+        ahead = at.join(jumps[k], "id").select("start", (F.col("step") + 2**k).alias("step"), F.col("jump").alias("id"))
+        at = _cut(at.unionByName(ahead.where(F.col("step") <= steps)))
+    return at.withColumn("step", F.col("step").cast("int"))
+
+
 def path_downstream(edges: DataFrame, starts: DataFrame, steps: int, stops: DataFrame | None = None) -> DataFrame:
     """(start, step, id): from each start at most `steps` nodes down, to a pit or the first stop, which is part of the path."""
-    flagged = edges.select("id", "next_id", F.lit(False).alias("_stop")) if stops is None else edges.join(stops.select("id", F.lit(True).alias("_s")).distinct(), "id", "left").select("id", "next_id", F.coalesce("_s", F.lit(False)).alias("_stop"))
-    at = starts.select(F.col("id").alias("start"), F.lit(0).alias("step"), "id")
-    out = [at]
-    for k in range(1, steps + 1):
-        at = _cut(at.join(flagged, "id").where("next_id is not null and not _stop").select("start", F.lit(k).alias("step"), F.col("next_id").alias("id")))
-        if at.isEmpty():
-            break
-        out.append(at)
-    return _union(out)
+    own = edges.select("id", F.col("next_id").alias("jump"))
+    if stops is not None:
+        s = stops.select("id", F.lit(True).alias("_s")).distinct()
+        own = own.join(s, "id", "left").select("id", F.when(F.col("_s"), None).otherwise(F.col("jump")).alias("jump"))
+    return _walk(own, starts, steps)
 
 
 def path_upstream(edges: DataFrame, starts: DataFrame, steps: int) -> DataFrame:
     """(start, step, id): up from each start until a node has not just one node above it."""
-    single = edges.where("next_id is not null").groupBy("next_id").agg(F.count("*").alias("_n"), F.min("id").alias("_up")).where("_n = 1").select(F.col("next_id").alias("id"), "_up")
-    at = starts.select(F.col("id").alias("start"), F.lit(0).alias("step"), "id")
-    out = [at]
-    for k in range(1, steps + 1):
-        at = _cut(at.join(single, "id").select("start", F.lit(k).alias("step"), F.col("_up").alias("id")))
-        if at.isEmpty():
-            break
-        out.append(at)
-    return _union(out)
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    single = edges.where("next_id is not null").groupBy("next_id").agg(F.count("*").alias("_n"), F.min("id").alias("_up")).where("_n = 1").select(F.col("next_id").alias("id"), F.col("_up").alias("jump"))
+    return _walk(single, starts, steps)
 
 
 def outlets(edges: DataFrame, cells: DataFrame) -> DataFrame:
     """Pits with the attributes of their cells (id, ...)."""
     return pits(edges).join(cells, "id", "left")
-
-
-def recursive_reach(spark: SparkSession, edges: DataFrame, depth: int = 100) -> DataFrame:
-    """(id, anc) by a recursive query, for shallow networks: every node with itself and all below it."""
-    edges.createOrReplaceTempView("_edges")
-    return spark.sql(f"WITH RECURSIVE r(id, anc) MAX RECURSION LEVEL {depth} AS (SELECT id, id FROM _edges UNION ALL SELECT r.id, e.next_id FROM r JOIN _edges e ON r.anc = e.id WHERE e.next_id IS NOT NULL) SELECT id, anc FROM r")

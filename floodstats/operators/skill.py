@@ -150,14 +150,16 @@ def t_test(df: DataFrame, keys: list[str], group: str, x: str = "x", with_p: boo
 
 def lag_correlation(df: DataFrame, keys: list[str], lags: list[int], t: str = "t", sim: str = "sim", obs: str = "obs", quantile: float | None = None) -> DataFrame:
     """(keys, lag, lag_rho): correlation of sim, moved by lag days, with obs. lag_rho is the greatest of all lags; lag its first
-    place, null unless every lag has a correlation. quantile: only obs at or above it."""
-    o = df.select(*keys, F.col(t).alias("_t"), F.col(obs).alias("_o")).where("_o is not null")
+    place, null unless every lag has a correlation. quantile: only obs at or above it. Each series is sorted once by day and the
+    lags come from a frame over it, so nothing but the series themselves is shuffled. t is a date that a series has once."""
+    w, day = Window.partitionBy(*keys), F.datediff(t, F.lit("1970-01-01").cast("date"))
+    r = df.select(*keys, day.alias("_d"), F.col(sim).alias("_s"), F.col(obs).alias("_o"))
+    here = F.when(F.col("_s").isNotNull(), F.struct("_d", "_s"))
+    r = r.withColumn("_near", F.collect_list(here).over(w.orderBy("_d").rangeBetween(-max(lags), -min(lags))))
     if quantile is not None:
-        cut = o.groupBy(*keys).agg(F.percentile("_o", quantile).alias("_q"))
-        o = o.join(cut, keys).where("_o >= _q").drop("_q")
-    s = df.where(F.col(sim).isNotNull()).select(*keys, t, F.col(sim).alias("_s")).withColumn("lag", F.explode(F.array(*map(F.lit, lags))))
-    both = s.withColumn("_t", F.date_add(t, F.col("lag"))).join(o, [*keys, "_t"])
-    rho = both.groupBy(*keys, "lag").agg(F.corr("_s", "_o").alias("rho"))
+        r = r.withColumn("_q", F.percentile("_o", quantile).over(w)).where("_o >= _q")
+    moved = r.where("_o is not null").select(*keys, "_d", "_o", F.explode("_near").alias("_n")).select(*keys, (F.col("_d") - F.col("_n._d")).alias("lag"), F.col("_n._s").alias("_s"), "_o")
+    rho = moved.where(F.col("lag").isin(list(lags))).groupBy(*keys, "lag").agg(F.corr("_s", "_o").alias("rho"))
     best = F.max_by(F.col("lag").cast("long"), F.struct(F.col("rho"), -F.col("lag")))
     return rho.groupBy(*keys).agg(F.when(F.count("rho") == len(lags), best).alias("lag"), F.max("rho").alias("lag_rho"))
 

@@ -10,32 +10,67 @@ from pyspark.sql import functions as F
 from ..functions.scalar import gauge_distance, sphere_distance
 
 
+def _height(max_dist: float) -> float:
+    """Height in degrees of tiles that span max_dist metres."""
+    return math.degrees(max_dist / 6373000.0) * 1.001
+
+
+def _width(band: Column, max_dist: float) -> Column:
+    """Width in degrees that max_dist metres span at most between a point of a band of latitude and one a band away; 360 at the poles."""
+    h, s = _height(max_dist), math.sin(min(math.pi / 2, max_dist / 6373000.0 / 2))
+    top = F.least(F.lit(90.0), F.greatest(F.abs(band * h), F.abs((band + 1) * h)) + h)
+    c = F.cos(F.radians(top))
+    return F.when(c <= s * 1.001, F.lit(360.0)).otherwise(F.least(F.lit(360.0), F.degrees(2 * F.asin(F.lit(s) / c)) * 1.001))
+
+
+def _wrapped(lon: Column) -> Column:
+    return F.pmod(lon + 180, F.lit(360.0)) - 180
+
+
+def _tiled(df: DataFrame, lon: str, lat: str, max_dist: float) -> DataFrame:
+    """Adds the tile (_tx, _ty) of each point. Tiles are as wide as max_dist at their own latitude."""
+    band = F.floor(F.col(lat) / _height(max_dist)).cast("long")
+    return df.withColumn("_ty", band).withColumn("_tx", F.floor(_wrapped(F.col(lon)) / _width(F.col("_ty"), max_dist)).cast("long"))
+
+
+def _sent(df: DataFrame, lon: str, lat: str, max_dist: float) -> DataFrame:
+    """Each point once for each tile (_tx, _ty) that has points within max_dist of it, across the antimeridian too."""
+    near = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    d = df.withColumn("_ty", F.explode(F.transform(near, lambda i: F.floor(F.col(lat) / _height(max_dist)).cast("long") + i))).withColumn("_w", _width(F.col("_ty"), max_dist))
+    turns = F.filter(F.array(F.lit(-360.0), F.lit(0.0), F.lit(360.0)), lambda t: F.abs(_wrapped(F.col(lon)) + t) <= 180 + 2 * F.col("_w"))
+    tiles = F.array_distinct(F.flatten(F.transform(turns, lambda t: F.transform(near, lambda i: F.floor((_wrapped(F.col(lon)) + t) / F.col("_w")).cast("long") + i))))
+    return d.withColumn("_tx", F.explode(tiles)).drop("_w")
+
+
 def nearest_points(left: DataFrame, right: DataFrame, max_dist: float, lid: str = "id", rid: str = "id", lon: str = "lon", lat: str = "lat", metric: str = "degree", prefix: str = "near_") -> DataFrame:
     """Each left point with its nearest right point (least degrees, or least distance on the sphere), null beyond max_dist metres.
 
-    Both sides are cut into tiles at least as wide as max_dist spans anywhere in the data; a right point goes to the nine
-    tiles around it, and the rest is an equi-join on tiles. Anything farther than a tile is too far on the sphere too. Points of
-    one tile meet pairwise, so max_dist should be small against the extent of the data. On the sphere, points just across the
-    antimeridian are seen too; in degrees longitudes don't wrap.
+    Both sides are cut into tiles as wide as max_dist at their own latitude; a right point goes to the tiles around it, and the
+    rest is an equi-join on tiles. Points of one tile meet pairwise, so max_dist should be small against the extent of the data.
+    On the sphere, points just across the antimeridian are seen too; in degrees longitudes don't wrap. In degrees a point may be
+    nearest and yet beyond max_dist, away from the equator; a second join, of the left points whose match is that far in degrees, finds these.
     """
-    far = left.agg(F.max(F.abs(lat))).unionByName(right.agg(F.max(F.abs(lat)))).agg(F.max(f"max(abs({lat}))")).first()[0] or 0.0
-    meters = math.pi * 6373000.0 / 180
-    tile = max_dist / (meters * max(math.cos(math.radians(min(89.0, far + max_dist / meters))), 1e-3)) * 1.001
-    cell = lambda c: F.floor(F.col(c) / tile).cast("long")
     r = right.select(F.col(rid).alias(f"{prefix}id"), F.col(lon).alias("_rlon"), F.col(lat).alias("_rlat"), *[F.col(c).alias(f"{prefix}{c}") for c in right.columns if c not in (rid, lon, lat)])
-    near = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    if metric == "sphere":
-        turns = F.filter(F.array(F.lit(-360.0), F.lit(0.0), F.lit(360.0)), lambda d: F.abs(F.col("_rlon") + d) <= 180 + 2 * tile)
-        r = r.withColumn("_turn", F.explode(turns)).withColumn("_rlon", F.col("_rlon") + F.col("_turn")).drop("_turn")
-    r = r.withColumn("_dx", F.explode(near)).withColumn("_dy", F.explode(near))
-    r = r.withColumns({"_tx": F.floor(F.col("_rlon") / tile).cast("long") + F.col("_dx"), "_ty": F.floor(F.col("_rlat") / tile).cast("long") + F.col("_dy")}).drop("_dx", "_dy")
-    l = left.select(lid, F.col(lon).alias("_llon"), F.col(lat).alias("_llat"), cell(lon).alias("_tx"), cell(lat).alias("_ty"))
-    both = l.join(r, ["_tx", "_ty"]).withColumn("_m", sphere_distance(F.col("_llon"), F.col("_llat"), F.col("_rlon"), F.col("_rlat")))
+    l = left.select(lid, F.col(lon).alias("_llon"), F.col(lat).alias("_llat"))
+    both = _tiled(l, "_llon", "_llat", max_dist).join(_sent(r, "_rlon", "_rlat", max_dist), ["_tx", "_ty"])
+    both = both.withColumn("_m", sphere_distance(F.col("_llon"), F.col("_llat"), F.col("_rlon"), F.col("_rlat"))).where(F.col("_m") <= max_dist)
     d2 = F.pow(F.col("_llon") - F.col("_rlon"), F.lit(2.0)) + F.pow(F.col("_llat") - F.col("_rlat"), F.lit(2.0))
     by = d2 if metric == "degree" else F.col("_m")
     kept = [f"{prefix}id", *[c for c in r.columns if c.startswith(prefix) and c != f"{prefix}id"]]
-    best = both.groupBy(lid).agg(F.min(F.struct(by.alias("_by"), F.col(f"{prefix}id"), F.col("_m").alias("_m"), *[F.col(c) for c in kept[1:]])).alias("_b"))
-    best = best.where(F.col("_b._m") <= max_dist).select(lid, *[F.col(f"_b.{c}").alias(c) for c in kept], F.col("_b._m").alias(f"{prefix}dist"))
+    best = both.groupBy(lid, "_llon", "_llat").agg(F.min(F.struct(by.alias("_by"), F.col(f"{prefix}id"), F.col("_m").alias("_m"), *[F.col(c) for c in kept[1:]])).alias("_b"))
+    if metric == "degree":
+        far = best.where(F.col("_b._by") > (max_dist / 6373000.0 * 180 / math.pi) ** 2).select(lid, "_llon", "_llat", F.col("_b._by").alias("_by"))
+        side = F.pow(F.lit(2.0), F.ceil(F.log2(F.sqrt("_by"))).cast("double"))
+        far = far.withColumn("_side", side)
+        sides = [x[0] for x in far.select("_side").distinct().collect()]  # powers of two from max_dist to 360 degrees: a few
+        if sides:
+            near = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+            cell = lambda c, s: F.floor(F.col(c) / s).cast("long")
+            other = right.select(F.col(rid).alias("_rid"), F.col(lon).alias("_rlon"), F.col(lat).alias("_rlat")).withColumn("_side", F.explode(F.array(*map(F.lit, sides))))
+            other = other.withColumn("_tx", F.explode(F.transform(near, lambda i: cell("_rlon", F.col("_side")) + i))).withColumn("_ty", F.explode(F.transform(near, lambda i: cell("_rlat", F.col("_side")) + i)))
+            met = far.withColumns({"_tx": cell("_llon", F.col("_side")), "_ty": cell("_llat", F.col("_side"))}).join(other, ["_side", "_tx", "_ty"])
+            best = best.join(met.where(d2 < F.col("_by")).select(lid).distinct(), lid, "left_anti")
+    best = best.select(lid, *[F.col(f"_b.{c}").alias(c) for c in kept], F.col("_b._m").alias(f"{prefix}dist"))
     return left.join(best, lid, "left")
 
 
@@ -106,36 +141,40 @@ def neighbourhood(grid: DataFrame, radius: int = 1, x: str = "value", centre: bo
     return both.groupBy("row", "col").agg(F.count("_v").alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"), F.avg("_v").alias("mean"), F.count_if(F.col("_v") == F.col("_own")).alias("same"))
 
 
-def snap_gauges(gauges: DataFrame, cells: DataFrame, max_dist: float, error: float = 0.5, percent: float = 90.0, w_area: float = 2.0, w_dist: float = 1.0) -> DataFrame:
+def snap_gauges(gauges: DataFrame, cells: DataFrame, max_dist: float, error: float = 0.5, percent: float = 99.0, w_area: float = 1.0, w_dist: float = 1.0) -> DataFrame:
     """gauges (id, lon, lat, area) onto cells (row, col, lon, lat, uparea), all gauges at once: one row for each pick.
 
-    Candidates lie within max_dist metres and have an area from (1 - error) to (1 + error) of the gauge's; a gauge without any
-    takes those from the percentile of its cells' areas up to below the greatest. dist: the nearest; uparea: the least relative
-    error of area; combi: the least weighted sum of relative distance and error. Ties go to the first row and column.
+    Candidates lie within max_dist metres, at any latitude and across the antimeridian, and have an area from (1 - error) to (1 +
+    error) of the gauge's; a gauge without any takes those from the percentile of its cells' areas up to below the greatest.
+    dist: the nearest; uparea: the least relative error of area; combi: the least weighted mean of distance by max_dist and of
+    the relative error by the tolerance. dist_relerr and upa_relerr are those two. Ties go to the first row and column.
     """
-    tile = max_dist / 111_000 * 4
-    near = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    c = cells.select("row", "col", F.col("lon").alias("clon"), F.col("lat").alias("clat"), "uparea")
-    c = c.withColumn("_x", F.explode(near)).withColumn("_y", F.explode(near)).withColumns({"_x": F.floor(F.col("clon") / tile) + F.col("_x"), "_y": F.floor(F.col("clat") / tile) + F.col("_y")})
-    g = gauges.withColumns({"_x": F.floor(F.col("lon") / tile), "_y": F.floor(F.col("lat") / tile)})
-    both = g.join(c, ["_x", "_y"]).withColumn("dist", gauge_distance(F.col("lon"), F.col("lat"), F.col("clon"), F.col("clat"))).where(F.col("dist") <= max_dist)
+    c = _sent(cells.select("row", "col", F.col("lon").alias("clon"), F.col("lat").alias("clat"), "uparea"), "clon", "clat", max_dist)
+    both = _tiled(gauges, "lon", "lat", max_dist).join(c, ["_tx", "_ty"]).withColumn("dist", gauge_distance(F.col("lon"), F.col("lat"), F.col("clon"), F.col("clat"))).where(F.col("dist") <= max_dist)
     w = Window.partitionBy("id")
     fits = (F.col("uparea") >= (1 - error) * F.col("area")) & (F.col("uparea") < (1 + error) * F.col("area"))
-    both = both.withColumns({"_any": F.max(fits.cast("int")).over(w), "_p": F.percentile("uparea", percent / 100).over(w), "_max": F.max("uparea").over(w)})
-    both = both.where(F.when(F.col("_any") == 1, fits).otherwise((F.col("uparea") >= F.col("_p")) & (F.col("uparea") < F.col("_max"))))
-    both = both.withColumns({"upa_relerr": F.abs(F.col("uparea") - F.col("area")) / F.col("area"), "dist_relerr": F.col("dist") / max_dist})
+    both = both.withColumns({"_any": F.max(fits.cast("int")).over(w), "_p": F.percentile("uparea", percent / 100).over(w), "upa_local_max": F.max("uparea").over(w)})
+    both = both.where(F.when(F.col("_any") == 1, fits).otherwise((F.col("uparea") >= F.col("_p")) & (F.col("uparea") < F.col("upa_local_max"))))
+    both = both.withColumns({"upa_relerr": F.abs(F.col("uparea") - F.col("area")) / F.col("area") / error, "dist_relerr": F.col("dist") / max_dist})
     both = both.withColumn("combi_relerr", (F.col("upa_relerr") * w_area + F.col("dist_relerr") * w_dist) / (w_area + w_dist))
-    kept = ["row", "col", "clon", "clat", "uparea", "dist", "dist_relerr", "upa_relerr", "combi_relerr"]
+    kept = ["row", "col", "clon", "clat", "uparea", "upa_local_max", "dist", "dist_relerr", "upa_relerr", "combi_relerr"]
     pick = lambda by: F.min(F.struct(F.col(by).alias("_by"), *kept))
     best = both.groupBy("id").agg(pick("dist").alias("a"), pick("upa_relerr").alias("b"), pick("combi_relerr").alias("c"))
     rows = F.array(*[F.struct(F.lit(n).alias("fit"), *[F.col(f"{s}.{k}").alias(k) for k in kept]) for n, s in (("dist", "a"), ("uparea", "b"), ("combi", "c"))])
     return best.select("id", F.inline(rows))
 
 
-def in_polygons(points: DataFrame, edges: DataFrame, polygon: str = "zone", lon: str = "lon", lat: str = "lat") -> DataFrame:
-    """points with the polygons they lie in, by the even-odd rule. edges (polygon, x1, y1, x2, y2): few, broadcast after a check."""
-    if edges.count() > 1_000_000:
-        raise ValueError("more than a million edges; cut the polygons into tiles first")
-    cross = ((F.col("y1") > F.col(lat)) != (F.col("y2") > F.col(lat))) & (F.col(lon) < (F.col("x2") - F.col("x1")) * (F.col(lat) - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
-    hits = points.join(F.broadcast(edges), cross).groupBy(*points.columns, polygon).agg((F.count("*") % 2).alias("_odd"))
-    return hits.where("_odd = 1").drop("_odd")
+def in_polygons(points: DataFrame, edges: DataFrame, polygon: str = "zone", lon: str = "lon", lat: str = "lat", bands: int = 512) -> DataFrame:
+    """points with the polygons they lie in, by the even-odd rule, a row for each; every point counts, equal ones too. edges
+    (polygon, x1, y1, x2, y2), any number: they and the points meet in bands of latitude, as a ray from a point crosses edges of
+    its own band alone. Distinct places are tested once, and the points are joined back to their place."""
+    low, high = edges.agg(F.min(F.least("y1", "y2")), F.max(F.greatest("y1", "y2"))).first()
+    if low is None:
+        return points.limit(0).withColumn(polygon, F.lit(None).cast(edges.schema[polygon].dataType))
+    step = (high - low) / bands or 1.0
+    band = lambda y: F.floor((y - low) / step).cast("long")
+    e = edges.where("y1 <> y2").withColumn("_band", F.explode(F.sequence(band(F.least("y1", "y2")), band(F.greatest("y1", "y2")))))
+    places = points.where(F.col(lat).between(low, high)).select(F.col(lon).alias("_x"), F.col(lat).alias("_y")).distinct().withColumn("_band", band(F.col("_y")))
+    cross = ((F.col("y1") > F.col("_y")) != (F.col("y2") > F.col("_y"))) & (F.col("_x") < (F.col("x2") - F.col("x1")) * (F.col("_y") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
+    inside = places.join(e, "_band").where(cross).groupBy("_x", "_y", polygon).agg((F.count("*") % 2).alias("_odd")).where("_odd = 1").drop("_odd")
+    return points.join(inside, (F.col(lon) == F.col("_x")) & (F.col(lat) == F.col("_y"))).drop("_x", "_y")

@@ -71,14 +71,14 @@ def catchment_exposure(spark, sf):
 
 GAUGES = f"""ga AS (SELECT id, lon, lat, 900 + (id % 13) * 60e0 AS area FROM {places_sql("supplier", "s_suppkey", 0)}), ce AS (SELECT id // 40 AS row, id % 40 AS col, id, lon, lat, p_retailprice AS uparea FROM {places_sql("part", "p_partkey", 0)} q JOIN part ON p_partkey = q.id),
 ca AS (SELECT ga.id, ga.area, ce.row, ce.col, ce.lon AS clon, ce.lat AS clat, uparea, {gauge_sql("ga", "ce")} AS dist FROM ga CROSS JOIN ce), cb AS (SELECT *, uparea >= 0.5 * area AND uparea < 1.5 * area AS fits FROM ca WHERE dist <= 300000),
-cc AS (SELECT *, bool_or(fits) OVER (PARTITION BY id) AS hit, quantile_cont(uparea, 0.9) OVER (PARTITION BY id) AS p, max(uparea) OVER (PARTITION BY id) AS mx FROM cb),
-cd AS (SELECT *, abs(uparea - area) / area AS ue, dist / 300000 AS de, (abs(uparea - area) / area * 2 + dist / 300000) / 3 AS co FROM cc WHERE CASE WHEN hit THEN fits ELSE uparea >= p AND uparea < mx END)"""
+cc AS (SELECT *, bool_or(fits) OVER (PARTITION BY id) AS hit, quantile_cont(uparea, 0.99) OVER (PARTITION BY id) AS p, max(uparea) OVER (PARTITION BY id) AS mx FROM cb),
+cd AS (SELECT *, abs(uparea - area) / area / 0.5e0 AS ue, dist / 300000 AS de, (abs(uparea - area) / area / 0.5e0 + dist / 300000) / 2 AS co FROM cc WHERE CASE WHEN hit THEN fits ELSE uparea >= p AND uparea < mx END)"""
 
 
 @query(
     f"WITH {GAUGES} "
     + " UNION ALL ".join(
-        f"SELECT id, '{n}' AS fit, round(any_value({c}), 6) AS error FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY {c}, row, col) AS i FROM cd) WHERE i = 1 GROUP BY id" for n, c in (("dist", "de"), ("uparea", "ue"), ("combi", "co"))
+        f"SELECT id, '{n}' AS fit, CAST(row AS INT) AS row, CAST(col AS INT) AS col, round({c}, 6) AS error FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY {c}, row, col) AS i FROM cd) WHERE i = 1" for n, c in (("dist", "de"), ("uparea", "ue"), ("combi", "co"))
     )
 )
 def snap_gauges(spark, sf):
@@ -87,7 +87,7 @@ def snap_gauges(spark, sf):
     c = at.join(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("uparea")), "id").select(F.floor(F.col("id") / 40).cast("int").alias("row"), (F.col("id") % 40).cast("int").alias("col"), "lon", "lat", "uparea")
     out = S.snap_gauges(g, c, 300000)
     error = F.when(F.col("fit") == "dist", F.col("dist_relerr")).when(F.col("fit") == "uparea", F.col("upa_relerr")).otherwise(F.col("combi_relerr"))
-    return rounded(out.select("id", "fit", error.alias("error")))
+    return rounded(out.select("id", "fit", "row", "col", error.alias("error")))
 
 
 @query("SELECT CAST(r.r AS INT) AS row, round(pow(6371000e0, 2) * radians(0.25e0) * (sin(radians(-90 + (r.r + 1) * 0.25e0)) - sin(radians(-90 + r.r * 0.25e0))), 2) AS area FROM (SELECT unnest(range(0, 720)) AS r) r")
