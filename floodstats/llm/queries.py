@@ -84,11 +84,12 @@ _OP1 = f"""WITH t AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '
 {_spans_sql("sc", 3, secrets.CANDIDATE, 0, "regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')")},
 base AS (SELECT * FROM sa UNION ALL SELECT * FROM sk UNION ALL SELECT * FROM sh),
 every AS (SELECT * FROM base UNION ALL SELECT * FROM sc WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.n = sc.n AND base.a < sc.z AND sc.a < base.z)),
-own AS (SELECT v, count(DISTINCT o) <= {secrets.MAX_OWNERS} AS live FROM every JOIN t USING (n) GROUP BY 1),
-told AS (SELECT every.*, live FROM every JOIN own USING (v)),
+cnt AS (SELECT v, count(DISTINCT o) AS owners, count(DISTINCT (o, r)) AS repositories FROM every JOIN t USING (n) GROUP BY 1),
+own AS (SELECT *, owners <= {secrets.MAX_OWNERS} AND repositories <= {secrets.MAX_REPOSITORIES} AS live FROM cnt),
+told AS (SELECT every.*, live, owners, repositories FROM every JOIN own USING (v)),
 per AS (SELECT n, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, string_agg({_NAME}, ',' ORDER BY a, k) FILTER (k < 3) AS base,
-string_agg({_NAME}, ',' ORDER BY a, k) FILTER (k < 3 OR live) AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied FROM told GROUP BY 1)
-SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+string_agg({_NAME}, ',' ORDER BY a, k) FILTER (k < 3 OR live) AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied, string_agg(a || ':' || owners || ':' || repositories, ',' ORDER BY a, k) AS ownership FROM told GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied, coalesce(ownership, '') AS ownership
 FROM t LEFT JOIN per USING (n)"""
 
 #: The other operators hash, train, tokenise or iterate in ways that SQL lacks; the tests hold them against brute force.

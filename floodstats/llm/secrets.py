@@ -1,15 +1,19 @@
 """Secret scans with corpus-wide ownership frequency, by DataFrame functions alone.
 
 Three base kinds are found by their patterns. Besides, any run of 16 or more token characters that has a letter and a digit
-and lies outside the base spans is a candidate. All values are hashed, and each hash is counted over distinct owners and
-repositories in the whole corpus: one seen with more than `max_owners` owners is a widely copied example, any other is
-owner-specific and looks live. Live candidates are added to the spans as kind `live`; base spans always stay.
+and lies outside the base spans is a candidate. All values are hashed, and each hash is counted over distinct owners and distinct
+repositories (an owner's) in the whole corpus: one seen with more than `max_owners` owners or in more than `max_repositories`
+repositories is a widely copied example, any other is owner-specific and looks live. Live candidates are added to the spans as
+kind `live`; base spans always stay.
 
 Counting pre-aggregates by (hash, owner, repository), so a value that a third of all rows hold shuffles as a few rows per
-task; the way back is an equi-join that adaptive execution splits, and carries no texts.
+task. The counts are written before the way back, so that this is a join of two plain exchanges, whose hot hash adaptive
+execution splits; it carries no texts.
 
 Nulls: a null text is empty, a null owner or repository counts as the name ''. Rows with a null id are kept. Repeated rows
-each get their spans. Documents without findings have spans '' and the hash of ''. Positions are code points.
+each get their spans, and each occurrence of a value in a text is a span of its own. Documents without findings have spans '' and
+the hash of ''; an empty table gives an empty result. Texts are searched whole, whatever their length. Positions are code points;
+spans that begin together are ordered by kind. Columns other than those named aren't read, so extra ones of any name don't matter.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"  # AKIA[A-Z0-9]+ of 16 or more: a match is the res
 HEX = r"[0-9a-f]{32,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 KINDS = ("assign", "access", "hex", "live")
-MAX_OWNERS = 2
+MAX_OWNERS, MAX_REPOSITORIES = 2, 4
 REPLACEMENT = "<secret>"
 
 
@@ -60,17 +64,21 @@ def _matches(text: Column, pattern: str, kind: int, group: int) -> Column:
 
 
 def findings(text: Column) -> Column:
-    """Base spans and candidates, by start and then kind."""
-    base = F.concat(F.filter(_matches(text, ASSIGN, 0, 2), lambda m: F.length(m["value"]) >= 8), _matches(text, ACCESS, 1, 0), _matches(text, HEX, 2, 0))
-    other = F.filter(_matches(text, CANDIDATE, 3, 0), lambda m: m["value"].rlike("[0-9]") & m["value"].rlike("[A-Za-z]"))
-    outside = lambda b: F.filter(other, lambda m: ~F.exists(b, lambda x: (x["start"] < m["end"]) & (m["start"] < x["end"])))
-    return let(base, lambda b: F.array_sort(F.concat(b, outside(b))))
+    """Base spans and candidates, by start and then kind. Access and hex spans are runs that CANDIDATE finds too, so texts without
+    any are not searched for them."""
+    none = F.expr("cast(array() as array<struct<start:int,end:int,kind:int,value:string>>)")
+    assign = F.filter(_matches(text, ASSIGN, 0, 2), lambda m: F.length(m["value"]) >= 8)
+    keyed = lambda m: m["value"].rlike("[0-9]") & m["value"].rlike("[A-Za-z]")
+    outside = lambda c, b: F.filter(c, lambda m: keyed(m) & ~F.exists(b, lambda x: (x["start"] < m["end"]) & (m["start"] < x["end"])))
+    base = lambda c: F.when(F.size(c) > 0, F.concat(assign, _matches(text, ACCESS, 1, 0), _matches(text, HEX, 2, 0))).otherwise(assign)
+    return let(_matches(text, CANDIDATE, 3, 0), lambda c: let(base(c), lambda b: F.array_sort(F.concat(b, F.when(F.size(c) > 0, outside(c, b)).otherwise(none)))))
 
 
-def scan(df: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
-    """df (doc_id, text, owner, repository) -> (doc_id, text_hash, base, added, n_live, n_copied): spans as arrays of structs.
+def scan(df: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
+    """df (doc_id, text, owner, repository) -> (doc_id, text_hash, base, added, n_live, n_copied, ownership): spans as arrays of structs.
 
-    n_live and n_copied count the values, base ones too, by what their ownership says of them.
+    n_live and n_copied count the values, base ones too, by what their ownership says of them; ownership has the distinct owners
+    and repositories of each.
     """
     text = F.coalesce("text", F.lit(""))
     rows = df.select("doc_id", F.xxhash64(text).alias("text_hash"), F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repository", F.lit("")).alias("repository"), findings(text).alias("found"))
@@ -78,15 +86,22 @@ def scan(df: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
     rows = stash(rows.withColumn("found", hashed).withColumn("row", F.monotonically_increasing_id()))
     each = rows.where(F.size("found") > 0).select("row", "owner", "repository", F.explode("found").alias("m")).select("row", "owner", "repository", "m.*")
     places = each.groupBy("hash", "owner", "repository").agg(F.count("*").alias("n")).groupBy("hash", "owner").agg(F.count("*").alias("repositories"))
-    owned = places.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
-    told = each.join(owned, "hash").withColumn("live", F.col("owners") <= max_owners)
+    owned = stash(places.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories")))
+    live = (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
+    told = each.select("row", "hash", "start", "end", "kind").join(owned, "hash").withColumn("live", live)
     per_row = told.groupBy("row").agg(
-        F.collect_list(F.when(F.col("live") & (F.col("kind") == 3), F.struct("start", "end", "kind"))).alias("added"), F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_copied")
+        F.collect_list(F.when(F.col("live") & (F.col("kind") == 3), F.struct("start", "end", "kind"))).alias("added"),
+        F.count_if("live").alias("n_live"),
+        F.count_if(~F.col("live")).alias("n_copied"),
+        F.array_sort(F.collect_list(F.struct("start", "kind", "owners", "repositories"))).alias("ownership"),
     )
     base = F.filter(F.transform("found", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["kind"].alias("kind"))), lambda m: m["kind"] < 3)
     none = F.expr("cast(array() as array<struct<start:int,end:int,kind:int>>)")
+    unowned = F.expr("cast(array() as array<struct<start:int,kind:int,owners:bigint,repositories:bigint>>)")
     out = rows.join(per_row, "row", "left")
-    return out.select("doc_id", "text_hash", base.alias("base"), F.coalesce("added", none).alias("added"), F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"))
+    return out.select(
+        "doc_id", "text_hash", base.alias("base"), F.coalesce("added", none).alias("added"), F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"), F.coalesce("ownership", unowned).alias("ownership")
+    )
 
 
 def _of_documents(docs: DataFrame) -> DataFrame:
@@ -101,17 +116,19 @@ def joined(spans: Column) -> Column:
 
 
 def secret_spans(docs: DataFrame) -> DataFrame:
-    """The contract's columns; the owner is the source, its repositories are its languages."""
+    """The contract's columns; the owner is the source, its repositories are its languages. ownership: start:owners:repositories of
+    every value, by start and kind."""
     s = scan(_of_documents(docs))
     count = lambda k: F.size(F.filter("base", lambda m: m["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
-    return s.select("doc_id", count(0), count(1), count(2), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"), "n_live", "n_copied")
+    owned = F.array_join(F.transform("ownership", lambda m: F.concat_ws(":", m["start"].cast("string"), m["owners"].cast("string"), m["repositories"].cast("string"))), ",")
+    return s.select("doc_id", count(0), count(1), count(2), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"), "n_live", "n_copied", owned.alias("ownership"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with base and live spans replaced, and n_chars set anew where something was. Only rows with findings are joined."""
     p, text = free_prefix(docs), F.coalesce("text", F.lit(""))
     hit, at, out = f"{p}hit", f"{p}at", f"{p}out"
-    marked = docs.withColumn(hit, text.rlike(ASSIGN) | text.rlike(CANDIDATE) | text.rlike(ACCESS) | text.rlike(HEX))
+    marked = docs.withColumn(hit, text.rlike(CANDIDATE) | text.rlike(ASSIGN))  # every access and hex span is in a candidate's run
     clean, found = marked.where(~F.col(hit)).drop(hit), marked.where(hit).drop(hit)
     s = scan(_of_documents(docs)).select(F.col("doc_id").alias(f"{p}id"), F.col("text_hash").alias(f"{p}hash"), F.array_sort(F.concat("base", "added")).alias(f"{p}spans"))
     s = s.where(F.size(f"{p}spans") > 0).dropDuplicates([f"{p}id", f"{p}hash"])

@@ -35,6 +35,36 @@ def test_ownership_tells_live_from_copied(odd):
     assert own[10].spans == own[11].spans == own[12].spans == "" and own[12].n_copied == 1  # three owners have it
 
 
+def test_repositories_count_besides_owners(spark):
+    """Of one owner's values, that in many repositories is copied, however few owners it has."""
+    key = "value_A1b2C3d4E5f6G7h8"
+    rows = [(i, f"see {key}{i % 2} end", f"o{i % 2}", f"r{i % 6 if i % 2 else 0}") for i in range(12)]
+    got = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, owner string, repository string")).collect()}
+    assert [got[i].n_live for i in (0, 1)] == [1, 1]
+    assert (got[0].ownership[0].owners, got[0].ownership[0].repositories) == (1, 1) and got[1].ownership[0].repositories == 3
+    strict = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, owner string, repository string"), max_repositories=2).collect()}
+    assert [strict[i].n_live for i in (0, 1)] == [1, 0] and not strict[1].added and strict[0].added
+
+
+def test_a_hot_value_is_split(spark):
+    """Half of all rows hold one value: the join of its occurrences with the counts is dealt to several tasks."""
+    df = spark.range(40_000).selectExpr("id AS doc_id", "concat('key ', if(id % 2 = 0, 'HOT0value0of0many0', concat('own', id, 'value', id * 7919, 'xyz'))) AS text", "'o' AS owner", "'r' AS repository")
+    keys = {"shuffle.partitions": "32", "adaptive.skewJoin.skewedPartitionFactor": "1.5", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k", "adaptive.advisoryPartitionSizeInBytes": "10k", "autoBroadcastJoinThreshold": "-1", "adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(f"spark.sql.{k}") for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        out = secrets.scan(df.repartition(16))
+        n = {r.n_live: r["count"] for r in out.groupBy("n_live").count().collect()}
+        q = out.groupBy("n_live").count()
+        q.collect()
+        plan = q._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+    assert n == {1: 40_000} and "skew" in plan
+
+
 def test_redact(odd, nothing):
     got = secrets.redact(odd)
     assert got.columns == odd.columns
