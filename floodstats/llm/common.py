@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import shared_dir
 from ..functions.ship import ship
 
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -19,40 +20,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (where it is unset, as in tests) a temporary one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = getattr(spark.sparkContext, "_own_checkpoint_dir", None)
-        if path is None:
-            path = tempfile.mkdtemp(prefix="floodstats-")
-            spark.sparkContext._own_checkpoint_dir = path
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
-    return path
+_scopes: list[list[str]] = []
 
 
 def stash(df: DataFrame) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it back, which cuts the lineage.
+    """Writes df as a Parquet table in the shared folder and reads it back, which cuts the lineage and any claim to a partitioning.
 
     An executor's loss after this costs no more than reading the table again. What is returned may be read at any later time, so
-    the table stays; it lies in the application's own folder there, to be deleted when the application has ended.
+    the table stays, in the application's own folder there, unless it is made within `scratch`.
     """
     spark = df.sparkSession
     ship(spark)
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    ship(df.sparkSession)
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables stashed within are deleted at its end, but for those whose paths are taken out of the list that it gives."""
+    own: list[str] = []
+    _scopes.append(own)
+    try:
+        yield own
+    finally:
+        _scopes.remove(own)
+        delete(spark, own)
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Rows of an Arrow batch hold texts here, and both sides keep whole batches: 10,000 by default, 1,000 at most from now on."""
+    """Rows of an Arrow batch hold texts here, and both sides keep whole batches: 10,000 by default, 1,000 at most from now on.
+    Spark reads the setting when it runs a plan, so it can't be bound to one; README names it."""
     ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= 1000:
@@ -94,26 +100,36 @@ def utf8(column: pa.Array) -> list[bytes]:
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node, component) of all nodes of edges (a long, b long); component: the smallest node reachable.
 
-    Alternates large and small stars until nothing changes; every node then points at its component's smallest node.
-    A round's edges go to the shared folder, and only their number and checksum come to the driver.
+    Alternates large and small stars until a round changes no row; every node then points at its component's smallest node.
+    A round's edges and the least neighbours go to the shared folder, so a node with very many links is a large partition of
+    two plain exchanges, which adaptive execution splits. Only counts come to the driver.
     """
+    spark, paths = edges.sparkSession, []
 
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
+    def kept(df: DataFrame) -> DataFrame:
+        with scratch(spark) as own:
+            out = stash(df)
+            paths.append(own.pop())
+        return out
 
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e = checkpointed(e)
-    now = state(e)
+    e = kept(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    n = e.count()
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        e = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = e.groupBy("a").agg(F.min("b").alias("m"))
-        e = e.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = checkpointed(e.union(least.select("a", F.col("m").alias("b"))).distinct())
-        before, now = now, state(e)
-        if now == before:
+        least = kept(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        large = kept(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        least = kept(large.groupBy("a").agg(F.min("b").alias("m")))
+        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        new = kept(small.union(least.select("a", F.col("m").alias("b"))).distinct())
+        before, n = n, new.count()
+        settled = n == before and new.join(e, ["a", "b"], "left_anti").isEmpty()
+        e = new
+        delete(spark, paths[:-1])
+        del paths[:-1]
+        if settled:
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    if _scopes:
+        _scopes[-1].append(paths[0])
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select("b", "b")).distinct()

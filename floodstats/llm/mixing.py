@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, free_prefix, stash, with_columns
+from .common import free_prefix, stash, with_columns
 
 DIMS = ("source", "lang", "topic")
 MAX_CELLS, ROUNDS = 100_000, 40
@@ -111,13 +111,13 @@ def weights(cells: DataFrame, keep: float, power: float, max_cells: int = MAX_CE
         t = cells.groupBy(d).agg(t.alias("t"))
         if own is not None and total and not t.agg(F.sum("t")).first()[0]:
             raise ValueError(f"no {d} with a share has tokens")
-        aims[d] = checkpointed(t.select(d, (F.col("t") * total / t.agg(F.sum("t")).first()[0]).alias("t")))
+        aims[d] = stash(t.select(d, (F.col("t") * total / t.agg(F.sum("t")).first()[0]).alias("t")))
     for _ in range(rounds):
         for d in DIMS:
             have = w.groupBy(d).agg(F.sum("w").alias("have")).join(aims[d], d).select(d, F.when(F.col("have") > 0, F.col("t") / F.col("have")).otherwise(1.0).alias("f"))
             w = w.join(have, d).withColumn("w", F.col("w") * F.col("f")).drop("f")
-        w = checkpointed(w)
-    w = checkpointed(w.withColumn("weight", F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(1.0)))
+        w = stash(w)
+    w = stash(w.withColumn("weight", F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(1.0)))
     low, high = 1e-9, 1e9
     for _ in range(4):
         grid = np.geomspace(low, high, 65)
@@ -137,7 +137,7 @@ def drawn(docs: DataFrame, keep: float = 0.5, power: float = 0.5, seed: int = 7,
     """(doc_id, source, lang, topic, n_tokens, weight, probability, sampled, expected, copies) of every row."""
     own = stash(measured(docs))
     cells = own.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens"))
-    w, few = weights(checkpointed(cells), keep, power, max_cells, targets=targets)
+    w, few = weights(stash(cells), keep, power, max_cells, targets=targets)
     out = own.join(F.broadcast(w) if few else w, list(DIMS))
     u = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
     return out.select("doc_id", *DIMS, "n_tokens", "weight", "probability", (u < F.col("probability")).alias("sampled"), "expected", _copies(F.col("expected"), u).alias("copies"))
@@ -146,7 +146,7 @@ def drawn(docs: DataFrame, keep: float = 0.5, power: float = 0.5, seed: int = 7,
 def mix(docs: DataFrame, keep: float = 0.9, power: float = 0.9, seed: int = 7, repeats: bool = False, targets: Targets = None) -> DataFrame:
     """The drawn rows of docs, with its columns; with `repeats` as often as they have copies. Documents are not joined with themselves but meet their cell's weight alone."""
     p, text, columns = free_prefix(docs), F.coalesce(F.col("text").cast("string"), F.lit("")), [F.col(f"`{c}`") for c in docs.columns]
-    w, few = weights(checkpointed(measured(docs).groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens"))), keep, power, targets=targets)
+    w, few = weights(stash(measured(docs).groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens"))), keep, power, targets=targets)
     w = w.select(*[F.col(d).alias(f"{p}{d}") for d in DIMS], F.col("expected" if repeats else "probability").alias(f"{p}p"))
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("")
     own = {f"{p}s": name("source"), f"{p}l": name("lang"), f"{p}t": topic(text)}

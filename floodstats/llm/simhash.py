@@ -9,8 +9,10 @@ Equal fingerprints are one node from the start. Under a key, links are found aga
 forest of them leaves a task, so a group of n near copies gives about n rows and not n². A key with more than
 CELL fingerprints is cut into chunks, and each pair of chunks is a cell of its own: memory stays bounded and no link is lost.
 
-Nulls: a null text is empty. Empty texts have fingerprint zero and link like any other. Rows with a null id are kept; they
-take the component of their fingerprint, null if no row with an id has it. Repeated rows share fingerprint and component.
+Nulls: a null text is empty. Empty texts have fingerprint zero and link like any other. Rows with a null id are kept and link
+others; they take the component of their fingerprint, null if it holds no id at all. Repeated rows, ties and equal ids with
+different texts each go by their own fingerprint. Long texts are hashed whole. Only doc_id and text are read, so extra columns
+of any name don't matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, checkpointed, components, free_prefix, rows_of, stash, utf8, with_columns
+from .common import ASCII_LOWER, components, free_prefix, rows_of, stash, utf8, with_columns
 from .shingles import LEAST, jaccard_components
 
 CELL = 16384
@@ -48,30 +50,13 @@ def shingle_hash(text: bytes, size: int = 4, seed: int = 42) -> list[int]:
     return [int(_majority(np.array(h, "<u8")))]
 
 
-def word_set_hash(text: bytes, words: int = 8) -> list[int]:
-    """Several words: the set of distinct lower-cased words, hashed anew for each. Changing a word changes one feature
-    here but five shingles, so pairs that share 0.8 of their five-word shingles differ in few bits."""
-    features = set(text.translate(ASCII_LOWER).split())
-    if not features:
-        return [0] * words
-    h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in features), np.uint64, len(features))
-    out = []
-    for i in range(1, words + 1):
-        z = h * np.uint64((0x9E3779B97F4A7C15 * (2 * i + 1) | 1) % 2**64)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        out.append(int(_majority(z ^ (z >> np.uint64(31)))))
-    return out
-
-
-def fingerprints(df: DataFrame, kind: str = "shingles", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp array<long>) of every row."""
-    of = {"shingles": shingle_hash, "words": word_set_hash}[kind]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows_of(batches):
             with np.errstate(over="ignore"):
-                fp = np.array([of(t) for t in utf8(b.column(1))], np.uint64).view(np.int64)
+                fp = np.array([shingle_hash(t) for t in utf8(b.column(1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(fp), pa.list_(pa.int64()))], names=["doc_id", "fp"])
 
     return with_columns(df, **{id_col: "long", text_col: "string"}).mapInArrow(run, "doc_id long, fp array<long>")
@@ -162,36 +147,41 @@ def near_components(fps: DataFrame, width: int = 1, word_bits: int = 4, bits: in
 
     Two fingerprints link if some of their words differ in at most word_bits bits and the whole in at most bits.
     """
-    node = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    linked = node.where("node is not null")
+    node = stash(fps.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()))
+    linked = node.select("node", "fp")
     n = linked.count()
     masks = _choices(blocks_for(n, word_bits), word_bits)
     keys = F.array(*[F.xxhash64(F.lit(w * 1000 + i), F.expr(f"fp[{w}]").bitwiseAND(F.lit(m if m < 2**63 else m - 2**64))) for w in range(width) for i, m in enumerate(masks)])
     keyed = linked.select("node", F.explode(keys).alias("key"))
-    met = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = stash(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))  # so that a hot key is a plain exchange on both sides, and split
     cells = keyed.join(met, "key").withColumn("t", F.ceil(F.col("n") / cell).cast("int")).withColumn("c", F.pmod(F.xxhash64("node"), F.col("t")).cast("int"))
     cells = cells.select("key", "node", "c", F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("x"))
     cells = cells.select("key", F.least("c", "x").alias("i"), F.greatest("c", "x").alias("j"), "node")
     cells = cells.join(linked, "node").select("key", "i", "j", "node", "fp")
     edges = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_linker(width, bits), "a long, b long")
     found = components(edges)
-    label = node.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    whole = node.join(found, "node", "left").select("fp", "least", F.coalesce("component", "node").alias("component"))
+    first = stash(whole.groupBy("component").agg(F.min("least").alias("component_id")))
+    label = stash(whole.join(first, "component").select("fp", "component_id"))
     return fps.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
 def simhash_components(df: DataFrame) -> DataFrame:
     """Four-word shingles, one 64-bit word, links at 4 or fewer bits: (doc_id, fingerprint, component_id)."""
-    out = near_components(stash(fingerprints(df, "shingles")))
+    out = near_components(stash(fingerprints(df)))
     return out.select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def dedup_near(df: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
-    """Keeps of each group of near copies the row with the smallest id (of repeated rows of that id, all).
+    """Keeps of each group of near copies the row with the smallest id (of rows with that id all).
 
     Near copies share `least` (a fraction, 4/5) or more of the distinct five-word shingles of both; groups are what such links
-    connect, and all links are found and verified (see `shingles`). Rows with a null id are kept.
+    connect, and all links are found and verified (see `shingles`): fingerprints of 64 bits don't tell these pairs from others,
+    so they are no candidates here. A row goes by its id and its text, so an id that stands for several texts loses only those in
+    a group with a smaller id. Rows with a null id take no part and are kept.
     """
     found = jaccard_components(df, least)
-    other = f"{free_prefix(df)}id"
-    drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias(other)).distinct()
-    return df.join(drop, F.col("doc_id") == F.col(other), "left_anti")
+    p = free_prefix(df)
+    drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias(f"{p}id"), F.col("text_hash").alias(f"{p}hash")).distinct()
+    same = (F.col("doc_id").cast("long") == F.col(f"{p}id")) & (F.xxhash64(F.col("text").cast("string")) == F.col(f"{p}hash"))
+    return df.join(drop, same, "left_anti")

@@ -1,7 +1,8 @@
 import corpus_pipeline as P
 import pytest
 from conftest import SF
-from floodstats.llm import common, quality, secrets, simhash
+from floodstats.llm import common, quality, secrets
+from test_shingles import brute
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -23,8 +24,8 @@ def test_each_stage_does_what_its_operator_says(spark, stages, docs, labels):
     good, one, clean, mixed, packed = stages
     assert all(s.columns == COLUMNS for s in stages[:-1])
     assert ids(good) == {r.doc_id for r in quality.quality_scores(docs, labels).where("predicted = 1").collect()}
-    groups = simhash.near_components(simhash.fingerprints(good, "words"), width=8, word_bits=3, bits=49)
-    assert ids(one) == {r.doc_id for r in groups.where("doc_id = component_id").collect()}
+    groups = brute({r.doc_id: r.text for r in good.collect()})
+    assert ids(one) == {i for i, first in groups.items() if i == first}
     assert ids(clean) == ids(one)
     spans = {r.doc_id: r.spans for r in secrets.secret_spans(one).collect()}
     before = {r.doc_id: r.text for r in one.collect()}
@@ -42,9 +43,20 @@ def test_run_gives_the_same(spark, stages):
 @pytest.mark.parametrize("which", ["odd", "nothing"])
 def test_stages_of_odd_rows(spark, which, request):
     df = request.getfixturevalue(which)
+    before, seen = df.count(), []
     for name, f in P.STAGES:
         columns = df.columns
         df = common.stash(f(spark, df, SF))
+        seen.append(df)
         if name != P.STAGES[-1][0]:
             assert df.columns == columns
-    assert df.count() == 0 if which == "nothing" else df.count() >= 0
+    good, one, clean, mixed, packed = seen
+    assert one.count() == clean.count() <= good.count() <= before
+    kept = {r.doc_id for r in one.collect()}
+    assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in mixed.collect()} <= kept
+    if which == "nothing":
+        assert packed.count() == 0
+    else:
+        texts = {r.doc_id: r.text for r in good.where("doc_id is not null").collect()}
+        assert kept - {None} == {i for i, first in brute(texts).items() if i == first}
+        assert (None in kept) == bool(good.where("doc_id is null").count())

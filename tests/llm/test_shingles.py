@@ -28,12 +28,13 @@ def brute(texts):
     return {i: find(i) for i in ids}
 
 
-def got(spark, texts):
+def got(spark, texts, cell=shingles.CELL):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    return {r.doc_id: r.component_id for r in shingles.jaccard_components(df).collect()}
+    return {r.doc_id: r.component_id for r in shingles.jaccard_components(df, cell=cell).collect()}
 
 
-def test_links_against_brute_force(spark, texts):
+@pytest.mark.parametrize("cell", [7, shingles.CELL])
+def test_links_against_brute_force(spark, texts, cell):
     """Real texts, scattered and contiguous edits of every extent around 0.8, and a hot group next to texts that share its passage."""
     r = np.random.default_rng(2)
     say = lambda n: r.choice(WORDS, n).tolist()
@@ -50,7 +51,22 @@ def test_links_against_brute_force(spark, texts):
     for i in range(70):
         rows += [" ".join([*hot[:i % 60], f"c{i}", *hot[i % 60 + 1 :]]), " ".join(hot + say(30))]
     rows = dict(enumerate([*rows, "", " ", "A b c", "a B c"]))
-    assert got(spark, rows) == brute(rows)
+    assert got(spark, rows, cell) == brute(rows)
+
+
+def test_runs_that_span_batches():
+    import pyarrow as pa
+
+    r = np.random.default_rng(5)
+    rows = np.sort(r.integers(0, 9, 300) * 100 + r.integers(0, 4, 300))
+    cols = [rows // 100, rows % 100, np.arange(300)]
+    edges = [0, 1, 2, 40, 41, 41, 150, 299, 300]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[a:b]) for c in cols], names=list("abc")) for a, b in zip(edges, edges[1:])]
+    for by in (1, 2):
+        parts = list(shingles._runs(iter(batches), by))
+        assert (np.concatenate([p[2] for p in parts]) == cols[2]).all()
+        seen = [set(zip(*(c.tolist() for c in p[:by]))) for p in parts]
+        assert all(a.isdisjoint(b) for i, a in enumerate(seen) for b in seen[i + 1 :])
 
 
 def linked(spark, edit, n, trials=20):

@@ -46,6 +46,19 @@ def test_odd_rows(odd, nothing):
     assert simhash.simhash_components(nothing).count() == 0
 
 
+def test_rows_without_an_id_link_others(spark):
+    rows = [(1, [0]), (None, [0b1111]), (2, [0b11111111]), (None, [-1]), (5, [-1]), (9, [0x5555 << 40]), (None, [0x5AAAA << 20])]
+    got = sorted(((r.doc_id, r.component_id) for r in simhash.near_components(spark.createDataFrame(rows, "doc_id long, fp array<long>")).collect()), key=str)
+    assert got == sorted([(1, 1), (None, 1), (2, 1), (None, 5), (5, 5), (9, 9), (None, None)], key=str)
+
+
+def test_an_id_with_several_texts_loses_none_that_is_unique(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a), (7, a), (7, b), (7, b), (8, c), (8, b + " more"), (None, a)]
+    kept = simhash.dedup_near(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(1, a), (7, b), (7, b), (8, c), (None, a)], key=str)
+
+
 @pytest.mark.parametrize("cell", [4, 16384])
 def test_hot_group_of_near_fingerprints(spark, cell):
     """A chain of near fingerprints under one key, in many cells, stays one component and makes few links."""
@@ -99,6 +112,36 @@ def test_near_copies_go_and_others_stay(spark):
     assert kept.columns == df.columns and sorted(x.doc_id for x in kept.collect()) == [*range(40), 70]
 
 
+def test_components_of_a_hub_and_of_swapped_rows(spark):
+    """Hubs with the least and with the greatest id, and rounds that change rows without changing their number."""
+    edges = [(0, i) for i in range(1, 400)] + [(10_000, 1000 + i) for i in range(400)] + [(5000 + i, 5000 + (i * 7 + 3) % 50) for i in range(50)]
+    root = {}
+
+    def find(i):
+        while root.setdefault(i, i) != i:
+            i = root[i]
+        return i
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    got = {r.node: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: find(i) for i in root if any(i in e and e[0] != e[1] for e in edges)}
+
+
+def test_tables_of_a_scope_go(spark):
+    from floodstats.sources.sinks import exists
+
+    with common.scratch(spark) as own:
+        df = common.stash(spark.range(3).toDF("a"))
+        other = common.stash(spark.range(3).toDF("a"))
+        path = own.pop()
+        assert exists(spark, own[0]) and exists(spark, path)
+        gone = own[0]
+    assert not exists(spark, gone) and other.count() == 3 and df.columns == ["a"]
+    common.delete(spark, [path])
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (103, 101), (7, 7), (200, 150)]
     got = {r.node: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
