@@ -2,7 +2,9 @@
 
 The maximum-likelihood estimates are mixed by weights that depend on how often the context occurs (buckets of powers of
 two). The weights are learned by expectation-maximisation on held-out counts: one training document in ten is deleted
-from the counts, and its tokens are what the mixture must explain.
+from the counts, and its tokens are what the mixture must explain. A first fit on the driver takes the estimates in steps of a
+quarter octave, a bounded table; from there on each round is an aggregate over the exact counts, until no weight moves by
+more than SETTLED or for ROUNDS rounds.
 
 Counting and looking up are one round trip. Documents are gathered into chunks; a chunk sends its distinct word and bigram
 keys, sorted and packed, to the key ranges they belong to, and gets the corpus's counts back in the same order. So a word that
@@ -10,7 +12,9 @@ is in every text is one key per chunk, nothing is broadcast, and what moves is a
 Words are 64-bit hashes (exact but for collisions), bigrams 48-bit ones.
 
 Nulls: a null text is empty, that is one end token. A null id counts as the text '', whose remainder is 0: held out. Repeated
-rows count as often as they occur. Without training documents N and V are 0 and every token has the floor's probability.
+rows count as often as they occur. Without training documents N and V are 0 and every token has the floor's probability. Texts of
+any length are counted whole; of words that tie in count none is preferred. Columns other than doc_id and text aren't read, so
+extra ones of any name don't matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,8 +33,12 @@ from .common import ASCII_LOWER, rows_of, stash, utf8, with_columns
 
 CHUNK_BYTES, PART_TOKENS = 6 << 20, 1_000_000
 BUCKETS = 24
-#: Steps of an octave in which the weights' fit distinguishes probabilities.
+#: Steps of an octave in which the weights' first fit distinguishes probabilities.
 FINE = 4
+#: Rounds of the exact fit at most, and the greatest change of a weight at which it ends.
+ROUNDS, SETTLED = 40, 1e-6
+#: The least weight of each part, as nothing that was seen may be impossible.
+LEAST = (1e-9, 1e-9, 1e-6)
 _LOWER = np.frombuffer(ASCII_LOWER, np.uint8)
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 _BYTES = np.random.default_rng(20240501).integers(0, 2**64, 256, dtype=np.uint64)
@@ -226,40 +234,68 @@ def _bucket(context: np.ndarray) -> np.ndarray:
     return np.minimum(np.where(context > 0, 1 + np.log2(np.maximum(context, 1)).astype(int), 0), BUCKETS - 1)
 
 
-def _held_out(total: int, begins: int):
-    """Of a deleted chunk: numbers of tokens by (bucket, bigram estimate, unigram estimate), both as steps of an octave."""
+HELD_OUT = "bucket int, pair long, context long, word long, n long"
+
+
+def _held_out(begins: int):
+    """Of a deleted chunk: numbers of tokens by bucket and the counts of the bigram, its context and the word among the others."""
 
     def run(_, chunk: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        names = [x.split()[0] for x in HELD_OUT.split(", ")]
         if not len(chunk):
-            return pd.DataFrame([], columns=["bucket", "p2", "p1", "n"])
+            return pd.DataFrame([], columns=names)
         row = next(chunk.itertuples())
         _, seq, n, _, at = _bigrams(row)
         words = _looked_up(answers, 0) - _looked_up(answers, 0, True)
         pairs = _looked_up(answers, 1) - _looked_up(answers, 1, True)
         c = _context(seq, n, words, begins)
-        step = lambda a, b: np.where(a > 0, np.round(FINE * np.log2(np.maximum(a, 1) / np.maximum(b, 1))), -999).astype(int)
-        got, k = np.unique(np.stack([_bucket(c), step(pairs[at], c), step(words[seq], total)]), axis=1, return_counts=True)
-        return pd.DataFrame({"bucket": got[0], "p2": got[1], "p1": got[2], "n": k})
+        got = pd.DataFrame({"bucket": _bucket(c), "pair": pairs[at], "context": c, "word": words[seq], "n": 1})
+        return got.groupby(names[:4], as_index=False)["n"].sum()
 
     return run
 
 
-def fit_weights(hist: np.ndarray, floor: float, rounds: int = 100) -> np.ndarray:
-    """hist: rows (bucket, p2, p1, n) -> weights[bucket] of bigram, unigram and floor. Buckets without tokens keep the start."""
+def _start() -> np.ndarray:
     weights = np.tile([0.5, 0.4, 0.1], (BUCKETS, 1))
     weights[0] = [0.0, 0.9, 0.1]
-    for k in range(BUCKETS):
-        h = hist[hist[:, 0] == k]
-        if not len(h):
-            continue
-        p = np.stack([np.where(h[:, 1] > -999, 2.0 ** (h[:, 1] / FINE), 0), np.where(h[:, 2] > -999, 2.0 ** (h[:, 2] / FINE), 0), np.full(len(h), floor)], 1)
-        w = weights[k]
-        for _ in range(rounds):
-            part = p * w
-            w = ((part / part.sum(1, keepdims=True)) * h[:, 3:4]).sum(0) / h[:, 3].sum()
-            w = np.maximum(w, [0 if k == 0 else 1e-9, 1e-9, 1e-6])
-            w /= w.sum()
-        weights[k] = w
+    return weights
+
+
+def _bounded(w: np.ndarray) -> np.ndarray:
+    """Shares of a bucket's tokens as weights; an unseen context has no bigram."""
+    w = np.maximum(w, [LEAST * np.array([0, 1, 1]) if k == 0 else LEAST for k in range(BUCKETS)])
+    return w / w.sum(1, keepdims=True)
+
+
+def fit_weights(hist: np.ndarray, floor: float, rounds: int = 100) -> np.ndarray:
+    """hist: rows (bucket, p2, p1, n), p2 and p1 in steps of an octave -> weights[bucket] of bigram, unigram and floor. Buckets
+    without tokens keep the start."""
+    weights = _start()
+    p = [np.where(hist[:, i] > -999, 2.0 ** (hist[:, i] / FINE), 0) for i in (1, 2)]
+    p = np.stack([*p, np.full(len(hist), floor)], 1)
+    k, n = hist[:, 0].astype(int), hist[:, 3]
+    total = np.bincount(k, n, BUCKETS)
+    for _ in range(rounds):
+        part = p * weights[k]
+        part *= (n / part.sum(1))[:, None]
+        sums = np.stack([np.bincount(k, c, BUCKETS) for c in part.T], 1)
+        weights = np.where(total[:, None] > 0, _bounded(sums / np.maximum(total, 1)[:, None]), weights)
+    return weights
+
+
+def fit_exactly(counts: DataFrame, weights: np.ndarray, total: int, floor: float, rounds: int = ROUNDS) -> np.ndarray:
+    """counts: HELD_OUT. A round sums each part's share of the tokens by bucket; only these sums come to the driver."""
+    for _ in range(rounds):
+        lam = [F.get(F.array(*[F.lit(float(x)) for x in weights[:, i]]), F.col("bucket")) for i in range(3)]
+        parts = [lam[0] * F.when(F.col("context") > 0, F.col("pair") / F.col("context")).otherwise(0.0), lam[1] * (F.col("word") / F.lit(float(max(total, 1)))), lam[2] * F.lit(floor)]
+        named = counts.select("bucket", "n", *[c.alias(f"p{i}") for i, c in enumerate(parts)]).withColumn("all", F.col("p0") + F.col("p1") + F.col("p2"))
+        got = np.array(named.groupBy("bucket").agg(F.sum("n"), *[F.sum(F.col("n") * F.col(f"p{i}") / F.col("all")) for i in range(3)]).collect(), float).reshape(-1, 5)
+        new = weights.copy()
+        new[got[:, 0].astype(int)] = got[:, 2:] / got[:, 1:2]
+        new = np.where(np.isin(np.arange(BUCKETS), got[:, 0])[:, None], _bounded(new), weights)
+        moved, weights = np.abs(new - weights).max(initial=0), new
+        if moved <= SETTLED:
+            break
     return weights
 
 
@@ -299,7 +335,11 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     answers = stash(asked.groupBy("part").applyInPandas(_answer, ANSWERS))
     vocabulary = answers.where("kind = 0").agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
     of = lambda f: f.groupBy("chunk")
-    deleted = of(gathered.where("fold = 1")).cogroup(of(answers.where("fold = 1"))).applyInPandas(_held_out(count("n", 0), count("d", 0)), "bucket int, p2 int, p1 int, n long")
-    hist = np.array(deleted.groupBy("bucket", "p2", "p1").agg(F.sum("n")).collect(), float).reshape(-1, 4)  # bounded by the steps
-    weights = fit_weights(hist, 1 / (vocabulary + 1))
+    deleted = of(gathered.where("fold = 1")).cogroup(of(answers.where("fold = 1"))).applyInPandas(_held_out(count("d", 0)), HELD_OUT)
+    counts = stash(deleted.groupBy("bucket", "pair", "context", "word").agg(F.sum("n").alias("n")))
+    floor, rest = 1 / (vocabulary + 1), count("n", 0)
+    step = lambda a, b: F.when(a > 0, F.round(FINE * F.log2(a / b))).otherwise(-999.0)
+    coarse = counts.groupBy("bucket", step(F.col("pair"), F.col("context")).alias("p2"), step(F.col("word"), F.lit(float(max(rest, 1)))).alias("p1")).agg(F.sum("n").alias("n"))
+    hist = np.array(coarse.collect(), float).reshape(-1, 4)  # bounded by the steps
+    weights = fit_exactly(counts, fit_weights(hist, floor), rest, floor)
     return of(gathered).cogroup(of(answers)).applyInPandas(_scorer(count("n", 0, 1), vocabulary, count("d", 0, 1), weights), SCORES)
