@@ -73,7 +73,8 @@ def test_marginals_meet_their_targets(spark, docs):
     for d in mixing.DIMS:
         have = mass.groupby(rows[d]).sum()
         want = rows.n_tokens.groupby(rows[d]).sum() ** 0.5
-        assert np.allclose(have, want / want.sum() * total, rtol=0.02)
+        assert np.allclose(have, want / want.sum() * total, rtol=1e-8)
+    assert rows.miss.max() <= mixing.TOLERANCE
     expected = (rows.n_tokens * rows.probability).sum()
     assert expected == pytest.approx(0.5 * total, rel=1e-3) and rows.probability.between(0, 1).all()
     assert rows[rows.probability == 1].sampled.all()
@@ -87,7 +88,8 @@ def test_rake_against_plain_loops():
     idx = np.indices(mass.shape).reshape(3, -1)
     targets = [r.random(n) + 0.5 for n in mass.shape]
     targets = [t / t.sum() * mass.sum() for t in targets]
-    got = mixing.rake(mass.ravel(), list(idx), targets, 200)
+    got, miss = mixing.rake(mass.ravel(), list(idx), targets, 200, 0)
+    assert miss < 1e-12
     want = mass.copy()
     for _ in range(200):
         for a, t in enumerate(targets):
@@ -98,11 +100,31 @@ def test_rake_against_plain_loops():
 
 def test_many_cells_give_the_same_weights(spark, docs):
     cells = mixing.measured(docs).groupBy(*mixing.DIMS).agg(F.sum("n_tokens").alias("tokens"))
-    few, one = mixing.weights(cells, 0.5, 0.7, rounds=3)
-    many, two = mixing.weights(cells, 0.5, 0.7, max_cells=0, rounds=3)
+    few, one = mixing.weights(cells, 0.5, 0.7)
+    many, two = mixing.weights(cells, 0.5, 0.7, max_cells=0)
     assert one and not two
     both = few.toPandas().merge(many.toPandas(), on=list(mixing.DIMS))
-    assert len(both) == cells.count() and np.allclose(both.weight_x, both.weight_y) and np.allclose(both.probability_x, both.probability_y, rtol=1e-3)
+    assert len(both) == cells.count() and both.miss_x.max() <= mixing.TOLERANCE and both.miss_y.max() <= mixing.FAR_TOLERANCE
+    for c in ("weight", "probability", "expected"):
+        assert np.allclose(both[f"{c}_x"], both[f"{c}_y"], rtol=1e-5), c
+
+
+def test_targets_that_cannot_be_met_are_reported(spark):
+    rows = [("a", "en", "prose", 10), ("b", "de", "prose", 10)]  # each source has one language alone
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    aim = {"source": {"a": 3, "b": 1}, "lang": {"en": 1, "de": 1}}
+    assert mixing.weights(cells, 0.5, 1.0, targets=aim)[0].first().miss > 0.3
+    assert mixing.weights(cells, 0.5, 1.0, targets={"source": {"a": 3, "b": 1}, "lang": {"en": 3, "de": 1}})[0].first().miss < 1e-9
+
+
+def test_topics_as_a_column_or_by_rules(spark):
+    rows = [(i, "see chapter one" if i % 3 else "a recipe of soup", "en", "s", "t" if i % 2 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, topic string")
+    assert {r.topic for r in mixing.drawn(df).collect()} == {"t", ""}
+    own = mixing.drawn(df.drop("topic"), keep=1.0, rules=(("food", "recipe|soup"),), targets={"topic": {"food": 1, "prose": 1}}).toPandas()
+    mass = (own.n_tokens * own.expected).groupby(own.topic).sum()
+    assert mass["food"] == pytest.approx(mass["prose"]) and set(own.topic) == {"food", "prose"}
+    assert mixing.mix(df, targets={"topic": {"t": 1}}).where("topic is null").count() == 0
 
 
 def test_mixing_odd_rows(odd, nothing):
