@@ -5,11 +5,13 @@ at places that their content sets (`_cuts`). In scripts without spaces each code
 least RUN sentences and WORDS words from each sentence on, and that up to each, is hashed, lower-cased and with single spaces. A run
 that any earlier place holds too (in a document of a smaller id, or earlier in its own) is a repetition, and the sentences
 it covers are removed. A document sends each different hash once, as 16 bytes; the count and the smallest id of a hash are
-aggregated before the shuffle, and the join back is one that adaptive execution can split.
+aggregated before the shuffle and written, so that the join back is one of two plain exchanges, whose hot hash adaptive
+execution splits. Only texts with a repetition are cut into sentences a second time.
 
 Nulls: a null text is empty and stays null. Null ids are told apart by their text and come after all others. Of repeated rows
 with one id all keep what the first keeps. Texts of any length are processed whole; equal texts under several ids are
-emptied but for the first, if they are long enough for a run.
+emptied but for the first, if they are long enough for a run. Columns other than doc_id and text aren't read, so extra ones of
+any name don't matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -105,33 +107,43 @@ def _key(doc_id: Column, text: Column) -> Column:
     return F.coalesce(doc_id, F.lit(2**63 - 1) - F.pmod(F.xxhash64(text), F.lit(2**40)))
 
 
+FOUND = "key long, text_hash long, n_sentences long, inside boolean, hashes array<long>"
+
+
 def spans(keyed: DataFrame) -> DataFrame:
-    """keyed (key, text) -> (h, key), each hash once a row."""
+    """keyed (key, text_hash, text) -> its sentences, whether a run occurs twice inside, and the hashes of its runs, each once."""
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows_of(batches):
-            own = [np.fromiter({h for h, _, _ in runs(sentences(t or ""))}, np.int64) for t in b.column(1).to_pylist()]
-            keys = np.repeat(b.column(0).to_numpy(), [len(x) for x in own])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own) if own else np.zeros(0, np.int64)), pa.array(keys, pa.int64())], names=["h", "key"])
+            n, inside, own = [], [], []
+            for t in b.column(2).to_pylist():
+                units = sentences(t or "")
+                h = [x for x, _, _ in runs(units)]
+                distinct = np.unique(np.array(h, np.int64))
+                n.append(len(units)), inside.append(len(distinct) < len(h)), own.append(distinct)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(inside, pa.bool_()), pa.array(own, pa.list_(pa.int64()))], names=[x.split()[0] for x in FOUND.split(", ")])
 
-    return keyed.select("key", "text").mapInArrow(hashes, "h long, key long")
+    return keyed.select("key", "text_hash", "text").mapInArrow(run, FOUND)
 
 
 def dedup_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, text, n_sentences, n_removed, n_chars_removed) of every row."""
     own = with_columns(docs, doc_id="long", text="string")
-    keyed = own.withColumn("key", _key(F.col("doc_id"), F.col("text")))
+    keyed = own.withColumns({"key": _key(F.col("doc_id"), F.col("text")), "text_hash": F.xxhash64("text")})
     found = stash(spans(keyed))
-    first = found.groupBy("h").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = found.join(first, "h").where("key > first").groupBy("key").agg(F.collect_list("h").alias("again"))
-    both = keyed.join(again, "key", "left").select("doc_id", "text", "again")
+    each = found.select("key", "text_hash", F.explode("hashes").alias("h"))
+    first = stash(each.groupBy("h").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    again = each.join(first, "h").where("key > first").select("key", "text_hash", "h", F.lit(None).cast("long").alias("n_sentences"))
+    told = again.unionByName(found.select("key", "text_hash", F.lit(None).cast("long").alias("h"), F.when(~F.col("inside"), F.col("n_sentences")).alias("n_sentences")))
+    told = stash(told.groupBy("key", "text_hash").agg(F.collect_set("h").alias("again"), F.max("n_sentences").alias("n_sentences")))
+    both = keyed.join(told, ["key", "text_hash"], "left").select("doc_id", "text", "again", "n_sentences")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows_of(batches):
-            ids, texts, again = (c.to_pylist() for c in b.columns)
-            done = [without(t or "", set(a or ())) for t, a in zip(texts, again)]
+            ids, texts, again, n = (c.to_pylist() for c in b.columns)
+            done = [without(t or "", set(a or ())) if a or k is None else (t, k, 0) for t, a, k in zip(texts, again, n)]
             new = [None if t is None else d[0] for t, d in zip(texts, done)]
-            gone = [len(t or "") - len(d[0]) for t, d in zip(texts, done)]
+            gone = [len(t or "") - len(d[0] or "") for t, d in zip(texts, done)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(new, pa.string()), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int64()), pa.array(gone, pa.int64())], names=["doc_id", "text", "n_sentences", "n_removed", "n_chars_removed"])
 
     return both.mapInArrow(clean, "doc_id long, text string, n_sentences long, n_removed long, n_chars_removed long")

@@ -48,3 +48,37 @@ def texts(docs):
 @pytest.fixture(scope="session")
 def labels(spark):
     return spark.read.parquet(f"{SF}/labels.parquet")
+
+
+@pytest.fixture
+def small_skew(spark):
+    """Settings under which a hot key of a small table counts as skewed."""
+    keys = {"shuffle.partitions": "32", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k", "adaptive.skewJoin.skewedPartitionFactor": "1.5", "adaptive.advisoryPartitionSizeInBytes": "10k", "autoBroadcastJoinThreshold": "-1", "adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(f"spark.sql.{k}") for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(f"spark.sql.{k}", v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(f"spark.sql.{k}", v)
+
+
+@pytest.fixture
+def plans(spark):
+    """The final plans of all that runs meanwhile."""
+
+    class Seen:
+        def __init__(self):
+            self.first = self.last()
+
+        def last(self):
+            spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+            store = spark._jsparkSession.sharedState().statusStore()
+            n = store.executionsCount()
+            return n
+
+        def text(self):
+            store, n = spark._jsparkSession.sharedState().statusStore(), self.last()
+            every = store.executionsList(int(self.first), int(n - self.first))
+            return "\n".join(every.apply(i).physicalPlanDescription() for i in range(every.size()))
+
+    return Seen()

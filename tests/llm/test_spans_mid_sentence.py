@@ -37,3 +37,11 @@ def test_scripts_without_spaces():
         one, two = say(a, 33) + passage + say(a, 50), say(a, 41) + passage + say(a, 50)
         new = spans.without(two, {h for h, _, _ in spans.runs(spans.sentences(one))})[0]
         assert len(two) - len(new) > 0.6 * len(passage) and new.startswith(two[:30]) and new.endswith(two[-30:])
+
+
+def test_a_hot_run_is_split(spark, small_skew, plans):
+    """Half of all texts hold one passage: the join of its hashes with their first places is dealt to several tasks."""
+    common = "Here is the passage that all of them hold, in many words. It goes on for two more sentences of some length. Then it ends here with a last one."
+    df = spark.range(6000).selectExpr("id AS doc_id", f"concat('Own text number ', id, ' begins here with words. ', if(id % 2 = 0, '{common}', concat('Nothing of it ', id, ' is said in here at all. Nor is it said in ', id, ' there, or so it seems. The end of ', id, ' comes with a last few words of its own.'))) AS text").repartition(16)
+    got = {r.n_removed: r["count"] for r in spans.dedup_spans(df).groupBy("n_removed").count().collect()}
+    assert got == {0: 3001, 3: 2999} and "skew=true" in plans.text()
