@@ -7,14 +7,19 @@ order of place, eight hexadecimal digits each. Texts of under FEW symbols also h
 of them together: from 9 symbols on a text has an anchor, so near texts on either side of FEW share anchors.
 
 The document after each is found without a global sort: ids are cut at quantiles into buckets, the first rows of
-each bucket also go to the one before, and a window over each bucket looks one row ahead.
+each bucket also go to the one before, and a window over each bucket looks one row ahead. An id that holds more than one row in
+HOT (null may) is cut evenly by its texts' hashes too.
 
-Nulls: a null text is empty; null ids come first and are each other's next like repeated ids, which are ordered by text. Two
-texts without symbols have likeness 1, and a text with none to one with some 0. An only row is its own next.
+Nulls: a null text is empty; null ids come first and are each other's next like repeated ids, which are ordered by their texts'
+hashes; rows that repeat id and text stay together. Two texts without symbols have likeness 1, and a text with none to one with
+some 0. An only row is its own next. Texts of any length are fingerprinted whole. Columns other than doc_id and text aren't
+read, so extra ones of any name don't matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,8 +30,12 @@ K, S = 6, 2
 #: Symbols under which a text has hardly an anchor.
 FEW = 16
 UNSPACED = r"฀-໿က-႟ក-៿⺀-鿿豈-﫿\x{20000}-\x{3FFFF}"
-#: Rows of a bucket, and the most buckets; their bounds are in the plan.
-PER_BUCKET, MOST_BUCKETS = 2000, 65536
+#: Rows of a bucket, and the most buckets, as their bounds are in the plan (16 MB at most). So buckets grow from two thousand million
+#: rows on; a window needs no more memory for that, as it spills.
+PER_BUCKET, MOST_BUCKETS = 2000, 1 << 20
+#: One row in so many makes an id hot. There are no more such ids than this.
+HOT = 256
+_LEAST = -(2**63)
 
 
 def symbols(text: Column) -> Column:
@@ -79,30 +88,54 @@ def _longs(values: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
-def _bucket(key: Column, bounds: list[int]) -> Column:
-    """Index of the last bound that is at most key, looked up in two steps."""
+def _bucket(key: Column, tie: Column, bounds: list[tuple[int, int]]) -> Column:
+    """Index of the last bound that is at most (key, tie), looked up in two steps."""
     step = max(1, round(len(bounds) ** 0.5))
-    firsts, own = _longs(bounds[::step]), _longs(bounds)
+    if any(t != _LEAST for _, t in bounds):
+        own = F.arrays_zip(_longs([k for k, _ in bounds]).alias("k"), _longs([t for _, t in bounds]).alias("t"))
+        upto = lambda b: (b["k"] < key) | ((b["k"] == key) & (b["t"] <= tie))
+        firsts = F.arrays_zip(_longs([k for k, _ in bounds[::step]]).alias("k"), _longs([t for _, t in bounds[::step]]).alias("t"))
+    else:
+        own, firsts = _longs([k for k, _ in bounds]), _longs([k for k, _ in bounds[::step]])
+        upto = lambda b: b <= key
     part = lambda i: F.slice(own, (i - 1) * step + 1, F.lit(step))
-    return let(F.greatest(F.size(F.filter(firsts, lambda b: b <= key)), F.lit(1)), lambda i: (i - 1) * step + F.size(F.filter(part(i), lambda b: b <= key)) - 1)
-
-
-def with_next(df: DataFrame, columns: list[str], id_col: str = "doc_id", per_bucket: int = PER_BUCKET) -> DataFrame:
-    """Adds next_<column> of the row with the next id, the first row's after the last."""
-    key = F.coalesce(F.col(id_col), F.lit(-(2**63)))
-    ids = df.select(key.alias("key"))
-    n, least = ids.agg(F.count("*"), F.min("key")).first()
-    if not n:
+    return let(F.greatest(F.size(F.filter(firsts, upto)), F.lit(1)), lambda i: (i - 1) * step + F.size(F.filter(part(i), upto)) - 1)
+
+
+def _bounds(ids: DataFrame, per_bucket: int, hot: int) -> list[tuple[int, int]]:
+    """ids (key, tie) -> the least (key, tie) of each bucket."""
+    n, least = ids.agg(F.count("*"), F.min("key")).first()  # exact, as no quantile may be under it
+    many = min(MOST_BUCKETS, max(1, (n or 0) // per_bucket))
+    if many < 2:
+        return [(least, _LEAST)] if n else []
+    close = lambda k: min(20 * k, 4 * MOST_BUCKETS)
+    cuts = [max(least, c) for c in (least, *ids.agg(F.percentile_approx("key", [i / many for i in range(1, many)], close(many))).first()[0])]
+    times = Counter(cuts)
+    wide = [k for k, m in times.items() if m > max(1, many // hot)]
+    bounds = sorted({(k, _LEAST) for k in times} | {(k, _LEAST + i * 2**64 // times[k]) for k in wide for i in range(1, times[k])})
+    if not wide and max(map(abs, times)) < 2**53:  # quantiles are taken as doubles; these are ids that occur
+        return bounds
+    own = _bucket(F.col("key"), F.col("tie"), bounds)
+    firsts = ids.where(F.col("key") >= least).groupBy(own.alias("b")).agg(F.min(F.struct("key", "tie")).alias("f")).collect()  # a row for each bucket
+    return sorted({(r.f.key, r.f.tie) for r in firsts})
+
+
+def with_next(df: DataFrame, columns: list[str], id_col: str = "doc_id", per_bucket: int = PER_BUCKET, hot: int = HOT) -> DataFrame:
+    """Adds next_<column> of the row with the next id (among equal ids, the next hash of the text), the first row's after the last."""
+    key = F.coalesce(F.col(id_col), F.lit(_LEAST))
+    tie = F.xxhash64("text") if "text" in df.columns else F.xxhash64(*columns)
+    bounds = _bounds(df.select(key.alias("key"), tie.alias("tie")), per_bucket, hot)
+    if not bounds:
         return df.select("*", *[F.lit(None).cast(df.schema[c].dataType).alias(f"next_{c}") for c in columns])
-    many = min(MOST_BUCKETS, max(1, n // per_bucket))
-    cuts = ids.agg(F.percentile_approx("key", [i / many for i in range(1, many)], 20 * many)).first()[0] if many > 1 else []
-    bounds = sorted({least, *cuts})
-    keyed = df.withColumn("_key", key).withColumn("_own", _bucket(F.col("_key"), bounds).cast("int"))
-    is_first = F.col("_key") == F.get(_longs(bounds), F.col("_own"))
+    keyed = df.withColumns({"_key": key, "_tie": tie}).withColumn("_own", _bucket(F.col("_key"), F.col("_tie"), bounds).cast("int"))
+    bound = lambda i: F.get(_longs([b[i] for b in bounds]), F.col("_own"))
+    is_first = F.col("_key") == bound(0)
+    if any(t != _LEAST for _, t in bounds):
+        is_first &= F.col("_tie") == bound(1)
     before = F.when(F.col("_own") > 0, F.col("_own") - 1).otherwise(F.lit(len(bounds) - 1))
     places = F.when(is_first, F.array(F.struct(F.col("_own").alias("b"), F.lit(0).alias("g")), F.struct(before.alias("b"), F.lit(1).alias("g")))).otherwise(F.array(F.struct(F.col("_own").alias("b"), F.lit(0).alias("g"))))
-    dealt = keyed.select(*df.columns, "_key", F.explode(places).alias("_p")).select(*df.columns, "_key", F.col("_p.b").alias("_b"), F.col("_p.g").alias("_g"))
-    w = Window.partitionBy("_b").orderBy("_g", "_key", *([F.xxhash64("text")] if "text" in df.columns else []))
+    dealt = keyed.select(*df.columns, "_key", "_tie", F.explode(places).alias("_p")).select(*df.columns, "_key", "_tie", F.col("_p.b").alias("_b"), F.col("_p.g").alias("_g"))
+    w = Window.partitionBy("_b").orderBy("_g", "_key", "_tie")
     seen = dealt.select(*df.columns, "_g", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns])
     return seen.where("_g = 0").drop("_g")
 
