@@ -1,14 +1,18 @@
 """Language identification: averaged embeddings of hashed subwords with a linear softmax.
 
 Subwords are runs of one to four letters of the lower-cased text, word boundaries included, hashed into BUCKETS. Embeddings
-and softmax are trained together by stochastic gradient descent in numpy on at most MAX_ROWS documents (a documented bound,
-chosen by a hash of the id), each by its whole text; what comes to the driver are the counts of their buckets, not the texts. For prediction the embedding and the linear layer are multiplied
+and softmax are trained together by stochastic gradient descent in numpy on at most MAX_ROWS documents (a documented bound),
+each by its whole text; what comes to the driver are the counts of their buckets, not the texts. The sample is chosen by a hash of
+the id, and each language has the same share of it, EACH documents at least (so more than MAX_ROWS where there are over
+MAX_ROWS / EACH languages) or all that it has; so a rare language is learned too. For prediction the embedding and the linear layer are multiplied
 out, and a document's logits are the mean over all subwords of the whole text. A temperature fitted on a tenth that is not
 trained on calibrates the scores, and the same tenth gives the score below which a prediction is rejected.
 
 Nulls: text that is null or has no letter is `und` with score 0, and rejected. A null lang is not learned from, and of several rows with one id
 the least lang and text is. Rows with a
-null id are predicted, and held out or not by the text ''. Without anything to learn from, all is `und`.
+null id are predicted, and held out or not by the text ''. Without anything to learn from, all is `und`. An empty text has no letter.
+Of languages that score alike the first by name is predicted; repeated rows are predicted alike. Columns other than those named
+aren't read, so extra ones of any name don't matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,12 +22,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, rows_of, with_columns
+from .common import crc_mod, rows_of, stash, with_columns
 
-BUCKETS, DIM, MAX_ROWS = 1 << 15, 16, 4000
+BUCKETS, DIM, MAX_ROWS, EACH = 1 << 15, 16, 4000, 20
 _letter: np.ndarray | None = None
 
 
@@ -127,11 +131,23 @@ def fit(examples: list[tuple[np.ndarray, np.ndarray]], langs: list[str], epochs:
     return model
 
 
+def sampled(own: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """(doc_id) of as many documents of each lang, those of the least hashes. Counts tell the hash below which enough lie, so
+    only little more than the sample is sorted."""
+    one = own.groupBy("doc_id").agg(F.min("lang").alias("lang"))
+    n = one.groupBy("lang").agg(F.count("*").alias("n"))
+    langs = n.count()
+    quota = max(EACH, max_rows // max(1, langs))
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    near = one.join(n, "lang").withColumn("h", h).where(F.col("h") < F.lit(float(1 << 40)) * (2.0 * quota + 50) / F.col("n"))
+    return near.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("i") <= quota).select("doc_id")
+
+
 def train(docs: DataFrame, max_rows: int = MAX_ROWS) -> LanguageModel:
     """Learns from documents with a lang whose crc32(doc_id) mod 4 is not 2."""
     own = with_columns(docs, doc_id="long", text="string", lang="string").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod(F.col("doc_id"), 4) != 2))
-    ids = own.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = own.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("r")).select("doc_id", "r.*")
+    ids = stash(sampled(own.select("doc_id", "lang"), max_rows))
+    rows = own.join(F.broadcast(ids), own["doc_id"].eqNullSafe(ids["doc_id"])).select(own["doc_id"], "lang", "text").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("r")).select("doc_id", "r.*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows_of(batches):

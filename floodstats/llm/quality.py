@@ -6,6 +6,8 @@ documented bound, chosen by a hash of the id), flattened into arrays, and walked
 Nulls: a null text is empty; an empty text has the statistics 0 and gets a score like any other. Rows with a null id are
 scored and held out or not by the text ''. Labels that are null are not learned from; of several labels of a document the
 mean counts, 0.5 as 1, and of several texts with one id the least is learned from. Without labels, or with one class, every score is the prior (0.5 without any).
+Texts of any length are read whole; repeated rows and ties score alike. Columns other than doc_id, text and quality aren't read
+for a score, so extra ones of any name don't matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations

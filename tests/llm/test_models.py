@@ -74,3 +74,60 @@ def test_subwords_against_plain_loops():
             part = clean[i : i + size]
             n += " " not in part[1:-1] and any(c != " " for c in part)
     assert len(langid.subwords(text)) == n and len(langid.subwords("12 !")) == 0
+
+
+def test_a_rare_language_is_learned(spark):
+    r = np.random.default_rng(6)
+    parts = {"aa": "ba ka ta ma".split(), "bb": "sol tir nek wub".split(), "cc": "zhu xio qing yue".split()}
+    say = lambda lang: " ".join("".join(r.choice(parts[lang], 3)) for _ in range(30))
+    rows = [(i, say(lang), lang) for i, lang in enumerate(["aa"] * 3000 + ["bb"] * 3000 + ["cc"] * 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    ids = {x.doc_id for x in langid.sampled(df.select("doc_id", "lang"), 300).collect()}
+    n = {k: sum(rows[i][2] == k for i in ids) for k in parts}
+    assert n == {"aa": 100, "bb": 100, "cc": 40}
+    model = langid.train(df, 300)
+    assert model.names == ["aa", "bb", "cc"] and all(model.predict(say(k))[0] == k for k in parts for _ in range(20))
+
+
+def test_a_prediction_is_the_mean_of_the_table_in_plain_loops():
+    r = np.random.default_rng(0)
+    model = langid.LanguageModel(["x", "y"], r.normal(size=(langid.BUCKETS, 2)).astype(np.float32), np.array([0.1, -0.2]), 1.7, 0.6)
+    for text in ("some text, with words", "Ü", "a b c " * 500):
+        z = [sum(float(model.table[i][k]) for i in langid.subwords(text)) / len(langid.subwords(text)) + float(model.bias[k]) for k in (0, 1)]
+        e = [np.exp(v / 1.7) for v in z]
+        name, score, rejected = model.predict(text)
+        k = int(z[1] > z[0])
+        assert name == model.names[k] and abs(score - e[k] / sum(e)) < 1e-9 and rejected == (score < 0.6)
+
+
+def test_a_tree_is_grown_by_the_best_split():
+    """The first split of the first tree is the one that plain loops over all cuts find."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(300, 3)).round(1)
+    y = ((x[:, 1] > 0.3) ^ (r.random(300) < 0.1)).astype(float)
+    t = quality.grow(x, y, trees=1, depth=1, bins=64, least=20)
+    p = (y.sum() + 1) / (len(y) + 2)
+    g, h = y - p, np.full(300, p * (1 - p))
+    best = (0.0, None, None)
+    for j in range(3):
+        for cut in np.unique(np.quantile(x[:, j], np.linspace(0, 1, 65)[1:-1])):
+            left = x[:, j] <= cut
+            if left.sum() >= 20 and (~left).sum() >= 20:
+                gain = sum(g[m].sum() ** 2 / (h[m].sum() + 2) for m in (left, ~left)) - g.sum() ** 2 / (h.sum() + 2)
+                if gain > best[0] + 1e-12:
+                    best = (gain, j, cut)
+    assert (t.feature[0], t.threshold[0]) == best[1:]
+    left = x[:, best[1]] <= best[2]
+    assert np.allclose(t.value[1:], [0.15 * g[m].sum() / (h[m].sum() + 2) for m in (left, ~left)])
+
+
+def test_statistics_against_plain_counting():
+    text = "A cat. A cat!\n\nSat 12 times: ok?\n|x| naïve"
+    s = quality.statistics(text)
+    words = text.split()
+    kinds = [sum(f(c) for c in text) / len(text) for f in (lambda c: c.isalpha() and not c.isupper(), str.isupper, str.isdigit, str.isspace)]
+    assert np.allclose(s[:3], np.log1p([len(text), len(words), 3])) and np.allclose(s[4:8], kinds)
+    size = [len(w) for w in words]
+    assert np.allclose(s[10:13], [np.mean(size), np.std(size), max(size)])
+    assert np.allclose(s[13:15], [len(set(words)) / len(words), 2 / len(words)])
+    assert np.allclose(s[17:19], [0, len(set(zip(words, words[1:]))) / len(words)])

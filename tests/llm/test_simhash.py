@@ -147,3 +147,10 @@ def test_components(spark):
     got = {r.node: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100, 103: 100, 150: 150, 200: 150}
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_hub_is_split(spark, small_skew, plans):
+    """Half of all links are those of one node: the joins of a round deal them to several tasks."""
+    edges = spark.range(1, 40_000).selectExpr("if(id % 2 = 0, 0, id - id % 7) AS a", "id AS b").repartition(16)
+    comp = common.components(edges)
+    assert comp.where("component = 0").count() > 15_000 and "skew=true" in plans.text()
