@@ -9,6 +9,9 @@ more than SETTLED or for ROUNDS rounds.
 Counting and looking up are one round trip. Documents are gathered into chunks; a chunk sends its distinct word and bigram
 keys, sorted and packed, to the key ranges they belong to, and gets the corpus's counts back in the same order. So a word that
 is in every text is one key per chunk, nothing is broadcast, and what moves is a few bytes per distinct key of a chunk.
+Where chunks times ranges would be over MESSAGES, the trip has two legs: chunks write to groups of ranges, and there the keys of many
+chunks (a rack) are merged before they go to their ranges, and the counts dealt out again on the way back. So packets stay large, and
+their number grows with the power 1.5 of the input.
 Words are 64-bit hashes (exact but for collisions), bigrams 48-bit ones.
 
 Nulls: a null text is empty, that is one end token. A null id counts as the text '', whose remainder is 0: held out. Repeated
@@ -19,6 +22,7 @@ extra ones of any name don't matter; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -32,6 +36,7 @@ from pyspark.sql import functions as F
 from .common import ASCII_LOWER, rows_of, stash, utf8, with_columns
 
 CHUNK_BYTES, PART_TOKENS = 6 << 20, 1_000_000
+MESSAGES = 1_000_000
 BUCKETS = 24
 #: Steps of an octave in which the weights' first fit distinguishes probabilities.
 FINE = 4
@@ -172,6 +177,19 @@ def _bigrams(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.nd
 KEYS = "part int, chunk long, fold int, kind int, n int, keys binary, counts binary, dtype string"
 
 
+#: Bits of the keys of each kind.
+_BITS = {0: 64, 1: 48}
+
+
+def _cut(keys: np.ndarray, counts: np.ndarray, kind: int, parts: int) -> Iterator[tuple[int, int, bytes, bytes, str]]:
+    """(part, n, keys, counts, dtype) of sorted keys, cut at the parts' bounds; parts without keys are left out."""
+    bounds = np.array([-(-(j << _BITS[kind]) // parts) for j in range(1, parts)], np.uint64)
+    edges = np.r_[0, np.searchsorted(keys, bounds), len(keys)].astype(int)
+    for p in np.flatnonzero(np.diff(edges)).tolist():
+        a, b = edges[p], edges[p + 1]
+        yield p, b - a, _pack_sorted(keys[a:b]), *_small(counts[a:b])
+
+
 def _ask(parts: int):
     """Each chunk's distinct keys with its training counts, cut at the parts' bounds. kind 0: words, 1: bigrams."""
 
@@ -181,20 +199,46 @@ def _ask(parts: int):
                 vocabulary, seq, n, keys, at = _bigrams(row)
                 learn = np.repeat(n > 0, np.abs(n))
                 out = []
-                for kind, k, i, bits in ((0, vocabulary, seq, 64), (1, keys, at, 48)):
+                for kind, k, i in ((0, vocabulary, seq), (1, keys, at)):
                     c = np.bincount(i[learn], minlength=len(k))
-                    bounds = np.array([-(-(j << bits) // parts) for j in range(1, parts)], np.uint64)
-                    edges = np.r_[0, np.searchsorted(k, bounds), len(k)].astype(int)
-                    for p in range(parts):
-                        a, b = edges[p], edges[p + 1]
-                        if b > a:
-                            packed, dtype = _small(c[a:b])
-                            out.append((p, row.chunk, row.fold, kind, b - a, _pack_sorted(k[a:b]), packed, dtype))
+                    out += [(p, row.chunk, row.fold, kind, *rest) for p, *rest in _cut(k, c, kind, parts)]
                 yield pd.DataFrame(out, columns=[x.split()[0] for x in KEYS.split(", ")])
 
     return run
 
 
+def _merged(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys of rows of KEYS, and the sums of their counts."""
+    keys, at = np.unique(np.concatenate([_unpack_sorted(r.keys, r.n) for r in rows]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([_unpack(r.counts, r.n, r.dtype).astype(np.int64) for r in rows]), len(keys)).astype(np.int64)
+
+
+def _gather(parts: int):
+    """(rack, KEYS) of one rack and fold and group of ranges -> KEYS of the rack as one chunk, cut at the bounds of all ranges."""
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for kind, g in f.groupby("kind"):
+            keys, counts = _merged(list(g.itertuples()))
+            out += [(p, int(f["rack"].iloc[0]), int(f["fold"].iloc[0]), kind, *rest) for p, *rest in _cut(keys, counts, kind, parts)]
+        return pd.DataFrame(out, columns=[x.split()[0] for x in KEYS.split(", ")])
+
+    return run
+
+
+def _deal(_, asked: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+    """What a rack was answered, as answers to each of its chunks."""
+    out = []
+    for kind, g in asked.groupby("kind"):
+        rows = list(g.itertuples())
+        keys, _ = _merged(rows)
+        every, deleted = _looked_up(answers, kind), _looked_up(answers, kind, True) if rows[0].fold else None
+        for r in rows:
+            at = np.searchsorted(keys, _unpack_sorted(r.keys, r.n))
+            out.append((r.chunk, r.fold, r.part, kind, r.n, *_small(every[at]), *(_small(deleted[at]) if r.fold else (b"", "u1")), 0, 0))
+    return pd.DataFrame(out, columns=[x.split()[0] for x in ANSWERS.split(", ")])
+
+
 ANSWERS = "chunk long, fold int, part int, kind int, n int, counts binary, dtype string, deleted binary, deleted_dtype string, known long, known_less long"
 
 
@@ -322,6 +366,23 @@ def _scorer(total: int, vocabulary: int, begins: int, weights: np.ndarray):
     return run
 
 
+def _round_trip(gathered: DataFrame, parts: int) -> tuple[DataFrame, int]:
+    """ANSWERS to every chunk, and the number of distinct training words."""
+    words = lambda f: f.where("kind = 0").agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
+    many = gathered.count()
+    if many * parts <= MESSAGES:
+        answers = stash(gathered.mapInPandas(_ask(parts), KEYS).groupBy("part").applyInPandas(_answer, ANSWERS))
+        return answers, words(answers)
+    groups, racks = math.isqrt(parts - 1) + 1, math.isqrt(many - 1) + 1
+    each = -(-parts // groups)
+    rack = F.pmod(F.xxhash64("chunk"), F.lit(racks)) * groups + F.col("part")
+    asked = stash(gathered.mapInPandas(_ask(groups), KEYS).withColumn("rack", rack))
+    merged = asked.groupBy("rack", "fold").applyInPandas(_gather(groups * each), KEYS)
+    answers = stash(merged.groupBy("part").applyInPandas(_answer, ANSWERS))
+    dealt = asked.groupBy("rack", "fold").cogroup(answers.withColumnRenamed("chunk", "rack").groupBy("rack", "fold")).applyInPandas(_deal, ANSWERS)
+    return stash(dealt), words(answers)
+
+
 def lm_scores(docs: DataFrame) -> DataFrame:
     """The contract's columns."""
     spark = docs.sparkSession
@@ -331,9 +392,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
         return spark.createDataFrame([], SCORES)
     count = lambda what, *folds: sum(by_fold[f][what] for f in folds if f in by_fold)
     parts = max(4, -(-count("t", 0, 1) // PART_TOKENS))
-    asked = gathered.mapInPandas(_ask(parts), KEYS)
-    answers = stash(asked.groupBy("part").applyInPandas(_answer, ANSWERS))
-    vocabulary = answers.where("kind = 0").agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
+    answers, vocabulary = _round_trip(gathered, parts)
     of = lambda f: f.groupBy("chunk")
     deleted = of(gathered.where("fold = 1")).cogroup(of(answers.where("fold = 1"))).applyInPandas(_held_out(count("d", 0)), HELD_OUT)
     counts = stash(deleted.groupBy("bucket", "pair", "context", "word").agg(F.sum("n").alias("n")))

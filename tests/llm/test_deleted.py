@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from floodstats.llm import deleted
+from floodstats.llm import common, deleted
 
 END = "\0end"
 
@@ -84,6 +84,26 @@ def test_against_plain_counting(which, request, monkeypatch):
         assert r.base_score == pytest.approx(w[4], rel=1e-9) and r.score == pytest.approx(w[5], rel=2e-4), r.doc_id
 
 
+@pytest.mark.parametrize("which", ["docs", "odd"])
+def test_two_legs_give_the_same(which, request, monkeypatch):
+    df = request.getfixturevalue(which)
+    monkeypatch.setattr(deleted, "PART_TOKENS", 9_000)
+    monkeypatch.setattr(deleted, "CHUNK_BYTES", 30_000)
+    gathered = common.stash(deleted.chunks(df.repartition(4), 30_000))
+    assert gathered.count() > 3
+
+    def rows(messages):
+        monkeypatch.setattr(deleted, "MESSAGES", messages)
+        answers, words = deleted._round_trip(gathered, 10)
+        own = answers.toPandas()
+        keys = own[["chunk", "fold"]].drop_duplicates().itertuples(index=False)
+        look = lambda a, kind, *d: deleted._looked_up(a, kind, *d).tolist()
+        return words, {(c, f, k): (look(a, k), look(a, k, True) if f else None) for c, f in keys for k in (0, 1) for a in [own[(own.chunk == c) & (own.fold == f)]]}
+
+    one, two = rows(10**9), rows(0)
+    assert one == two and one[0] > 0
+
+
 def test_no_rows(nothing):
     assert deleted.lm_scores(nothing).count() == 0
 
