@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,40 +31,84 @@ from .common import rows_of, stash, with_columns
 RUN, WORDS, CUT, REACH = 3, 25, 12, 4
 _UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
 _BREAK = re.compile(r"(?<=[.!?\u061f\u06d4\u0964\u0965\u0589\u1362])\s+|(?<=[\u3002\uff01\uff1f\uff0e\uff61\u104b\u17d4])\s*|\s*\n\s*")
+_NO_SPACES = re.compile(f"[{_UNSPACED}]")
 _WORD = re.compile(f"[{_UNSPACED}]|[^\\s{_UNSPACED}]+")
 
 
-def _cuts(words: list[str]) -> list[int]:
-    """Places to cut at: where the hash of a word and the next is the least within REACH words (the first of equal ones). They
-    depend on nothing farther away, so a passage has the same ones wherever it stands. What repeats itself has none; there
-    more than 3 CUT words are cut every CUT."""
-    h = [xxhash.xxh64_intdigest(f"{a} {b}".lower().encode("utf-8", "surrogatepass"), 17) >> 1 for a, b in zip(words, [*words[1:], ""])]
-    v = np.array(h, np.int64)
-    far = np.full(REACH, np.iinfo(np.int64).max)
-    before = np.lib.stride_tricks.sliding_window_view(np.r_[far, v[:-1]], REACH).min(1)
-    after = np.lib.stride_tricks.sliding_window_view(np.r_[v[1:], far], REACH).min(1)
-    out = [0]
-    for c in [*np.flatnonzero((v < before) & (v <= after)).tolist(), len(words)]:
-        if c - out[-1] > 3 * CUT:
-            out += range(out[-1] + CUT, c, CUT)
-        if 0 < c < len(words) and c != out[-1]:
-            out.append(c)
+_FAR = np.iinfo(np.int64).max
+
+
+class _Hashes(dict):
+    """63-bit hashes of lower-cased words, made when they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word.lower().encode("utf-8", "surrogatepass"), 17) >> 1
+        return h
+
+
+_hashes = _Hashes()
+
+
+def _cuts(units: list[list[str]]) -> list[list[int]]:
+    """Of each unit the places to cut at: where the hash of a word and the next is the least within REACH words (the first of equal
+    ones). They depend on nothing farther away, so a passage has the same ones wherever it stands. What repeats itself has none;
+    there more than 3 CUT words are cut every CUT."""
+    size = np.array([len(u) for u in units])
+    end = np.cumsum(size)
+    h = np.array(list(map(_hashes.__getitem__, chain.from_iterable(units))), np.int64).view(np.uint64)
+    after = np.r_[h[1:], np.uint64(0)]
+    after[end - 1] = 0
+    z = h * np.uint64(0x9E3779B97F4A7C15) + after
+    z = (z ^ (z >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    v = ((z ^ (z >> np.uint64(32))) >> np.uint64(1)).view(np.int64)
+    place = np.arange(len(v)) + REACH * (1 + np.repeat(np.arange(len(units)), size))
+    wide = np.full(len(v) + REACH * (len(units) + 1), _FAR)
+    wide[place] = v
+    least = v < np.minimum.reduce([wide[place - d] for d in range(1, REACH + 1)])
+    least &= v <= np.minimum.reduce([wide[place + d] for d in range(1, REACH + 1)])
+    found = np.flatnonzero(least)
+    edges = np.searchsorted(found, np.r_[0, end]).tolist()
+    found = found.tolist()
+    out = []
+    for k, (n, first) in enumerate(zip(size.tolist(), (end - size).tolist())):
+        own = [0]
+        for c in [*(f - first for f in found[edges[k] : edges[k + 1]]), n]:
+            if c - own[-1] > 3 * CUT:
+                own += range(own[-1] + CUT, c, CUT)
+            if 0 < c < n and c != own[-1]:
+                own.append(c)
+        out.append(own)
     return out
 
 
-def sentences(text: str, cut: int = CUT) -> list[tuple[int, list[str]]]:
-    """Start and words of each sentence."""
-    out, at = [], 0
+def sentences(text: str, cut: int = CUT, placed: bool = True) -> list[tuple[int, list[str]]]:
+    """Start and words of each sentence; not placed: parts of a long one all have its start."""
+    out: list[tuple[int, list[str]]] = []
+    wide: list[tuple[int, str, list[str]]] = []  # (how many units are before it, piece, words)
+    at, plain = 0, not _NO_SPACES.search(text)
     for m in [*_BREAK.finditer(text), None]:
         piece = text[at : m.start() if m else len(text)]
-        words = _WORD.findall(piece)
-        if len(words) > cut:
-            places, starts = _cuts(words), [w.start() for w in _WORD.finditer(piece)]
-            out += [(at + starts[i], words[i:j]) for i, j in zip(places, [*places[1:], len(words)])]
-        elif words:
+        words = piece.split() if plain else _WORD.findall(piece)
+        if words:
+            if len(words) > cut:
+                wide.append((len(out), piece, words))
             out.append((at, words))
         at = m.end() if m else at
-    return out
+    if not wide:
+        return out
+    done, last = [], 0
+    for (i, piece, words), places in zip(wide, _cuts([w for *_, w in wide])):
+        done += out[last:i]
+        if len(places) > 1:
+            begin = out[i][0]
+            starts = [w.start() for w in _WORD.finditer(piece)] if placed else [0] * len(words)
+            done += [(begin + starts[a], words[a:b]) for a, b in zip(places, [*places[1:], len(words)])]
+        else:
+            done.append(out[i])
+        last = i + 1
+    return done + out[last:]
 
 
 def runs(units: list[tuple[int, list[str]]], run: int = RUN, words: int = WORDS) -> list[tuple[int, int, int]]:
@@ -117,7 +161,7 @@ def spans(keyed: DataFrame) -> DataFrame:
         for b in rows_of(batches):
             n, inside, own = [], [], []
             for t in b.column(2).to_pylist():
-                units = sentences(t or "")
+                units = sentences(t or "", placed=False)
                 h = [x for x, _, _ in runs(units)]
                 distinct = np.unique(np.array(h, np.int64))
                 n.append(len(units)), inside.append(len(distinct) < len(h)), own.append(distinct)
