@@ -293,8 +293,9 @@ def _held_out(begins: int):
         words = _looked_up(answers, 0) - _looked_up(answers, 0, True)
         pairs = _looked_up(answers, 1) - _looked_up(answers, 1, True)
         c = _context(seq, n, words, begins)
-        got = pd.DataFrame({"bucket": _bucket(c), "pair": pairs[at], "context": c, "word": words[seq], "n": 1})
-        return got.groupby(names[:4], as_index=False)["n"].sum()
+        one = np.zeros(len(pairs), np.int64)
+        one[at] = np.arange(len(at))  # a bigram's tokens have one context and word
+        return pd.DataFrame({"bucket": _bucket(c[one]), "pair": pairs, "context": c[one], "word": words[seq[one]], "n": np.bincount(at, minlength=len(pairs))})
 
     return run
 
