@@ -60,3 +60,19 @@ def unique_labels(df: DataFrame, on: list[str]) -> DataFrame:
 
 def last_of_each(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
     return df.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(order.desc()))).where("_i = 1").drop("_i")
+
+
+def by_coords(frames: list[DataFrame], coords: list[str]) -> DataFrame:
+    """Parts of a data set put together by their coordinates: tables with the same variables are appended, and those with others are
+    aligned on the coords, which every result row has; a variable is null where it has no value. A coordinate that several tables of one
+    variable hold must hold the same there."""
+    kinds: dict[tuple[str, ...], DataFrame] = {}
+    for f in frames:
+        names = tuple(sorted(c for c in f.columns if c not in coords))
+        own = f.select(*coords, *names)
+        kinds[names] = kinds[names].unionByName(own) if names in kinds else own
+    parts = [f.distinct() for f in kinds.values()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(p, coords, "full")
+    return out

@@ -24,10 +24,52 @@ _TILE_W, _TILE_H, _TILE_OFFSETS, _TILE_COUNTS, _FORMAT, _SCALE, _TIE, _NODATA =
 _FORMATS = {1: "u", 2: "i", 3: "f"}
 
 
-def decode_geotiff(raw: bytes) -> tuple[np.ndarray, tuple[float, float, float, float], float | None]:
+def _unpack_lzw(raw: bytes) -> bytes:
+    """TIFF's LZW: codes of 9 to 12 bits from the highest bit on, 256 clears the table, 257 ends."""
+    table: list[bytes] = []
+    out, held, bits, width, last = [], 0, 0, 9, b""
+    for byte in raw:
+        held, bits = held << 8 | byte, bits + 8
+        while bits >= width:
+            code = held >> (bits - width) & ((1 << width) - 1)
+            bits -= width
+            held &= (1 << bits) - 1
+            if code == 257:
+                return b"".join(out)
+            if code == 256:
+                table, width, last = [bytes([i]) for i in range(256)] + [b"", b""], 9, b""
+                continue
+            word = table[code] if code < len(table) else last + last[:1]
+            out.append(word)
+            if last:
+                table.append(last + word[:1])
+            last = word
+            width = min(12, max(9, (len(table) + 1).bit_length()))
+    return b"".join(out)
+
+
+def _unpack_bits(raw: bytes) -> bytes:
+    out, i = [], 0
+    while i < len(raw):
+        n = raw[i]
+        if n < 128:
+            out.append(raw[i + 1 : i + 2 + n])
+            i += 2 + n
+        else:
+            out.append(raw[i + 1 : i + 2] * (257 - n) if n > 128 else b"")
+            i += 2 if n > 128 else 1
+    return b"".join(out)
+
+
+# TIFF's codes of compression.
+_UNPACK = {1: bytes, 5: _unpack_lzw, 8: zlib.decompress, 32946: zlib.decompress, 32773: _unpack_bits}
+
+
+def decode_geotiff(raw: bytes, window: tuple[int, int, int, int] | None = None, layers: list[int] | None = None) -> tuple[np.ndarray, tuple[float, float, float, float], float | None]:
     """(bands, rows, cols) of the first image, (west, north, dx, dy), and the value that means no data.
 
-    Strips or tiles, none or deflate compression, horizontal differencing, any byte order."""
+    Strips or tiles; none, deflate, LZW or PackBits compression, horizontal differencing, any byte order. window: (first row, end, first
+    column, end), of which only the blocks are decoded; the place is then the window's. layers: the bands wanted, from 0."""
     end = {b"II": "<", b"MM": ">"}[raw[:2]]
     big = struct.unpack(f"{end}H", raw[2:4])[0] == 43
     at = struct.unpack(f"{end}{'Q' if big else 'I'}", raw[8:16] if big else raw[4:8])[0]
@@ -46,28 +88,42 @@ def decode_geotiff(raw: bytes) -> tuple[np.ndarray, tuple[float, float, float, f
         at += 20 if big else 12
     one = lambda t, default: tags.get(t, (default,))[0]
     cols, rows, bands, squeeze = one(_WIDTH, 0), one(_HEIGHT, 0), one(_SAMPLES, 1), one(_COMPRESSION, 1)
-    if squeeze not in (1, 8, 32946):
+    if squeeze not in _UNPACK:
         raise ValueError(f"compression {squeeze} is not supported")
     dtype = np.dtype(f"{end}{_FORMATS[one(_FORMAT, 1)]}{one(_BITS, 8) // 8}")
     tiled, apart = _TILE_W in tags, one(_PLANAR, 1) == 2 and bands > 1
     w, h = (one(_TILE_W, 0), one(_TILE_H, 0)) if tiled else (cols, one(_ROWS, rows))
-    out = np.zeros((bands, rows, cols), dtype.newbyteorder("="))
+    top, bottom, first, last = window or (0, rows, 0, cols)
+    top, bottom, first, last = max(0, top), min(rows, bottom), max(0, first), min(cols, last)
+    wanted = list(range(bands)) if layers is None else list(layers)
+    out = np.zeros((len(wanted), max(0, bottom - top), max(0, last - first)), dtype.newbyteorder("="))
     across, down = -(-cols // w), -(-rows // h)
     for k, (place, size) in enumerate(zip(tags[_TILE_OFFSETS if tiled else _OFFSETS], tags[_TILE_COUNTS if tiled else _COUNTS])):
         plane, cell = divmod(k, across * down)
         y, x = cell // across * h, cell % across * w
-        block = raw[place : place + size]
-        block = zlib.decompress(block) if squeeze != 1 else block
+        if y >= bottom or y + h <= top or x >= last or x + w <= first or (apart and plane not in wanted):
+            continue
+        block = _UNPACK[squeeze](raw[place : place + size])
         depth, height = 1 if apart else bands, h if tiled else min(h, rows - y)
         v = np.frombuffer(block, dtype, height * w * depth).reshape(height, w, depth)
         if one(_PREDICTOR, 1) == 2:
             v = np.cumsum(v, 1, dtype=dtype.newbyteorder("="))
-        v = v[: rows - y, : cols - x].transpose(2, 0, 1)
-        out[plane : plane + 1 if apart else None, y : y + v.shape[1], x : x + v.shape[2]] = v
+        v = v[max(0, top - y) : bottom - y, max(0, first - x) : last - x].transpose(2, 0, 1)
+        r, c = max(y - top, 0), max(x - first, 0)
+        if apart:
+            out[wanted.index(plane), r : r + v.shape[1], c : c + v.shape[2]] = v[0]
+        else:
+            out[:, r : r + v.shape[1], c : c + v.shape[2]] = v[wanted]
     dx, dy = tags.get(_SCALE, (1.0, 1.0, 0.0))[:2]
     tie = tags.get(_TIE, (0.0,) * 6)
+    west, north = tie[3] - tie[0] * dx + first * dx, tie[4] + tie[1] * dy - top * dy
     text = one(_NODATA, b"").split(b"\0")[0].strip()
-    return out, (tie[3] - tie[0] * dx, tie[4] + tie[1] * dy, dx, -dy), float(text) if text else None
+    return out, (west, north, dx, -dy), float(text) if text else None
+
+
+def geotiff_place(raw: bytes) -> tuple[float, float, float, float]:
+    """(west, north, dx, dy) of a GeoTIFF, decoding no block."""
+    return decode_geotiff(raw, (0, 0, 0, 0))[1]
 
 
 def encode_geotiff(bands: np.ndarray, west: float, north: float, dx: float, dy: float, missing: float | None = None) -> bytes:
@@ -110,6 +166,23 @@ def decode_pcraster(raw: bytes) -> tuple[np.ndarray, tuple[float, float, float,
     return (v if missing is None else np.where(v == missing, np.nan, v)), (west, north, dx, -dy)
 
 
+def encode_pcraster(v: np.ndarray, west: float, north: float, size: float) -> bytes:
+    """A PCRaster map of 4-byte reals; NaN is missing."""
+    rows, cols = v.shape
+    head = bytearray(256)
+    head[:27] = b"RUU CROSS SYSTEM MAP FORMAT"
+    struct.pack_into("<HIHI", head, 32, 2, 0, 1, 1)
+    struct.pack_into("<I", head, 46, 1)
+    on = v[np.isfinite(v)] if np.isfinite(v).any() else np.zeros(1)
+    struct.pack_into("<HH", head, 64, 0xEB, 0x5A)
+    struct.pack_into("<f4xf4x", head, 68, on.min(), on.max())
+    struct.pack_into("<ddIIddd", head, 84, west, north, rows, cols, size, size, 0.0)
+    out = v.astype("<f4")
+    raw = out.view("<u4").copy()
+    raw[~np.isfinite(out)] = 0xFFFFFFFF
+    return bytes(head) + raw.tobytes()
+
+
 def _cells(path: str, bands: np.ndarray, place: tuple[float, float, float, float], missing: float | None) -> Iterator[pd.DataFrame]:
     west, north, dx, dy = place
     for band, v in enumerate(bands):
@@ -119,14 +192,28 @@ def _cells(path: str, bands: np.ndarray, place: tuple[float, float, float, float
         yield pd.DataFrame({"file": path, "band": np.int32(band), "row": row.astype(np.int32), "col": col.astype(np.int32), "lon": west + (col + 0.5) * dx, "lat": north + (row + 0.5) * dy, "value": v[row, col]})
 
 
-def read_geotiff(spark: SparkSession, path: str) -> DataFrame:
-    """Cells with data of all files of a path. A file is one task's, so mosaics should be tiles."""
+def read_geotiff(spark: SparkSession, path: str, box: tuple[float, float, float, float] | None = None, layers: list[int] | None = None) -> DataFrame:
+    """Cells with data of all files of a path. A file is one task's, so mosaics should be tiles. box: (west, south, east, north), whose
+    cells' centres alone are wanted: only blocks of it are decoded, and row and col still count from the file's corner."""
 
     ship(spark)
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for r in f.itertuples():
-                yield from _cells(r.path, *decode_geotiff(r.content))
+                window = top = left = None
+                if box:
+                    west, north, dx, dy = geotiff_place(r.content)
+                    edge = lambda v, start, step: math.ceil((v - start) / step - 0.5 - 1e-9)
+                    window = (edge(box[3], north, dy), edge(box[1], north, dy) + 1, edge(box[0], west, dx), edge(box[2], west, dx) + 1)
+                    top, left = max(0, window[0]), max(0, window[2])
+                v, place, missing = decode_geotiff(r.content, window, layers)
+                for cells in _cells(r.path, v, place, missing):
+                    if layers is not None:
+                        cells["band"] = np.array(layers, np.int32)[cells["band"]]
+                    if box:
+                        cells["row"], cells["col"] = cells["row"] + np.int32(top), cells["col"] + np.int32(left)
+                        cells = cells[cells["lon"].between(box[0], box[2]) & cells["lat"].between(box[1], box[3])]
+                    yield cells
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, CELLS)
 
