@@ -25,9 +25,9 @@ def net_upstream(spark, sf):
     return N.upstream(tree(spark, sf)[0], some(spark, sf, 7, 3))
 
 
-@query(f"WITH {TREE} SELECT id FROM n WHERE next_id IS NULL")
+@query("SELECT p_partkey AS id FROM part WHERE p_partkey < 90 AND p_partkey % 9 = 0")
 def net_pits(spark, sf):
-    return N.pits(tree(spark, sf)[0])
+    return N.pits(chain(spark, sf))
 
 
 @query(f"WITH {TREE} SELECT coalesce(next_id, id) AS id, CAST(sum(state) AS BIGINT) AS state FROM n GROUP BY 1")
@@ -72,9 +72,9 @@ def net_basins(spark, sf):
     return N.basins(chain(spark, sf))
 
 
-@query(f"WITH {TREE}, p AS (SELECT id FROM n WHERE next_id IS NULL) SELECT p.id, p_brand, p_size FROM p JOIN part ON p_partkey = p.id")
+@query("SELECT p_partkey AS id, p_brand, p_size FROM part WHERE p_partkey < 90 AND p_partkey % 9 = 0")
 def net_outlets(spark, sf):
-    return N.outlets(tree(spark, sf)[0], table(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_brand", "p_size"))
+    return N.outlets(chain(spark, sf), table(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_brand", "p_size"))
 
 
 def _decode(name: str, codes: dict, pits: tuple, sql_pits: str):

@@ -201,7 +201,40 @@ def boot_simple_ci(spark, sf):
     return rounded(E.confidence_interval(am, K, "am", samples=200, method="simple"), 4, "bound")
 
 
-@query()
+# The coefficients of Acklam's rational approximation to the normal quantile.
+_A = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+_B = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)
+_C = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+_D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0)
+
+
+def _horner(c: tuple[float, ...], x: str) -> str:
+    out = f"{c[0]!r}"
+    for v in c[1:]:
+        out = f"({out} * {x} + {v!r})"
+    return out
+
+
+def quantile_sql(p: str) -> str:
+    q, low, high = f"({p} - 0.5e0)", f"sqrt(-2 * ln({p}))", f"sqrt(-2 * ln(1 - {p}))"
+    tail = lambda x: f"{_horner(_C, x)} / {_horner(_D, x)}"
+    return f"CASE WHEN {p} < 0.02425e0 THEN {tail(low)} WHEN {p} > 0.97575e0 THEN -{tail(high)} ELSE {q} * {_horner(_A, f'({q} * {q})')} / {_horner(_B, f'({q} * {q})')} END"
+
+
+def cdf_sql(z: str) -> str:
+    """The normal distribution function by its series about 0."""
+    return f"(0.5e0 + exp(-{z} * {z} / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 120), lambda i: sign({z}) * exp((2 * i + 1) * ln(abs({z}) + 1e-300) - i * ln(2e0) - lgamma(i + 1.5e0) + lgamma(0.5e0) - ln(2e0)))))"
+
+
+@query(
+    f"""WITH {DAILY}, {am_cte(14)}, {BOOT}, m AS (SELECT k, b, avg(am) AS s FROM bt GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY s) - 1 AS r FROM m),
+wh AS (SELECT k, avg(am) AS w, sum(am) AS total, count(*) AS n FROM v GROUP BY 1), jk AS (SELECT v.k, (total - am) / (wh.n - 1) AS j FROM v JOIN wh ON wh.k = v.k), jm AS (SELECT k, avg(j) AS j FROM jk GROUP BY 1),
+ac AS (SELECT jk.k, sum(pow(jm.j - jk.j, 3)) / (6 * pow(sum(pow(jm.j - jk.j, 2)), 1.5e0)) AS a FROM jk JOIN jm ON jm.k = jk.k GROUP BY 1),
+sh AS (SELECT m.k, avg(CASE WHEN w - s > 1e-12 * abs(w) THEN 1e0 ELSE 0e0 END) AS share FROM m JOIN wh ON wh.k = m.k GROUP BY 1), z0 AS (SELECT k, {quantile_sql('share')} AS z0 FROM sh),
+zs AS (SELECT z0.k, q.a AS alpha, z0, ac.a, z0 + {quantile_sql('q.a')} AS z FROM z0 JOIN ac ON ac.k = z0.k CROSS JOIN (SELECT unnest([0.025e0, 0.975e0]) AS a) q),
+za AS (SELECT k, alpha, z0 + z / (1 - a * z) AS y FROM zs), sd AS (SELECT k, alpha, {cdf_sql("y")} AS place FROM za)
+SELECT sd.k, alpha, round(s, 4) AS bound FROM sd JOIN o ON o.k = sd.k AND o.r = round_even(199 * place, 0)"""
+)
 def boot_bca_ci(spark, sf):
     am = S.annual_max(daily(spark, sf), K, min_dist=14)
     return rounded(E.confidence_interval(am, K, "am", samples=200, method="bca"), 4, "bound")
@@ -228,7 +261,13 @@ def gumbel_ci(spark, sf):
     return rounded(E.level_intervals(am, K, PERIODS, "am", samples=200), 3, "level")
 
 
-@query()
+@query(
+    f"""WITH {DAILY}, {am_cte(14)}, {BOOT}, rp AS (SELECT k, b, am, row_number() OVER (PARTITION BY k, b ORDER BY am) AS i, count(*) OVER (PARTITION BY k, b) AS n FROM bt),
+rs AS (SELECT k, b, i, log10(1 / (1 - i / (n + 1e0))) AS p, am, lead(log10(1 / (1 - i / (n + 1e0)))) OVER w AS p1, lead(am) OVER w AS am1 FROM rp WINDOW w AS (PARTITION BY k, b ORDER BY i)),
+rt AS (SELECT k, T, am + (log10(T) - p) * (am1 - am) / (p1 - p) AS value FROM rs CROSS JOIN (SELECT unnest([1.5e0, 2.5e0, 5e0]) AS T) WHERE log10(T) >= p AND log10(T) < p1),
+rr AS (SELECT *, row_number() OVER (PARTITION BY k, T ORDER BY value) - 1 AS r FROM rt)
+SELECT k, T AS "T", a.a AS alpha, round(value, 4) AS value FROM rr JOIN (SELECT unnest([0.05e0, 0.95e0]) AS a) a ON rr.r = round_even(199 * a.a, 0)"""
+)
 def rps_ci(spark, sf):
     am = S.annual_max(daily(spark, sf), K, min_dist=14)
     return rounded(E.curve_intervals(am, K, [1.5, 2.5, 5], "am", samples=200), 4, "value")

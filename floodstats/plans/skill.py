@@ -61,7 +61,16 @@ def spearman_t(spark, sf):
     return rounded(K.spearman_test(pairs(spark, sf), KEY).drop("p"))
 
 
-@query()
+def t_sql(t: str, df: str) -> str:
+    """Two-sided p of Student's t for whole degrees of freedom over 1, by the finite sums of its distribution function."""
+    c2, s = f"(1 / (1 + {t} * {t} / {df}))", f"(abs({t}) / sqrt({df} + {t} * {t}))"
+    terms = lambda n, f: f"list_sum(list_transform(range(0, CAST({n} AS BIGINT)), lambda i: {f}))"
+    even = terms(f"{df} / 2", f"exp(lgamma(i + 0.5e0) - lgamma(i + 1e0) + i * ln({c2})) / sqrt(pi())")
+    odd = terms(f"({df} - 1) / 2", f"exp(lgamma(i + 1e0) - lgamma(i + 1.5e0) + i * ln({c2})) * sqrt(pi()) / 2")
+    return f"(1 - CASE WHEN {df} % 2 = 0 THEN {s} * {even} ELSE 2 / pi() * (atan(abs({t}) / sqrt({df})) + {s} * sqrt({c2}) * {odd}) END)"
+
+
+@query(f"WITH {PAIRS}, q AS (SELECT * FROM p WHERE sim IS NOT NULL AND obs IS NOT NULL), {RANKS.format('q')}, c AS (SELECT k, count(*) - 2e0 AS df, corr(rs, ro) AS r FROM rk GROUP BY 1), u AS (SELECT k, df, r * sqrt(df / (1 - r * r)) AS t FROM c) SELECT k, round({t_sql('t', 'df')}, 6) AS p FROM u")
 def spearman_p(spark, sf):
     return rounded(K.spearman_test(pairs(spark, sf), KEY).select("k", "p"))
 
@@ -188,7 +197,7 @@ def ttest_t(spark, sf):
     return rounded(K.t_test(daily(spark, sf), [], "k", with_p=False))
 
 
-@query()
+@query(f"WITH {DAILY}, {TT} SELECT a, b, round({t_sql('t', 'df')}, 6) AS p FROM tt")
 def ttest_p(spark, sf):
     return rounded(K.t_test(daily(spark, sf), [], "k").select("a", "b", "p"))
 
