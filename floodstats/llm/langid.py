@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import crc_mod, rows_of, stash, with_columns
 
 BUCKETS, DIM, MAX_ROWS, EACH = 1 << 15, 16, 4000, 20
+#: Languages up to which their counts are broadcast.
+FEW = 10_000
 _letter: np.ndarray | None = None
 
 
@@ -135,11 +137,11 @@ def sampled(own: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """(doc_id) of as many documents of each lang, those of the least hashes. Counts tell the hash below which enough lie, so
     only little more than the sample is sorted."""
     one = own.groupBy("doc_id").agg(F.min("lang").alias("lang"))
-    n = one.groupBy("lang").agg(F.count("*").alias("n"))
+    n = stash(one.groupBy("lang").agg(F.count("*").alias("n")))
     langs = n.count()
     quota = max(EACH, max_rows // max(1, langs))
     h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    near = one.join(n, "lang").withColumn("h", h).where(F.col("h") < F.lit(float(1 << 40)) * (2.0 * quota + 50) / F.col("n"))
+    near = one.join(F.broadcast(n) if langs <= FEW else n, "lang").withColumn("h", h).where(F.col("h") < F.lit(float(1 << 40)) * (2.0 * quota + 50) / F.col("n"))
     return near.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("i") <= quota).select("doc_id")
 
 
