@@ -328,20 +328,37 @@ def fit_weights(hist: np.ndarray, floor: float, rounds: int = 100) -> np.ndarray
     return weights
 
 
+def _ahead(before: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Where two rounds seem to lead, by the ratio of their steps (squared extrapolation, a bucket at a time); the second round's
+    weights where that would leave the simplex."""
+    r, v = one - before, two - 2 * one + before
+    size = lambda x: np.sqrt((x * x).sum(1, keepdims=True))
+    a = np.maximum(1.0, size(r) / np.maximum(size(v), 1e-300))
+    far = before + 2 * a * r + a * a * v
+    return np.where((far > 0).all(1, keepdims=True) & (size(v) > 0), far, two)
+
+
 def fit_exactly(counts: DataFrame, weights: np.ndarray, total: int, floor: float, rounds: int = ROUNDS) -> np.ndarray:
-    """counts: HELD_OUT. A round sums each part's share of the tokens by bucket; only these sums come to the driver."""
-    for _ in range(rounds):
-        lam = [F.get(F.array(*[F.lit(float(x)) for x in weights[:, i]]), F.col("bucket")) for i in range(3)]
+    """counts: HELD_OUT. A round sums each part's share of the tokens by bucket; only these sums come to the driver. After every
+    second round the next begins at what both lead to; the last one moves no weight by more than SETTLED."""
+
+    def step(w: np.ndarray) -> np.ndarray:
+        lam = [F.get(F.array(*[F.lit(float(x)) for x in w[:, i]]), F.col("bucket")) for i in range(3)]
         parts = [lam[0] * F.when(F.col("context") > 0, F.col("pair") / F.col("context")).otherwise(0.0), lam[1] * (F.col("word") / F.lit(float(max(total, 1)))), lam[2] * F.lit(floor)]
         named = counts.select("bucket", "n", *[c.alias(f"p{i}") for i, c in enumerate(parts)]).withColumn("all", F.col("p0") + F.col("p1") + F.col("p2"))
         got = np.array(named.groupBy("bucket").agg(F.sum("n"), *[F.sum(F.col("n") * F.col(f"p{i}") / F.col("all")) for i in range(3)]).collect(), float).reshape(-1, 5)
-        new = weights.copy()
+        new = w.copy()
         new[got[:, 0].astype(int)] = got[:, 2:] / got[:, 1:2]
-        new = np.where(np.isin(np.arange(BUCKETS), got[:, 0])[:, None], _bounded(new), weights)
-        moved, weights = np.abs(new - weights).max(initial=0), new
-        if moved <= SETTLED:
+        return np.where(np.isin(np.arange(BUCKETS), got[:, 0])[:, None], _bounded(new), w)
+
+    path = [weights]
+    for _ in range(rounds):
+        path.append(step(path[-1]))
+        if np.abs(path[-1] - path[-2]).max() <= SETTLED:
             break
-    return weights
+        if len(path) == 3:
+            path = [_ahead(*path)]
+    return path[-1]
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

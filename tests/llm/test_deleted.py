@@ -81,7 +81,7 @@ def test_against_plain_counting(which, request, monkeypatch):
     for r, w in zip(sorted(((r.doc_id, r.base_score, r) for r in got), key=order), sorted(((i, x[4], x) for i, x in want), key=order)):
         r, w = r[2], w[2]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == w[:4]
-        assert r.base_score == pytest.approx(w[4], rel=1e-9) and r.score == pytest.approx(w[5], rel=2e-4), r.doc_id
+        assert r.base_score == pytest.approx(w[4], rel=1e-9) and r.score == pytest.approx(w[5], rel=1e-5), r.doc_id
 
 
 @pytest.mark.parametrize("which", ["docs", "odd"])
