@@ -389,22 +389,22 @@ def _round_trip(gathered: DataFrame, parts: int) -> tuple[DataFrame, int]:
     words = lambda f: f.where("kind = 0").agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
     many = gathered.count()
     if many * parts <= MESSAGES:
-        answers = stash(gathered.mapInPandas(_ask(parts), KEYS).groupBy("part").applyInPandas(_answer, ANSWERS))
+        answers = stash(gathered.mapInPandas(_ask(parts), KEYS).groupBy("part").applyInPandas(_answer, ANSWERS), packed=True)
         return answers, words(answers)
     groups, racks = math.isqrt(parts - 1) + 1, math.isqrt(many - 1) + 1
     each = -(-parts // groups)
     rack = F.pmod(F.xxhash64("chunk"), F.lit(racks)) * groups + F.col("part")
-    asked = stash(gathered.mapInPandas(_ask(groups), KEYS).withColumn("rack", rack))
+    asked = stash(gathered.mapInPandas(_ask(groups), KEYS).withColumn("rack", rack), packed=True)
     merged = asked.groupBy("rack", "fold").applyInPandas(_gather(groups * each), KEYS)
-    answers = stash(merged.groupBy("part").applyInPandas(_answer, ANSWERS))
+    answers = stash(merged.groupBy("part").applyInPandas(_answer, ANSWERS), packed=True)
     dealt = asked.groupBy("rack", "fold").cogroup(answers.withColumnRenamed("chunk", "rack").groupBy("rack", "fold")).applyInPandas(_deal, ANSWERS)
-    return stash(dealt), words(answers)
+    return stash(dealt, packed=True), words(answers)
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
     """The contract's columns."""
     spark = docs.sparkSession
-    gathered = stash(chunks(docs))
+    gathered = stash(chunks(docs), packed=True)
     by_fold = {r.fold: r for r in gathered.groupBy("fold").agg(F.sum("train_tokens").alias("n"), F.sum("train_docs").alias("d"), F.sum("tokens").alias("t")).collect()}
     if not by_fold:
         return spark.createDataFrame([], SCORES)
