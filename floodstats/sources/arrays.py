@@ -136,3 +136,21 @@ def update_geotiff_tiles(cells: DataFrame, path: str, side: int = 512) -> int:
 
 def _by_tile(cells: DataFrame, side: int) -> DataFrame:
     return cells.where("value is not null").select("row", "col", "value", F.floor(F.col("row") / side).cast("int").alias("_r"), F.floor(F.col("col") / side).cast("int").alias("_c"))
+
+
+def write_binary(cells: DataFrame, path: str, rows: int, cols: int, block: int = 512, missing: float = -9999.0, dtype: str = "<f4") -> int:
+    """A flat grid of any size in files of `block` rows each, part-00000.bin and so on, which one after the other are the grid; gives
+    their number. Rows without cells are written too."""
+
+    def part(own: pd.DataFrame) -> pd.DataFrame:
+        k = int(own["_k"].iloc[0])
+        v = np.full((min(block, rows - k * block), cols), missing, dtype)
+        on = own[own["value"].notna()]
+        v[on["row"].to_numpy(int) - k * block, on["col"].to_numpy(int)] = on["value"]
+        put(f"{path}/part-{k:05d}.bin", v.tobytes())
+        return pd.DataFrame({"n": [len(on)]})
+
+    ship(cells.sparkSession)
+    every = cells.sparkSession.range(-(-rows // block)).select(F.col("id").cast("int").alias("_k"))
+    own = cells.select("row", "col", "value", F.floor(F.col("row") / block).cast("int").alias("_k"))
+    return every.join(own, "_k", "left").groupBy("_k").applyInPandas(part, "n long").count()
