@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import deleted, langid, mixing, packing, quality, secrets, simhash, spans, syncmers, transport
+from . import deleted, langid, mixing, packing, quality, runs, secrets, simhash, spans, syncmers, toxicity, transport
 from .common import table
 
 
@@ -50,6 +50,14 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -63,6 +71,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_transport_streams,
         op9_quality_classifier,
         op10_simhash_near_dedup,
+        op11_periodic_runs,
+        op12_toxicity,
     )
 }
 
