@@ -14,7 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 COMPARED: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 #: Modules of floodstats.plans that register queries.
-MODULES = ("series", "skill", "circular", "climate", "ensemble", "spatial", "network", "resample", "relational", "formats", "analyses")
+MODULES = ("series", "skill", "circular", "climate", "ensemble", "spatial", "network", "resample", "relational", "formats", "analyses", "scheduled")
 
 
 def query(oracle: str | None = None, name: str | None = None, dates: tuple[str, ...] = (), times: tuple[str, ...] = (), whole: tuple[str, ...] = ()):
