@@ -102,5 +102,21 @@ string_agg({_NAME}, ',' ORDER BY a, k) FILTER (k < 3 OR live) AS spans, count(*)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied, coalesce(ownership, '') AS ownership
 FROM t LEFT JOIN per USING (n)"""
 
+#: A run's words agree with those its period on for six words at least (12 - 6 words of a run of 12 with period 6), so runs are islands of
+#: equal sequences of six. The checksum is made from its polynomial.
+_OP11 = """WITH tab AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_concat([i], [k FOR k IN range(8)]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) t(i))),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w0, list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), ''), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS digits FROM documents),
+c AS (SELECT r, doc_id, w0, len(w0) AS n, xor(list_reduce(list_concat([4294967295], list_filter(digits, lambda x: x > 0)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM d CROSS JOIN tab),
+e AS (SELECT *, (h // 10) % nullif(n, 0) AS a, 1 + (n - (h // 10) % nullif(n, 0)) // (3 + (h // 10) % 8) AS p FROM c),
+t AS (SELECT r, n, unnest(range(n)) AS i, unnest(CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w0[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) ELSE w0 END) AS w FROM e),
+g AS (SELECT r, n, i, w || ' ' || string_agg(w, ' ') OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS gram FROM t),
+m AS (SELECT x.r, x.i, y.i - x.i AS q FROM g x JOIN g y ON x.r = y.r AND x.gram = y.gram AND y.i > x.i AND y.i - x.i <= x.n // 2 AND y.i <= y.n - 6),
+s AS (SELECT r, q, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island, i FROM m),
+runs AS (SELECT r, start, length, min(q) AS period FROM (SELECT r, q, min(i) AS start, count(*) + 5 + q AS length FROM s GROUP BY r, q, island) WHERE length >= greatest(12, 2 * q) GROUP BY 1, 2, 3),
+per AS (SELECT r, count(*) AS n_runs, arg_min(struct_pack(start := start, length := length, period := period), [-length, start, period]) AS best, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY 1),
+kept AS (SELECT r, string_agg(w, ' ' ORDER BY i) AS text FROM t WHERE NOT EXISTS (SELECT 1 FROM runs WHERE runs.r = t.r AND t.i >= start + period AND t.i < start + length) GROUP BY 1)
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, best.start AS start, best.length AS length, best.period AS period, 1000 * best.length // best.period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256, CAST(n AS BIGINT) AS n_words
+FROM e LEFT JOIN per USING (r) LEFT JOIN kept USING (r)"""
+
 #: The other operators hash, train, tokenise or iterate in ways that SQL lacks; the tests hold them against brute force.
-ORACLES: dict[str, str] = {"op1_secret_scans": _OP1}
+ORACLES: dict[str, str] = {"op1_secret_scans": _OP1, "op11_periodic_runs": _OP11}

@@ -43,7 +43,7 @@ STEMS, MISSPELLED_FROM, WINDOW, KNOWN = range(4, 10), 5, 8, 300_000
 # Signs read as letters, marks of quotation, words that report and that address.
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 MARKS = "\"“”„«»‹›"
-REPORTING = frozenset("said says called calls word words term quote quoted wrote sagte nannte wort schrieb dit appelé mot écrit dijo llamó palabra escribió".split())
+REPORTING = frozenset("said says called calls word quote quoted wrote sagte nannte wort schrieb dit appelé mot écrit dijo llamó palabra escribió".split())
 ADDRESS = frozenset("you your you're youre yourself u ur du dich dir dein ihr euch tu toi te ton vous votre tú ti eres usted vosotros".split())
 
 _WORD = re.compile(r"[\w@$]+(?:[*'’][\w@$]+)*")
@@ -141,13 +141,16 @@ class Lexicon:
         return [(i, *of[w]) for i, w in enumerate(words) if w in of]
 
 
-def contexts(text: str, lexicon: Lexicon) -> list[tuple[int, int, int, int, bool, float]]:
-    """(start, end, term, edits, quoted, score) of each found term: code points of the lower-cased text."""
+Found = list[tuple[int, int, int, int, bool, float]]
+
+
+def contexts(text: str, lexicon: Lexicon) -> tuple[int, Found]:
+    """How many words there are, and (start, end, term, edits, quoted, score) of each found term: code points of the lower-cased text."""
     low = text.lower()
     words = _WORD.findall(low)
     found = lexicon.hits(words)
     if not found:
-        return []
+        return len(words), []
     spans = [m.span() for m in _WORD.finditer(low)]
     at = np.array([i for i, *_ in found])
     marks = np.cumsum([0, *(any(c in MARKS for c in low[a:b]) for a, b in zip([0, *(z for _, z in spans)], [*(a for a, _ in spans), len(low)]))])
@@ -161,11 +164,10 @@ def contexts(text: str, lexicon: Lexicon) -> list[tuple[int, int, int, int, bool
         quoted = bool((marked or not REPORTING.isdisjoint(words[max(0, i - 4) : i])) and not (aimed and not marked))
         w = lexicon.loose[k] if edits else lexicon.weight[k]
         out.append((*spans[i], k, edits, quoted, w * (1 + 0.25 * min(near, 4)) * (1.25 if aimed and not quoted else 1.0)))
-    return out
+    return len(words), out
 
 
-def features(text: str, lexicon: Lexicon, found: list[tuple[int, int, int, int, bool, float]]) -> list[float]:
-    n = len(_WORD.findall(text.lower()))
+def features(lexicon: Lexicon, n: int, found: Found) -> list[float]:
     abuse = [s for *_, quoted, s in found if not quoted]
     told = sum(s for *_, quoted, s in found if quoted)
     plain = sum(lexicon.loose[k] if e else lexicon.weight[k] for _, _, k, e, quoted, _ in found if not quoted)
@@ -309,7 +311,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows_of(batches):
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([features(t or "", lexicon, contexts(t or "", lexicon)) for t in b.column(0).to_pylist()], pa.list_(pa.float64()))], names=["y", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([features(lexicon, *contexts(t or "", lexicon)) for t in b.column(0).to_pylist()], pa.list_(pa.float64()))], names=["y", "x"])
 
     got = rows.mapInArrow(run, "y int, x array<double>").toPandas()  # at most max_rows, of WIDTH numbers each
     x = np.array(got["x"].tolist(), float).reshape(-1, WIDTH)
@@ -324,10 +326,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows_of(batches):
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            every = [contexts(t, model.lexicon) for t in texts]
-            x = np.array([features(t, model.lexicon, f) for t, f in zip(texts, every)], float).reshape(-1, WIDTH)
-            found = [[{"start": a, "end": z, "term": model.lexicon.terms[k], "edits": e, "quoted": q, "score": s} for a, z, k, e, q, s in f] for f in every]
+            every = [contexts(t or "", model.lexicon) for t in b.column(1).to_pylist()]
+            x = np.array([features(model.lexicon, *f) for f in every], float).reshape(-1, WIDTH)
+            found = [[{"start": a, "end": z, "term": model.lexicon.terms[k], "edits": e, "quoted": q, "score": s} for a, z, k, e, q, s in f] for _, f in every]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.scores(x), pa.float64()), pa.array(found, span)], names=["doc_id", "score", "found"])
 
     return with_columns(docs, doc_id="long", text="string").mapInArrow(run, out)
