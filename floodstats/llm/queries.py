@@ -87,7 +87,7 @@ def _spans_sql(name: str, kind: int, pattern: str, group: int, where: str) -> st
 
 
 _NAME = "['assign', 'access', 'hex', 'live'][k + 1] || ':' || a || ':' || z"
-_OP1 = f"""WITH t AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS x, coalesce(source, '') AS o, coalesce(lang, '') AS r FROM documents),
+_OP1 = f"""WITH t AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS x, coalesce(source, '') AS o, coalesce(nullif(regexp_extract(coalesce(text, ''), '{secrets.ADDRESS}'), ''), '#' || coalesce(CAST(doc_id AS VARCHAR), '')) AS r FROM documents),
 {_spans_sql("sa", 0, secrets.ASSIGN, 2, "length(v) >= 8")},
 {_spans_sql("sk", 1, secrets.ACCESS, 0, "true")},
 {_spans_sql("sh", 2, secrets.HEX, 0, "true")},

@@ -2,12 +2,12 @@
 
 Three base kinds are found by their patterns. Besides, any run of 16 or more token characters that has a letter and a digit
 and lies outside the base spans is a candidate. All values are hashed, and each hash is counted over distinct owners and distinct
-repositories (an owner's) in the whole corpus: one seen with more than `max_owners` owners or in more than `max_repositories`
+repositories (an owner's; see `repository`) in the whole corpus: one seen with more than `max_owners` owners or in more than `max_repositories`
 repositories is a widely copied example, any other is owner-specific and looks live. Live candidates are added to the spans as
 kind `live`; base spans always stay.
 
-Counting pre-aggregates by (hash, owner, repository), so a value that a third of all rows hold shuffles as a few rows per
-task. The counts are written before the way back, so that this is a join of two plain exchanges, whose hot hash adaptive
+Counting takes distinct (hash, owner, repository) and then sums by (hash, owner) before the shuffle, so a value that a third of all rows
+hold meets as a few rows per task. The counts are written before the way back, so that this is a join of two plain exchanges, whose hot hash adaptive
 execution splits; it carries no texts.
 
 Nulls: a null text is empty, a null owner or repository counts as the name ''. Rows with a null id are kept. Repeated rows
@@ -28,6 +28,9 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{12,}"  # AKIA[A-Z0-9]+ of 16 or more: a match is the rest of its run, so a shorter one hides none
 HEX = r"[0-9a-f]{32,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
+ADDRESS = r"https?://[^\x20\x09-\x0D/?#]+(?:/[^\x20\x09-\x0D/?#]+)?"
+#: Stands for a masked code point; a text's own are read as blanks. Matches that are summed up together.
+MASK, CHUNK = "\ue000", 64
 KINDS = ("assign", "access", "hex", "live")
 MAX_OWNERS, MAX_REPOSITORIES = 2, 4
 REPLACEMENT = "<secret>"
@@ -39,10 +42,16 @@ def let(value: Column, use) -> Column:
 
 
 def _matches(text: Column, pattern: str, kind: int, group: int) -> Column:
-    """array<struct<start, end, kind, value>> of leftmost non-overlapping matches: lengths of what split() leaves between them."""
+    """array<struct<start, end, kind, value>> of leftmost non-overlapping matches: lengths of what split() leaves between them, summed
+    up by chunks, so that a text with very many takes no more than in proportion."""
+    none = F.expr("cast(array() as array<struct<start:int,end:int,kind:int,value:string>>)")
 
     def spans(all_: Column, values: Column, between: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,kind:int,value:string>>)").alias("out"))
+        places = lambda c: F.sequence(c * CHUNK, F.least((c + 1) * CHUNK, F.size(all_)) - 1)
+        chunks = F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / CHUNK).cast("int"))
+        long = lambda c: F.aggregate(places(c), F.lit(0), lambda n, i: n + F.length(between[i]) + F.length(all_[i]))
+        begin = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+        starts = F.aggregate(chunks, begin, lambda acc, c: F.struct((acc["at"] + long(c)).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
 
         def step(acc: Column, i: Column) -> Column:
             s = acc["at"] + F.length(between[i])
@@ -50,28 +59,43 @@ def _matches(text: Column, pattern: str, kind: int, group: int) -> Column:
             one = F.struct(s.alias("start"), e.alias("end"), F.lit(kind).alias("kind"), values[i].alias("value"))
             return F.struct(e.alias("at"), F.array_append(acc["out"], one).alias("out"))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(all_) - 1), start, step, lambda acc: acc["out"])
+        own = lambda at: F.transform(chunks, lambda c: F.aggregate(places(c), F.struct(at[c].alias("at"), none.alias("out")), step, lambda acc: acc["out"]))
+        return let(starts, lambda at: F.flatten(own(at)))
 
-    none = F.expr("cast(array() as array<struct<start:int,end:int,kind:int,value:string>>)")
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else None
-    use = lambda m: spans(m, m, F.split(text, pattern, -1))
     if group:
+        part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
         use = lambda m: let(F.struct(part.alias("v"), F.split(text, pattern, -1).alias("b")), lambda x: spans(m, x["v"], x["b"]))
     else:
         use = lambda m: let(F.split(text, pattern, -1), lambda b: spans(m, m, b))
     return let(whole, lambda m: F.when(F.size(m) > 0, use(m)).otherwise(none))
 
 
+def _masked(text: Column) -> Column:
+    """text with MASK in place of each code point of its assignments, and blanks for its own."""
+    every = lambda pattern, group: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    long = lambda x, i: F.length(x["v"][i]) >= 8
+    part = lambda x, i: F.concat(F.translate(x["b"][i], MASK, " "), F.when(long(x, i), F.repeat(F.lit(MASK), F.length(x["m"][i]))).otherwise(x["m"][i]))
+    whole = lambda x: F.concat(F.array_join(F.transform(F.sequence(F.lit(0), F.size(x["m"]) - 1), lambda i: part(x, i)), ""), F.translate(F.element_at(x["b"], -1), MASK, " "))
+    return let(F.struct(every(ASSIGN, 0).alias("m"), every(ASSIGN, 2).alias("v"), F.split(text, ASSIGN, -1).alias("b")), whole)
+
+
 def findings(text: Column) -> Column:
     """Base spans and candidates, by start and then kind. Access and hex spans are runs that CANDIDATE finds too, so texts without
-    any are not searched for them."""
+    any are not searched for them, and a candidate is outside of them if its run holds none; it is outside of the assignments if
+    its run doesn't meet them, so these are masked first."""
     none = F.expr("cast(array() as array<struct<start:int,end:int,kind:int,value:string>>)")
     assign = F.filter(_matches(text, ASSIGN, 0, 2), lambda m: F.length(m["value"]) >= 8)
-    keyed = lambda m: m["value"].rlike("[0-9]") & m["value"].rlike("[A-Za-z]")
-    outside = lambda c, b: F.filter(c, lambda m: keyed(m) & ~F.exists(b, lambda x: (x["start"] < m["end"]) & (m["start"] < x["end"])))
-    base = lambda c: F.when(F.size(c) > 0, F.concat(assign, _matches(text, ACCESS, 1, 0), _matches(text, HEX, 2, 0))).otherwise(assign)
-    return let(_matches(text, CANDIDATE, 3, 0), lambda c: let(base(c), lambda b: F.array_sort(F.concat(b, F.when(F.size(c) > 0, outside(c, b)).otherwise(none)))))
+    own = lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]") & ~v.contains(MASK) & ~v.rlike(f"{ACCESS}|{HEX}")
+    seen = lambda a: F.when(F.size(a) > 0, _masked(text)).otherwise(F.translate(text, MASK, " "))
+    candidates = lambda a: F.filter(let(seen(a), lambda x: _matches(x, CANDIDATE.replace("]", f"{MASK}]"), 3, 0)), lambda m: own(m["value"]))
+    every = lambda a: F.array_sort(F.concat(a, _matches(text, ACCESS, 1, 0), _matches(text, HEX, 2, 0), candidates(a)))
+    return let(assign, lambda a: F.when(text.rlike(CANDIDATE), every(a)).otherwise(F.when(F.size(a) > 0, a).otherwise(none)))
+
+
+def repository(text: Column, doc_id: Column) -> Column:
+    """What a document is a part of: the host of the first address in it with the first part of its path, else the document itself."""
+    return F.when(text.contains("://"), F.coalesce(F.nullif(F.regexp_extract(text, ADDRESS, 0), F.lit("")), F.concat(F.lit("#"), F.coalesce(doc_id.cast("string"), F.lit(""))))).otherwise(F.concat(F.lit("#"), F.coalesce(doc_id.cast("string"), F.lit(""))))
 
 
 def scan(df: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
@@ -105,18 +129,19 @@ def scan(df: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int = MA
 
 
 def _of_documents(docs: DataFrame) -> DataFrame:
-    own = with_columns(docs, doc_id="long", text="string", source="string", lang="string")
-    return own.select("doc_id", "text", F.col("source").alias("owner"), F.col("lang").alias("repository"))
+    own = with_columns(docs, doc_id="long", text="string", source="string")
+    return own.select("doc_id", "text", F.col("source").alias("owner"), repository(F.coalesce("text", F.lit("")), F.col("doc_id")).alias("repository"))
 
 
 def joined(spans: Column) -> Column:
     name = F.array(*map(F.lit, KINDS))
+    ordered = F.array_sort(F.transform(spans, lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end"))))
     text = lambda m: F.concat_ws(":", let(m["kind"], lambda k: F.element_at(name, k + 1)), m["start"].cast("string"), m["end"].cast("string"))
-    return F.array_join(F.transform(F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"])), text), ",")
+    return F.array_join(F.transform(ordered, text), ",")
 
 
 def secret_spans(docs: DataFrame) -> DataFrame:
-    """The contract's columns; the owner is the source, its repositories are its languages. ownership: start:owners:repositories of
+    """The contract's columns; the owner is the source. ownership: start:owners:repositories of
     every value, by start and kind."""
     s = scan(_of_documents(docs))
     count = lambda k: F.size(F.filter("base", lambda m: m["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
