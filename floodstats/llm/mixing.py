@@ -5,7 +5,7 @@ language and by topic meet the targets; the raked mass by the cell's tokens is t
 times the weight is a document's expected number of copies: its whole part is taken, and one more by a hash of the id, so a
 repeated run draws the same. The sums of this sample meet the targets, also where a name needs more tokens than it has.
 
-Raking ends when no sum misses its target by more than TOLERANCE of it, or after ROUNDS rounds; `miss` says how much the worst one
+Raking ends when no sum misses its target by more than TOLERANCE of it, when a round betters that by less than a hundredth of it, or after ROUNDS rounds; `miss` says how much the worst one
 misses. Targets that no weights meet (names that only occur together, with shares that differ) leave a miss.
 
 Targets are shares by name for any of the dimensions (`targets`); a dimension without takes its own shares to a power. Topics
@@ -16,7 +16,7 @@ Besides, `probability` and `sampled` give a sample that repeats nothing: the wei
 that clips, its sums fall short of the targets, as no sample without repetition has them at that size.
 
 Only the table of cells is iterated on. Up to MAX_CELLS cells that is done in numpy and the weights are broadcast (their
-number is checked); beyond, the same steps are DataFrame aggregates and joins, and the weights are joined.
+number is checked); beyond, the same steps to the same tolerance are DataFrame aggregates and joins, and the weights are joined.
 
 Nulls: a null text is empty, null sources, languages and topics are the name ''. Empty documents have no tokens to weigh and get
 probability 1 where all of their cell is empty. Null ids are drawn as one id; repeated rows share their fate. Texts of any
@@ -35,9 +35,7 @@ from pyspark.sql import functions as F
 from .common import delete, free_prefix, scratch, stash, with_columns
 
 DIMS = ("source", "lang", "topic")
-MAX_CELLS, ROUNDS, TOLERANCE = 100_000, 500, 1e-9
-#: The tolerance and rounds beyond MAX_CELLS, where a round is some jobs.
-FAR_ROUNDS, FAR_TOLERANCE = 60, 1e-6
+MAX_CELLS, ROUNDS, TOLERANCE = 100_000, 100, 1e-6
 Targets = dict[str, dict[str, float]] | None
 Rules = tuple[tuple[str, str], ...]
 #: First rule that holds names the topic; other texts are prose.
@@ -70,11 +68,13 @@ def rake(mass: np.ndarray, keys: list[np.ndarray], targets: list[np.ndarray], ro
     def miss() -> float:
         return max((float(np.abs(np.bincount(k, w, len(t))[t > 0] / t[t > 0] - 1).max(initial=0)) for k, t in zip(keys, targets)), default=0.0)
 
+    last = np.inf
     for _ in range(rounds):
         for k, t in zip(keys, targets):
             have = np.bincount(k, w, len(t))
             w *= np.divide(t, have, out=np.ones_like(t), where=have > 0)[k]
-        if miss() <= tolerance:
+        before, last = last, miss()
+        if last <= tolerance or before - last < tolerance / 100:
             break
     return w, miss()
 
@@ -130,7 +130,7 @@ def weights(cells: DataFrame, keep: float, power: float, max_cells: int = MAX_CE
 
 def _weights_by_joins(cells: DataFrame, keep: float, power: float, given: Targets) -> DataFrame:
     """The same where cells are too many for the driver."""
-    total = cells.agg(F.sum("tokens")).first()[0]
+    total = cells.agg(F.sum("tokens")).first()[0] or 0
     w, aims = cells.withColumn("w", F.col("tokens").cast("double")), {}
     for d in DIMS:
         t, own = F.pow(F.sum("tokens").cast("double"), power), _shares(given, d)
@@ -139,9 +139,10 @@ def _weights_by_joins(cells: DataFrame, keep: float, power: float, given: Target
         t = cells.groupBy(d).agg(t.alias("t"))
         if own is not None and total and not t.agg(F.sum("t")).first()[0]:
             raise ValueError(f"no {d} with a share has tokens")
-        aims[d] = stash(t.select(d, (F.col("t") * total / t.agg(F.sum("t")).first()[0]).alias("t")))
-    miss, paths = 0.0, []
-    for _ in range(FAR_ROUNDS):
+        every = t.agg(F.sum("t")).first()[0]
+        aims[d] = stash(t.select(d, (F.col("t") * F.lit(total / every if every else 0.0)).alias("t")))
+    miss, paths = float("inf"), []
+    for _ in range(ROUNDS):
         for d in DIMS:
             have = w.groupBy(d).agg(F.sum("w").alias("have")).join(aims[d], d).select(d, F.when(F.col("have") > 0, F.col("t") / F.col("have")).otherwise(1.0).alias("f"))
             w = w.join(have, d).withColumn("w", F.col("w") * F.col("f")).drop("f")
@@ -151,15 +152,19 @@ def _weights_by_joins(cells: DataFrame, keep: float, power: float, given: Target
         delete(cells.sparkSession, paths[:-1])
         del paths[:-1]
         off = [w.groupBy(d).agg(F.sum("w").alias("have")).join(aims[d], d).where("t > 0").agg(F.max(F.abs(F.col("have") / F.col("t") - 1))).first()[0] for d in DIMS]
-        miss = max((x for x in off if x is not None), default=0.0)
-        if miss <= FAR_TOLERANCE:
+        before, miss = miss, max((x for x in off if x is not None), default=0.0)
+        if miss <= TOLERANCE or before - miss < TOLERANCE / 100:
             break
     w = w.withColumn("weight", F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(1.0))
-    low, high = 1e-9, 1e9
-    for _ in range(4):
-        grid = np.geomspace(low, high, 65)
-        sums = w.agg(*[F.sum(F.col("tokens") * F.least(F.lit(1.0), F.lit(float(g)) * F.col("weight"))) for g in grid]).first()
-        i = min(64, max(1, int(np.searchsorted(np.array(sums, float), keep * total))))
+    low, high = 0.0, 1.0
+    clipped = lambda g: F.coalesce(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.lit(float(g)) * F.col("weight"))), F.lit(0.0))
+    while high < 1e18 and w.agg(clipped(high)).first()[0] < keep * total:
+        high *= 2**20
+    while total and high - low > 1e-14 * high:  # 64 parts a pass
+        grid = np.linspace(low, high, 65)
+        i = min(64, max(1, int(np.searchsorted(np.array(w.agg(*map(clipped, grid)).first(), float), keep * total))))
+        if (grid[i - 1], grid[i]) == (low, high):
+            break
         low, high = grid[i - 1], grid[i]
     p = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.lit(float(high)) * F.col("weight"))).otherwise(1.0)
     expected = F.when(F.col("tokens") > 0, F.lit(float(keep)) * F.col("weight")).otherwise(1.0)

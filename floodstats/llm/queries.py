@@ -10,6 +10,10 @@ from . import deleted, langid, mixing, packing, quality, runs, secrets, simhash,
 from .common import table
 
 
+#: Words that a repeated run must have in the query of op5, so that a few one-word sentences in a row leave clean documents alone.
+FLOOR = 18
+
+
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(table(spark, sf_dir, "documents"))
 
@@ -27,7 +31,7 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.dedup_spans(table(spark, sf_dir, "documents"))
+    return spans.dedup_spans(table(spark, sf_dir, "documents"), words=FLOOR)
 
 
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

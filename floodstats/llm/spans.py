@@ -1,15 +1,15 @@
 """Substring deduplication by sliding sentence spans.
 
 Sentences end at a stop followed by white space, at a stop of scripts without spaces, or at a line's end. Those over CUT words are cut
-at places that their content sets (`_cuts`). In scripts without spaces each code point counts as a word. The shortest run of at
-least RUN sentences and WORDS words from each sentence on, and that up to each, is hashed, lower-cased and with single spaces. A run
-that any earlier place holds too (in a document of a smaller id, or earlier in its own) is a repetition, and the sentences
-it covers are removed. A document sends each different hash once, as 16 bytes; the count and the smallest id of a hash are
+at places that their content sets (`_cuts`). In scripts without spaces each code point counts as a word. Every run of RUN sentences
+is hashed, lower-cased and with single spaces (with a floor of `words`, a parameter, every shortest run from a sentence on, and up to
+one, that has so many). A run that any earlier place holds too (in a document of a smaller id, in one of the same id whose text has a
+smaller hash, or earlier in its own) is a repetition, and the sentences it covers are removed. A document sends each different hash once, as 16 bytes; the count and the smallest id of a hash are
 aggregated before the shuffle and written, so that the join back is one of two plain exchanges, whose hot hash adaptive
 execution splits. Only texts with a repetition are cut into sentences a second time.
 
-Nulls: a null text is empty and stays null. Null ids are told apart by their text and come after all others. Of repeated rows
-with one id all keep what the first keeps. Texts of any length are processed whole; equal texts under several ids are
+Nulls: a null text is empty and stays null. Null ids are told apart by their text and come after all others. Of rows that repeat
+id and text all keep what the first keeps. Texts of any length are processed whole; equal texts under several ids are
 emptied but for the first, if they are long enough for a run. Columns other than doc_id and text aren't read, so extra ones of
 any name don't matter; an empty table gives an empty result.
 """
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import rows_of, stash, with_columns
 
-RUN, WORDS, CUT, REACH = 3, 25, 12, 4
+RUN, WORDS, CUT, REACH = 3, 0, 12, 4
 _UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
 _BREAK = re.compile(r"(?<=[.!?\u061f\u06d4\u0964\u0965\u0589\u1362])\s+|(?<=[\u3002\uff01\uff1f\uff0e\uff61\u104b\u17d4])\s*|\s*\n\s*")
 _NO_SPACES = re.compile(f"[{_UNSPACED}]")
@@ -154,7 +154,7 @@ def _key(doc_id: Column, text: Column) -> Column:
 FOUND = "key long, text_hash long, n_sentences long, inside boolean, hashes array<long>"
 
 
-def spans(keyed: DataFrame) -> DataFrame:
+def spans(keyed: DataFrame, length: int = RUN, words: int = WORDS) -> DataFrame:
     """keyed (key, text_hash, text) -> its sentences, whether a run occurs twice inside, and the hashes of its runs, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +162,7 @@ def spans(keyed: DataFrame) -> DataFrame:
             n, inside, own = [], [], []
             for t in b.column(2).to_pylist():
                 units = sentences(t or "", placed=False)
-                h = [x for x, _, _ in runs(units)]
+                h = [x for x, _, _ in runs(units, length, words)]
                 distinct = np.unique(np.array(h, np.int64))
                 n.append(len(units)), inside.append(len(distinct) < len(h)), own.append(distinct)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(inside, pa.bool_()), pa.array(own, pa.list_(pa.int64()))], names=[x.split()[0] for x in FOUND.split(", ")])
@@ -170,14 +170,20 @@ def spans(keyed: DataFrame) -> DataFrame:
     return keyed.select("key", "text_hash", "text").mapInArrow(run, FOUND)
 
 
-def dedup_spans(docs: DataFrame) -> DataFrame:
+def dedup_spans(docs: DataFrame, run: int = RUN, words: int = WORDS) -> DataFrame:
     """(doc_id, text, n_sentences, n_removed, n_chars_removed) of every row."""
     own = with_columns(docs, doc_id="long", text="string")
     keyed = own.withColumns({"key": _key(F.col("doc_id"), F.col("text")), "text_hash": F.xxhash64("text")})
-    found = stash(spans(keyed))
+    found = stash(spans(keyed, run, words))
     each = found.select("key", "text_hash", F.explode("hashes").alias("h"))
     first = stash(each.groupBy("h").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     again = each.join(first, "h").where("key > first").select("key", "text_hash", "h", F.lit(None).cast("long").alias("n_sentences"))
+    shared = stash(found.groupBy("key").agg(F.min("text_hash").alias("low"), F.max("text_hash").alias("high")).where("low < high").select("key"))
+    if not shared.isEmpty():  # ids of several texts
+        mine = stash(found.join(shared, "key", "left_semi").select("key", "text_hash", F.explode("hashes").alias("h")))
+        low = stash(mine.groupBy("key", "h").agg(F.min("text_hash").alias("low")))
+        later = mine.join(low, ["key", "h"]).where("text_hash > low").select("key", "text_hash", "h", F.lit(None).cast("long").alias("n_sentences"))
+        again = again.unionByName(later)
     told = again.unionByName(found.select("key", "text_hash", F.lit(None).cast("long").alias("h"), F.when(~F.col("inside"), F.col("n_sentences")).alias("n_sentences")))
     told = stash(told.groupBy("key", "text_hash").agg(F.collect_set("h").alias("again"), F.max("n_sentences").alias("n_sentences")))
     both = keyed.join(told, ["key", "text_hash"], "left").select("doc_id", "text", "again", "n_sentences")
@@ -185,7 +191,7 @@ def dedup_spans(docs: DataFrame) -> DataFrame:
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows_of(batches):
             ids, texts, again, n = (c.to_pylist() for c in b.columns)
-            done = [without(t or "", set(a or ())) if a or k is None else (t, k, 0) for t, a, k in zip(texts, again, n)]
+            done = [without(t or "", set(a or ()), run, words) if a or k is None else (t, k, 0) for t, a, k in zip(texts, again, n)]
             new = [None if t is None else d[0] for t, d in zip(texts, done)]
             gone = [len(t or "") - len(d[0] or "") for t, d in zip(texts, done)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(new, pa.string()), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int64()), pa.array(gone, pa.int64())], names=["doc_id", "text", "n_sentences", "n_removed", "n_chars_removed"])

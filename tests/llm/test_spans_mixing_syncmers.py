@@ -7,7 +7,7 @@ from floodstats.llm import mixing, spans, syncmers
 from pyspark.sql import functions as F
 
 
-def brute_spans(rows):
+def brute_spans(rows, floor=0):
     """(id, text without repeated runs) by comparing the runs themselves, smaller ids first."""
     first, out = {}, {}
     for i, text in sorted(rows, key=lambda r: r[0]):
@@ -15,7 +15,7 @@ def brute_spans(rows):
         words = [" ".join(w).lower() for _, w in units]
         gone, size = set(), len(units)
         total = np.cumsum([0, *(len(w) for _, w in units)])
-        enough = lambda a, b: b - a >= 3 and total[b] - total[a] >= 25
+        enough = lambda a, b: b - a >= 3 and total[b] - total[a] >= floor
         every = [(a, b) for a in range(size) for b in range(a + 1, size + 1) if enough(a, b)] if size < 120 else [(a, b) for a in range(size) for b in range(a + 1, min(size, a + 40) + 1) if enough(a, b)]
         least, most = {}, {}
         for a, b in every:
@@ -31,12 +31,22 @@ def brute_spans(rows):
     return out
 
 
-def test_spans_against_brute_force(docs, texts):
-    got = spans.dedup_spans(docs).collect()
-    assert {r.doc_id: r.text for r in got} == brute_spans(texts.items())
+@pytest.mark.parametrize("floor", [0, 25])
+def test_spans_against_brute_force(docs, texts, floor):
+    got = spans.dedup_spans(docs, words=floor).collect()
+    assert {r.doc_id: r.text for r in got} == brute_spans(texts.items(), floor)
     assert any(r.n_removed for r in got)
 
 
+def test_short_sentences_and_shared_ids(spark):
+    """Three sentences of a few words are a run; of two texts under one id, one keeps what they share."""
+    own = lambda n: " ".join(f"Some {n} plain line number {n * 7 + i} here." for i in range(4))
+    short, long = "It rains. The tide is in. We wait.", " ".join(f"Shared line {i} of six words." for i in range(6))
+    rows = [(1, f"{own(1)} {short}"), (2, f"{own(2)} {short}"), (3, f"{own(3)} {long}"), (3, f"{own(4)} {long}"), (3, f"{own(4)} {long}")]
+    got = [(r.doc_id, r.n_removed) for r in spans.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got)[:2] == [(1, 0), (2, 3)] and sorted(n for i, n in got if i == 3) in ([0, 6, 6], [0, 0, 6])
+
+
 def test_a_repeated_passage_goes_and_the_rest_stays(spark):
     r = np.random.default_rng(4)
     say = lambda n, k: " ".join(" ".join(f"w{x}" for x in r.integers(0, 9999, k)) + "." for _ in range(n))
@@ -73,7 +83,7 @@ def test_marginals_meet_their_targets(spark, docs):
     for d in mixing.DIMS:
         have = mass.groupby(rows[d]).sum()
         want = rows.n_tokens.groupby(rows[d]).sum() ** 0.5
-        assert np.allclose(have, want / want.sum() * total, rtol=1e-8)
+        assert np.allclose(have, want / want.sum() * total, rtol=2 * mixing.TOLERANCE)
     assert rows.miss.max() <= mixing.TOLERANCE
     expected = (rows.n_tokens * rows.probability).sum()
     assert expected == pytest.approx(0.5 * total, rel=1e-3) and rows.probability.between(0, 1).all()
@@ -104,9 +114,17 @@ def test_many_cells_give_the_same_weights(spark, docs):
     many, two = mixing.weights(cells, 0.5, 0.7, max_cells=0)
     assert one and not two
     both = few.toPandas().merge(many.toPandas(), on=list(mixing.DIMS))
-    assert len(both) == cells.count() and both.miss_x.max() <= mixing.TOLERANCE and both.miss_y.max() <= mixing.FAR_TOLERANCE
+    assert len(both) == cells.count() and both.miss_x.max() <= mixing.TOLERANCE and both.miss_y.max() <= mixing.TOLERANCE
     for c in ("weight", "probability", "expected"):
-        assert np.allclose(both[f"{c}_x"], both[f"{c}_y"], rtol=1e-5), c
+        assert np.allclose(both[f"{c}_x"], both[f"{c}_y"], rtol=1e-9), c
+
+
+def test_empty_texts_on_either_path(spark, nothing):
+    empty = spark.createDataFrame([(i, "", "en", "s") for i in range(5)], "doc_id long, text string, lang string, source string")
+    for df in (empty, nothing):
+        one, two = (sorted(map(repr, mixing.drawn(df, max_cells=n).drop("weight", "expected", "probability", "miss").collect())) for n in (1000, 0))
+        assert one == two
+    assert {(r.probability, r.copies) for r in mixing.drawn(empty, max_cells=0).collect()} == {(1.0, 1)}
 
 
 def test_targets_that_cannot_be_met_are_reported(spark):
@@ -114,7 +132,7 @@ def test_targets_that_cannot_be_met_are_reported(spark):
     cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
     aim = {"source": {"a": 3, "b": 1}, "lang": {"en": 1, "de": 1}}
     assert mixing.weights(cells, 0.5, 1.0, targets=aim)[0].first().miss > 0.3
-    assert mixing.weights(cells, 0.5, 1.0, targets={"source": {"a": 3, "b": 1}, "lang": {"en": 3, "de": 1}})[0].first().miss < 1e-9
+    assert mixing.weights(cells, 0.5, 1.0, targets={"source": {"a": 3, "b": 1}, "lang": {"en": 3, "de": 1}})[0].first().miss < mixing.TOLERANCE
 
 
 def test_topics_as_a_column_or_by_rules(spark):
@@ -123,7 +141,7 @@ def test_topics_as_a_column_or_by_rules(spark):
     assert {r.topic for r in mixing.drawn(df).collect()} == {"t", ""}
     own = mixing.drawn(df.drop("topic"), keep=1.0, rules=(("food", "recipe|soup"),), targets={"topic": {"food": 1, "prose": 1}}).toPandas()
     mass = (own.n_tokens * own.expected).groupby(own.topic).sum()
-    assert mass["food"] == pytest.approx(mass["prose"]) and set(own.topic) == {"food", "prose"}
+    assert mass["food"] == pytest.approx(mass["prose"], rel=3 * mixing.TOLERANCE) and set(own.topic) == {"food", "prose"}
     assert mixing.mix(df, targets={"topic": {"t": 1}}).where("topic is null").count() == 0
 
 
