@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ship import ship
-from . import rasters
+from . import rasters, store, zarr
 from .store import get, put
 
 # Classic netCDF's type codes, and its tags of lists.
@@ -26,33 +26,17 @@ def _plain(x):
     return x.item() if isinstance(x, np.generic) else x
 
 
-def write_zarr(df: DataFrame, path: str, variable: str, shape: dict[str, int], chunks: list[int], coords: dict[str, np.ndarray] | None = None, attributes: dict | None = None, fill: float = math.nan, dtype: str = "<f8", value: str = "value") -> int:
-    """df: a position for each dimension of `shape`, and the value -> a Zarr group with the variable and one-dimensional coords;
-    gives the number of chunks written. Chunks without cells aren't written, as readers fill them."""
-    dims, places = list(shape), [f"_c{i}" for i in range(len(shape))]
-
-    def block(own: pd.DataFrame) -> pd.DataFrame:
-        at = [int(own[p].iloc[0]) for p in places]
-        v = np.full(chunks, fill, dtype)
-        v[tuple(own[d].to_numpy() - a * c for d, a, c in zip(dims, at, chunks))] = own[value].to_numpy(float)
-        put(f"{path}/{variable}/{'.'.join(map(str, at))}", zlib.compress(v.tobytes(), 1))
-        return pd.DataFrame({"n": [len(own)]})
-
-    def described(name: str, size: list[int], chunk: list[int], own: list[str], kind: str, more: dict) -> None:
-        filled = "NaN" if isinstance(fill, float) and math.isnan(fill) else fill
-        put(f"{path}/{name}/.zarray", json.dumps({"zarr_format": 2, "shape": size, "chunks": chunk, "dtype": kind, "compressor": {"id": "zlib", "level": 1}, "fill_value": filled if name == variable else None, "order": "C", "filters": None}).encode())
-        put(f"{path}/{name}/.zattrs", json.dumps({"_ARRAY_DIMENSIONS": own, **more}).encode())
-
-    ship(df.sparkSession)
-    keyed = df.where(F.col(value).isNotNull()).select(*dims, value, *[F.floor(F.col(d) / c).cast("int").alias(p) for d, c, p in zip(dims, chunks, places)])
-    n = keyed.groupBy(*places).applyInPandas(block, "n long").count()
-    for name, values in (coords or {}).items():
-        v = np.ascontiguousarray(values, "<f8")
-        put(f"{path}/{name}/0", zlib.compress(v.tobytes(), 1))
-        described(name, [len(v)], [len(v)], [name], "<f8", {})
-    described(variable, list(shape.values()), chunks, dims, dtype, {k: _plain(x) for k, x in (attributes or {}).items()})
-    put(f"{path}/.zgroup", b'{"zarr_format": 2}')
-    return n
+def write_zarr(df: DataFrame, path: str, variable: str, shape: dict[str, int], chunks: list[int], coords: dict[str, np.ndarray] | None = None, attributes: dict | None = None, fill: float = math.nan, dtype: str = "<f8", value: str = "value", if_exists: str = "overwrite") -> int:
+    """df: a position for each dimension of `shape`, and the value -> a Zarr group with the variable and one-dimensional coords, in the
+    place of the variable that was there; gives the number of chunks written. Chunks without cells aren't written, as readers fill
+    them. if_exists: overwrite, or append, which is an error where the variable is there."""
+    zarr.use(df.sparkSession)
+    plan = {"shape": shape, "chunks": list(chunks), "dtype": dtype, "fill": None if isinstance(fill, float) and math.isnan(fill) else _plain(fill), "attributes": {k: _plain(x) for k, x in (attributes or {}).items()}, "coords": {k: np.asarray(v, float).tolist() for k, v in (coords or {}).items()}}
+    places = {f"_c{i}": F.floor(F.col(d) / c).cast("int") for i, (d, c) in enumerate(zip(shape, chunks))}
+    own = df.where(F.col(value).isNotNull()).select(*[F.col(d).cast("int").alias(d) for d in shape], F.col(value).cast("double").alias("value")).withColumns(places)
+    dealt = own.repartition(*places).sortWithinPartitions(*places).drop(*places)
+    dealt.write.format("zarr").mode(if_exists).option("variable", variable).option("plan", json.dumps(plan)).save(path.rstrip("/"))
+    return sum(n[:1].isdigit() for n in store.names(f"{path.rstrip('/')}/{variable}"))
 
 
 def encode_netcdf(variables: dict[str, tuple[list[str], np.ndarray, dict]], attributes: dict | None = None) -> bytes:
@@ -100,6 +84,7 @@ def write_netcdf(df: DataFrame, path: str, variable: str, coords: list[str], by:
         return pd.DataFrame({"n": [len(own)]})
 
     ship(df.sparkSession)
+    store.remove(path)  # files of values that df no longer has
     return df.where(F.col(value).isNotNull()).select(by, *coords, value).groupBy(by).applyInPandas(one, "n long").count()
 
 
@@ -115,6 +100,7 @@ def write_geotiff_tiles(cells: DataFrame, path: str, west: float, north: float,
         return pd.DataFrame({"n": [len(own)]})
 
     ship(cells.sparkSession)
+    store.remove(path)
     return _by_tile(cells, side).groupBy("_r", "_c").applyInPandas(tile, "n long").count()
 
 
@@ -151,6 +137,7 @@ def write_binary(cells: DataFrame, path: str, rows: int, cols: int, block: int =
         return pd.DataFrame({"n": [len(on)]})
 
     ship(cells.sparkSession)
+    store.remove(path)
     every = cells.sparkSession.range(-(-rows // block)).select(F.col("id").cast("int").alias("_k"))
     own = cells.select("row", "col", "value", F.floor(F.col("row") / block).cast("int").alias("_k"))
     return every.join(own, "_k", "left").groupBy("_k").applyInPandas(part, "n long").count()

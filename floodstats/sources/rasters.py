@@ -10,7 +10,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.ship import ship
@@ -229,62 +228,14 @@ def read_pcraster(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, CELLS)
 
 
-def _unzip(name: str | None, raw: bytes, size: int) -> bytes:
-    if name is None:
-        return raw
-    if name in ("zlib", "gzip"):
-        return zlib.decompress(raw, 47)
-    if name in ("zstd", "lz4"):
-        return pa.decompress(raw, size, name, asbytes=True) if name == "zstd" else pa.decompress(raw[4:], size, "lz4_raw", asbytes=True)
-    raise ValueError(f"compressor {name} is not supported")
-
-
-def _hidden_json(spark: SparkSession, path: str) -> dict | None:
-    """A small file whose name Spark's readers skip, from any file system that Spark knows; None if it isn't there."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return None
-    stream = fs.open(p)
-    try:
-        return json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-    finally:
-        stream.close()
-
-
 def read_zarr(spark: SparkSession, path: str, variable: str, coords: dict[str, str] | None = None) -> DataFrame:
     """A variable of a Zarr (version 2) group: one row a cell with a position for each of its dimensions, named by
-    _ARRAY_DIMENSIONS, and the value; fill values and NaN are left out. Each chunk is decoded where Spark reads it, so a
-    store of many chunks is many tasks. coords: {dimension: variable} of one dimension each, whose values are joined on."""
-    meta = _hidden_json(spark, f"{path}/{variable}/.zarray")
-    attributes = _hidden_json(spark, f"{path}/{variable}/.zattrs") or {}
-    shape, chunk, sep = meta["shape"], meta["chunks"], meta.get("dimension_separator", ".")
-    dims = attributes.get("_ARRAY_DIMENSIONS") or [f"d{i}" for i in range(len(shape))]
-    squeeze, dtype, fill = (meta.get("compressor") or {}).get("id"), np.dtype(meta["dtype"]), meta.get("fill_value")
-    size, scale, offset = math.prod(chunk), attributes.get("scale_factor", 1.0), attributes.get("add_offset", 0.0)
+    _ARRAY_DIMENSIONS, and the value; fill values and NaN are left out. coords: {dimension: variable} of one dimension each, which add
+    <dimension>_value. A chunk is a partition; conditions on positions and coords leave out chunks (`zarr.py`)."""
+    from . import zarr
 
-    ship(spark)
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for r in f.itertuples():
-                at = [int(i) for i in r.path.rsplit(f"/{variable}/", 1)[1].replace("/", ".").split(".")]
-                v = np.frombuffer(_unzip(squeeze, r.content, size * dtype.itemsize), dtype, size).reshape(chunk, order=meta.get("order", "C"))
-                x = v.astype(float)
-                on = np.isfinite(x) if x.dtype.kind == "f" else np.ones(x.shape, bool)
-                if isinstance(fill, (int, float)):
-                    on &= x != fill
-                place = [p + a * c for p, a, c in zip(np.nonzero(on), at, chunk)]
-                inside = np.logical_and.reduce([p < s for p, s in zip(place, shape)])
-                yield pd.DataFrame({d: p[inside].astype(np.int32) for d, p in zip(dims, place)} | {"value": (x[on] * scale + offset)[inside]})
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "[0-9]*").option("recursiveFileLookup", str(sep == "/").lower()).load(f"{path}/{variable}")
-    out = files.select("path", "content").mapInPandas(run, ", ".join(f"{d} int" for d in dims) + ", value double")
-    for d, name in (coords or {}).items():
-        c = read_zarr(spark, path, name)
-        own = c.columns[0]
-        out = out.join(c.select(c[own].alias(d), c["value"].alias(f"{d}_value")), d, "left")
-    return out
+    zarr.use(spark)
+    return spark.read.format("zarr").option("variable", variable).option("coords", json.dumps(coords or {})).load(path)
 
 
 def decode_netcdf(raw: bytes) -> dict[str, tuple[list[str], np.ndarray, dict]]:

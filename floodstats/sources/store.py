@@ -29,3 +29,24 @@ def get(path: str) -> bytes:
     store, at = _place(path)
     with store.open_input_stream(at) as f:
         return f.read()
+
+
+def names(path: str) -> list[str]:
+    """Names of the files under a folder, from it on; none if it isn't there."""
+    store, at = _place(path)
+    found = store.get_file_info(fs.FileSelector(at, allow_not_found=True, recursive=True))
+    return [f.path[len(at) :].lstrip("/") for f in found if f.type == fs.FileType.File]
+
+
+def remove(path: str) -> None:
+    """A folder with all in it, if it is there."""
+    store, at = _place(path)
+    if store.get_file_info(at).type == fs.FileType.Directory:
+        store.delete_dir(at)
+
+
+def move(old: str, new: str) -> None:
+    store, at = _place(old)
+    to = _place(new)[1]
+    store.create_dir(to.rsplit("/", 1)[0], recursive=True)
+    store.move(at, to)
