@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ship import ship
+
 EULER = 0.5772156649015329
 
 
@@ -154,25 +159,63 @@ def _left_out(statistic: str, v: Column) -> Column:
     return F.transform(at, lambda i: (rest(i, F.floor((n - 2) / 2)) + rest(i, F.ceil((n - 2) / 2))) / 2)
 
 
-def _acceleration(df: DataFrame, keys: list[str], x: str, statistic: str) -> DataFrame:
+Statistic = str | Callable[[np.ndarray], float]
+
+
+def _of_arrays(f: Callable[[np.ndarray], float], left_out: bool = False) -> Callable[[Column], Column]:
+    """f of each array of a column, by Arrow batches; or of each array without each of its values in turn."""
+    ship()
+
+    def one(v: pd.Series) -> pd.Series:
+        return pd.Series([float(f(np.asarray(a, float))) for a in v], dtype=float)
+
+    def each(v: pd.Series) -> pd.Series:
+        return pd.Series([[float(f(np.delete(np.asarray(a, float), i))) for i in range(len(a))] for a in v])
+
+    return F.pandas_udf(each if left_out else one, "array<double>" if left_out else "double")
+
+
+def _arrays(df: DataFrame, keys: list[str], x: str) -> DataFrame:
+    """(keys, _v): each series' values, sorted."""
+    return df.where(F.col(x).isNotNull()).groupBy(*keys).agg(F.sort_array(F.collect_list(F.col(x).cast("double"))).alias("_v"))
+
+
+def sample_statistics(df: DataFrame, keys: list[str], x: str, statistic: Statistic, samples: int, seed: int = 42) -> DataFrame:
+    """(keys, sample, _s): the statistic, by name or any function of an array, of each sample. A function gets each sample as an array that
+    is drawn in its row, so neither draws nor samples are shuffled."""
+    if isinstance(statistic, str):
+        return resample(df, keys, x, samples, seed).groupBy(*keys, "sample").agg(STATISTICS[statistic](x).alias("_s"))
+    s = _arrays(df, keys, x).withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    drawn = F.transform(F.sequence(F.lit(0), F.size("_v") - 1), lambda i: F.get("_v", draw(keys, F.col("sample"), i, F.size("_v"), seed).cast("int")))
+    return s.select(*keys, "sample", _of_arrays(statistic)(drawn).alias("_s"))
+
+
+def jackknife(df: DataFrame, keys: list[str], x: str = "x", statistic: Statistic = "mean") -> DataFrame:
+    """(keys, x, left_out): the statistic of each series without one value, for each of its values that aren't null."""
+    s = _arrays(df, keys, x)
+    out = _left_out(statistic, F.col("_v")) if isinstance(statistic, str) else _of_arrays(statistic, True)(F.col("_v"))
+    return s.where(F.size("_v") > 1).select(*keys, F.explode(F.arrays_zip(F.col("_v").alias("v"), out.alias("j"))).alias("_z")).select(*keys, F.col("_z.v").alias(x), F.col("_z.j").alias("left_out"))
+
+
+def _acceleration(df: DataFrame, keys: list[str], x: str, statistic: Statistic) -> DataFrame:
     """(keys, _a) from the leave-one-out jackknife; null for one value or where all leave the same."""
-    s = df.where(F.col(x).isNotNull()).groupBy(*keys).agg(F.sort_array(F.collect_list(F.col(x).cast("double"))).alias("_v"))
-    s = s.where(F.size("_v") > 1).select(*keys, _left_out(statistic, F.col("_v")).alias("_j"))
+    s = _arrays(df, keys, x).where(F.size("_v") > 1)
+    s = s.select(*keys, (_left_out(statistic, F.col("_v")) if isinstance(statistic, str) else _of_arrays(statistic, True)(F.col("_v"))).alias("_j"))
     s = s.withColumn("_m", F.aggregate("_j", F.lit(0.0), lambda t, e: t + e) / F.size("_j"))
     power = lambda k: F.aggregate("_j", F.lit(0.0), lambda t, e: t + F.pow(F.col("_m") - e, F.lit(float(k))))
     return s.select(*keys, F.try_divide(power(3), 6 * F.pow(power(2), F.lit(1.5))).alias("_a"))
 
 
-def confidence_interval(df: DataFrame, keys: list[str], x: str = "x", statistic: str = "mean", alpha: float = 0.05, samples: int = 10_000, method: str = "bca", seed: int = 42) -> DataFrame:
+def confidence_interval(df: DataFrame, keys: list[str], x: str = "x", statistic: Statistic = "mean", alpha: float = 0.05, samples: int = 10_000, method: str = "bca", seed: int = 42) -> DataFrame:
     """(keys, alpha, bound): bootstrap interval at alpha / 2 and 1 - alpha / 2, by order statistics or bias-corrected and
-    accelerated (true leave-one-out jackknife)."""
-    f = STATISTICS[statistic]
-    boot = resample(df, keys, x, samples, seed).groupBy(*keys, "sample").agg(f(x).alias("_s"))
+    accelerated (true leave-one-out jackknife). statistic: a name of STATISTICS, or any function of an array of values."""
+    boot = sample_statistics(df, keys, x, statistic, samples, seed)
     if method == "simple":
         return order_statistic(boot, keys, "_s", [alpha / 2, 1 - alpha / 2], samples).withColumnRenamed("_s", "bound")
     from ..functions.special import normal_cdf, normal_quantile
 
-    whole = df.groupBy(*keys).agg(f(x).alias("_w"))
+    named = isinstance(statistic, str)
+    whole = df.groupBy(*keys).agg(STATISTICS[statistic](x).alias("_w")) if named else _arrays(df, keys, x).select(*keys, _of_arrays(statistic)(F.col("_v")).alias("_w"))
     accel = _acceleration(df, keys, x, statistic)
     z0 = boot.join(whole, keys).groupBy(*keys).agg(normal_share().alias("_share")).withColumn("_z0", normal_quantile("_share"))
     side = values(z0.join(accel, keys, "left"), "alpha", [alpha / 2, 1 - alpha / 2])

@@ -64,15 +64,24 @@ def last_of_each(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
 
 def by_coords(frames: list[DataFrame], coords: list[str]) -> DataFrame:
     """Parts of a data set put together by their coordinates: tables with the same variables are appended, and those with others are
-    aligned on the coords, which every result row has; a variable is null where it has no value. A coordinate that several tables of one
-    variable hold must hold the same there."""
+    aligned on the coords, which every result row has (null coords meet each other); a variable is null where it has no value. A
+    coordinate that several tables of one variable hold must hold the same there: it raises, when it runs, where they differ."""
     kinds: dict[tuple[str, ...], DataFrame] = {}
     for f in frames:
         names = tuple(sorted(c for c in f.columns if c not in coords))
         own = f.select(*coords, *names)
         kinds[names] = kinds[names].unionByName(own) if names in kinds else own
-    parts = [f.distinct() for f in kinds.values()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p, coords, "full")
+    out = None
+    for names, f in kinds.items():
+        one = f.groupBy(*coords).agg(*[F.first(F.struct(*names)).alias("_v"), F.count_distinct(F.struct(*names)).alias("_n")]) if names else f.distinct()
+        if names:
+            same = F.when(F.col("_n") > 1, F.raise_error(F.lit(f"values of {', '.join(names)} differ at one coordinate"))).otherwise(F.lit(True)).cast("boolean")
+            one = one.where(same).select(*coords, "_v.*")
+        if out is None:
+            out = one
+            continue
+        left = out.withColumnsRenamed({c: f"_l_{c}" for c in coords})
+        both = left.join(one, [left[f"_l_{c}"].eqNullSafe(one[c]) for c in coords], "full")
+        rest = [c for c in out.columns if c not in coords]
+        out = both.select(*[F.coalesce(F.col(f"_l_{c}"), one[c]).alias(c) for c in coords], *[left[c] for c in rest], *[one[c] for c in names])
     return out

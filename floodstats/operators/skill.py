@@ -137,7 +137,7 @@ def t_test(df: DataFrame, keys: list[str], group: str, x: str = "x", with_p: boo
     m = df.groupBy(*keys, group).agg(F.count(x).alias("n"), F.avg(x).alias("m"), F.coalesce(F.var_samp(x), F.lit(0.0)).alias("v"))
     side = lambda s: m.select(*keys, F.col(group).alias(s), *[F.col(c).alias(f"{c}_{s}") for c in "nmv"])
     a, b = side("a"), side("b")
-    both = (a.join(b, keys) if keys else a.crossJoin(F.broadcast(b))).where("a < b")
+    both = (a.join(b, keys) if keys else a.crossJoin(b)).where("a < b")
     free = (F.col("n_a") + F.col("n_b") - 2).cast("double")
     pooled = ((F.col("n_a") - 1) * F.col("v_a") + (F.col("n_b") - 1) * F.col("v_b")) / free
     out = both.select(*keys, "a", "b", ((F.col("m_a") - F.col("m_b")) / F.sqrt(pooled * (1 / F.col("n_a") + 1 / F.col("n_b")))).alias("t"), free.alias("df"))
