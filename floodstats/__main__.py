@@ -1,6 +1,6 @@
 """python -m floodstats list
 python -m floodstats run NAME SF_DIR OUT
-python -m floodstats extract FILES WHERE OUT --variable V --coords time,lat,lon [--reducer mean|sum] [--index I] [--x lon] [--y lat]
+python -m floodstats extract FILES WHERE OUT --variable V[,V] --coords time,lat,lon [--time T] [--keep-attributes] [--reducer mean|sum] [--index I] [--x lon] [--y lat]
 python -m floodstats postprocess SETTINGS.json FOLDER OUT [--item NAME ...] [--force]
 python -m floodstats bin-to-tif CONTROL OUT [--side 512]"""
 
@@ -22,7 +22,9 @@ def parser() -> argparse.ArgumentParser:
     extract = sub.add_parser("extract")
     for a in ("files", "where", "out"):
         extract.add_argument(a)
-    extract.add_argument("--variable", required=True)
+    extract.add_argument("--variable", required=True, type=lambda s: s.split(","))
+    extract.add_argument("--time")
+    extract.add_argument("--keep-attributes", action="store_true")
     extract.add_argument("--coords", required=True, type=lambda s: s.split(","))
     extract.add_argument("--reducer", choices=("mean", "sum"), default="mean")
     for a, default in (("index", "index"), ("x", "lon"), ("y", "lat")):

@@ -80,8 +80,8 @@ def by_coords(frames: list[DataFrame], coords: list[str]) -> DataFrame:
         if out is None:
             out = one
             continue
-        left = out.withColumnsRenamed({c: f"_l_{c}" for c in coords})
-        both = left.join(one, [left[f"_l_{c}"].eqNullSafe(one[c]) for c in coords], "full")
+        left, right = out.withColumnsRenamed({c: f"_l_{c}" for c in coords}), one.withColumnsRenamed({c: f"_r_{c}" for c in coords})
         rest = [c for c in out.columns if c not in coords]
-        out = both.select(*[F.coalesce(F.col(f"_l_{c}"), one[c]).alias(c) for c in coords], *[left[c] for c in rest], *[one[c] for c in names])
+        both = left.join(right, [F.col(f"_l_{c}").eqNullSafe(F.col(f"_r_{c}")) for c in coords], "full")
+        out = both.select(*[F.coalesce(f"_l_{c}", f"_r_{c}").alias(c) for c in coords], *rest, *names)
     return out

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..sources import arrays
 from . import commands, jobs
 from .data import CELLS, DAILY, cells, daily, pairs, rounded, table, tree
+from .formats import folder
 from .network import REACH
 from .registry import ORACLES, query
 from .series import GUMBEL, am_cte
@@ -54,6 +56,26 @@ def job_extract_points(spark, sf):
     return commands.extract_points(_levels(spark, sf), points)
 
 
+_UNEVEN = f"""{CELLS}, g AS (SELECT zone, row AS lat, col * (col + 1) / 2 AS lon, value FROM c),
+xs AS (SELECT DISTINCT lon FROM g), ys AS (SELECT DISTINCT lat FROM g),
+p AS (SELECT s_suppkey AS index, s_suppkey * 37 % 900 - 20 + 0.2e0 AS lon, s_suppkey % 9 + 0.3e0 AS lat FROM supplier),
+nx AS (SELECT index, arg_min(xs.lon, [abs(xs.lon - p.lon), -xs.lon]) AS lon FROM p, xs WHERE p.lon BETWEEN -0.5e0 AND (SELECT max(lon) FROM xs) + (SELECT max(lon) FROM xs) / 2e0 - (SELECT max(lon) FROM xs WHERE lon < (SELECT max(lon) FROM xs)) / 2e0 GROUP BY 1),
+ny AS (SELECT index, arg_min(ys.lat, [abs(ys.lat - p.lat), -ys.lat]) AS lat FROM p, ys WHERE p.lat BETWEEN -0.5e0 AND (SELECT max(lat) FROM ys) + 0.5e0 GROUP BY 1)"""
+
+
+@query(f"WITH {_UNEVEN} SELECT nx.index, TIMESTAMP '2000-01-01 12:00:00' + to_days(CAST(zone AS INT)) AS time, round(value, 4) AS value FROM nx JOIN ny USING (index) JOIN g ON g.lon = nx.lon AND g.lat = ny.lat", times=("time",))
+def job_extract_times(spark, sf):
+    """Points on a grid whose longitudes lie ever farther apart, from netCDF files of one time each that count their hours or days."""
+    c = cells(spark, sf).select("zone", F.col("row").cast("double").alias("lat"), (F.col("col") * (F.col("col") + 1) / 2).alias("lon"), "value")
+    path = folder(spark)
+    for odd, unit, step in ((0, "days since 2000-01-01 12:00:00", 1.0), (1, "hours since 2000-01-01", 24.0)):
+        own = c.where(F.col("zone") % 2 == odd).withColumn("time", F.col("zone") * step + 12.0 * odd)
+        arrays.write_netcdf(own, f"{path}/{odd}", "level", ["time", "lat", "lon"], "zone", coord_attributes={"time": {"units": unit, "calendar": "standard"}})
+    k = F.col("s_suppkey")
+    points = table(spark, sf, "supplier").select(k.alias("index"), (k * 37 % 900 - 20 + 0.2).alias("lon"), (k % 9 + 0.3).alias("lat"))
+    return rounded(commands.extract_points(commands.gridded(spark, f"{path}/*/*.nc", "level", ["time", "lat", "lon"], "time"), points), 4, "value")
+
+
 @query(f"WITH {_LEVELS} SELECT CASE WHEN lon < 10.5e0 THEN 1 ELSE 2 END :: BIGINT AS index, time, round(sum(value), 4) AS value FROM g WHERE lat BETWEEN -0.5e0 AND 20.5e0 AND lon BETWEEN -0.5e0 AND 30.5e0 GROUP BY 1, 2")
 def job_extract_zones(spark, sf):
     box = lambda z, a, b: [(z, a, -0.5, b, -0.5), (z, b, -0.5, b, 20.5), (z, b, 20.5, a, 20.5), (z, a, 20.5, a, -0.5)]

@@ -3,37 +3,66 @@ grids as GeoTIFF tiles."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import spatial
-from ..sources import arrays, grids, rasters, sinks, vectors
+from ..functions import calendar
+from ..operators import relational, spatial
+from ..sources import arrays, grids, rasters, sinks, vectors, zarr
 
 
-def gridded(spark: SparkSession, files: str, variable: str, coords: list[str]) -> DataFrame:
-    """(coords..., value) of a Zarr group (a path that ends in .zarr), GeoTIFFs or netCDF files."""
+#: Values that an axis of a grid may have, as points compare themselves with all of them; and ways of counting times in one set of files.
+MOST_VALUES, MOST_UNITS = 100_000, 1000
+
+
+def gridded(spark: SparkSession, files: str, variable: str, coords: list[str], time: str | None = None) -> DataFrame:
+    """(coords..., value) of a Zarr group (a path that ends in .zarr), GeoTIFFs or netCDF files. time: the coordinate that becomes a
+    timestamp, by the units and calendar that each netCDF file has for it, or the group for all."""
     if files.rstrip("/").endswith(".zarr"):
         z = rasters.read_zarr(spark, files.rstrip("/"), variable, {c: c for c in coords})
-        return z.select(*[F.col(f"{c}_value").alias(c) for c in coords], "value")
+        out = z.select(*[F.col(f"{c}_value").alias(c) for c in coords], "value")
+        if not time:
+            return out
+        told = zarr.Array(files.rstrip("/"), time).attributes
+        return out.withColumn(time, calendar.cf_time(F.col(time), told["units"], told.get("calendar", "standard")))
     if files.endswith((".tif", ".tiff")):
         return rasters.read_geotiff(spark, files).select(*[F.col(c) if c in ("lon", "lat") else F.col("band").cast("double").alias(c) for c in coords], "value")
-    return rasters.read_netcdf(spark, files, variable, coords).select(*coords, "value")
+    own = rasters.read_netcdf(spark, files, variable, coords, time)
+    if not time:
+        return own.select(*coords, "value")
+    ways = own.select("units", "calendar").distinct().limit(MOST_UNITS + 1).collect()
+    if len(ways) > MOST_UNITS or any(w.units is None for w in ways):
+        raise ValueError(f"{time} has no units in some file, or more than {MOST_UNITS} in all")
+    same = lambda w: F.col("units").eqNullSafe(F.lit(w.units)) & F.col("calendar").eqNullSafe(F.lit(w.calendar))
+    when = [F.when(same(w), calendar.cf_time(F.col(time), w.units, w.calendar or "standard")) for w in ways]
+    return own.withColumn(time, F.coalesce(*when) if when else F.lit(None).cast("timestamp")).select(*coords, "value")
+
+
+def _axis(cells: DataFrame, name: str) -> list[float]:
+    """The values of a coordinate, from the least on."""
+    got = sorted(r[0] for r in cells.select(name).where(F.col(name).isNotNull()).distinct().limit(MOST_VALUES + 1).collect())
+    if not got:
+        raise ValueError("the grid has no cells")
+    if len(got) > MOST_VALUES:
+        raise ValueError(f"{name} has more than {MOST_VALUES} values; it is no axis of a grid")
+    return got
 
 
-def _axis(cells: DataFrame, name: str) -> tuple[float, float]:
-    """First value and step of a regular coordinate."""
-    low, high, n = cells.agg(F.min(name), F.max(name), F.count_distinct(name)).first()
-    if low is None:
-        raise ValueError("the grid has no cells")
-    return low, (high - low) / (n - 1) if n > 1 else 1.0
+def _nearest(at: Column, axis: list[float]) -> Column:
+    """The axis' value nearest to at, the greater one of two; null beyond half a step outside of it."""
+    first, last = (axis[1] - axis[0], axis[-1] - axis[-2]) if len(axis) > 1 else (1.0, 1.0)
+    inside = at.between(axis[0] - first / 2, axis[-1] + last / 2)
+    least = F.array_min(F.transform(F.split(F.lit(",".join(map(repr, axis))), ",").cast("array<double>"), lambda v: F.struct(F.abs(v - at).alias("d"), (-v).alias("v"))))
+    return F.when(inside, -least["v"])
 
 
 def extract_points(cells: DataFrame, points: DataFrame, x: str = "lon", y: str = "lat", index: str = "index") -> DataFrame:
-    """(index, other coords..., value): the nearest cell's series at each point (index, x, y); points off the grid have none."""
+    """(index, other coords..., value): the series of the cell nearest in x and in y, of the values that the grid's axes really have, at each point (index, x, y); points more than
+    half a step off the grid have none. Axes need not be regular."""
     rest = [c for c in cells.columns if c not in (x, y, "value")]
-    (x0, dx), (y0, dy) = _axis(cells, x), _axis(cells, y)
-    grid = cells.withColumns({"row": F.round((F.col(y) - y0) / dy).cast("int"), "col": F.round((F.col(x) - x0) / dx).cast("int")}).select("row", "col", *rest, "value")
-    return spatial.grid_at_points(grid, points.select(index, x, y), x0, y0, dx, dy, x, y).where(F.col("value").isNotNull()).select(index, *rest, "value")
+    ways = {c: _axis(cells, c) for c in (x, y)}
+    near = points.select(index, *[_nearest(F.col(c).cast("double"), v).alias(c) for c, v in ways.items()])
+    return cells.where(F.col("value").isNotNull()).join(near, [x, y]).select(index, *rest, "value")
 
 
 def extract_zones(cells: DataFrame, edges: DataFrame, reducer: str = "mean", x: str = "lon", y: str = "lat", index: str = "index") -> DataFrame:
@@ -43,16 +72,27 @@ def extract_zones(cells: DataFrame, edges: DataFrame, reducer: str = "mean", x:
     return cells.join(inside, [x, y]).groupBy(index, *rest).agg({"mean": F.avg, "sum": F.sum}[reducer]("value").alias("value"))
 
 
-def extract(spark: SparkSession, files: str, where: str, out: str, variable: str, coords: list[str], reducer: str = "mean", index: str = "index", x: str = "lon", y: str = "lat") -> None:
-    """where: a CSV file of points, or polygons as GeoJSON (.geojson, .json) with an integer property `index`."""
-    cells = gridded(spark, files, variable, coords)
-    if where.endswith((".geojson", ".json")):
-        got = extract_zones(cells, vectors.read_polygons(spark, where, f"`{index}`: long"), reducer, x, y, index)
+def extract(spark: SparkSession, files: str, where: str, out: str, variable: str | list[str], coords: list[str], reducer: str = "mean", index: str = "index", x: str = "lon", y: str = "lat", time: str | None = None, keep_attributes: bool = False) -> None:
+    """where: a CSV file of points, or polygons as GeoJSON (.geojson, .json) with an integer property `index`. Several variables become
+    columns of their names, one is `value`. time: a coordinate that is decoded to timestamps; each file of the output is sorted by
+    point and coords. keep_attributes: the other columns of the points are kept."""
+    names = [variable] if isinstance(variable, str) else list(variable)
+    areas = where.endswith((".geojson", ".json"))
+    if areas:
+        edges = vectors.read_polygons(spark, where, f"`{index}`: long")
     else:
-        points = spark.read.csv(where, header=True)
-        points = points.select(F.col(index).cast("long").alias(index), *[F.col(c).cast("double").alias(c) for c in (x, y)])
-        got = extract_points(cells, points, x, y, index)
-    sinks.write_table(got, out)
+        told = spark.read.csv(where, header=True).withColumn(index, F.col(index).cast("long"))
+        points = told.select(index, *[F.col(c).cast("double").alias(c) for c in (x, y)])
+    rest, got = [c for c in coords if c not in (x, y)], []
+    for name in names:
+        cells = gridded(spark, files, name, coords, time)
+        one = extract_zones(cells, edges, reducer, x, y, index) if areas else extract_points(cells, points, x, y, index)
+        got.append(one.withColumnRenamed("value", name) if len(names) > 1 else one)
+    series = relational.merge(got, [index, *rest])
+    if keep_attributes and not areas:
+        more = [c for c in told.columns if c != index]
+        series = series.join(told.select(index, *[F.col(f"`{c}`").alias(f"{c}_point" if c in series.columns else c) for c in more]), index)
+    sinks.write_table(series.repartition(index).sortWithinPartitions(index, *rest), out)
 
 
 def postprocess(spark: SparkSession, settings: dict, folder: str, out: str, items: list[str] | None = None, force: bool = False) -> list[str]:

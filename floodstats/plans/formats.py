@@ -35,6 +35,18 @@ def zarr_store(spark, sf):
     return got.select("row", "col", F.col("row_value").alias("lat"), "value")
 
 
+@query(f"WITH {CELLS} SELECT row, col, -90 + row * 0.5e0 AS lat, value FROM c WHERE row BETWEEN 3 AND 12 AND col < 20")
+def zarr_window(spark, sf):
+    """A store that takes the place of a larger one, and a window of it by a coordinate and a position: only its chunks are read."""
+    rows, cols = shape(spark, sf)
+    path = folder(spark)
+    size, lines = {"row": rows, "col": cols}, {"row": -90 + np.arange(rows) * 0.5}
+    arrays.write_zarr(cells(spark, sf).withColumn("value", -F.col("value")), path, "level", {"row": rows + 40, "col": cols + 40}, [8, 8])
+    arrays.write_zarr(cells(spark, sf), path, "level", size, [8, 8], lines)
+    got = rasters.read_zarr(spark, path, "level", {"row": "row"}).where("row_value between -88.5 and -84 and col < 20")
+    return got.select("row", "col", F.col("row_value").alias("lat"), "value")
+
+
 @query(f"WITH {CELLS} SELECT zone, CAST(row AS DOUBLE) AS lat, CAST(col AS DOUBLE) AS lon, value FROM c WHERE zone > 1")
 def netcdf_files(spark, sf):
     path = folder(spark)

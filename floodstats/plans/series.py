@@ -201,6 +201,22 @@ def boot_simple_ci(spark, sf):
     return rounded(E.confidence_interval(am, K, "am", samples=200, method="simple"), 4, "bound")
 
 
+@query(
+    f"""WITH {DAILY}, {am_cte(14)}, {BOOT}, m AS (SELECT k, b, max(am) - min(am) AS s FROM bt GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY s) - 1 AS r FROM m)
+SELECT k, a.a AS alpha, round(s, 4) AS bound FROM o JOIN (SELECT unnest([0.025e0, 0.975e0]) AS a) a ON o.r = round_even(199 * a.a, 0)"""
+)
+def boot_user_ci(spark, sf):
+    """A function of the user: the range of the yearly maxima."""
+    am = S.annual_max(daily(spark, sf), K, min_dist=14)
+    return rounded(E.confidence_interval(am, K, "am", lambda v: v.max() - v.min(), samples=200, method="simple"), 4, "bound")
+
+
+@query(f"WITH {DAILY}, {am_cte(14)} SELECT a.k, a.am, round((SELECT max(b.am) - min(b.am) FROM am b WHERE b.k = a.k AND b.year <> a.year), 4) AS left_out FROM am a WHERE a.am IS NOT NULL")
+def jackknife_user(spark, sf):
+    am = S.annual_max(daily(spark, sf), K, min_dist=14)
+    return rounded(E.jackknife(am, K, "am", lambda v: v.max() - v.min()), 4, "left_out")
+
+
 # The coefficients of Acklam's rational approximation to the normal quantile.
 _A = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
 _B = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)

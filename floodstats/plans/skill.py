@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import ordered as O
 from ..operators import skill as K
-from ..operators.series import annual_max
+from ..operators.series import annual_max, peaks, rolling_max
 from .data import DAILY, PAIRS, daily, pairs, rounded, table
 from .registry import query
 from .series import am_cte, peak_cte
@@ -171,8 +172,6 @@ def describe_quartiles(spark, sf):
     f"""WITH {DAILY}, {peak_cte(7)}, q AS (SELECT k, quantile_cont(x, 0.75) AS cut FROM d GROUP BY 1) SELECT pk.k, t, peak FROM pk JOIN q USING (k) WHERE peak > cut""", dates=("t",)
 )
 def peaks_above_quartile(spark, sf):
-    from ..operators.series import peaks
-
     d = daily(spark, sf)
     cut = d.groupBy("k").agg(F.percentile("x", 0.75).alias("cut"))
     return peaks(d, KEY, min_dist=7).join(cut, "k").where("peak > cut").select("k", "t", "peak")
@@ -183,6 +182,42 @@ def kth_threshold_filter(spark, sf):
     return K.above_kth(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", 200)
 
 
+#: Queries over a table as one series, which no task holds (`operators.ordered`).
+_ONE = "o AS (SELECT o_orderkey AS t, o_totalprice AS x FROM orders)"
+
+
+def _one(spark, sf):
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("t"), F.col("o_totalprice").alias("x"))
+
+
+@query(f"WITH {_ONE} SELECT t, x, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2e0 AS rank FROM o")
+def long_rank(spark, sf):
+    return O.rank(_one(spark, sf), [], "x")
+
+
+@query(f"WITH {_ONE}, v AS (SELECT list_sort(list(x)) AS v FROM o), b AS (SELECT v, q, (len(v) - 1) * q / 100 AS pos FROM v CROSS JOIN (SELECT unnest([0e0, 37.3e0, 50e0, 99.9e0, 100e0]) AS q)) SELECT q, round({LOW} + (pos - floor(pos)) * ({HIGH} - {LOW}), 4) AS value FROM b")
+def long_percentile(spark, sf):
+    return rounded(O.percentile(_one(spark, sf), [], [0, 37.3, 50, 99.9, 100], "x"), 4, "value")
+
+
+@query(f"WITH {_ONE} SELECT t, x FROM o WHERE x > (SELECT x FROM o ORDER BY x DESC LIMIT 1 OFFSET 999)")
+def long_above_kth(spark, sf):
+    return O.above_kth(_one(spark, sf), "x", 1000)
+
+
+@query(
+    f"""WITH {_ONE}, p AS (SELECT t, x, CASE WHEN x > lag(x) OVER (ORDER BY t) AND lead(x) OVER (ORDER BY t) <= x THEN x END AS p FROM o),
+m AS (SELECT *, max(p) OVER (ORDER BY t ROWS BETWEEN 30 PRECEDING AND 29 FOLLOWING) AS m FROM p) SELECT t, p AS peak FROM m WHERE p = m"""
+)
+def long_peaks(spark, sf):
+    return O.in_blocks(_one(spark, sf), [], ["t"], lambda d, keys: peaks(d, keys, min_dist=30), 31, 5000).where("peak is not null").select("t", "peak")
+
+
+@query(f"WITH {_ONE} SELECT t, max(x) OVER (ORDER BY t ROWS BETWEEN 9 PRECEDING AND 9 FOLLOWING) AS rolled FROM o")
+def long_rolling_max(spark, sf):
+    return O.in_blocks(_one(spark, sf), [], ["t"], lambda d, keys: rolling_max(d, keys, 9), 9, 5000).select("t", "rolled")
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
 def top_rows(spark, sf):
     return table(spark, sf, "orders").orderBy(F.col("o_totalprice").desc(), "o_orderkey").limit(25).select("o_orderkey", "o_totalprice")

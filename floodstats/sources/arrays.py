@@ -71,7 +71,7 @@ def encode_netcdf(variables: dict[str, tuple[list[str], np.ndarray, dict]], attr
     return head(len(head(0))) + b"".join(every)
 
 
-def write_netcdf(df: DataFrame, path: str, variable: str, coords: list[str], by: str, value: str = "value", fill: float = -9999.0, attributes: dict | None = None) -> int:
+def write_netcdf(df: DataFrame, path: str, variable: str, coords: list[str], by: str, value: str = "value", fill: float = -9999.0, attributes: dict | None = None, coord_attributes: dict[str, dict] | None = None) -> int:
     """A file <by>=<value>.nc for each value of `by` (a year, a member): the variable over the distinct values of its coords, which are
     coordinate variables; gives the number of files. Missing cells hold the fill value."""
 
@@ -79,7 +79,7 @@ def write_netcdf(df: DataFrame, path: str, variable: str, coords: list[str], by:
         axes, place = zip(*(np.unique(own[c].to_numpy(float), return_inverse=True) for c in coords))
         v = np.full([len(a) for a in axes], fill)
         v[place] = own[value].to_numpy(float)
-        named = {c: ([c], a, {}) for c, a in zip(coords, axes)}
+        named = {c: ([c], a, (coord_attributes or {}).get(c, {})) for c, a in zip(coords, axes)}
         put(f"{path}/{by}={own[by].iloc[0]}.nc", encode_netcdf({**named, variable: (coords, v, {"_FillValue": fill, **(attributes or {})})}))
         return pd.DataFrame({"n": [len(own)]})
 

@@ -294,15 +294,18 @@ def decode_netcdf(raw: bytes) -> dict[str, tuple[list[str], np.ndarray, dict]]:
     return out
 
 
-def read_netcdf(spark: SparkSession, path: str, variable: str, coords: list[str]) -> DataFrame:
+def read_netcdf(spark: SparkSession, path: str, variable: str, coords: list[str], told: str | None = None) -> DataFrame:
     """(file, coords..., value) of a variable of classic netCDF files, a task for each file: the values of its coordinate
-    variables in the order of its dimensions; scaled, without fill values."""
+    variables in the order of its dimensions; scaled, without fill values. told: a coordinate whose attributes are added as the columns
+    units and calendar, since files may count from different times."""
 
     ship(spark)
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for r in f.itertuples():
                 every = decode_netcdf(r.content)
+                if variable not in every:
+                    raise ValueError(f"{r.path} has no variable {variable}")
                 _, v, attrs = every[variable]
                 x = v.astype(float)
                 on = np.isfinite(x)
@@ -311,9 +314,11 @@ def read_netcdf(spark: SparkSession, path: str, variable: str, coords: list[str]
                         on &= v != attrs[key]
                 place = np.nonzero(on)
                 own = {c: every[c][1].astype(float)[p] for c, p in zip(coords, place)}
-                yield pd.DataFrame({"file": r.path, **own, "value": x[on] * attrs.get("scale_factor", 1.0) + attrs.get("add_offset", 0.0)})
+                more = {k: every[told][2].get(k) for k in ("units", "calendar")} if told else {}
+                yield pd.DataFrame({"file": r.path, **own, "value": x[on] * attrs.get("scale_factor", 1.0) + attrs.get("add_offset", 0.0), **more})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, " + ", ".join(f"{c} double" for c in coords) + ", value double")
+    more = ", units string, calendar string" if told else ""
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, " + ", ".join(f"{c} double" for c in coords) + ", value double" + more)
 
 
 def read_geojson(spark: SparkSession, path: str, properties: str) -> DataFrame:
