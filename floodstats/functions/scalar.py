@@ -96,3 +96,24 @@ def utm(lon: Column, lat: Column, zone: Column) -> tuple[Column, Column]:
         east = east + c * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
         north = north + c * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
     return 500_000 + 0.9996 * radius * east, 0.9996 * radius * north + F.when(lat < 0, 10_000_000).otherwise(0)
+
+
+def utm_inverse(east: Column, north: Column, zone: Column, south: Column) -> tuple[Column, Column]:
+    """(lon, lat) of coordinates in a zone, the inverse of `utm`; south: whether northings count from ten million."""
+    a, f = 6378137.0, 1 / 298.257223563
+    n = f / (2 - f)
+    radius = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
+    e = 2 * math.sqrt(n) / (1 + n)
+    xi = (north - F.when(south, 10_000_000).otherwise(0)) / (0.9996 * radius)
+    eta = (east - 500_000) / (0.9996 * radius)
+    x, y = xi, eta
+    for j, c in enumerate(beta, 1):
+        x = x - c * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        y = y - c * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    d = F.atan2(F.sinh(y), F.cos(x))
+    t = F.sin(x) / F.sqrt(F.sinh(y) * F.sinh(y) + F.cos(x) * F.cos(x))  # tangent of the conformal latitude
+    s = t / F.sqrt(1 + t * t)
+    for _ in range(5):  # each step leaves some e^2 of the error
+        s = F.tanh(F.asinh(t) + e * F.atanh(e * s))
+    return zone * 6 - 183 + F.degrees(d), F.degrees(F.asin(s))

@@ -5,10 +5,13 @@ Sums and labels along paths use pointer doubling: log2(depth) joins, each cut fr
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shared import shared_dir
+from ..functions.ship import ship
 
 # The direction codes and their steps (row, column).
 LDD = {7: (-1, -1), 8: (-1, 0), 9: (-1, 1), 4: (0, -1), 6: (0, 1), 1: (1, -1), 2: (1, 0), 3: (1, 1)}
@@ -137,3 +140,61 @@ def path_upstream(edges: DataFrame, starts: DataFrame, steps: int) -> DataFrame:
 def outlets(edges: DataFrame, cells: DataFrame) -> DataFrame:
     """Pits with the attributes of their cells (id, ...)."""
     return pits(edges).join(cells, "id", "left")
+
+
+def _local(own: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a tile's nodes (id, next_id): the place of the next one inside the tile or -1, that of the last one downstream inside it, and an order
+    in which every node comes after all that drain to it."""
+    ids = own["id"].to_numpy(np.int64)
+    order = np.argsort(ids)
+    nxt = own["next_id"].to_numpy(float)
+    known = np.where(np.isnan(nxt), -1, nxt).astype(np.int64)
+    at = np.minimum(np.searchsorted(ids[order], known), max(0, len(ids) - 1))
+    down = np.where((ids[order][at] == known) & ~np.isnan(nxt), order[at], -1)
+    last, depth = np.where(down >= 0, down, np.arange(len(ids))), (down >= 0).astype(np.int64)
+    for _ in range(max(1, len(ids)).bit_length() + 1):
+        step = depth[last]
+        if not step.any():
+            return down, last, np.argsort(-depth, kind="stable")
+        depth, last = depth + step, last[last]
+    raise ValueError("the network has a cycle")
+
+
+def _summed(own: pd.DataFrame, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sum over all nodes of the tile that drain to each, the last node downstream)."""
+    down, last, order = _local(own)
+    total, to = state.astype(float).tolist(), down.tolist()
+    for i in order.tolist():
+        if to[i] >= 0:
+            total[to[i]] += total[i]
+    return np.array(total), last
+
+
+def accumulate_tiles(edges: DataFrame, state: DataFrame, tile: Column) -> DataFrame:
+    """`accumulate` where nodes lie in tiles that drain mostly within themselves (blocks of a grid, say): each tile is solved in its task, then
+    the network of the nodes that leave a tile, and then the tiles again with what comes in. So what is shuffled more than once are
+    the borders. tile: a number for each id; a tile must fit a task. Raises on a cycle."""
+    ship(edges.sparkSession)
+    own = _cut(edges.join(state, "id").select(tile.alias("_tile"), "id", "next_id", F.col("state").cast("double").alias("state")))
+
+    def ends(part: pd.DataFrame) -> pd.DataFrame:
+        total, last = _summed(part, part["state"].to_numpy())
+        out = np.flatnonzero(last == np.arange(len(last)))
+        return pd.DataFrame({"id": part["id"].to_numpy()[out], "next_id": part["next_id"].to_numpy()[out], "state": total[out]})
+
+    def exits(part: pd.DataFrame) -> pd.DataFrame:
+        ids, last = part["id"].to_numpy(), _local(part)[1]
+        hit = part["_in"].to_numpy(bool)
+        return pd.DataFrame({"entry": ids[hit], "exit": ids[last[hit]]})
+
+    def whole(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"id": part["id"], "state": _summed(part, (part["state"] + part["_add"].fillna(0.0)).to_numpy())[0]})
+
+    out = _cut(own.groupBy("_tile").applyInPandas(ends, "id long, next_id long, state double"))
+    entries = out.where("next_id is not null").select(F.col("next_id").alias("id")).distinct().withColumn("_in", F.lit(True))
+    marked = own.join(entries, "id", "left").withColumn("_in", F.coalesce("_in", F.lit(False)))
+    ways = _cut(marked.groupBy("_tile").applyInPandas(exits, "entry long, exit long"))
+    border = out.join(ways, out["next_id"] == ways["entry"], "left").select("id", F.col("exit").alias("next_id"), "state")
+    done = accumulate(border.select("id", "next_id"), border.select("id", "state"))
+    comes = out.where("next_id is not null").select("id", "next_id").join(done, "id").groupBy(F.col("next_id").alias("id")).agg(F.sum("state").alias("_add"))
+    return own.join(comes, "id", "left").groupBy("_tile").applyInPandas(whole, "id long, state double")

@@ -40,6 +40,11 @@ def net_accuflux(spark, sf):
     return N.accumulate(*tree(spark, sf))
 
 
+@query(f"{REACH} SELECT r.anc AS id, CAST(sum(n.state) AS DOUBLE) AS state FROM r JOIN n ON n.id = r.id GROUP BY 1")
+def net_accuflux_tiles(spark, sf):
+    return N.accumulate_tiles(*tree(spark, sf), F.floor(F.col("id") / 300).cast("long"))
+
+
 @query(f"{REACH} SELECT id AS start, CAST(step AS INT) AS step, anc AS id FROM r WHERE r.id % 50 = 0 AND step <= 4")
 def net_path_down(spark, sf):
     return N.path_downstream(tree(spark, sf)[0], some(spark, sf, 50, 0), 4)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions import scalar as X
+from ..operators import regrid as R
 from ..operators import spatial as S
 from .data import CELLS, cells, places, places_sql, rounded, table
 from .registry import query
@@ -166,3 +169,51 @@ def polygon_mask(spark, sf):
     box = lambda z, a, b: [(z, a, -29.98, b, -29.98), (z, b, -29.98, b, 40.02), (z, b, 40.02, a, 40.02), (z, a, 40.02, a, -29.98)]
     edges = spark.createDataFrame(box("west", -99.98, 0.02) + box("east", 0.02, 100.02), "zone string, x1 double, y1 double, x2 double, y2 double")
     return S.in_polygons(places(spark, sf, "customer", "c_custkey", 3), edges).select("id", "zone")
+
+
+@query(
+    f"""WITH {CELLS}, r AS (SELECT max(row) + 1 AS n FROM c), ty AS (SELECT unnest(range(CAST(ceil(n / 1.5e0) AS BIGINT))) AS y FROM r), tx AS (SELECT unnest(range(54)) AS x),
+o AS (SELECT y, x, value * (least(row + 1, 1.5e0 * (y + 1)) - greatest(row, 1.5e0 * y)) * (least(col + 1, 0.75e0 * (x + 1)) - greatest(col, 0.75e0 * x)) AS part
+FROM c JOIN ty ON row < 1.5e0 * (y + 1) AND row + 1 > 1.5e0 * y JOIN tx ON col < 0.75e0 * (x + 1) AND col + 1 > 0.75e0 * x)
+SELECT CAST(y AS INT) AS row, CAST(x AS INT) AS col, round(sum(part), 4) AS value FROM o GROUP BY 1, 2"""
+)
+def regrid_sum(spark, sf):
+    c = cells(spark, sf)
+    n = c.agg(F.max("row")).first()[0] + 1
+    one = R.Axis(0.0, 1.0, n), R.Axis(0.0, 1.0, 40)
+    return rounded(R.regrid(c, one, (R.Axis(0.0, 1.5, math.ceil(n / 1.5)), R.Axis(0.0, 0.75, 54))), 4, "value")
+
+
+@query(
+    f"""WITH {CELLS}, t AS (SELECT DISTINCT row, 2 * col + k.k AS x FROM c CROSS JOIN (SELECT unnest([0, 1]) AS k) k),
+p AS (SELECT row, x, least(39, greatest(0, (x + 0.5e0) / 2 - 0.5e0)) AS pos FROM t), w AS (SELECT row, x, floor(pos) AS i, pos - floor(pos) AS f FROM p),
+v AS (SELECT w.row, x, c.value, CASE WHEN c.col = i THEN 1 - f ELSE f END AS w FROM w JOIN c ON c.row = w.row AND (c.col = i OR c.col = i + 1))
+SELECT row, CAST(x AS INT) AS col, round(sum(value * w) / sum(w), 4) AS value FROM v WHERE w > 0 GROUP BY 1, 2"""
+)
+def regrid_linear(spark, sf):
+    c = cells(spark, sf)
+    n = c.agg(F.max("row")).first()[0] + 1
+    return rounded(R.regrid(c, (R.Axis(0.0, 1.0, n), R.Axis(0.0, 1.0, 40)), (R.Axis(0.0, 1.0, n), R.Axis(0.0, 0.5, 80)), "linear"), 4, "value")
+
+
+@query(
+    f"""WITH s AS (SELECT * FROM {places_sql('supplier', 's_suppkey', 11)}), y AS (SELECT unnest(range(360)) AS row), x AS (SELECT unnest(range(720)) AS col)
+SELECT CAST(row AS INT) AS row, CAST(col AS INT) AS col, id AS zone FROM s JOIN y ON 90 - (row + 0.5e0) * 0.5e0 > lat - 0.02e0 AND 90 - (row + 0.5e0) * 0.5e0 < lat + 2.03e0 JOIN x ON -180 + (col + 0.5e0) * 0.5e0 > lon - 0.02e0 AND -180 + (col + 0.5e0) * 0.5e0 < lon + 3.03e0"""
+)
+def polygon_cells(spark, sf):
+    """A box around each supplier, as cells of half a degree."""
+    s = places(spark, sf, "supplier", "s_suppkey", 11)
+    w, e, a, b = F.col("lon") - 0.02, F.col("lon") + 3.03, F.col("lat") - 0.02, F.col("lat") + 2.03
+    side = lambda *xy: F.struct(*[v.alias(n) for n, v in zip(("x1", "y1", "x2", "y2"), xy)])
+    edges = s.select(F.col("id").alias("zone"), F.inline(F.array(side(w, a, e, a), side(e, a, e, b), side(e, b, w, b), side(w, b, w, a))))
+    return R.rasterise(edges, R.Axis(90.0, -0.5, 360), R.Axis(-180.0, 0.5, 720))
+
+
+@query(f"SELECT id, round(lon, 6) AS lon, round(lat, 6) AS lat FROM {places_sql('customer', 'c_custkey', 3)}")
+def utm_round_trip(spark, sf):
+    p = places(spark, sf, "customer", "c_custkey", 3)
+    zone = X.utm_zone(F.col("lon"), F.col("lat"))
+    east, north = X.utm(F.col("lon"), F.col("lat"), zone)
+    own = p.select("id", zone.alias("zone"), east.alias("east"), north.alias("north"), (F.col("lat") < 0).alias("south"))
+    lon, lat = X.utm_inverse(F.col("east"), F.col("north"), F.col("zone"), F.col("south"))
+    return rounded(own.select("id", lon.alias("lon"), lat.alias("lat")), 6)
