@@ -10,8 +10,8 @@ trained on calibrates the scores, and the same tenth gives the score below which
 
 Nulls: text that is null or has no letter is `und` with score 0, and rejected. A null lang is not learned from, and of several rows with one id
 the least lang and text is. Rows with a
-null id are predicted, and held out or not by the text ''. Without anything to learn from, all is `und`. An empty text has no letter.
-Of languages that score alike the first by name is predicted; repeated rows are predicted alike. Columns other than those named
+null id are predicted, and held out or not by the text ''. Without anything to learn from, all is `und`. An empty text has no letter; texts of
+any length are read whole, a million code points at a time. Of languages that score alike the first by name is predicted; repeated rows are predicted alike. Columns other than those named
 aren't read, so extra ones of any name don't matter; an empty table gives an empty result.
 """
 

@@ -19,7 +19,7 @@ Only the table of cells is iterated on. Up to MAX_CELLS cells that is done in nu
 number is checked); beyond, the same steps to the same tolerance are DataFrame aggregates and joins, and the weights are joined.
 
 Nulls: a null text is empty, null sources, languages and topics are the name ''. Empty documents have no tokens to weigh and get
-probability 1 where all of their cell is empty. Null ids are drawn as one id; repeated rows share their fate. Texts of any
+probability 1 where all of their cell is empty. Null ids are drawn as one id; repeated rows share their fate, and there are no other ties: a document's draw is its own hash. Texts of any
 length are counted whole. Only the columns named are read, so extra ones of any name don't matter; an empty table gives an
 empty result.
 """

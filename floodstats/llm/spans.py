@@ -10,7 +10,7 @@ execution splits. Only texts with a repetition are cut into sentences a second t
 
 Nulls: a null text is empty and stays null. Null ids are told apart by their text and come after all others. Of rows that repeat
 id and text all keep what the first keeps. Texts of any length are processed whole; equal texts under several ids are
-emptied but for the first, if they are long enough for a run. Columns other than doc_id and text aren't read, so extra ones of
+emptied but for the first, if they are long enough for a run. Ties in order are rows with one id and text, which fare alike. Columns other than doc_id and text aren't read, so extra ones of
 any name don't matter; an empty table gives an empty result.
 """
 
