@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as X
 from ..operators import regrid as R
 from ..operators import spatial as S
+from ..operators.nearest import nearest_by_tree
 from .data import CELLS, cells, places, places_sql, rounded, table
 from .registry import query
 
@@ -217,3 +218,12 @@ def utm_round_trip(spark, sf):
     own = p.select("id", zone.alias("zone"), east.alias("east"), north.alias("north"), (F.col("lat") < 0).alias("south"))
     lon, lat = X.utm_inverse(F.col("east"), F.col("north"), F.col("zone"), F.col("south"))
     return rounded(own.select("id", lon.alias("lon"), lat.alias("lat")), 6)
+
+
+@query(f"""WITH l AS (SELECT * FROM {places_sql("customer", "c_custkey", 5)}), r AS (SELECT * FROM {places_sql("supplier", "s_suppkey", 0)} WHERE id % 2 = 0)
+SELECT l.id, round(min({sphere_sql("l", "r")}), 1) AS dist FROM l CROSS JOIN r GROUP BY 1""")
+def sjoin_tree(spark, sf):
+    """However far the nearest one is."""
+    right = places(spark, sf, "supplier", "s_suppkey", 0).where("id % 2 = 0")
+    got = nearest_by_tree(places(spark, sf, "customer", "c_custkey", 5), right, leaf=16)
+    return got.select("id", F.round("near_dist", 1).alias("dist"))
