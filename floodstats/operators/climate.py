@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,28 +37,38 @@ def anomalies(df: DataFrame, keys: list[str], t: str = "t", x: str = "x") -> Dat
     return df.withColumn("clim", clim).withColumn("anomaly", F.col(x) - F.col("clim"))
 
 
+def both(anchors: DataFrame, grid: DataFrame, keys: list[str], t: str = "t", x: str = "x") -> DataFrame:
+    """Rows of anchors that have a value (_g 0, _here their time and value) and of grid (_g 1, _here null)."""
+    here = anchors.where(F.col(x).isNotNull()).select(*keys, t, F.lit(0).alias("_g"), F.struct(F.col(t).alias("t"), F.col(x).cast("double").alias("x")).alias("_here"))
+    return here.unionByName(grid.select(*keys, t, F.lit(1).alias("_g"), F.lit(None).cast(here.schema["_here"].dataType).alias("_here")))
+
+
+def sided(df: DataFrame, keys: list[str], t: str = "t") -> DataFrame:
+    """The grid's rows of `both`, with _a and _b, the anchors before and after, as _t0, _x0, _t1, _x1."""
+    return df.where("_g = 1").select(*keys, t, F.col("_a.t").alias("_t0"), F.col("_a.x").alias("_x0"), F.col("_b.t").alias("_t1"), F.col("_b.x").alias("_x1"))
+
+
 def to_grid(anchors: DataFrame, grid: DataFrame, keys: list[str], t: str = "t", x: str = "x") -> DataFrame:
     """grid (keys, t) with the row before and after of anchors (keys, t, x): _t0, _x0, _t1, _x1. One shuffle and two sorts by time,
     no range join; frames run from the start only, as others are filled anew for each row."""
     w = Window.partitionBy(*keys)
     back, ahead = (w.orderBy(*o).rowsBetween(Window.unboundedPreceding, 0) for o in ((t, "_g"), (F.desc(t), F.desc("_g"))))
-    both = anchors.where(F.col(x).isNotNull()).select(*keys, t, F.col(x).alias("_x"), F.lit(0).alias("_g")).unionByName(grid.select(*keys, t, F.lit(None).cast("double").alias("_x"), F.lit(1).alias("_g")))
-    here = F.when(F.col("_g") == 0, F.struct(F.col(t).alias("t"), F.col("_x").alias("x")))
-    both = both.withColumns({"_a": F.last(here, True).over(back), "_b": F.last(here, True).over(ahead)})
-    return both.where("_g = 1").select(*keys, t, F.col("_a.t").alias("_t0"), F.col("_a.x").alias("_x0"), F.col("_b.t").alias("_t1"), F.col("_b.x").alias("_x1"))
+    return sided(both(anchors, grid, keys, t, x).withColumns({"_a": F.last("_here", True).over(back), "_b": F.last("_here", True).over(ahead)}), keys, t)
 
 
-def interpolate_time(anchors: DataFrame, grid: DataFrame, keys: list[str], t: str = "t", x: str = "x") -> DataFrame:
-    """Linear in time between anchors; null outside. An anchor at a grid time gives its own value."""
-    g = to_grid(anchors, grid, keys, t, x)
+def interpolate_time(anchors: DataFrame, grid: DataFrame, keys: list[str], t: str = "t", x: str = "x", sides: Callable[..., DataFrame] = to_grid) -> DataFrame:
+    """Linear in time between anchors; null outside. An anchor at a grid time gives its own value. With `ordered.to_grid` as sides a
+    series may be of any length."""
+    g = sides(anchors, grid, keys, t, x)
     s = lambda c: F.unix_micros(F.col(c).cast("timestamp")).cast("double")
     share = (s(t) - s("_t0")) / (s("_t1") - s("_t0"))
     return g.select(*keys, t, F.when(F.col("_t0") == F.col(t), F.col("_x0")).otherwise(F.col("_x0") + share * (F.col("_x1") - F.col("_x0"))).alias(x))
 
 
-def nearest_time(anchors: DataFrame, grid: DataFrame, keys: list[str], t: str = "t", x: str = "x") -> DataFrame:
-    """The value of the nearest anchor in time; of two as near, the earlier. Anchors of one time should be one row."""
-    g = to_grid(anchors, grid, keys, t, x)
+def nearest_time(anchors: DataFrame, grid: DataFrame, keys: list[str], t: str = "t", x: str = "x", sides: Callable[..., DataFrame] = to_grid) -> DataFrame:
+    """The value of the nearest anchor in time; of two as near, the earlier. Anchors of one time should be one row. `sides` as in
+    interpolate_time."""
+    g = sides(anchors, grid, keys, t, x)
     s = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     earlier = F.col("_t1").isNull() | (s(t) - s("_t0") <= s("_t1") - s(t))
     return g.select(*keys, t, F.when(F.col("_t0").isNotNull() & earlier, F.col("_x0")).otherwise(F.col("_x1")).alias(x))

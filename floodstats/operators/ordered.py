@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.shared import shared_dir
+from . import climate
 
 
 def _meet(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
@@ -21,11 +22,16 @@ def _meet(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> Data
     return a.join(other, [a[c].eqNullSafe(other[f"_r_{c}"]) for c in on], how).drop(*[f"_r_{c}" for c in on])
 
 
+def _dealt(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
+    """df in ranges of (keys, order), with _p, the range's number."""
+    shared_dir(df.sparkSession)
+    return df.repartitionByRange(*keys, *order).withColumn("_p", F.spark_partition_id()).checkpoint()
+
+
 def placed(df: DataFrame, keys: list[str], order: list[Column | str], out: str = "_i") -> DataFrame:
     """Adds out, each row's place (from 0) in its series, and <out>_n, the series' rows. The dealt rows go to the checkpoint folder, so
     that they lie as they do however often they are read."""
-    shared_dir(df.sparkSession)
-    dealt = df.repartitionByRange(*keys, *order).withColumn("_p", F.spark_partition_id()).checkpoint()
+    dealt = _dealt(df, keys, order)
     n = dealt.groupBy(*keys, "_p").agg(F.count("*").alias("_n"))  # a row for each key of each partition
     w = Window.partitionBy(*keys)
     n = n.select(*keys, "_p", F.coalesce(F.sum("_n").over(w.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(w).alias(f"{out}_n"))
@@ -62,6 +68,37 @@ def above_kth(df: DataFrame, x: str, k: int) -> DataFrame:
     return own.drop("_i", "_i_n").join(F.broadcast(cut), F.col(x) > F.col("_cut")).drop("_cut")
 
 
+def carried(df: DataFrame, keys: list[str], order: list[str], back: dict[str, str], ahead: dict[str, str]) -> DataFrame:
+    """Adds columns to rows in their order: back maps a new column to the one whose last value that isn't null, up to the row, it takes;
+    ahead to the one whose first from the row on. A range finds them in its own rows, else in a table of each range's last and first."""
+    dealt = _dealt(df, keys, order)
+    here = F.struct(*order)
+    place = lambda c: F.when(F.col(c).isNotNull(), here)
+    ends = dealt.groupBy(*keys, "_p").agg(*[F.max_by(c, place(c)).alias(f"_e_{o}") for o, c in back.items()], *[F.min_by(c, place(c)).alias(f"_e_{o}") for o, c in ahead.items()])
+    w = Window.partitionBy(*keys)  # a row for each range that has rows of the key
+    before, after = (w.orderBy(p).rowsBetween(Window.unboundedPreceding, -1) for p in ("_p", F.desc("_p")))
+    ends = ends.select(*keys, "_p", *[F.last(f"_e_{o}", True).over(before if o in back else after).alias(f"_e_{o}") for o in (*back, *ahead)])
+    w = Window.partitionBy("_p", *keys)
+    up, down = (w.orderBy(*cs).rowsBetween(Window.unboundedPreceding, 0) for cs in (order, [F.desc(c) for c in order]))
+    own = dealt.withColumns({o: F.last(c, True).over(up) for o, c in back.items()} | {o: F.last(c, True).over(down) for o, c in ahead.items()})
+    return _meet(own, ends, [*keys, "_p"]).withColumns({o: F.coalesce(o, f"_e_{o}") for o in (*back, *ahead)}).drop("_p", *[f"_e_{o}" for o in (*back, *ahead)])
+
+
+def to_grid(anchors: DataFrame, grid: DataFrame, keys: list[str], t: str = "t", x: str = "x") -> DataFrame:
+    """`climate.to_grid` for any length."""
+    return climate.sided(carried(climate.both(anchors, grid, keys, t, x), keys, [t, "_g"], {"_a": "_here"}, {"_b": "_here"}), keys, t)
+
+
+def interpolate_time(anchors: DataFrame, grid: DataFrame, keys: list[str], t: str = "t", x: str = "x") -> DataFrame:
+    """`climate.interpolate_time` for any length."""
+    return climate.interpolate_time(anchors, grid, keys, t, x, to_grid)
+
+
+def nearest_time(anchors: DataFrame, grid: DataFrame, keys: list[str], t: str = "t", x: str = "x") -> DataFrame:
+    """`climate.nearest_time` for any length."""
+    return climate.nearest_time(anchors, grid, keys, t, x, to_grid)
+
+
 def in_blocks(df: DataFrame, keys: list[str], order: list[Column | str], f: Callable[[DataFrame, list[str]], DataFrame], margin: int, rows: int = 1_000_000) -> DataFrame:
     """f(df, keys) where a row of its result depends on no row farther than `margin` places in its series: f is called with blocks as one
     more key, each with the margin of the blocks beside it, whose own rows are left out of the result. f must keep the columns it

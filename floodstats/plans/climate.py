@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar as T
 from ..operators import climate as C
 from ..operators import extremes as E
+from ..operators import ordered as O
 from .data import DAILY, EVENTS, daily, events, rounded, table
 from .registry import query
 
@@ -70,6 +71,26 @@ def nearest_time_sample(spark, sf):
     return C.nearest_time_union(events(spark, sf), instants, KEY)
 
 
+#: All events as one series, which no task holds (`operators.ordered`): purchases are the anchors, the other events' times the grid.
+_SIDES = f"""{EVENTS}, a AS (SELECT t, x FROM ev WHERE k = 'purchase' AND x IS NOT NULL), g AS (SELECT DISTINCT t FROM ev WHERE k <> 'purchase'),
+s AS (SELECT g.t, b.t AS t0, b.x AS x0 FROM g ASOF LEFT JOIN a b ON g.t >= b.t), e AS (SELECT s.*, c.t AS t1, c.x AS x1 FROM s ASOF LEFT JOIN a c ON s.t < c.t)"""
+
+
+def _sides(spark, sf):
+    ev = events(spark, sf)
+    return ev.where("k = 'purchase'").select("t", "x"), ev.where("k <> 'purchase'").select("t").distinct()
+
+
+@query(f"WITH {_SIDES} SELECT t, CASE WHEN t0 IS NOT NULL AND (t1 IS NULL OR t - t0 <= t1 - t) THEN x0 ELSE x1 END AS x FROM e", times=("t",))
+def long_nearest_time(spark, sf):
+    return O.nearest_time(*_sides(spark, sf), [])
+
+
+@query(f"WITH {_SIDES} SELECT t, round(CASE WHEN t = t0 THEN x0 ELSE x0 + CAST(epoch_us(t) - epoch_us(t0) AS DOUBLE) / (epoch_us(t1) - epoch_us(t0)) * (x1 - x0) END, 3) AS x FROM e", times=("t",))
+def long_interpolation(spark, sf):
+    return rounded(O.interpolate_time(*_sides(spark, sf), []), 3)
+
+
 @query("SELECT CAST(unnest(generate_series(DATE '2000-01-01', DATE '2000-12-01', INTERVAL 1 MONTH)) AS DATE) AS t", dates=("t",))
 def date_range_months(spark, sf):
     return spark.range(1).select(F.explode(T.dates(F.lit("2000-01-01").cast("date"), F.lit("2000-12-01").cast("date"), "1 month")).alias("t"))
