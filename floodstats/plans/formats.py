@@ -115,6 +115,15 @@ def flat_grid_parts(spark, sf):
     return got.select((F.regexp_extract("file", r"part-(\d+)", 1).cast("int") * 3 + F.col("row")).alias("row"), "col", "value")
 
 
+@query(f"WITH {CELLS} SELECT row, col, CAST(CAST(value AS FLOAT) AS DOUBLE) AS value FROM c WHERE zone <> 1 AND row % 4 IN (1, 2) AND col BETWEEN 5 AND 29 AND row < (SELECT (max(row) + 1) // 4 * 4 FROM c)")
+def flat_grid_window(spark, sf):
+    """Two rows of each file of four, by ranges of bytes of a row each."""
+    rows, cols = shape(spark, sf)
+    arrays.write_binary(cells(spark, sf).where(f"zone <> 1 AND row < {rows // 4 * 4}"), path := folder(spark), rows // 4 * 4, cols, 4)
+    got = grids.read_grid(spark, f"{path}/part-*.bin", grids.Grid(1, 4, cols, 0, 0, 1, -1, -9999.0, False), window=(1, 3, 5, 30), split=cols * 4)
+    return got.select((F.regexp_extract("file", r"part-(\d+)", 1).cast("int") * 4 + F.col("row")).alias("row"), "col", "value")
+
+
 @query("SELECT p_partkey AS id, CAST(CASE WHEN p_partkey % 40 > 0 THEN p_partkey - 1 END AS BIGINT) AS next_id FROM part")
 def flat_next_xy(spark, sf):
     from ..operators import network

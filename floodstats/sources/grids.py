@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ship import ship
+from . import store
 
 
 @dataclass
@@ -52,22 +53,55 @@ def read_control(path: str) -> Grid:
     return Grid(levels * int(by.get("TDEF", ["1"])[0]), ny, nx, x0 - dx / 2, y0 + (ny - 0.5) * dy, dx, -dy, float(by["UNDEF"][0]) if "UNDEF" in by else None, "yrev" not in options, order + kind, file)
 
 
-def read_grid(spark: SparkSession, path: str, grid: Grid, keep_missing: bool = False) -> DataFrame:
-    """(file, band, row, col, value) of flat binary files of one shape. A file is one task's; large ones should be many files."""
-    size = np.dtype(grid.dtype).itemsize * grid.rows * grid.cols
-
+#: Bytes that a task decodes at a time, and the most tasks.
+RANGE, TASKS = 8 << 20, 10_000
+_CELLS = "file string, band int, row int, col int, value double"
+
+
+def _cells(grid: Grid, path: str, band: int, first: int, raw: bytes, columns: tuple[int, int], keep_missing: bool) -> pd.DataFrame:
+    """Cells of whole rows of the file, of which the northernmost is `first`."""
+    v = np.frombuffer(raw, grid.dtype).reshape(-1, grid.cols)
+    v = (v[::-1] if grid.flipped else v)[:, columns[0] : columns[1]].astype(float)
+    on = np.isfinite(v) & ((v != np.float64(np.float32(grid.missing))) & (v != grid.missing) if grid.missing is not None else True)
+    row, col = np.nonzero(on | keep_missing)
+    return pd.DataFrame({"file": path, "band": np.int32(band), "row": (row + first).astype(np.int32), "col": (col + columns[0]).astype(np.int32), "value": np.where(on, v, np.nan)[row, col]})
+
+
+def read_grid(spark: SparkSession, path: str, grid: Grid, keep_missing: bool = False, window: tuple[int, int, int, int] | None = None, bands: list[int] | None = None, split: int = RANGE) -> DataFrame:
+    """(file, band, row, col, value) of flat binary files of one shape. Files of over `split` bytes are read by ranges of rows that are dealt
+    out over tasks, so a file may be of any size; others go whole to a task. Of a window (first row, last row, first column, last
+    column; the last are left out) only the rows are read, and of bands only those named."""
+    line = np.dtype(grid.dtype).itemsize * grid.cols
+    size, whole = line * grid.rows, (0, grid.rows, 0, grid.cols)
+    r0, r1, c0, c1 = window or whole
+    if not (0 <= r0 < r1 <= grid.rows and 0 <= c0 < c1 <= grid.cols):
+        raise ValueError(f"window {window} isn't within {grid.rows} rows and {grid.cols} columns")
+    wanted = list(range(grid.bands)) if bands is None else bands
+    if not all(0 <= b < grid.bands for b in wanted):
+        raise ValueError(f"bands {bands} aren't among {grid.bands}")
     ship(spark)
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    files = spark.read.format("binaryFile").load(path)
+
+    def from_files(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for r in f.itertuples():
+                for band in wanted:
+                    yield _cells(grid, r.path, band, 0, r.content[band * size : (band + 1) * size], (c0, c1), keep_missing)
+
+    def from_ranges(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for r in f.itertuples():
-                for band in range(grid.bands):
-                    v = np.frombuffer(r.content, grid.dtype, grid.rows * grid.cols, band * size).reshape(grid.rows, grid.cols).astype(float)
-                    v = v[::-1] if grid.flipped else v
-                    on = np.isfinite(v) & ((v != np.float64(np.float32(grid.missing))) & (v != grid.missing) if grid.missing is not None else True)
-                    row, col = np.nonzero(on | keep_missing)
-                    yield pd.DataFrame({"file": r.path, "band": np.int32(band), "row": row.astype(np.int32), "col": col.astype(np.int32), "value": np.where(on, v, np.nan)[row, col]})
-
-    out = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, band int, row int, col int, value double")
+                n = min(step, r1 - r.first)
+                at = grid.rows - r.first - n if grid.flipped else r.first
+                yield _cells(grid, r.path, r.band, r.first, store.get_range(r.path, r.band * size + at * line, n * line), (c0, c1), keep_missing)
+
+    if size * grid.bands <= split and (r0, r1) == (0, grid.rows):
+        out = files.select("path", "content").mapInPandas(from_files, _CELLS)
+    else:
+        step = max(1, split // line)
+        each = files.select("path").withColumn("band", F.explode(F.array(*[F.lit(b) for b in wanted]))) if wanted else files.select("path", F.lit(0).alias("band")).limit(0)
+        each = each.withColumn("first", F.explode(F.sequence(F.lit(r0), F.lit(r1 - 1), F.lit(step))))
+        out = each.repartition(max(1, min(TASKS, each.count()))).mapInPandas(from_ranges, _CELLS)
     return out.withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
 
 

@@ -31,6 +31,17 @@ def get(path: str) -> bytes:
         return f.read()
 
 
+def get_range(path: str, start: int, n: int) -> bytes:
+    """n bytes from start on; raises where the file ends before."""
+    store, at = _place(path)
+    with store.open_input_file(at) as f:
+        f.seek(start)
+        data = f.read(n)
+    if len(data) < n:
+        raise ValueError(f"{path} ends before byte {start + n}")
+    return data
+
+
 def names(path: str) -> list[str]:
     """Names of the files under a folder, from it on; none if it isn't there."""
     store, at = _place(path)
