@@ -95,6 +95,15 @@ def pcraster_map(spark, sf):
     return rasters.read_pcraster(spark, f"{path}/a.map").select("row", "col", "value")
 
 
+@query(f"WITH {CELLS} SELECT row, col, col + 5e-1 AS lon, -row - 5e-1 AS lat, CAST(CAST(value AS FLOAT) AS DOUBLE) AS value FROM c WHERE zone <> 0 AND row % 16 BETWEEN 3 AND 12 AND col < 33")
+def pcraster_blocks(spark, sf):
+    """Maps of 16 rows written by the executors, of which ten rows each are read, by ranges of two."""
+    rows, cols = shape(spark, sf)
+    arrays.write_pcraster(cells(spark, sf).where("zone <> 0"), path := folder(spark), rows, cols, 0.0, 0.0, 1.0, 16)
+    got = rasters.read_pcraster(spark, f"{path}/part-*.map", (3, 13, 0, 33), 2 * cols * 4)
+    return got.select((F.regexp_extract("file", r"part-(\d+)", 1).cast("int") * 16 + F.col("row")).alias("row"), "col", "lon", "lat", "value")
+
+
 @query(f"WITH {CELLS} SELECT row, col, CAST(CAST(value AS FLOAT) AS DOUBLE) AS value FROM c WHERE zone <> 1")
 def flat_grid(spark, sf):
     rows, cols = shape(spark, sf)
@@ -137,6 +146,23 @@ def flat_next_xy(spark, sf):
     return network.decode_next_xy(grids.read_next_xy(spark, f"{path}/nextxy.bin", rows, cols), cols)
 
 
+@query("SELECT p_partkey AS id, CAST(CASE WHEN p_size % 3 = 1 AND p_partkey % 40 > 0 THEN p_partkey - 1 WHEN p_size % 3 = 2 AND p_partkey >= 40 THEN p_partkey - 40 END AS BIGINT) AS next_id FROM part")
+def next_xy_planes(spark, sf):
+    """Next cells that follow from the parts' sizes, in files of four rows of either plane, read by ranges of a row."""
+    from ..operators import network
+
+    rows, cols = shape(spark, sf)
+    west, north = (F.col("size") % 3 == 1) & (F.col("col") > 0), (F.col("size") % 3 == 2) & (F.col("row") > 0)
+    x = F.when(west, F.col("col")).when(north, F.col("col") + 1).otherwise(-9)  # counted from 1
+    y = F.when(west, F.col("row") + 1).when(north, F.col("row")).otherwise(-9)
+    planes = F.explode(F.array(F.struct(F.lit(0).alias("p"), x.alias("v")), F.struct(F.lit(1).alias("p"), y.alias("v"))))
+    own = cells(spark, sf).select("row", "col", planes.alias("_v"))
+    own = own.select((F.floor(F.col("row") / 4) * 8 + F.col("_v.p") * 4 + F.col("row") % 4).cast("int").alias("row"), "col", F.col("_v.v").alias("value"))
+    arrays.write_binary(own, path := folder(spark), -(-rows // 4) * 8, cols, 8, dtype="<i4")
+    got = grids.read_next_xy(spark, f"{path}/part-*.bin", 4, cols, cols * 4)
+    return network.decode_next_xy(got.withColumn("row", F.regexp_extract("file", r"part-(\d+)", 1).cast("int") * 4 + F.col("row")), cols)
+
+
 @query("SELECT c_custkey, c_name, round(c_acctbal, 2) AS c_acctbal FROM customer WHERE c_custkey % 3 = 0")
 def csv_table(spark, sf):
     path = folder(spark)

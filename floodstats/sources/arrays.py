@@ -1,4 +1,4 @@
-"""Writers of array files from cell tables: Zarr (version 2) by chunks, classic netCDF by files, GeoTIFF by tiles. Every file is the
+"""Writers of array files from cell tables: Zarr (version 2) by chunks, classic netCDF by files, GeoTIFF by tiles, flat and PCRaster grids by rows. Every file is the
 work of one task, so stores of any size are written by all executors; a chunk, file or tile must fit a task."""
 
 from __future__ import annotations
@@ -7,6 +7,7 @@ import json
 import math
 import struct
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -124,16 +125,13 @@ def _by_tile(cells: DataFrame, side: int) -> DataFrame:
     return cells.where("value is not null").select("row", "col", "value", F.floor(F.col("row") / side).cast("int").alias("_r"), F.floor(F.col("col") / side).cast("int").alias("_c"))
 
 
-def write_binary(cells: DataFrame, path: str, rows: int, cols: int, block: int = 512, missing: float = -9999.0, dtype: str = "<f4") -> int:
-    """A flat grid of any size in files of `block` rows each, part-00000.bin and so on, which one after the other are the grid; gives
-    their number. Rows without cells are written too."""
-
+def _by_rows(cells: DataFrame, path: str, rows: int, cols: int, block: int, missing: float, dtype: str, kind: str, encode: Callable[[int, np.ndarray], bytes]) -> int:
     def part(own: pd.DataFrame) -> pd.DataFrame:
         k = int(own["_k"].iloc[0])
         v = np.full((min(block, rows - k * block), cols), missing, dtype)
         on = own[own["value"].notna()]
         v[on["row"].to_numpy(int) - k * block, on["col"].to_numpy(int)] = on["value"]
-        put(f"{path}/part-{k:05d}.bin", v.tobytes())
+        put(f"{path}/part-{k:05d}.{kind}", encode(k, v))
         return pd.DataFrame({"n": [len(on)]})
 
     ship(cells.sparkSession)
@@ -141,3 +139,15 @@ def write_binary(cells: DataFrame, path: str, rows: int, cols: int, block: int =
     every = cells.sparkSession.range(-(-rows // block)).select(F.col("id").cast("int").alias("_k"))
     own = cells.select("row", "col", "value", F.floor(F.col("row") / block).cast("int").alias("_k"))
     return every.join(own, "_k", "left").groupBy("_k").applyInPandas(part, "n long").count()
+
+
+def write_binary(cells: DataFrame, path: str, rows: int, cols: int, block: int = 512, missing: float = -9999.0, dtype: str = "<f4") -> int:
+    """A flat grid of any size in files of `block` rows each, part-00000.bin and so on, which one after the other are the grid; gives
+    their number. Rows without cells are written too."""
+    return _by_rows(cells, path, rows, cols, block, missing, dtype, "bin", lambda k, v: v.tobytes())
+
+
+def write_pcraster(cells: DataFrame, path: str, rows: int, cols: int, west: float, north: float, size: float, block: int = 512) -> int:
+    """A grid of any size in PCRaster maps of `block` rows each, part-00000.map and so on, each with its own northern edge; gives their
+    number."""
+    return _by_rows(cells, path, rows, cols, block, np.nan, "<f8", "map", lambda k, v: rasters.encode_pcraster(v, west, north - k * block * size, size))

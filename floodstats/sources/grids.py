@@ -105,10 +105,10 @@ def read_grid(spark: SparkSession, path: str, grid: Grid, keep_missing: bool = F
     return out.withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
 
 
-def read_next_xy(spark: SparkSession, path: str, rows: int, cols: int) -> DataFrame:
-    """(row, col, nextx, nexty) of a file of two planes of 32-bit integers."""
-    g = read_grid(spark, path, Grid(2, rows, cols, 0, 0, 1, -1, None, False, "<i4"))
-    return g.groupBy("row", "col").agg(*[F.max(F.when(F.col("band") == i, F.col("value"))).cast("int").alias(n) for i, n in ((0, "nextx"), (1, "nexty"))])
+def read_next_xy(spark: SparkSession, path: str, rows: int, cols: int, split: int = RANGE) -> DataFrame:
+    """(file, row, col, nextx, nexty) of files of two planes of 32-bit integers."""
+    g = read_grid(spark, path, Grid(2, rows, cols, 0, 0, 1, -1, None, False, "<i4"), split=split)
+    return g.groupBy("file", "row", "col").agg(*[F.max(F.when(F.col("band") == i, F.col("value"))).cast("int").alias(n) for i, n in ((0, "nextx"), (1, "nexty"))])
 
 
 def located(cells: DataFrame, grid: Grid) -> DataFrame:

@@ -1,4 +1,5 @@
-"""Self-describing grids as cell tables: GeoTIFF, PCRaster, Zarr and classic netCDF. Files are read by Spark and decoded by Arrow tasks."""
+"""Self-describing grids as cell tables: GeoTIFF, PCRaster, Zarr and classic netCDF. Files are read by Spark, or by
+ranges of bytes (PCRaster), and decoded by Arrow tasks."""
 
 from __future__ import annotations
 
@@ -11,8 +12,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.ship import ship
+from . import store
+from .grids import RANGE, TASKS
 
 CELLS = "file string, band int, row int, col int, lon double, lat double, value double"
 
@@ -150,8 +154,8 @@ def encode_geotiff(bands: np.ndarray, west: float, north: float, dx: float, dy:
     return b"II*\0" + struct.pack("<I", start) + body + struct.pack("<H", len(fields)) + entries + b"\0" * 4 + extra
 
 
-def decode_pcraster(raw: bytes) -> tuple[np.ndarray, tuple[float, float, float, float]]:
-    """A PCRaster map as floats with NaN for missing cells, and (west, north, dx, dy)."""
+def _pcraster_head(raw: bytes) -> tuple[np.dtype, int | None, int, int, tuple[float, float, float, float]]:
+    """Of a PCRaster map's first 256 bytes: type and missing value of its cells, rows, columns, and (west, north, dx, dy)."""
     if not raw.startswith(b"RUU CROSS SYSTEM MAP FORMAT"):
         raise ValueError("not a PCRaster map")
     end = "<" if struct.unpack_from("<I", raw, 46)[0] == 1 else ">"
@@ -161,8 +165,14 @@ def decode_pcraster(raw: bytes) -> tuple[np.ndarray, tuple[float, float, float,
     dx, dy = struct.unpack_from(f"{end}dd", raw, 108)
     # Cell representations and their missing values.
     dtype, missing = {0x00: ("u1", 255), 0x26: ("i4", -(2**31)), 0x5A: ("f4", None), 0xDB: ("f8", None)}[code]
-    v = np.frombuffer(raw, end + dtype, rows * cols, 256).reshape(rows, cols).astype(float)
-    return (v if missing is None else np.where(v == missing, np.nan, v)), (west, north, dx, -dy)
+    return np.dtype(end + dtype), missing, rows, cols, (west, north, dx, -dy)
+
+
+def decode_pcraster(raw: bytes) -> tuple[np.ndarray, tuple[float, float, float, float]]:
+    """A PCRaster map as floats with NaN for missing cells, and (west, north, dx, dy)."""
+    dtype, missing, rows, cols, place = _pcraster_head(raw)
+    v = np.frombuffer(raw, dtype, rows * cols, 256).reshape(rows, cols).astype(float)
+    return (v if missing is None else np.where(v == missing, np.nan, v)), place
 
 
 def encode_pcraster(v: np.ndarray, west: float, north: float, size: float) -> bytes:
@@ -217,15 +227,35 @@ def read_geotiff(spark: SparkSession, path: str, box: tuple[float, float, float,
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, CELLS)
 
 
-def read_pcraster(spark: SparkSession, path: str) -> DataFrame:
+def read_pcraster(spark: SparkSession, path: str, window: tuple[int, int, int, int] | None = None, split: int = RANGE) -> DataFrame:
+    """Cells (file, band, row, col, lon, lat, value) of PCRaster maps. A task reads ranges of rows of at most `split` bytes, so a map may be
+    of any size; of a window (first row, last row, first column, last column; the last are left out, and what a map doesn't have)
+    only the rows are read."""
     ship(spark)
+    r0, r1, c0, c1 = window or (0, 2**31, 0, 2**31)
+
+    def ranges(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for file in f["path"]:
+                dtype, _, rows, cols, _ = _pcraster_head(head := store.get_range(file, 0, 256))
+                step = max(1, split // (cols * dtype.itemsize))
+                first = np.arange(r0, min(r1, rows), step)
+                yield pd.DataFrame({"path": file, "head": [head] * len(first), "first": first, "n": np.minimum(step, min(r1, rows) - first)})
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for r in f.itertuples():
-                v, place = decode_pcraster(r.content)
-                yield from _cells(r.path, v[None], place, None)
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, CELLS)
+                dtype, missing, _, cols, (west, north, dx, dy) = _pcraster_head(r.head)
+                line = cols * dtype.itemsize
+                v = np.frombuffer(store.get_range(r.path, 256 + r.first * line, r.n * line), dtype).reshape(r.n, cols)[:, c0:c1].astype(float)
+                v = v if missing is None else np.where(v == missing, np.nan, v)
+                for own in _cells(r.path, v[None], (west + c0 * dx, north + r.first * dy, dx, dy), None):
+                    yield own.assign(row=(own["row"] + r.first).astype(np.int32), col=(own["col"] + c0).astype(np.int32))
+
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    tasks = files.agg(F.sum(F.ceil(F.col("length") / split))).first()[0] or 1  # from the listing
+    each = files.select("path").mapInPandas(ranges, "path string, head binary, first long, n long")
+    return each.repartition(max(1, min(TASKS, tasks))).mapInPandas(run, CELLS)
 
 
 def read_zarr(spark: SparkSession, path: str, variable: str, coords: dict[str, str] | None = None) -> DataFrame:

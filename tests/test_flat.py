@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from floodstats.sources import grids, store
+from floodstats.sources import arrays, grids, rasters, store
 from pyspark.sql import functions as F
 
 
@@ -62,3 +62,27 @@ def test_short_files_raise(spark, tmp_path):
     for split in (10, 1000):
         with pytest.raises(Exception):
             grids.read_grid(spark, f"{tmp_path}/a.bin", g, split=split).select(F.sum("value")).collect()
+
+
+def test_pcraster_by_ranges(spark, tmp_path):
+    r = np.random.default_rng(8)
+    v = np.where(r.random((37, 9)) < 0.2, np.nan, r.integers(0, 50, (37, 9)).astype(float))
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "a.map").write_bytes(rasters.encode_pcraster(v, 3.0, 8.0, 0.5))
+    want = {(i, j): (3 + (j + 0.5) * 0.5, 8 - (i + 0.5) * 0.5, x) for (i, j), x in np.ndenumerate(v) if x == x}
+    show = lambda df: {(x.row, x.col): (x.lon, x.lat, x.value) for x in df.collect()}
+    for split in (36, 100, 10**6):
+        assert show(rasters.read_pcraster(spark, f"{tmp_path}/one", split=split)) == want
+    cut = rasters.read_pcraster(spark, f"{tmp_path}/one", (30, 60, 2, 5), 72)
+    assert show(cut) == {k: x for k, x in want.items() if k[0] >= 30 and 2 <= k[1] < 5} and show(rasters.read_pcraster(spark, f"{tmp_path}/one", (40, 60, 2, 5))) == {}
+    cells = spark.createDataFrame([(i, j, float(x[2])) for (i, j), x in want.items()], "row int, col int, value double")
+    assert arrays.write_pcraster(cells, f"{tmp_path}/many", 37, 9, 3.0, 8.0, 0.5, 10) == 4
+    assert {(x.lon, x.lat): x.value for x in rasters.read_pcraster(spark, f"{tmp_path}/many").collect()} == {x[:2]: x[2] for x in want.values()}
+
+
+def test_planes_of_next_cells_in_several_files(spark, tmp_path):
+    for n in range(2):
+        (tmp_path / f"{n}.bin").write_bytes(np.arange(24, dtype="<i4").tobytes() if n else (100 + np.arange(24, dtype="<i4")).tobytes())
+    for split in (1, 16, 1000):
+        got = {(x.file[-5], x.row, x.col): (x.nextx, x.nexty) for x in grids.read_next_xy(spark, f"{tmp_path}/*.bin", 3, 4, split).collect()}
+        assert got == {(str(n), i, j): (100 * (1 - n) + 4 * i + j, 100 * (1 - n) + 12 + 4 * i + j) for n in range(2) for i in range(3) for j in range(4)}
