@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import gauge_distance, sphere_distance
+from .nearest import distance, nearest_by_tree
 
 
 def _height(max_dist: float) -> float:
@@ -42,36 +43,59 @@ def _sent(df: DataFrame, lon: str, lat: str, max_dist: float) -> DataFrame:
     return d.withColumn("_tx", F.explode(tiles)).drop("_w")
 
 
-def nearest_points(left: DataFrame, right: DataFrame, max_dist: float, lid: str = "id", rid: str = "id", lon: str = "lon", lat: str = "lat", metric: str = "degree", prefix: str = "near_") -> DataFrame:
+#: Pairs of places that tiles may bring together: for each left place, or in all. Beyond, points go down a tree.
+MET_EACH, MET = 64, 20_000_000
+
+
+def _met(left: DataFrame, right: DataFrame, on: list[str]) -> int:
+    """How many pairs a join on tiles makes."""
+    count = lambda df, n: df.groupBy(*on).agg(F.count("*").alias(n))
+    return int(count(left, "_a").join(count(right, "_b"), on).agg(F.sum(F.col("_a").cast("double") * F.col("_b"))).first()[0] or 0)
+
+
+def nearest_points(left: DataFrame, right: DataFrame, max_dist: float, lid: str = "id", rid: str = "id", lon: str = "lon", lat: str = "lat", metric: str = "degree", prefix: str = "near_", digits: int | None = None) -> DataFrame:
     """Each left point with its nearest right point (least degrees, or least distance on the sphere), null beyond max_dist metres.
 
-    Both sides are cut into tiles as wide as max_dist at their own latitude; a right point goes to the tiles around it, and the
-    rest is an equi-join on tiles. Points of one tile meet pairwise, so max_dist should be small against the extent of the data.
+    Places are looked up once, however many points share them. Both sides are cut into tiles as wide as max_dist at their own latitude; a
+    right place goes to the tiles around it, and the rest is an equi-join on tiles. Places of one tile would meet pairwise, so the pairs
+    are counted first, and where they are many the places go down a tree instead (`nearest.nearest_by_tree`), with the same result.
     On the sphere, points just across the antimeridian are seen too; in degrees longitudes don't wrap. In degrees a point may be
-    nearest and yet beyond max_dist, away from the equator; a second join, of the left points whose match is that far in degrees, finds these.
+    nearest and yet beyond max_dist, away from the equator; a second join, of the left places whose match is that far in degrees, finds
+    these. digits: those of squared degrees that count, so that points equally far tie, of which the one with the smallest id is taken.
     """
-    r = right.select(F.col(rid).alias(f"{prefix}id"), F.col(lon).alias("_rlon"), F.col(lat).alias("_rlat"), *[F.col(c).alias(f"{prefix}{c}") for c in right.columns if c not in (rid, lon, lat)])
-    l = left.select(lid, F.col(lon).alias("_llon"), F.col(lat).alias("_llat"))
-    both = _tiled(l, "_llon", "_llat", max_dist).join(_sent(r, "_rlon", "_rlat", max_dist), ["_tx", "_ty"])
+    rest = [c for c in right.columns if c not in (rid, lon, lat)]
+    r = right.where(F.col(lon).isNotNull() & F.col(lat).isNotNull())
+    r = r.groupBy(F.col(lon).alias("_rlon"), F.col(lat).alias("_rlat")).agg(F.min(F.struct(F.col(rid).alias("_id"), *rest)).alias("_r"))
+    l = left.where(F.col(lon).isNotNull() & F.col(lat).isNotNull()).select(F.col(lon).alias("_llon"), F.col(lat).alias("_llat")).distinct()
+    own = [lid, *[c for c in left.columns if c != lid]]
+    found = [f"{prefix}id", *[f"{prefix}{c}" for c in rest], f"{prefix}dist"]
+    by_tree = lambda: nearest_by_tree(left, right, lid, rid, lon, lat, metric, prefix, 16, max_dist, digits).select(*own, *found)
+    tiled, sent = _tiled(l, "_llon", "_llat", max_dist), _sent(r, "_rlon", "_rlat", max_dist)
+    most = max(MET, MET_EACH * l.count())
+    if _met(tiled, sent, ["_tx", "_ty"]) > most:
+        return by_tree()
+    both = tiled.join(sent, ["_tx", "_ty"])
     both = both.withColumn("_m", sphere_distance(F.col("_llon"), F.col("_llat"), F.col("_rlon"), F.col("_rlat"))).where(F.col("_m") <= max_dist)
-    d2 = F.pow(F.col("_llon") - F.col("_rlon"), F.lit(2.0)) + F.pow(F.col("_llat") - F.col("_rlat"), F.lit(2.0))
-    by = d2 if metric == "degree" else F.col("_m")
-    kept = [f"{prefix}id", *[c for c in r.columns if c.startswith(prefix) and c != f"{prefix}id"]]
-    best = both.groupBy(lid, "_llon", "_llat").agg(F.min(F.struct(by.alias("_by"), F.col(f"{prefix}id"), F.col("_m").alias("_m"), *[F.col(c) for c in kept[1:]])).alias("_b"))
+    by = distance("_llon", "_llat", "_rlon", "_rlat", metric, digits)
+    best = both.groupBy("_llon", "_llat").agg(F.min(F.struct(by.alias("_by"), F.col("_r._id").alias("_id"), F.col("_m").alias("_m"), "_r")).alias("_b"))
     if metric == "degree":
-        far = best.where(F.col("_b._by") > (max_dist / 6373000.0 * 180 / math.pi) ** 2).select(lid, "_llon", "_llat", F.col("_b._by").alias("_by"))
+        far = best.where(F.col("_b._by") > (max_dist / 6373000.0 * 180 / math.pi) ** 2).select("_llon", "_llat", F.col("_b._by").alias("_by"), F.col("_b._id").alias("_id"))
         side = F.pow(F.lit(2.0), F.ceil(F.log2(F.sqrt("_by"))).cast("double"))
         far = far.withColumn("_side", side)
         sides = [x[0] for x in far.select("_side").distinct().collect()]  # powers of two from max_dist to 360 degrees: a few
         if sides:
             near = F.array(*[F.lit(i) for i in (-1, 0, 1)])
             cell = lambda c, s: F.floor(F.col(c) / s).cast("long")
-            other = right.select(F.col(rid).alias("_rid"), F.col(lon).alias("_rlon"), F.col(lat).alias("_rlat")).withColumn("_side", F.explode(F.array(*map(F.lit, sides))))
+            other = r.select(F.col("_r._id").alias("_rid"), "_rlon", "_rlat").withColumn("_side", F.explode(F.array(*map(F.lit, sides))))
             other = other.withColumn("_tx", F.explode(F.transform(near, lambda i: cell("_rlon", F.col("_side")) + i))).withColumn("_ty", F.explode(F.transform(near, lambda i: cell("_rlat", F.col("_side")) + i)))
-            met = far.withColumns({"_tx": cell("_llon", F.col("_side")), "_ty": cell("_llat", F.col("_side"))}).join(other, ["_side", "_tx", "_ty"])
-            best = best.join(met.where(d2 < F.col("_by")).select(lid).distinct(), lid, "left_anti")
-    best = best.select(lid, *[F.col(f"_b.{c}").alias(c) for c in kept], F.col("_b._m").alias(f"{prefix}dist"))
-    return left.join(best, lid, "left")
+            far = far.withColumns({"_tx": cell("_llon", F.col("_side")), "_ty": cell("_llat", F.col("_side"))})
+            on = ["_side", "_tx", "_ty"]
+            if _met(far, other, on) > most:
+                return by_tree()
+            closer = far.join(other, on).where((by < F.col("_by")) | ((by == F.col("_by")) & (F.col("_rid") < F.col("_id"))))
+            best = best.join(closer.select("_llon", "_llat").distinct(), ["_llon", "_llat"], "left_anti")
+    best = best.select(F.col("_llon").alias(lon), F.col("_llat").alias(lat), F.col("_b._id").alias(found[0]), *[F.col(f"_b._r.{c}").alias(f"{prefix}{c}") for c in rest], F.col("_b._m").alias(found[-1]))
+    return left.join(best, [lon, lat], "left").select(*own, *found)
 
 
 def grid_at_points(grid: DataFrame, points: DataFrame, x0: float, y0: float, dx: float, dy: float, lon: str = "lon", lat: str = "lat") -> DataFrame:

@@ -30,7 +30,7 @@ SELECT id, round(lon, 4) AS lon, round(lat, 4) AS lat, CASE WHEN d <= 600000 THE
 
 @query(near_sql("round(pow(l.lon - r.lon, 2) + pow(l.lat - r.lat, 2), 9)"), whole=("near_id",))
 def sjoin_nn(spark, sf):
-    out = S.nearest_points(places(spark, sf, "customer", "c_custkey", 5), places(spark, sf, "supplier", "s_suppkey", 0), 600000)
+    out = S.nearest_points(places(spark, sf, "customer", "c_custkey", 5), places(spark, sf, "supplier", "s_suppkey", 0), 600000, digits=9)
     return rounded(rounded(out, 1, "near_dist"), 4, "lon", "lat")
 
 
