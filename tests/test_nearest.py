@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from floodstats.operators import spatial
 from floodstats.operators.nearest import nearest_by_tree
 
 
@@ -48,3 +49,29 @@ def test_all_points_in_one_place(spark):
     right = points(spark, [(k, 5, 5) for k in range(500)] + [(900, 6, 5)])
     got = nearest_by_tree(points(spark, [(1, 5.2, 5), (2, 5.9, 5)]), right, leaf=4)
     assert {x.id: x.near_id for x in got.collect()} == {1: 0, 2: 900}
+
+
+@pytest.mark.parametrize("metric", ["sphere", "degree"])
+def test_crowded_tiles_go_down_the_tree(spark, metric, monkeypatch):
+    """Points on a lattice, so that many are equally far, under a distance that brings most of them together."""
+    r = np.random.default_rng(5)
+    lattice = lambda n, at: [(at + k, *p) for k, p in enumerate(np.c_[r.integers(0, 90, n) / 10 + 170, r.integers(-40, 40, n) / 10])]
+    left, right = lattice(300, 0) + [(900, 0.0, 0.0)], lattice(600, 1000)
+    go = lambda: sorted(map(tuple, spatial.nearest_points(points(spark, left), points(spark, right), 500_000, metric=metric, digits=9).collect()))
+    tiles = go()
+    seen = []
+    monkeypatch.setattr(spatial, "nearest_by_tree", lambda *a: seen.append(1) or nearest_by_tree(*a))
+    monkeypatch.setattr(spatial, "MET", 0)
+    assert go() == tiles and seen and [x[0] for x in tiles] == sorted(x[0] for x in left) and tiles[-1][3] is None
+    if metric == "degree":
+        want = {i: min((round((u - x) ** 2 + (v - y) ** 2, 9), j) for j, u, v in right)[1] for i, x, y in left if i < 900}
+        assert {x[0]: x[3] for x in tiles[:-1]} == want
+
+
+def test_places_are_looked_up_once(spark, monkeypatch):
+    """However many points share a place, a pair of places meets once."""
+    met = []
+    monkeypatch.setattr(spatial, "_met", lambda l, r, on: met.append((l.count(), r.select("_rlon", "_rlat").distinct().count())) or 0)
+    left, right = [(k, 1.0 + k % 2, 2.0) for k in range(100)], [(k, 1.5, 2.0 + k % 3) for k in range(60)]
+    got = spatial.nearest_points(points(spark, left), points(spark, right), 300_000).collect()
+    assert met[0] == (2, 3) and len(got) == 100 and {x.near_id for x in got} == {0}
