@@ -3,16 +3,17 @@ grids as GeoTIFF tiles."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import calendar
-from ..operators import relational, spatial
+from ..functions.shared import shared_dir
+from ..operators import ordered, relational, spatial
 from ..sources import arrays, grids, rasters, sinks, vectors, zarr
 
 
-#: Values that an axis of a grid may have, as points compare themselves with all of them; and ways of counting times in one set of files.
-MOST_VALUES, MOST_UNITS = 100_000, 1000
+#: Distinct values beyond which a coordinate is taken for no axis of a grid; and ways of counting times in one set of files.
+MOST_VALUES, MOST_UNITS = 100_000_000, 1000
 
 
 def gridded(spark: SparkSession, files: str, variable: str, coords: list[str], time: str | None = None) -> DataFrame:
@@ -38,30 +39,40 @@ def gridded(spark: SparkSession, files: str, variable: str, coords: list[str], t
     return own.withColumn(time, F.coalesce(*when) if when else F.lit(None).cast("timestamp")).select(*coords, "value")
 
 
-def _axis(cells: DataFrame, name: str) -> list[float]:
-    """The values of a coordinate, from the least on."""
-    got = sorted(r[0] for r in cells.select(name).where(F.col(name).isNotNull()).distinct().limit(MOST_VALUES + 1).collect())
-    if not got:
-        raise ValueError("the grid has no cells")
-    if len(got) > MOST_VALUES:
-        raise ValueError(f"{name} has more than {MOST_VALUES} values; it is no axis of a grid")
-    return got
-
-
-def _nearest(at: Column, axis: list[float]) -> Column:
-    """The axis' value nearest to at, the greater one of two; null beyond half a step outside of it."""
-    first, last = (axis[1] - axis[0], axis[-1] - axis[-2]) if len(axis) > 1 else (1.0, 1.0)
-    inside = at.between(axis[0] - first / 2, axis[-1] + last / 2)
-    least = F.array_min(F.transform(F.split(F.lit(",".join(map(repr, axis))), ",").cast("array<double>"), lambda v: F.struct(F.abs(v - at).alias("d"), (-v).alias("v"))))
-    return F.when(inside, -least["v"])
+def _axes(cells: DataFrame, names: list[str]) -> DataFrame:
+    """(name, v): the values of each coordinate, once, from one reading of the cells."""
+    shared_dir(cells.sparkSession)
+    every = cells.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in names])).alias("_a")).select("_a.*")
+    axes = every.where(F.col("v").isNotNull() & ~F.isnan("v")).distinct().checkpoint()
+    n = {r["name"]: r["n"] for r in axes.groupBy("name").agg(F.count("*").alias("n")).collect()}
+    for c in names:
+        if c not in n:
+            raise ValueError("the grid has no cells")
+        if n[c] > MOST_VALUES:
+            raise ValueError(f"{c} has more than {MOST_VALUES} values; it is no axis of a grid")
+    return axes
+
+
+def _nearest(points: DataFrame, name: str, axis: DataFrame) -> DataFrame:
+    """(at, v): for each coordinate of the points the axis' value nearest to it, the greater one of two; none for those beyond half a
+    step outside of it. Values and coordinates lie in one order, in ranges, so neither an axis nor the points have to fit a task."""
+    low, high = ([r.v for r in axis.orderBy(way("v")).limit(2).collect()] for way in (F.asc, F.desc))
+    first, last = (low[1] - low[0], high[0] - high[1]) if len(low) > 1 else (1.0, 1.0)
+    at = points.select(F.col(name).alias("at")).where(F.col("at").between(low[0] - first / 2, high[0] + last / 2)).distinct()
+    both = axis.select(F.col("v").alias("at"), F.lit(0).alias("_g"), "v").unionByName(at.select("at", F.lit(1).alias("_g"), F.lit(None).cast("double").alias("v")))
+    sided = ordered.carried(both, [], ["at", "_g"], {"_a": "v"}, {"_b": "v"}).where("_g = 1")
+    greater = F.col("_a").isNull() | (F.abs(F.col("_b") - F.col("at")) <= F.abs(F.col("_a") - F.col("at")))
+    return sided.select("at", F.when(greater, F.col("_b")).otherwise(F.col("_a")).alias("v"))
 
 
 def extract_points(cells: DataFrame, points: DataFrame, x: str = "lon", y: str = "lat", index: str = "index") -> DataFrame:
     """(index, other coords..., value): the series of the cell nearest in x and in y, of the values that the grid's axes really have, at each point (index, x, y); points more than
     half a step off the grid have none. Axes need not be regular."""
     rest = [c for c in cells.columns if c not in (x, y, "value")]
-    ways = {c: _axis(cells, c) for c in (x, y)}
-    near = points.select(index, *[_nearest(F.col(c).cast("double"), v).alias(c) for c, v in ways.items()])
+    axes = _axes(cells, [x, y])
+    near = points.select(index, *[F.col(c).cast("double").alias(c) for c in (x, y)])
+    for c in (x, y):
+        near = near.join(_nearest(near, c, axes.where(F.col("name") == c).select("v")).withColumnRenamed("at", c), c).drop(c).withColumnRenamed("v", c)
     return cells.where(F.col("value").isNotNull()).join(near, [x, y]).select(index, *rest, "value")
 
 

@@ -29,6 +29,15 @@ def test_axes_are_checked(spark, monkeypatch):
         commands.extract_points(grid(spark, [1.0, 2.0, 3.0], [1.0]), points)
 
 
+def test_long_axes_and_many_points(spark):
+    """More values than an axis used to have: points find theirs by order, not by holding themselves against each value."""
+    cells = spark.range(120_001).select((F.col("id") * 0.5).alias("lat"), F.lit(3.0).alias("lon"), F.col("id").cast("double").alias("value"))
+    points = spark.range(3000).select(F.col("id").alias("index"), F.lit(3.2).alias("lon"), (F.col("id") * 20.25 - 0.3).alias("lat"))
+    got = {r["index"]: r.value for r in commands.extract_points(cells, points).collect()}
+    want = {i: float(min(range(max(0, k := int((20.25 * i - 0.3) * 2) - 2), k + 4), key=lambda j: (abs(j * 0.5 - (20.25 * i - 0.3)), -j))) for i in range(3000) if -0.25 <= 20.25 * i - 0.3 <= 60_000.25}
+    assert len(got) > 2900 and got == want
+
+
 def test_files_that_count_from_different_times(spark, tmp_path):
     for year, unit in ((2000, "days since 2000-01-01"), (2001, "hours since 2001-01-01")):
         own = grid(spark, [0.0, 1.0], [0.0, 1.0], (0.0, 24.0)).withColumn("year", F.lit(year))
