@@ -142,11 +142,9 @@ def _linker(width: int, bits: int):
     return run
 
 
-def near_components(fps: DataFrame, width: int = 1, word_bits: int = 4, bits: int = 4, cell: int = CELL) -> DataFrame:
-    """fps (doc_id long, fp array<long>) -> (doc_id, fp, component_id).
-
-    Two fingerprints link if some of their words differ in at most word_bits bits and the whole in at most bits.
-    """
+def _links(fps: DataFrame, width: int, word_bits: int, bits: int, cell: int) -> tuple[DataFrame, DataFrame]:
+    """Of fps (doc_id long, fp array<long>) the distinct fingerprints (fp, least: their smallest id, node), and links (a, b) of nodes that
+    connect what all links connect."""
     node = stash(fps.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()))
     linked = node.select("node", "fp")
     n = linked.count()
@@ -158,7 +156,15 @@ def near_components(fps: DataFrame, width: int = 1, word_bits: int = 4, bits: in
     cells = cells.select("key", "node", "c", F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("x"))
     cells = cells.select("key", F.least("c", "x").alias("i"), F.greatest("c", "x").alias("j"), "node")
     cells = cells.join(linked, "node").select("key", "i", "j", "node", "fp")
-    edges = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_linker(width, bits), "a long, b long")
+    return node, cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_linker(width, bits), "a long, b long")
+
+
+def near_components(fps: DataFrame, width: int = 1, word_bits: int = 4, bits: int = 4, cell: int = CELL) -> DataFrame:
+    """fps (doc_id long, fp array<long>) -> (doc_id, fp, component_id).
+
+    Two fingerprints link if some of their words differ in at most word_bits bits and the whole in at most bits.
+    """
+    node, edges = _links(fps, width, word_bits, bits, cell)
     found = components(edges)
     whole = node.join(found, "node", "left").select("fp", "least", F.coalesce("component", "node").alias("component"))
     first = stash(whole.groupBy("component").agg(F.min("least").alias("component_id")))
@@ -172,15 +178,26 @@ def simhash_components(df: DataFrame) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def fingerprint_pairs(df: DataFrame) -> DataFrame:
+    """(a, b): pairs of ids that fingerprints link at 4 or fewer differing bits, so many that they connect what all such links connect; a
+    row for each copy and not for each pair of copies. Rows with a null id take no part."""
+    fps = stash(fingerprints(df).where("doc_id is not null"))
+    node, edges = _links(fps, 1, 4, 4, CELL)
+    least = lambda c: node.select(F.col("node").alias(c), F.col("least").alias(f"_{c}"))
+    across = edges.distinct().join(least("a"), "a").join(least("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    same = fps.join(node.select("fp", "least"), "fp").where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
+    return stash(across.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+
 def dedup_near(df: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
     """Keeps of each group of near copies the row with the smallest id (of rows with that id all).
 
     Near copies share `least` (a fraction, 4/5) or more of the distinct five-word shingles of both; groups are what such links
-    connect, and all links are found and verified (see `shingles`): fingerprints of 64 bits don't tell these pairs from others,
-    so they are no candidates here. A row goes by its id and its text, so an id that stands for several texts loses only those in
+    connect. Pairs that SimHash fingerprints link come first; pairs with as many shingles in common may differ in more bits than a fingerprint
+    allows, so an exact join of rare shingles adds those it can't see (see `shingles`). Both are verified on the texts. A row goes by its id and its text, so an id that stands for several texts loses only those in
     a group with a smaller id. Rows with a null id take no part and are kept.
     """
-    found = jaccard_components(df, least)
+    found = jaccard_components(df, least, pairs=fingerprint_pairs(df))
     p = free_prefix(df)
     drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias(f"{p}id"), F.col("text_hash").alias(f"{p}hash")).distinct()
     same = (F.col("doc_id").cast("long") == F.col(f"{p}id")) & (F.xxhash64(F.col("text").cast("string")) == F.col(f"{p}hash"))

@@ -154,3 +154,25 @@ def test_a_hub_is_split(spark, small_skew, plans):
     edges = spark.range(1, 40_000).selectExpr("if(id % 2 = 0, 0, id - id % 7) AS a", "id AS b").repartition(16)
     comp = common.components(edges)
     assert comp.where("component = 0").count() > 15_000 and "skew=true" in plans.text()
+
+
+def test_the_stage_takes_what_fingerprints_link(spark, monkeypatch):
+    """Copies with a word changed go even if the join of rare shingles finds no pair; a linked pair is still verified."""
+    from floodstats.llm import shingles
+
+    words = [f"w{i * i % 7919}" for i in range(3000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:1500], "other", *words[1501:]])), (3, " ".join(reversed(words))), (4, "a b"), (5, "a b"), (None, " ".join(words))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.a, r.b) for r in simhash.fingerprint_pairs(df).collect()} == {(1, 2), (4, 5)}
+
+    def none(least):
+        def run(batches):
+            for _ in batches:
+                pass
+            yield from ()
+
+        return run
+
+    monkeypatch.setattr(shingles, "_meetings", none)
+    got = sorted((r.doc_id for r in simhash.dedup_near(df).collect()), key=str)
+    assert got == [1, 3, 4, None]
