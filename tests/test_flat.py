@@ -54,6 +54,13 @@ def test_a_file_of_over_two_gigabytes(spark, tmp_path):
     assert part.rdd.getNumPartitions() == 1 and [(x.row, x.col, x.value) for x in part.collect()] == [(9_999, 17, 2.5)]
 
 
+def test_many_ranges_share_tasks(spark, tmp_path):
+    for k in range(30):
+        (tmp_path / f"{k:02d}.bin").write_bytes(np.full(12, k, "<f4").tobytes())
+    got = grids.read_grid(spark, f"{tmp_path}/*.bin", grids.Grid(1, 4, 3, 0, 0, 1, -1), split=12)
+    assert got.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism and got.count() == 360
+
+
 def test_short_files_raise(spark, tmp_path):
     (tmp_path / "a.bin").write_bytes(bytes(99))
     with pytest.raises(ValueError, match="ends before"):
