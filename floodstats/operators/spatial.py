@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import gauge_distance, sphere_distance
+from ..functions.shared import shared_dir
 from .nearest import distance, nearest_by_tree
 
 
@@ -156,12 +157,19 @@ def resample_density(coarse: DataFrame, fine: DataFrame, ratio: int) -> DataFram
     return f.join(c, ["_r", "_c"], "left").select("row", "col", (F.col("_density") * F.col("area")).alias("people"))
 
 
+#: Rows that a task of a neighbourhood joins, about, and pairs that a task of gauge snapping looks at.
+ROWS, PAIRS = 500_000, 20_000_000
+
+
 def neighbourhood(grid: DataFrame, radius: int = 1, x: str = "value", centre: bool = True) -> DataFrame:
     """(row, col, n, low, high, mean, same) over the window around each cell; the grid's edge just has fewer cells.
-    Each cell is sent to the cells it neighbours, so the cost is one shuffle of (2 radius + 1)² rows per cell."""
+    Each cell is sent to the cells it neighbours, so the cost is one shuffle of (2 radius + 1)² rows per cell, in as many parts as these
+    rows need; windows are summed in the part where they met."""
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if centre or i or j])
     sent = grid.select("row", "col", F.col(x).alias("_v"), F.explode(steps).alias("_s")).select((F.col("row") + F.col("_s.i")).alias("row"), (F.col("col") + F.col("_s.j")).alias("col"), "_v")
-    both = sent.join(grid.select("row", "col", F.col(x).alias("_own")), ["row", "col"])
+    parts = max(1, -(-grid.count() * (2 * radius + 1) ** 2 // ROWS))
+    own = grid.select("row", "col", F.col(x).alias("_own")).repartition(parts, "row", "col")
+    both = sent.repartition(parts, "row", "col").join(own.hint("merge"), ["row", "col"])
     return both.groupBy("row", "col").agg(F.count("_v").alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"), F.avg("_v").alias("mean"), F.count_if(F.col("_v") == F.col("_own")).alias("same"))
 
 

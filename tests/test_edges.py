@@ -105,3 +105,19 @@ def test_jackknife_of_every_statistic(spark):
         want = (d**3).sum() / (6 * (d**2).sum() ** 1.5)
         got = {x.k: x._a for x in E._acceleration(df, ["k"], "x", name).collect()}
         assert set(got) == {"a"} and got["a"] == pytest.approx(want, abs=1e-9), name
+
+
+def test_neighbourhoods_in_parts_of_bounded_size(spark, monkeypatch):
+    """Parts follow the rows and the other side is never broadcast whole; nulls and repeated cells count as they did."""
+    monkeypatch.setattr(S, "ROWS", 100)
+    rows = [(i, j, None if (i + j) % 7 == 0 else float(i * j % 5)) for i in range(10) for j in range(12)] + [(3, 3, 9.0)]
+    got = S.neighbourhood(spark.createDataFrame(rows, "row int, col int, value double"))
+    assert "Broadcast" not in got._jdf.queryExecution().toString()
+    at = lambda i, j: [v for r, c, v in rows if abs(r - i) <= 1 and abs(c - j) <= 1 and v is not None]
+    have = {(r.row, r.col): r for r in got.collect()}
+    assert len(have) == 120
+    for (i, j), r in have.items():
+        own = [v for a, b, v in rows if (a, b) == (i, j)]
+        v = at(i, j)
+        assert (r.n, r.low, r.high, r.same) == (len(v) * len(own), min(v), max(v), sum(x == o for x in v for o in own)), (i, j)
+        assert r["mean"] == pytest.approx(sum(v) / len(v))
