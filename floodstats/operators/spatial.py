@@ -180,17 +180,30 @@ def snap_gauges(gauges: DataFrame, cells: DataFrame, max_dist: float, error: flo
     error) of the gauge's; a gauge without any takes those from the percentile of its cells' areas up to below the greatest.
     dist: the nearest; uparea: the least relative error of area; combi: the least weighted mean of distance by max_dist and of
     the relative error by the tolerance. dist_relerr and upa_relerr are those two. Ties go to the first row and column.
+
+    Every pair in reach is looked at, twice: once for the least errors, which leave a task as one row a gauge, and once for the cells that
+    have them. Only pairs of gauges without a fitting cell are shuffled.
     """
     c = _sent(cells.select("row", "col", F.col("lon").alias("clon"), F.col("lat").alias("clat"), "uparea"), "clon", "clat", max_dist)
-    both = _tiled(gauges, "lon", "lat", max_dist).join(c, ["_tx", "_ty"]).withColumn("dist", gauge_distance(F.col("lon"), F.col("lat"), F.col("clon"), F.col("clat"))).where(F.col("dist") <= max_dist)
-    w = Window.partitionBy("id")
+    tiles = ["_tx", "_ty"]
+    parts = max(1, math.ceil(_met(_tiled(gauges, "lon", "lat", max_dist), c, tiles) / PAIRS), int(gauges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     fits = (F.col("uparea") >= (1 - error) * F.col("area")) & (F.col("uparea") < (1 + error) * F.col("area"))
-    both = both.withColumns({"_any": F.max(fits.cast("int")).over(w), "_p": F.percentile("uparea", percent / 100).over(w), "upa_local_max": F.max("uparea").over(w)})
-    both = both.where(F.when(F.col("_any") == 1, fits).otherwise((F.col("uparea") >= F.col("_p")) & (F.col("uparea") < F.col("upa_local_max"))))
-    both = both.withColumns({"upa_relerr": F.abs(F.col("uparea") - F.col("area")) / F.col("area") / error, "dist_relerr": F.col("dist") / max_dist})
-    both = both.withColumn("combi_relerr", (F.col("upa_relerr") * w_area + F.col("dist_relerr") * w_dist) / (w_area + w_dist))
+
+    def pairs(some: DataFrame) -> DataFrame:
+        both = _tiled(some, "lon", "lat", max_dist).repartition(parts, *tiles).join(c.repartition(parts, *tiles), tiles)
+        both = both.withColumn("dist", gauge_distance(F.col("lon"), F.col("lat"), F.col("clon"), F.col("clat"))).where(F.col("dist") <= max_dist)
+        both = both.withColumns({"upa_relerr": F.abs(F.col("uparea") - F.col("area")) / F.col("area") / error, "dist_relerr": F.col("dist") / max_dist})
+        return both.withColumn("combi_relerr", (F.col("upa_relerr") * w_area + F.col("dist_relerr") * w_dist) / (w_area + w_dist))
+
+    errors = {"_least_d": "dist_relerr", "_least_u": "upa_relerr", "_least_c": "combi_relerr"}
+    shared_dir(gauges.sparkSession)
+    least = pairs(gauges).groupBy("id").agg(F.max("uparea").alias("upa_local_max"), F.max(fits.cast("int")).alias("_any"), *[F.min(F.when(fits, F.col(v))).alias(k) for k, v in errors.items()]).checkpoint()
+    hit = pairs(gauges.join(least.where("_any = 1"), "id")).where(fits & ((F.col("dist_relerr") == F.col("_least_d")) | (F.col("upa_relerr") == F.col("_least_u")) | (F.col("combi_relerr") == F.col("_least_c"))))
+    none = pairs(gauges.join(least.where(F.coalesce("_any", F.lit(0)) == 0).select("id", "upa_local_max"), "id"))
+    none = none.withColumn("_p", F.percentile("uparea", percent / 100).over(Window.partitionBy("id"))).where((F.col("uparea") >= F.col("_p")) & (F.col("uparea") < F.col("upa_local_max")))
     kept = ["row", "col", "clon", "clat", "uparea", "upa_local_max", "dist", "dist_relerr", "upa_relerr", "combi_relerr"]
     pick = lambda by: F.min(F.struct(F.col(by).alias("_by"), *kept))
+    both = hit.select("id", *kept).unionByName(none.select("id", *kept))
     best = both.groupBy("id").agg(pick("dist").alias("a"), pick("upa_relerr").alias("b"), pick("combi_relerr").alias("c"))
     rows = F.array(*[F.struct(F.lit(n).alias("fit"), *[F.col(f"{s}.{k}").alias(k) for k in kept]) for n, s in (("dist", "a"), ("uparea", "b"), ("combi", "c"))])
     return best.select("id", F.inline(rows))

@@ -121,3 +121,13 @@ def test_neighbourhoods_in_parts_of_bounded_size(spark, monkeypatch):
         v = at(i, j)
         assert (r.n, r.low, r.high, r.same) == (len(v) * len(own), min(v), max(v), sum(x == o for x in v for o in own)), (i, j)
         assert r["mean"] == pytest.approx(sum(v) / len(v))
+
+
+def test_snapping_shuffles_no_pair_of_a_gauge_that_fits(spark):
+    """Many cells equally far or of equal area: the first row and column, and the greatest area of all cells in reach."""
+    gauges = spark.createDataFrame([(1, 0.0, 0.0, 100.0), (2, 40.0, 0.0, 1.0), (3, 90.0, 0.0, 1.0)], "id long, lon double, lat double, area double")
+    cells = [(r, c, x + dx, dy, 90.0 + 20 * (k % 2) if x == 0 else 100.0 + k) for x, r in ((0.0, 5), (40.0, 6)) for k, (c, dx, dy) in enumerate([(3, 0.01, 0.0), (2, -0.01, 0.0), (1, 0.02, 0.0), (0, 0.0, 0.02)])] + [(9, 9, 0.0, 0.1, 900.0)]
+    out = S.snap_gauges(gauges, spark.createDataFrame(cells, "row int, col int, lon double, lat double, uparea double"), 20_000, percent=50.0)
+    got = {(r.id, r.fit): (r.row, r.col, r.upa_local_max) for r in out.collect()}
+    assert got == {(1, "dist"): (5, 2, 900.0), (1, "uparea"): (5, 0, 900.0), (1, "combi"): (5, 2, 900.0), (2, "dist"): (6, 1, 103.0), (2, "uparea"): (6, 1, 103.0), (2, "combi"): (6, 1, 103.0)}
+    assert "Window" not in S.snap_gauges(gauges, spark.createDataFrame(cells, "row int, col int, lon double, lat double, uparea double"), 20_000)._jdf.queryExecution().optimizedPlan().toString().split("Union")[0]
