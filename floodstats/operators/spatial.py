@@ -44,8 +44,8 @@ def _sent(df: DataFrame, lon: str, lat: str, max_dist: float) -> DataFrame:
     return d.withColumn("_tx", F.explode(tiles)).drop("_w")
 
 
-#: Pairs of places that tiles may bring together: for each left place, or in all. Beyond, points go down a tree.
-MET_EACH, MET = 64, 20_000_000
+#: Pairs of places that tiles may bring together: for each left place, or in all; beyond, points go down a tree. And those that a task looks at.
+MET_EACH, MET, MET_TASK = 64, 20_000_000, 1_000_000
 
 
 def _met(left: DataFrame, right: DataFrame, on: list[str]) -> int:
@@ -54,12 +54,19 @@ def _met(left: DataFrame, right: DataFrame, on: list[str]) -> int:
     return int(count(left, "_a").join(count(right, "_b"), on).agg(F.sum(F.col("_a").cast("double") * F.col("_b"))).first()[0] or 0)
 
 
+def _in_parts(left: DataFrame, right: DataFrame, on: list[str], met: int) -> DataFrame:
+    """The join on tiles that makes `met` pairs. Rows are few where pairs are many, so that their bytes alone would leave all in one task."""
+    parts = max(1, math.ceil(met / MET_TASK))
+    return left.repartition(parts, *on).join(right.repartition(parts, *on), on)
+
+
 def nearest_points(left: DataFrame, right: DataFrame, max_dist: float, lid: str = "id", rid: str = "id", lon: str = "lon", lat: str = "lat", metric: str = "degree", prefix: str = "near_", digits: int | None = None) -> DataFrame:
     """Each left point with its nearest right point (least degrees, or least distance on the sphere), null beyond max_dist metres.
 
     Places are looked up once, however many points share them. Both sides are cut into tiles as wide as max_dist at their own latitude; a
     right place goes to the tiles around it, and the rest is an equi-join on tiles. Places of one tile would meet pairwise, so the pairs
-    are counted first, and where they are many the places go down a tree instead (`nearest.nearest_by_tree`), with the same result.
+    are counted first; tiles are dealt into as many parts as the pairs need, and where they are many the places go down a tree instead
+    (`nearest.nearest_by_tree`), with the same result.
     On the sphere, points just across the antimeridian are seen too; in degrees longitudes don't wrap. In degrees a point may be
     nearest and yet beyond max_dist, away from the equator; a second join, of the left places whose match is that far in degrees, finds
     these. digits: those of squared degrees that count, so that points equally far tie, of which the one with the smallest id is taken.
@@ -73,9 +80,10 @@ def nearest_points(left: DataFrame, right: DataFrame, max_dist: float, lid: str
     by_tree = lambda: nearest_by_tree(left, right, lid, rid, lon, lat, metric, prefix, 16, max_dist, digits).select(*own, *found)
     tiled, sent = _tiled(l, "_llon", "_llat", max_dist), _sent(r, "_rlon", "_rlat", max_dist)
     most = max(MET, MET_EACH * l.count())
-    if _met(tiled, sent, ["_tx", "_ty"]) > most:
+    met = _met(tiled, sent, ["_tx", "_ty"])
+    if met > most:
         return by_tree()
-    both = tiled.join(sent, ["_tx", "_ty"])
+    both = _in_parts(tiled, sent, ["_tx", "_ty"], met)
     both = both.withColumn("_m", sphere_distance(F.col("_llon"), F.col("_llat"), F.col("_rlon"), F.col("_rlat"))).where(F.col("_m") <= max_dist)
     by = distance("_llon", "_llat", "_rlon", "_rlat", metric, digits)
     best = both.groupBy("_llon", "_llat").agg(F.min(F.struct(by.alias("_by"), F.col("_r._id").alias("_id"), F.col("_m").alias("_m"), "_r")).alias("_b"))
@@ -91,9 +99,10 @@ def nearest_points(left: DataFrame, right: DataFrame, max_dist: float, lid: str
             other = other.withColumn("_tx", F.explode(F.transform(near, lambda i: cell("_rlon", F.col("_side")) + i))).withColumn("_ty", F.explode(F.transform(near, lambda i: cell("_rlat", F.col("_side")) + i)))
             far = far.withColumns({"_tx": cell("_llon", F.col("_side")), "_ty": cell("_llat", F.col("_side"))})
             on = ["_side", "_tx", "_ty"]
-            if _met(far, other, on) > most:
+            met = _met(far, other, on)
+            if met > most:
                 return by_tree()
-            closer = far.join(other, on).where((by < F.col("_by")) | ((by == F.col("_by")) & (F.col("_rid") < F.col("_id"))))
+            closer = _in_parts(far, other, on, met).where((by < F.col("_by")) | ((by == F.col("_by")) & (F.col("_rid") < F.col("_id"))))
             best = best.join(closer.select("_llon", "_llat").distinct(), ["_llon", "_llat"], "left_anti")
     best = best.select(F.col("_llon").alias(lon), F.col("_llat").alias(lat), F.col("_b._id").alias(found[0]), *[F.col(f"_b._r.{c}").alias(f"{prefix}{c}") for c in rest], F.col("_b._m").alias(found[-1]))
     return left.join(best, [lon, lat], "left").select(*own, *found)

@@ -1,5 +1,7 @@
 """Nearest points by a tree against every pair: crowded places, points across the antimeridian, no distance set, ties, nulls."""
 
+import re
+
 import numpy as np
 import pytest
 from floodstats.operators import spatial
@@ -75,3 +77,16 @@ def test_places_are_looked_up_once(spark, monkeypatch):
     left, right = [(k, 1.0 + k % 2, 2.0) for k in range(100)], [(k, 1.5, 2.0 + k % 3) for k in range(60)]
     got = spatial.nearest_points(points(spark, left), points(spark, right), 300_000).collect()
     assert met[0] == (2, 3) and len(got) == 100 and {x.near_id for x in got} == {0}
+
+
+@pytest.mark.parametrize("metric", ["sphere", "degree"])
+def test_pairs_are_dealt_out_by_their_number(spark, metric, monkeypatch):
+    """Few rows with many pairs don't stay in one task, as their bytes alone would have it."""
+    r = np.random.default_rng(11)
+    left, right = ([(at + k, *p) for k, p in enumerate(np.c_[r.uniform(-30, 30, n), r.uniform(60, 80, n)])] for at, n in ((0, 200), (1000, 300)))
+    go = lambda: spatial.nearest_points(points(spark, left), points(spark, right), 400_000, metric=metric)
+    whole = sorted(map(tuple, go().collect()))
+    monkeypatch.setattr(spatial, "MET_TASK", 500)
+    many = go()
+    dealt = {int(n) for n in re.findall(r"RepartitionByExpression \[_tx.*\], (\d+)", many._jdf.queryExecution().optimizedPlan().toString())}
+    assert sorted(map(tuple, many.collect())) == whole and sum(x[3] is not None for x in whole) > 150 and dealt and min(dealt) > 4
