@@ -7,7 +7,8 @@ import json
 import math
 import struct
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ship import ship
-from . import rasters, store, zarr
+from . import grids, rasters, store, zarr
 from .store import get, put
 
 # Classic netCDF's type codes, and its tags of lists.
@@ -126,19 +127,38 @@ def _by_tile(cells: DataFrame, side: int) -> DataFrame:
 
 
 def _by_rows(cells: DataFrame, path: str, rows: int, cols: int, block: int, missing: float, dtype: str, kind: str, encode: Callable[[int, np.ndarray], bytes]) -> int:
-    def part(own: pd.DataFrame) -> pd.DataFrame:
-        k = int(own["_k"].iloc[0])
-        v = np.full((min(block, rows - k * block), cols), missing, dtype)
-        on = own[own["value"].notna()]
-        v[on["row"].to_numpy(int) - k * block, on["col"].to_numpy(int)] = on["value"]
-        put(f"{path}/part-{k:05d}.{kind}", encode(k, v))
-        return pd.DataFrame({"n": [len(on)]})
+    """Files of `block` rows. A task makes many, one after the other, from cells in the files' order."""
+    files = -(-rows // block)
 
-    ship(cells.sparkSession)
+    def write(k: int, v: np.ndarray) -> int:
+        put(f"{path}/part-{k:05d}.{kind}", encode(k, v))
+        return k
+
+    def parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        k, v = -1, np.empty(0)
+        for f in frames:
+            ks, row, col, value, on = (f[c].to_numpy() for c in ("_k", "row", "col", "value", "_on"))
+            cuts, done = [0, *(np.flatnonzero(np.diff(ks)) + 1), len(ks)] if len(ks) else [], []
+            for a, z in pairwise(cuts):
+                if ks[a] != k:
+                    done += [write(k, v)] if k >= 0 else []
+                    k = int(ks[a])
+                    v = np.full((min(block, rows - k * block), cols), missing, dtype)
+                own = on[a:z]
+                v[row[a:z][own] - k * block, col[a:z][own]] = value[a:z][own]
+            yield pd.DataFrame({"k": done})
+        if k >= 0:
+            yield pd.DataFrame({"k": [write(k, v)]})
+
+    spark = cells.sparkSession
+    ship(spark)
     store.remove(path)
-    every = cells.sparkSession.range(-(-rows // block)).select(F.col("id").cast("int").alias("_k"))
-    own = cells.select("row", "col", "value", F.floor(F.col("row") / block).cast("int").alias("_k"))
-    return every.join(own, "_k", "left").groupBy("_k").applyInPandas(part, "n long").count()
+    k, x = F.floor(F.col("row") / block), F.col("value")
+    on = x.isNotNull() & ~F.isnan(x.cast("double"))
+    own = cells.where(k.between(0, files - 1)).select(k.cast("int").alias("_k"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.coalesce(x, F.lit(0).cast(cells.schema["value"].dataType)).alias("value"), on.alias("_on"))
+    every = spark.range(files).select(F.col("id").cast("int").alias("_k"), F.lit(0).alias("row"), F.lit(0).alias("col"), F.lit(0).cast(cells.schema["value"].dataType).alias("value"), F.lit(False).alias("_on"))
+    dealt = own.unionByName(every).repartition(grids.tasks_for(spark, files, rows * cols * 8), "_k").sortWithinPartitions("_k")
+    return dealt.mapInPandas(parts, "k int").count()
 
 
 def write_binary(cells: DataFrame, path: str, rows: int, cols: int, block: int = 512, missing: float = -9999.0, dtype: str = "<f4") -> int:

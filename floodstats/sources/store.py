@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterable, Iterator
 
 from pyarrow import fs
 
@@ -33,13 +34,19 @@ def get(path: str) -> bytes:
 
 def get_range(path: str, start: int, n: int) -> bytes:
     """n bytes from start on; raises where the file ends before."""
+    return next(get_ranges(path, [(start, n)]))
+
+
+def get_ranges(path: str, ranges: Iterable[tuple[int, int]]) -> Iterator[bytes]:
+    """get_range of each (start, n), of a file that is opened once."""
     store, at = _place(path)
     with store.open_input_file(at) as f:
-        f.seek(start)
-        data = f.read(n)
-    if len(data) < n:
-        raise ValueError(f"{path} ends before byte {start + n}")
-    return data
+        for start, n in ranges:
+            f.seek(start)
+            data = f.read(n)
+            if len(data) < n:
+                raise ValueError(f"{path} ends before byte {start + n}")
+            yield data
 
 
 def names(path: str) -> list[str]:

@@ -93,3 +93,59 @@ def test_planes_of_next_cells_in_several_files(spark, tmp_path):
     for split in (1, 16, 1000):
         got = {(x.file[-5], x.row, x.col): (x.nextx, x.nexty) for x in grids.read_next_xy(spark, f"{tmp_path}/*.bin", 3, 4, split).collect()}
         assert got == {(str(n), i, j): (100 * (1 - n) + 4 * i + j, 100 * (1 - n) + 12 + 4 * i + j) for n in range(2) for i in range(3) for j in range(4)}
+
+
+def jobs_of(spark, group, f):
+    """What f gives, and the tasks of each stage that it ran."""
+    sc = spark.sparkContext
+    sc.setJobGroup(group, group)
+    try:
+        got = f()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    t = sc.statusTracker()
+    stages = [t.getStageInfo(s) for j in t.getJobIdsForGroup(group) for s in t.getJobInfo(j).stageIds]
+    return got, [s.numTasks for s in stages if s]
+
+
+def test_many_files_are_listed_by_few_tasks(spark, tmp_path):
+    for k in range(150):
+        (tmp_path / f"{k:03d}.bin").write_bytes(np.full(6, k, "<i4").tobytes())
+    before = spark.conf.get(grids._LISTERS)
+    got, tasks = jobs_of(spark, "listing", lambda: grids.binary_files(spark, f"{tmp_path}/*.bin").count())
+    assert got == 150 and tasks and max(tasks) < 100 and spark.conf.get(grids._LISTERS) == before
+
+
+def test_planes_are_read_without_a_shuffle_of_cells(spark, tmp_path):
+    """Each file is opened once for both planes, and no cells are grouped."""
+    for k in range(20):
+        (tmp_path / f"{k:02d}.bin").write_bytes(np.arange(48, dtype="<i4").tobytes())
+    got = grids.read_next_xy(spark, f"{tmp_path}/*.bin", 6, 4, 16)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and got.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert sorted(map(tuple, got.collect())) == sorted((f"file:{tmp_path}/{k:02d}.bin", i, j, 4 * i + j, 24 + 4 * i + j) for k in range(20) for i in range(6) for j in range(4))
+
+
+def test_rows_are_written_in_order_by_tasks_of_many_files(spark, tmp_path):
+    """Files that lie across frames, rows without cells, nulls, NaN, whole numbers beyond a double's, and rows outside of the grid."""
+    r = np.random.default_rng(4)
+    want = np.full((103, 5), -9999, "<i8")
+    at = [(i, j) for i in range(103) for j in range(5) if r.random() < 0.7 and not 40 <= i < 52]
+    for n, (i, j) in enumerate(at):
+        want[i, j] = 2**53 + 2 * n + 1
+    rows = [(i, j, int(want[i, j])) for i, j in at] + [(45, 0, None), (-1, 0, 5), (104, 0, 5), (None, 0, 5)]
+    cells = spark.createDataFrame([rows[i] for i in r.permutation(len(rows))], "row int, col int, value long")
+    frames = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert arrays.write_binary(cells, f"{tmp_path}/a", 103, 5, 4, dtype="<i8") == 26
+        nan = cells.where("value is not null and row between 0 and 102").select("row", "col", F.when(F.col("row") < 8, float("nan")).otherwise(F.col("row")).alias("value"))
+        assert arrays.write_binary(nan, f"{tmp_path}/b", 103, 5, 4) == 26
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", frames)
+    read = lambda d, t: np.concatenate([np.frombuffer(p.read_bytes(), t) for p in sorted((tmp_path / d).iterdir())]).reshape(103, 5)
+    assert (read("a", "<i8") == want).all()
+    b, (i, _) = read("b", "<f4"), np.indices((103, 5))
+    known = (want != -9999) & (i >= 8)
+    assert (b[known] == i[known]).all() and (b[~known] == -9999).all()
+    assert arrays.write_binary(cells.limit(0), f"{tmp_path}/c", 9, 5, 4) == 3 and sum(p.stat().st_size for p in (tmp_path / "c").iterdir()) == 180
