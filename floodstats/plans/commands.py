@@ -31,7 +31,7 @@ def gridded(spark: SparkSession, files: str, variable: str, coords: list[str], t
     own = rasters.read_netcdf(spark, files, variable, coords, time)
     if not time:
         return own.select(*coords, "value")
-    ways = own.select("units", "calendar").distinct().limit(MOST_UNITS + 1).collect()
+    ways = rasters.netcdf_units(spark, files, variable, time).select("units", "calendar").distinct().limit(MOST_UNITS + 1).collect()
     if len(ways) > MOST_UNITS or any(w.units is None for w in ways):
         raise ValueError(f"{time} has no units in some file, or more than {MOST_UNITS} in all")
     same = lambda w: F.col("units").eqNullSafe(F.lit(w.units)) & F.col("calendar").eqNullSafe(F.lit(w.calendar))

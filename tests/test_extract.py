@@ -4,7 +4,7 @@ from datetime import datetime
 
 import pytest
 from floodstats.plans import commands
-from floodstats.sources import arrays
+from floodstats.sources import arrays, rasters
 from pyspark.sql import functions as F
 
 
@@ -48,6 +48,20 @@ def test_files_that_count_from_different_times(spark, tmp_path):
         commands.gridded(spark, f"{tmp_path}/*/*.nc", "none", ["time", "lat", "lon"]).collect()
 
 
+def test_units_take_a_row_of_each_file(spark, tmp_path):
+    """Not one of each cell; a file without values says nothing, one without units is an error."""
+    for year, unit in ((2000, "days since 2000-01-01"), (2001, None), (2002, None)):
+        own = grid(spark, [float(k) for k in range(20)], [float(k) for k in range(20)], (0.0, 1.0)).withColumn("year", F.lit(year)).withColumn("value", F.lit(-9999.0) if year == 2001 else F.col("value"))
+        arrays.write_netcdf(own, f"{tmp_path}/{year}", "level", ["time", "lat", "lon"], "year", coord_attributes={"time": {"units": unit} if unit else {}})
+    files = "{2000,2001}/*.nc"
+    units = rasters.netcdf_units(spark, f"{tmp_path}/{files}", "level", "time").collect()
+    assert [(r.file[-12:], r.units, r.calendar) for r in units] == [("year=2000.nc", "days since 2000-01-01", None)]
+    got = commands.gridded(spark, f"{tmp_path}/{files}", "level", ["time", "lat", "lon"], "time")
+    assert got.count() == 800 and {r.time for r in got.select("time").distinct().collect()} == {datetime(2000, 1, 1), datetime(2000, 1, 2)}
+    with pytest.raises(ValueError, match="no units"):
+        commands.gridded(spark, f"{tmp_path}/*/*.nc", "level", ["time", "lat", "lon"], "time")
+
+
 def test_several_variables_and_attributes(spark, tmp_path):
     own = grid(spark, [0.0, 1.0, 5.0], [0.0, 1.0], (0.0, 1.0))
     shape = {"time": 2, "lat": 2, "lon": 3}
