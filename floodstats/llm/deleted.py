@@ -12,7 +12,8 @@ is in every text is one key per chunk, nothing is broadcast, and what moves is a
 Where chunks times ranges would be over MESSAGES, the trip has two legs: chunks write to groups of ranges, and there the keys of many
 chunks (a rack) are merged before they go to their ranges, and the counts dealt out again on the way back. So packets stay large, and
 their number grows with the power 1.5 of the input.
-Words are 64-bit hashes (exact but for collisions), bigrams 48-bit ones.
+Words are 64-bit hashes, bigrams 56-bit ones, exact but for collisions; no bigram counts for more than its context, and none whose
+context is unseen counts at all, whatever has its key.
 
 Nulls: a null text is empty, that is one end token. A null id counts as the text '', whose remainder is 0: held out. Repeated
 rows count as often as they occur. Without training documents N and V are 0 and every token has the floor's probability. Texts of
@@ -170,7 +171,7 @@ def _bigrams(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.nd
     h = vocabulary[seq]
     before = np.r_[BEGIN, h[:-1]]
     before[np.r_[0, np.cumsum(np.abs(n))[:-1]]] = BEGIN
-    keys, at = np.unique(_mix(before * np.uint64(0xD6E8FEB86659FD93) + h) >> np.uint64(16), return_inverse=True)
+    keys, at = np.unique(_mix(before * np.uint64(0xD6E8FEB86659FD93) + h) >> np.uint64(64 - _BITS[1]), return_inverse=True)
     return vocabulary, seq, n, keys, at
 
 
@@ -178,7 +179,7 @@ KEYS = "part int, chunk long, fold int, kind int, n int, keys binary, counts bin
 
 
 #: Bits of the keys of each kind.
-_BITS = {0: 64, 1: 48}
+_BITS = {0: 64, 1: 56}
 
 
 def _cut(keys: np.ndarray, counts: np.ndarray, kind: int, parts: int) -> Iterator[tuple[int, int, bytes, bytes, str]]:
@@ -295,7 +296,7 @@ def _held_out(begins: int):
         c = _context(seq, n, words, begins)
         one = np.zeros(len(pairs), np.int64)
         one[at] = np.arange(len(at))  # a bigram's tokens have one context and word
-        return pd.DataFrame({"bucket": _bucket(c[one]), "pair": pairs, "context": c[one], "word": words[seq[one]], "n": np.bincount(at, minlength=len(pairs))})
+        return pd.DataFrame({"bucket": _bucket(c[one]), "pair": np.minimum(pairs, c[one]), "context": c[one], "word": words[seq[one]], "n": np.bincount(at, minlength=len(pairs))})
 
     return run
 
@@ -375,7 +376,7 @@ def _scorer(total: int, vocabulary: int, begins: int, weights: np.ndarray):
         words, pairs = _looked_up(answers, 0), _looked_up(answers, 1)
         c, w = _context(seq, n, words, begins), words[seq]
         lam = weights[_bucket(c)]
-        p = lam[:, 0] * np.where(c > 0, pairs[at] / np.maximum(c, 1), 0) + lam[:, 1] * (w / max(total, 1)) + lam[:, 2] * floor
+        p = lam[:, 0] * np.minimum(pairs[at], c) / np.maximum(c, 1) + lam[:, 1] * (w / max(total, 1)) + lam[:, 2] * floor
         first = np.r_[0, np.cumsum(np.abs(n))[:-1]]
         add = lambda x: np.add.reduceat(x, first)
         base = np.log10((words + 0.1) / (total + 0.1 * (vocabulary + 1)))[seq]

@@ -124,3 +124,16 @@ def test_weights_explain_held_out_counts_best():
 def test_packing_is_lossless():
     x = np.sort(np.random.default_rng(1).integers(0, 2**64, 1000, dtype=np.uint64))
     assert (deleted._unpack_sorted(deleted._pack_sorted(x), 1000) == x).all() and len(deleted._unpack_sorted(b"", 0)) == 0
+
+
+@pytest.mark.parametrize("known, lone", [("a4303 b1366", "a19050 b1532"), ("a18885 b11522", "a19770 b6695"), ("a30639 b7968", "a15758 b6665")])
+def test_bigrams_that_share_a_key(known, lone, spark):
+    """Their keys have the first 56 bits in common: a deleted text's unseen context must not get the other's count."""
+    one = next(i for i in range(40) if rest(i) == 1)
+    rows = [(i, f"so and {lone if i == one else 'so'} x{i}" if rest(i) == 1 else f"so and {known} x{i}") for i in range(40)]
+    want = dict(brute(rows))
+    got = deleted.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == want[r.doc_id][:4]
+        assert r.base_score == pytest.approx(want[r.doc_id][4], rel=1e-9) and r.score == pytest.approx(want[r.doc_id][5], rel=1e-5), r.doc_id
