@@ -104,13 +104,23 @@ def _unpack(b: bytes, size: int, dtype: str) -> np.ndarray:
     return np.frombuffer(pa.decompress(b, size * np.dtype(dtype).itemsize, "zstd", asbytes=True), dtype) if size else np.zeros(0, dtype)
 
 
+def _pack_planes(x: np.ndarray) -> bytes:
+    """Byte planes apart, so that the zero bytes vanish."""
+    return _pack(x.view(np.uint8).reshape(len(x), -1).T) if len(x) else b""
+
+
+def _unpack_planes(b: bytes, size: int, dtype: str) -> np.ndarray:
+    width = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(_unpack(b, width * size, "u1").reshape(width, size).T).view(dtype).ravel() if size else np.zeros(0, dtype)
+
+
 def _pack_sorted(x: np.ndarray) -> bytes:
-    """Differences, byte planes apart, so that the zero bytes vanish."""
-    return _pack(np.diff(x, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T) if len(x) else b""
+    """Differences by byte planes."""
+    return _pack_planes(np.diff(x, prepend=np.uint64(0)))
 
 
 def _unpack_sorted(b: bytes, size: int) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(_unpack(b, 8 * size, "u1").reshape(8, size).T).view(np.uint64).ravel(), dtype=np.uint64) if size else np.zeros(0, np.uint64)
+    return np.cumsum(_unpack_planes(b, size, "u8"), dtype=np.uint64)
 
 
 def _small(x: np.ndarray) -> tuple[bytes, str]:
@@ -136,7 +146,7 @@ def chunks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
             n = np.concatenate(lens)
             vocabulary, seq = np.unique(np.concatenate(hashes), return_inverse=True)
             made += 1
-            row = ((part << 24) + made, fold, len(n), int(n[n > 0].sum()), int((n > 0).sum()), int(np.abs(n).sum()), sum(ids, []), n.tolist(), len(vocabulary), _pack_sorted(vocabulary), _pack(seq.astype("i4")))
+            row = ((part << 24) + made, fold, len(n), int(n[n > 0].sum()), int((n > 0).sum()), int(np.abs(n).sum()), sum(ids, []), n.tolist(), len(vocabulary), _pack_sorted(vocabulary), _pack_planes(seq.astype("i4")))
             return pa.RecordBatch.from_pylist([dict(zip(names, row))], schema=schema)
 
         names = [x.split()[0] for x in CHUNKS.split(", ")]
@@ -167,7 +177,7 @@ def chunks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
 def _bigrams(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(vocabulary, seq, tokens of each text, sorted distinct bigram keys, key index of each token)."""
     vocabulary, n = _unpack_sorted(row.vocabulary, row.words), np.array(row.lens, np.int64)
-    seq = _unpack(row.seq, row.tokens, "i4")
+    seq = _unpack_planes(row.seq, row.tokens, "i4")
     h = vocabulary[seq]
     before = np.r_[BEGIN, h[:-1]]
     before[np.r_[0, np.cumsum(np.abs(n))[:-1]]] = BEGIN
@@ -234,9 +244,11 @@ def _deal(_, asked: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         rows = list(g.itertuples())
         keys, _ = _merged(rows)
         every, deleted = _looked_up(answers, kind), _looked_up(answers, kind, True) if rows[0].fold else None
+        known = answers.loc[answers.kind == kind, ["known", "known_less"]].sum().tolist()
         for r in rows:
             at = np.searchsorted(keys, _unpack_sorted(r.keys, r.n))
-            out.append((r.chunk, r.fold, r.part, kind, r.n, *_small(every[at]), *(_small(deleted[at]) if r.fold else (b"", "u1")), 0, 0))
+            out.append((r.chunk, r.fold, r.part, kind, r.n, *_small(every[at]), *(_small(deleted[at]) if r.fold else (b"", "u1")), *known))
+            known = 0, 0
     return pd.DataFrame(out, columns=[x.split()[0] for x in ANSWERS.split(", ")])
 
 
@@ -387,19 +399,19 @@ def _scorer(total: int, vocabulary: int, begins: int, weights: np.ndarray):
 
 def _round_trip(gathered: DataFrame, parts: int) -> tuple[DataFrame, int]:
     """ANSWERS to every chunk, and the number of distinct training words."""
-    words = lambda f: f.where("kind = 0").agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
     many = gathered.count()
     if many * parts <= MESSAGES:
-        answers = stash(gathered.mapInPandas(_ask(parts), KEYS).groupBy("part").applyInPandas(_answer, ANSWERS), packed=True)
-        return answers, words(answers)
-    groups, racks = math.isqrt(parts - 1) + 1, math.isqrt(many - 1) + 1
-    each = -(-parts // groups)
-    rack = F.pmod(F.xxhash64("chunk"), F.lit(racks)) * groups + F.col("part")
-    asked = stash(gathered.mapInPandas(_ask(groups), KEYS).withColumn("rack", rack), packed=True)
-    merged = asked.groupBy("rack", "fold").applyInPandas(_gather(groups * each), KEYS)
-    answers = stash(merged.groupBy("part").applyInPandas(_answer, ANSWERS), packed=True)
-    dealt = asked.groupBy("rack", "fold").cogroup(answers.withColumnRenamed("chunk", "rack").groupBy("rack", "fold")).applyInPandas(_deal, ANSWERS)
-    return stash(dealt, packed=True), words(answers)
+        answers = gathered.mapInPandas(_ask(parts), KEYS).groupBy("part").applyInPandas(_answer, ANSWERS)
+    else:
+        groups, racks = math.isqrt(parts - 1) + 1, math.isqrt(many - 1) + 1
+        each = -(-parts // groups)
+        rack = F.pmod(F.xxhash64("chunk"), F.lit(racks)) * groups + F.col("part")
+        # Both uses share one exchange, so what was asked is on disk once.
+        asked = gathered.mapInPandas(_ask(groups), KEYS).withColumn("rack", rack).groupBy("rack", "fold")
+        merged = asked.applyInPandas(_gather(groups * each), KEYS).groupBy("part").applyInPandas(_answer, ANSWERS)
+        answers = asked.cogroup(merged.withColumnRenamed("chunk", "rack").groupBy("rack", "fold")).applyInPandas(_deal, ANSWERS)
+    answers = stash(answers, packed=True, free=True)
+    return answers, answers.where("kind = 0").agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
@@ -414,7 +426,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     answers, vocabulary = _round_trip(gathered, parts)
     of = lambda f: f.groupBy("chunk")
     deleted = of(gathered.where("fold = 1")).cogroup(of(answers.where("fold = 1"))).applyInPandas(_held_out(count("d", 0)), HELD_OUT)
-    counts = stash(deleted.groupBy("bucket", "pair", "context", "word").agg(F.sum("n").alias("n")))
+    counts = stash(deleted.groupBy("bucket", "pair", "context", "word").agg(F.sum("n").alias("n")), free=True)
     floor, rest = 1 / (vocabulary + 1), count("n", 0)
     step = lambda a, b: F.when(a > 0, F.round(FINE * F.log2(a / b))).otherwise(-999.0)
     coarse = counts.groupBy("bucket", step(F.col("pair"), F.col("context")).alias("p2"), step(F.col("word"), F.lit(float(max(rest, 1)))).alias("p1")).agg(F.sum("n").alias("n"))

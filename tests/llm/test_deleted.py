@@ -104,6 +104,13 @@ def test_two_legs_give_the_same(which, request, monkeypatch):
     assert one == two and one[0] > 0
 
 
+def test_two_legs_share_what_was_asked(docs, plans, monkeypatch):
+    """Its exchange is written once, and read for merging and for dealing out."""
+    monkeypatch.setattr(deleted, "MESSAGES", 0)
+    deleted._round_trip(common.stash(deleted.chunks(docs.repartition(4), 30_000)), 10)
+    assert "ReusedExchange" in plans.text().split("FlatMapCoGroupsInPandas", 1)[1]
+
+
 def test_no_rows(nothing):
     assert deleted.lm_scores(nothing).count() == 0
 
